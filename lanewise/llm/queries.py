@@ -6,14 +6,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import licenses, mixing, packing, quality, secrets, sharding, urls
+from lanewise.llm import licenses, minhash, mixing, neighbours, packing, quality, secrets, sharding, urls
 from lanewise.llm.common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -46,7 +54,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_source_mixing, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op9_sharding, op10_secret_scan)
+    found = (op1_minhash_dedup, op2_source_mixing, op3_nearest_neighbours, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op9_sharding, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 
