@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import licenses, minhash, mixing, neighbours, packing, quality, secrets, sharding, urls
+from lanewise.llm import licenses, minhash, mixing, neighbours, packing, pii, quality, secrets, sharding, urls
 from lanewise.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"])
 
@@ -54,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_dedup, op2_source_mixing, op3_nearest_neighbours, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op9_sharding, op10_secret_scan)
+    found = (op1_minhash_dedup, op2_source_mixing, op3_nearest_neighbours, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op8_pii, op9_sharding, op10_secret_scan)
     return {f.__name__: f for f in found}
 
 

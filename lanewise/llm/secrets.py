@@ -37,21 +37,32 @@ def _count(part: Column, char: Column) -> Column:
     return (F.length(part) - F.length(F.replace(part, char, F.lit("")))).cast("double")
 
 
-def peak_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest entropy in bits among the windows of a string; null where it is shorter than one window."""
+def _peak(value: Column, window: int) -> Column:
+    """The least sum of count * log2(count) among the windows of a string at least one window long."""
     first = value.substr(1, window)
     total = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda acc, c: acc + _term(_count(first, c)))
 
+    def slid(acc: Column, c: Column) -> Column:
+        now = acc.total - (_term(c.gone + 1) - _term(c.gone)) + (_term(c.come + 1) - _term(c.come))
+        return let(now, lambda t: F.struct(t.alias("total"), F.least(acc.least, t).alias("least")))
+
     def step(acc: Column, i: Column) -> Column:
-        shared = F.substr(value, i + 1, F.lit(window - 1))
         out, into = F.substr(value, i, F.lit(1)), F.substr(value, i + window, F.lit(1))
-        gone, come = _count(shared, out), _count(shared, into)
-        now = acc.total - (_term(gone + 1) - _term(gone)) + (_term(come + 1) - _term(come))
-        return F.struct(now.alias("total"), F.least(acc.least, now).alias("least"))
+        counts = lambda part: F.struct(_count(part, out).alias("gone"), _count(part, into).alias("come"))
+        return let(let(F.substr(value, i + 1, F.lit(window - 1)), counts), lambda c: slid(acc, c))
 
     start = let(total, lambda t: F.struct(t.alias("total"), t.alias("least")))
     steps = F.when(F.length(value) > window, F.sequence(F.lit(1), F.length(value) - window)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, start, step, lambda acc: acc.least)
+    return F.aggregate(steps, start, step, lambda acc: acc.least)
+
+
+def peak_entropy(value: Column, window: int = WINDOW, chunk: int = 64) -> Column:
+    """The highest entropy in bits among the windows of a string; null where it is shorter than one window.
+
+    Long strings are cut into chunks that overlap by a window, so a step never reads the string from its start.
+    """
+    starts = F.sequence(F.lit(1), F.length(value) - (window - 1), F.lit(chunk))
+    least = F.array_min(F.transform(starts, lambda i: let(F.substr(value, i, F.lit(chunk + window - 1)), lambda part: _peak(part, window))))
     return F.when(F.length(value) >= window, F.log2(F.lit(float(window))) - least / window)
 
 
