@@ -14,6 +14,7 @@ an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,8 +25,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lanewise.llm.common import written
+from lanewise.llm.common import small_batches, written
 
 SEQUENCE = 4096
 END_ID = 1
@@ -33,7 +35,10 @@ BINS = 64
 SLOTS = 4
 #: Pieces of up to so many bins are kept for the gaps.
 SAND_BINS = 2
-CACHE = 200_000
+CACHE = 400_000
+#: Letters with one lower-case form, and a mark at the end that is a token of its own.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+WORD_END = "</w>"
 
 
 def default_vocabulary() -> str:
@@ -42,6 +47,57 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordIds:
+    """Token ids of words, as bytes of unsigned 32-bit integers.
+
+    A word of plain letters, perhaps with a mark behind, has the ids of its lower-case letters and of the mark. New letters are
+    encoded many at a time: each is one run of ids, of which the last alone ends a word. Other words are encoded one by one.
+    """
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        tokens = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends[[i for t, i in tokens.items() if t.endswith(WORD_END)]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks = {m: self.encode(m) if m else b"" for m in ("", *".,;:!?")}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, letters: list[str]) -> None:
+        for lo in range(0, len(letters), 2000):
+            part = letters[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) == len(part):
+                data, at = ids.tobytes(), 0
+                for word, stop in zip(part, stops.tolist(), strict=True):
+                    self.letters[word] = data[at:stop]
+                    at = stop
+            else:
+                self.letters.update((w, self.encode(w)) for w in part)
+
+    def __call__(self, text: bytes) -> bytes:
+        found = text.split()
+        new = set(found).difference(self.words)
+        if new:
+            if len(self.words) + len(new) > CACHE:
+                self.words.clear()
+                new = set(found)
+            if len(self.letters) > CACHE:
+                self.letters.clear()
+            plain = [(w, m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w.decode()))]
+            self.learn(sorted({x for _, x, _ in plain}.difference(self.letters)))
+            for w, letters, mark in plain:
+                self.words[w] = self.letters[letters] + self.marks[mark]
+            self.words.update((w, self.encode(w.decode())) for w in new.difference(w for w, _, _ in plain))
+        return b"".join([self.words[w] for w in found])
+
+
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = SEQUENCE) -> DataFrame:
     """key, piece, start, length and ids_crc32 of each piece of each document.
 
@@ -49,35 +105,20 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
     The path must hold on every executor.
     """
     vocabulary = vocabulary or default_vocabulary()
-    kind = docs.schema[key].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, ids, width = Tokenizer.from_file(vocabulary), {}, 4 * limit
-        end = END_ID.to_bytes(4, "little")
+        ids, width, end = WordIds(vocabulary), 4 * limit, END_ID.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for at, value in enumerate(batch.column(1)):
-                found = (value.as_py() or "").encode().split()
-                missing = [w for w in dict.fromkeys(found) if w not in ids]
-                if len(ids) + len(missing) > CACHE:
-                    ids.clear()
-                    missing = list(dict.fromkeys(found))
-                for lo in range(0, len(missing), 1000):
-                    part = missing[lo : lo + 1000]
-                    for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                        ids[w] = np.array(e.ids, "<u4").tobytes()
-                data = b"".join([ids[w] for w in found]) + end
+            for at, value in enumerate(batch.column(1).cast(pa.binary())):
+                data = ids(value.as_py() or b"") + end
                 rows += [(at, k, lo // 4, min(width, len(data) - lo) // 4, zlib.crc32(data[lo : lo + width])) for k, lo in enumerate(range(0, len(data), width))]
             if rows:
                 at, piece, start, length, crc = (np.array(c) for c in zip(*rows, strict=True))
                 columns = [batch.column(0).take(pa.array(at)), pa.array(piece.astype("i4")), pa.array(start.astype("i8")), pa.array(length.astype("i8")), pa.array(crc.astype("i8"))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "piece", "start", "length", "ids_crc32"])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("key", kind), T.StructField("piece", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")])
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("piece", T.IntegerType())] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")])
     return docs.select(F.col(key), F.col(text)).mapInArrow(encode, schema)
 
 
@@ -233,7 +274,8 @@ def ranked(pieces: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, size: int = SEQUENCE) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset; a row a piece."""
-    pieces = written(tokenized(docs, key, text, vocabulary, size), "pack-pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(tokenized(docs, key, text, vocabulary, size), "pack-pieces")
     counts = {length: n for length, n in pieces.groupBy("length").count().collect()}  # at most `size` rows
     rows = np.array(sorted(make_plan(counts, size).rows) or np.zeros((0, 5)), np.int64)
     step = np.int64(1) << np.int64(44)
