@@ -58,7 +58,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_dedup, op2_source_mixing, op3_nearest_neighbours, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op8_pii, op9_sharding, op10_secret_scan)
+    found = (op1_minhash_dedup, op2_source_mixing, op3_nearest_neighbours, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op8_pii, op9_sharding, op10_secret_scan, pipeline)
     return {f.__name__: f for f in found}
 
 
