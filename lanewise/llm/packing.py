@@ -36,8 +36,8 @@ SLOTS = 4
 #: Pieces of up to so many bins are kept for the gaps.
 SAND_BINS = 2
 CACHE = 400_000
-#: Letters with one lower-case form, and a mark at the end that is a token of its own.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Letters with one lower-case form, then marks, which the vocabulary takes apart from letters. The apostrophe isn't among them.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 WORD_END = "</w>"
 
 
@@ -50,7 +50,7 @@ def default_vocabulary() -> str:
 class WordIds:
     """Token ids of words, as bytes of unsigned 32-bit integers.
 
-    A word of plain letters, perhaps with a mark behind, has the ids of its lower-case letters and of the mark. New letters are
+    A word of plain letters, perhaps with marks behind, has the ids of its lower-case letters and of the marks. New letters are
     encoded many at a time: each is one run of ids, of which the last alone ends a word. Other words are encoded one by one.
     """
 
@@ -63,7 +63,7 @@ class WordIds:
         self.ends[[i for t, i in tokens.items() if t.endswith(WORD_END)]] = True
         self.words: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
-        self.marks = {m: self.encode(m) if m else b"" for m in ("", *".,;:!?")}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -81,21 +81,38 @@ class WordIds:
             else:
                 self.letters.update((w, self.encode(w)) for w in part)
 
-    def __call__(self, text: bytes) -> bytes:
-        found = text.split()
-        new = set(found).difference(self.words)
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        found = [t.split() for t in texts]
+        new = set().union(*found).difference(self.words)
         if new:
             if len(self.words) + len(new) > CACHE:
                 self.words.clear()
-                new = set(found)
+                new = set().union(*found)
             if len(self.letters) > CACHE:
                 self.letters.clear()
             plain = [(w, m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w.decode()))]
             self.learn(sorted({x for _, x, _ in plain}.difference(self.letters)))
+            if len(self.marks) > CACHE:
+                self.marks = {"": b""}
+            self.marks.update((m, self.encode(m)) for m in {m for _, _, m in plain}.difference(self.marks))
             for w, letters, mark in plain:
                 self.words[w] = self.letters[letters] + self.marks[mark]
             self.words.update((w, self.encode(w.decode())) for w in new.difference(w for w, _, _ in plain))
-        return b"".join([self.words[w] for w in found])
+        words = self.words
+        return [b"".join([words[w] for w in f]) for f in found]
+
+
+def portions(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a column (null: empty), some megabytes at a time, each with the place of its first."""
+    first, held, size = 0, [], 0
+    for at, value in enumerate(column.cast(pa.binary())):
+        held.append(value.as_py() or b"")
+        size += len(held[-1])
+        if size >= most:
+            yield first, held
+            first, held, size = at + 1, [], 0
+    if held:
+        yield first, held
 
 
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = SEQUENCE) -> DataFrame:
@@ -110,9 +127,10 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
         ids, width, end = WordIds(vocabulary), 4 * limit, END_ID.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for at, value in enumerate(batch.column(1).cast(pa.binary())):
-                data = ids(value.as_py() or b"") + end
-                rows += [(at, k, lo // 4, min(width, len(data) - lo) // 4, zlib.crc32(data[lo : lo + width])) for k, lo in enumerate(range(0, len(data), width))]
+            for first, texts in portions(batch.column(1)):
+                for at, data in enumerate(ids(texts), first):
+                    data += end
+                    rows += [(at, k, lo // 4, min(width, len(data) - lo) // 4, zlib.crc32(data[lo : lo + width])) for k, lo in enumerate(range(0, len(data), width))]
             if rows:
                 at, piece, start, length, crc = (np.array(c) for c in zip(*rows, strict=True))
                 columns = [batch.column(0).take(pa.array(at)), pa.array(piece.astype("i4")), pa.array(start.astype("i8")), pa.array(length.astype("i8")), pa.array(crc.astype("i8"))]
