@@ -5,10 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanewise.plans import motion, scene
+
+GROUPS = (scene, motion)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for group in GROUPS for name, (query, _) in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, (_, sql) in group.QUERIES.items() if sql}
