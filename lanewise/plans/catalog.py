@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.plans import motion, scene
+from lanewise.plans import motion, scene, tracks
 
-GROUPS = (scene, motion)
+GROUPS = (scene, motion, tracks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
