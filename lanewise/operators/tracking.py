@@ -5,6 +5,7 @@ long video is a stream of narrow rows and not a frame's worth of columns. The sa
 """
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,6 @@ class Track:
     streak: int = 0
     missed: int = 0
     det_id: int = -1
-    features: list = field(default_factory=list)
 
 
 @dataclass
@@ -62,6 +62,16 @@ class Sort:
         self.tracks = [t for t in self.tracks if t.missed <= self.max_age]
         return out
 
+    def saved(self) -> str:
+        """The tracker as text, for a state store."""
+        rows = [[t.id, t.hits, t.streak, t.missed, t.det_id, *(x.tolist() for x in (t.filter.value, t.filter.speed, t.filter.p, t.filter.c, t.filter.v))] for t in self.tracks]
+        return json.dumps([self.frames, self.next_id, rows])
+
+    def restored(self, text: str) -> Sort:
+        self.frames, self.next_id, rows = json.loads(text)
+        self.tracks = [Track(i, BoxFilter(*map(np.array, state)), hits, streak, missed, det) for i, hits, streak, missed, det, *state in rows]
+        return self
+
     def match(self, boxes: np.ndarray, expected: np.ndarray) -> list[tuple[int, int]]:
         if not len(boxes) or not len(expected):
             return []

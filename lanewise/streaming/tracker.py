@@ -1,7 +1,6 @@
 """Live tracking: the batch tracker's step as a stateful stream keyed by video."""
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,10 +10,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lanewise.operators.tracking import TRACKED, Sort, fold
 
 
-def track_stream(boxes: DataFrame, video: str = "video_id", idle_ms: int = 600_000, **settings) -> DataFrame:
+def track_stream(boxes: DataFrame, video: str = "video_id", idle_ms: int | None = None, **settings) -> DataFrame:
     """Tracked boxes of a stream of boxes. Frames of a video must arrive in order, whole in one batch.
 
-    The tracker of a video is its state; it goes when the video has been idle for idle_ms of processing time.
+    The tracker of a video is its state. With idle_ms it goes when the video has been idle for so long in processing time; such a
+    stream runs until it is stopped, while one without ends when its trigger's input does.
     """
     kind = boxes.schema[video].dataType.simpleString()
 
@@ -22,12 +22,13 @@ def track_stream(boxes: DataFrame, video: str = "video_id", idle_ms: int = 600_0
         if state.hasTimedOut:
             state.remove()
             return
-        tracker = pickle.loads(state.get[0]) if state.exists else Sort(**settings)
+        tracker = Sort(**settings).restored(state.get[0]) if state.exists else Sort(**settings)
         out = fold(pd.concat(list(parts)), tracker)
         out.insert(0, video, key[0])
-        state.update((pickle.dumps(tracker),))
-        state.setTimeoutDuration(idle_ms)
+        state.update((tracker.saved(),))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield out
 
     rows = boxes.select(video, "frame_index", "det_id", "l", "t", "r", "b", "score")
-    return rows.groupBy(video).applyInPandasWithState(step, f"{video} {kind}, {TRACKED}", "tracker binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(video).applyInPandasWithState(step, f"{video} {kind}, {TRACKED}", "tracker string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
