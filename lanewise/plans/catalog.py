@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.plans import motion, scene, tracks
+from lanewise.plans import motion, roads, scene, tracks
 
-GROUPS = (scene, motion, tracks)
+GROUPS = (scene, motion, roads, tracks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
