@@ -87,6 +87,36 @@ def inside(px: Column, py: Column, ring: Column) -> Column:
     return odd & ~F.exists(_edges(ring), on_edge)
 
 
+def inside_ring(px: Column, py: Column, ring: list[tuple[float, float]]) -> Column:
+    """inside() for a ring that is known beforehand: its edges become plain arithmetic, which is compiled."""
+    crossings, on_edge = F.lit(0), F.lit(False)
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        ax, ay, bx, by = map(float, (ax, ay, bx, by))
+        if ay != by:
+            spans = (py > min(ay, by)) & (py <= max(ay, by))
+            crossings += F.when(spans & (ax + (py - ay) / (by - ay) * (bx - ax) < px), 1).otherwise(0)
+        level = ((bx - ax) * (py - ay) - (by - ay) * (px - ax)) == 0
+        on_edge |= level & px.between(min(ax, bx), max(ax, bx)) & py.between(min(ay, by), max(ay, by))
+    xs, ys = [float(x) for x, _ in ring], [float(y) for _, y in ring]
+    near = px.between(min(xs), max(xs)) & py.between(min(ys), max(ys))
+    return F.coalesce(near & (crossings % 2 == 1) & ~on_edge, F.lit(False))
+
+
+def project_on_known_line(px: Column, py: Column, line: list[tuple[float, float]]) -> Column:
+    """project_on_line() for a line that is known beforehand, as plain arithmetic."""
+    parts, run = [], 0.0
+    for i, ((ax, ay), (bx, by)) in enumerate(zip(line, line[1:], strict=False)):
+        dx, dy = bx - ax, by - ay
+        length = math.hypot(dx, dy)
+        k = ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy) if length else F.lit(0.0)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), k))
+        dist = F.hypot(px - ax - t * dx, py - ay - t * dy)
+        side = F.signum(dx * (py - ay) - dy * (px - ax))
+        parts.append(F.struct(dist.alias("dist"), F.lit(i).alias("i"), (run + t * length).alias("pos"), side.alias("side")))
+        run += length
+    return F.array_min(F.array(*parts))
+
+
 def project_on_line(px: Column, py: Column, line: Column) -> Column:
     """struct(dist, pos, side): distance to a polyline, position along it of the nearest point, +1 on the left of its segment and -1 on the right.
 

@@ -10,11 +10,12 @@ from lanewise.functions import geometry as G
 def lane_of(points: DataFrame, lanes: list[tuple[int, list[tuple[float, float]]]], x: str = "x", y: str = "y") -> DataFrame:
     """points with lane: the first of the annotated polygons that holds the point, else -1.
 
-    A road's polygons are few and part of its configuration, so they are a literal that each point looks through: no join, no shuffle.
+    A road's polygons are few and part of its configuration, so they become compiled arithmetic on each point: no join, no shuffle.
     """
-    road = F.array(*[F.struct(F.lit(n).alias("lane"), G.polygon(ring).alias("ring")) for n, ring in lanes])
-    hits = F.filter(road, lambda r: G.inside(F.col(x), F.col(y), r.ring))
-    return points.withColumn("lane", F.coalesce(F.get(hits, F.lit(0)).lane, F.lit(-1)))
+    lane = F.lit(-1)
+    for n, ring in reversed(lanes):
+        lane = F.when(G.inside_ring(F.col(x), F.col(y), ring), n).otherwise(lane)
+    return points.withColumn("lane", lane)
 
 
 def clamped_clock(frames: DataFrame, clock: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from lanewise.functions import geometry as G
 
 def between_lines(points: DataFrame, lines: list[tuple[int, list[tuple[float, float]]]]) -> DataFrame:
     """points with lane: the smaller number of the two nearest lane lines if their numbers are neighbours, else -1."""
-    every = [F.struct(G.project_on_line(F.col("x"), F.col("y"), G.polygon(line)).dist.alias("dist"), F.lit(n).alias("n")) for n, line in lines]
+    every = [F.struct(G.project_on_known_line(F.col("x"), F.col("y"), line).dist.alias("dist"), F.lit(n).alias("n")) for n, line in lines]
     a, b = (F.get(F.sort_array(F.array(*every)), F.lit(i)).n for i in (0, 1))
     return points.withColumn("lane", F.when(F.abs(a - b) == 1, F.least(a, b)).otherwise(-1))
 

@@ -85,10 +85,10 @@ class Sort:
 
 
 def fold(frames: pd.DataFrame, tracker: Sort) -> pd.DataFrame:
-    rows = []
-    for frame, part in frames.sort_values(["frame_index", "score", "det_id"], ascending=[True, False, True]).groupby("frame_index", sort=True):
-        for track, det, box in tracker.step(part["det_id"].to_numpy(), part[["l", "t", "r", "b"]].to_numpy(float)):
-            rows.append((frame, track, det, *box))
+    frames = frames.sort_values(["frame_index", "score", "det_id"], ascending=[True, False, True])
+    at, ids, boxes = frames["frame_index"].to_numpy(), frames["det_id"].to_numpy(), frames[["l", "t", "r", "b"]].to_numpy(float)
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+    rows = [(at[lo], track, det, *box) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo for track, det, box in tracker.step(ids[lo:hi], boxes[lo:hi])]
     return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACKED.split(", ")])
 
 

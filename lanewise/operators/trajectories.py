@@ -93,9 +93,8 @@ def kept_by_ends(points: DataFrame, matched: DataFrame, reach: float = 30.0, ear
 
 def line_places(points: DataFrame, line: list[tuple[float, float]], base: tuple[float, float], per_pixel: float = 1.0, base_distance: float = 0.0) -> DataFrame:
     """points with line_pos, the distance along a driving line from its base point, and line_offset, left positive."""
-    ring = G.polygon(line)
-    on = G.project_on_line(F.col("x"), F.col("y"), ring)
-    at = G.project_on_line(F.lit(base[0]), F.lit(base[1]), ring)
+    on = G.project_on_known_line(F.col("x"), F.col("y"), line)
+    at = G.project_on_known_line(F.lit(float(base[0])), F.lit(float(base[1])), line)
     out = points.withColumn("_on", on)
     pos, off = (F.col("_on.pos") - at.pos) * per_pixel + base_distance, F.col("_on.dist") * F.col("_on.side") * per_pixel
     return out.withColumns({"line_pos": pos, "line_offset": off}).drop("_on")

@@ -176,3 +176,13 @@ def test_sources(spark, tmp_path):
 def test_suppress_order():
     overlap = np.array([[1, 0.5, 0], [0.5, 1, 0.5], [0, 0.5, 1]])
     assert suppress(np.array([0, 1, 2]), overlap, 0.3).tolist() == [True, False, True]
+
+
+def test_known_figures_equal_general_ones(spark):
+    ring, line = [(0, 0), (8, 1), (9, 7), (4, 3), (1, 8)], [(0.0, 0.0), (5.0, 5.0), (9.0, 2.0)]
+    grid = spark.range(400).select((F.col("id") % 20 / 2).alias("x"), (F.floor(F.col("id") / 20) / 2).cast("double").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    a, b = G.project_on_line(x, y, G.polygon(line)), G.project_on_known_line(x, y, line)
+    rows = grid.select(G.inside(x, y, G.polygon(ring)).alias("i"), G.inside_ring(x, y, ring).alias("j"), a.alias("a"), b.alias("b")).collect()
+    assert sum(r.i for r in rows) > 20 and all(r.i == r.j for r in rows)
+    assert all(np.allclose([r.a.dist, r.a.pos, r.a.side], [r.b.dist, r.b.pos, r.b.side]) for r in rows)
