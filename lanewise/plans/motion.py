@@ -217,18 +217,23 @@ def offset_search(spark, sf_dir):
     return per.withColumn("best", F.min("mean").over(so_far))
 
 
-def _line_sql() -> str:
+def _segs_sql() -> str:
     rows, run = [], 0.0
     for i, (a, b) in enumerate(zip(V.LINE, V.LINE[1:], strict=False)):
         rows.append(f"({i}, {run!r}::DOUBLE, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0] - a[0]}::DOUBLE, {b[1] - a[1]}::DOUBLE)")
         run += math.dist(a, b)
-    return f"""segs AS (SELECT * FROM (VALUES {", ".join(rows)}) AS s(i, run, x1, y1, dx, dy)),
+    return f'segs AS (SELECT * FROM (VALUES {", ".join(rows)}) AS s(i, run, x1, y1, dx, dy))'
+
+
+def _line_sql() -> str:
+    return f"""{_segs_sql()},
 t AS (SELECT veh_id, frame_index, x, y, i, run, x1, y1, dx, dy, greatest(0, least(1, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS t FROM points, segs),
 d AS (SELECT *, sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2) AS dist, run + t * sqrt(dx * dx + dy * dy) AS pos, sign(dx * (y - y1) - dy * (x - x1)) AS side FROM t),
 near AS (SELECT veh_id, frame_index, pos, dist, side FROM (SELECT *, row_number() OVER (PARTITION BY veh_id, frame_index ORDER BY dist, i) AS n FROM d) WHERE n = 1)"""
 
 
 _base = math.dist(V.LINE[0], V.LINE[1])
+_ticks = int(sum(math.dist(a, b) for a, b in zip(V.LINE, V.LINE[1:], strict=False)) / 15) + 1
 Q = "WITH " + V.POINTS
 _mean = lambda c: f"(sum({c}) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) + greatest(0, 4 - row_number() OVER w) * first_value({c}) OVER f + greatest(0, row_number() OVER w + 3 - count(*) OVER f) * last_value({c}) OVER f) / 7"
 _run = """r0 AS (SELECT veh_id, frame_index, CASE WHEN abs(frame_index - lag(frame_index) OVER (PARTITION BY veh_id ORDER BY frame_index)) > 1 THEN 1 ELSE 0 END AS s FROM src),
@@ -277,7 +282,7 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS
     "labels": (labels, f"WITH {V.BOXES} SELECT frame_index, det_id, 'id:' || det_id || ' cat:' || category || ' w:' || trunc(w)::INTEGER AS text FROM boxes"),
     "learning_rates": (learning_rates, "SELECT i AS epoch, round(((1 + cos(i * pi() / 40)) / 2) * 0.9::DOUBLE + 0.1::DOUBLE, 6) AS rate FROM range(40) AS r(i)"),
     "video_parts": (video_parts, "WITH v AS (SELECT s_nationkey AS video_id, s_suppkey AS part_no, s_suppkey % 50 + 10 AS frames, s_suppkey % 3 * 5 + 20 AS fps FROM supplier) SELECT video_id, part_no, coalesce(sum(frames) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, coalesce(lag(fps) OVER w <> fps, false) AS changed, (sum(frames) OVER (PARTITION BY video_id))::BIGINT AS total FROM v WINDOW w AS (PARTITION BY video_id ORDER BY part_no)"),
-    "line_ticks": (line_ticks, None),
+    "line_ticks": (line_ticks, f"""WITH {_segs_sql()}, k AS (SELECT n * 15::DOUBLE AS d, x1, y1, dx, dy, (n * 15 - run) / sqrt(dx * dx + dy * dy) AS k FROM segs, range(0, {_ticks}) AS r(n)) SELECT d, round(x1 + k * dx, 4) AS x, round(y1 + k * dy, 4) AS y FROM k WHERE k >= 0 AND k < 1"""),
     "offset_search": (offset_search, f"""{Q}, o AS (SELECT * FROM (VALUES {", ".join(f"({i}, {o})" for i, o in enumerate(OFFSETS))}) AS o(k, off)), l AS (SELECT * FROM points WHERE veh_id % 4 = 0), r AS (SELECT veh_id - 1 AS a, frame_index, x, y FROM points WHERE veh_id % 4 = 1),
 m AS (SELECT k, off, count(*) AS n, round(avg(sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2)), 4) AS mean FROM l JOIN r ON l.veh_id = r.a JOIN o ON l.frame_index = r.frame_index + off GROUP BY 1, 2)
 SELECT off::INTEGER AS "offset", n, mean, min(mean) OVER (ORDER BY k) AS best FROM m"""),
