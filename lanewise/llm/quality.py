@@ -108,3 +108,15 @@ def judge_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = R
     """df with the measures, base_failed and kept. Column names that clash with the measures are replaced."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured(df, text).withColumn("base_failed", failed).withColumn("kept", ~failed & passes(rules))
+
+
+def only_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df that judge_quality keeps, with the columns of df.
+
+    A filter on computed columns would be moved below them and compute each of them again for each of its uses, inside lambdas even
+    for each word. A row number that the filter also reads stays where it is, and so does the filter.
+    """
+    rows = measured(df.select(F.struct("*").alias("_doc"), F.col(text).alias("_text")), "_text")
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return rows.filter(~failed & passes(rules) & (F.col("_row") >= 0)).select("_doc.*")
