@@ -118,7 +118,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed documents themselves: each row as often as it is taken. Ids should be distinct."""
     key = settings.get("key", "doc_id")
     plan = mixed(docs, **settings).filter("copies > 0").select(F.col(key).alias("_key"), "copies")
-    both = docs.join(plan, F.col(key).eqNullSafe(F.col("_key")))
+    both = docs.join(plan.hint("merge"), F.col(key).eqNullSafe(F.col("_key")))  # both sides grow with the corpus
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
