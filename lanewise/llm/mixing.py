@@ -68,13 +68,13 @@ def mixed(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """key, size, source_size, target, copies (how often the document is taken) and taken (its words so taken)."""
+    """key, source, size, source_size, target, copies (how often the document is taken) and taken (its words so taken)."""
     sizes = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     sizes = written(sizes.withColumn("h", F.xxhash64("key", "source", "size")), "mix-sizes")
     rows = sizes.count()
     ranges, slices = max(64, rows // ROWS_PER_RANGE), max(TIME_RANGES, rows // ROWS_PER_RANGE)
     targets = source_targets(sizes, weights, budget, repeats)
-    named = sizes.join(targets, sizes.source.eqNullSafe(targets.source)).drop(sizes.source).drop(targets.source)
+    named = sizes.join(targets, sizes.source.eqNullSafe(targets.source)).drop(targets.source)
     named = named.withColumn("range", F.pmod(F.xxhash64("h"), F.lit(ranges)))
     queued = written(running_total(named, ["source_ix"], "range", [F.col("h"), F.col("key")], "size").drop("range"), "mix-queue")
 
@@ -111,16 +111,20 @@ def mixed(
             take = (now < cut) | ((now == cut) & inside)
         taken += F.when((F.col("size") > 0) & take, 1).otherwise(0)
     out = queued.withColumn("copies", taken)
-    return out.select(F.col("key").alias(key), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The mixed documents themselves: each row as often as it is taken. Ids should be distinct."""
-    key = settings.get("key", "doc_id")
-    plan = mixed(docs, **settings).filter("copies > 0").select(F.col(key).alias("_key"), "copies")
-    both = docs.join(plan.hint("merge"), F.col(key).eqNullSafe(F.col("_key")))  # both sides grow with the corpus
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+    """The mixed documents themselves, each row as often as it is taken.
+
+    Rows alike in id (null too), source and size are taken alike, as often as the one of them that is taken most.
+    """
+    plan = mixed(docs, key=key, text=text, source=source, **settings).filter("copies > 0")
+    plan = plan.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (word_count(F.col(text)) == F.col("_size"))
+    both = docs.join(plan.hint("merge"), same)  # both sides grow with the corpus
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    return mixed(docs).drop("copies")
+    return mixed(docs).drop("source", "copies")

@@ -303,3 +303,14 @@ def test_lookup_table():
 def test_license_spellings(spark):
     texts = ["Copyright (c) 2020 Somebody\n" + licenses.KNOWN["MIT"][1], "x\nlicensed under the apache licence, version 2.0", "licensed under nothing"]
     assert {(r.doc_id, r.line, r.license) for r in licenses.scan_licenses(docs(spark, texts)).collect()} >= {(0, 0, "MIT"), (1, 2, "Apache-2.0")}
+
+
+def test_mix_takes_rows_that_share_an_id_once_each(spark):
+    prose = lambda n: " ".join(["w"] * n)
+    rows = [(i, prose(10 + i % 3), "ab"[i % 2]) for i in range(40)] + [(None, prose(5), None)] * 6 + [(None, None, "a"), (3, prose(50), "b"), (3, prose(11), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(docs).collect())
+    held = Counter(rows)
+    assert set(out) <= set(held) and all(n <= 2 * held[k] and n % held[k] == 0 for k, n in out.items())
+    report = mixing.mixed(docs).collect()
+    assert len(report) == len(rows) and sum(r.taken for r in report) <= 1.5 * sum(r.size for r in report)
