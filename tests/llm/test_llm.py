@@ -314,3 +314,12 @@ def test_mix_takes_rows_that_share_an_id_once_each(spark):
     assert set(out) <= set(held) and all(n <= 2 * held[k] and n % held[k] == 0 for k, n in out.items())
     report = mixing.mixed(docs).collect()
     assert len(report) == len(rows) and sum(r.taken for r in report) <= 1.5 * sum(r.size for r in report)
+
+
+def test_addresses_with_zero_octets(spark):
+    rng = np.random.default_rng(18)
+    parts = ["10.0.0.1", "0.0.0.0", "1.2.3.000", "192.168.0.5", "00.010.0255.0256", "1..2.3", "256.0.0.0", "0.0.0.256", "0.0.0", "é", " ", ".", "0", "00", "-"]
+    texts = [*parts, *["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(200)], "0" * 4_000 + ".0.0." + "0" * 4_000 + "x"]
+    for r in pii.pii_report(docs(spark, texts)).collect():
+        counts, sha, _ = base(texts[r.doc_id], PII)
+        assert ([r[f"n_{k}"] for k in PII], r.base_sha256) == (counts, sha), texts[r.doc_id]
