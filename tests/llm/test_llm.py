@@ -323,3 +323,16 @@ def test_addresses_with_zero_octets(spark):
     for r in pii.pii_report(docs(spark, texts)).collect():
         counts, sha, _ = base(texts[r.doc_id], PII)
         assert ([r[f"n_{k}"] for k in PII], r.base_sha256) == (counts, sha), texts[r.doc_id]
+
+
+def test_links_behind_many_near_misses(spark):
+    """60 texts at similarity 0.84, of which ten pairs at 0.853: estimates can't tell them apart."""
+    core = [f"core{i}" for i in range(460)]
+    texts = []
+    for i in range(60):
+        own = [f"w{i}x{k}" for k in range(44)]
+        if i < 20:
+            own[:4] = [f"both{i // 2}x{k}" for k in range(4)]
+        texts.append(" ".join(core + own))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), shingle=1, similarity=0.85).collect()}
+    assert got == {i: i - i % 2 if i < 20 else i for i in range(60)}
