@@ -1,6 +1,6 @@
 """Licence scans: canonical digests of whole texts and of their lines, joined to the digests of known licences.
 
-Canonical form: lower case; lines that only state a copyright go; equivalent spellings become one; anything
+Canonical form: lower case; statements of a copyright go; equivalent spellings become one; anything
 but letters and digits becomes one space. Equal canonical texts have equal SHA-256 digests, so the search is a
 hash join. The known digests are a parameter-sized table (some lines a licence) and are broadcast; lines of the
 documents are not shuffled. A whole text is one unit beside its lines.
@@ -10,6 +10,8 @@ never match.
 """
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +62,68 @@ KNOWN = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.",),
 }
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*+(?:copyright\b|\(c\)|©)[^\n]*+$"
+_ISC_2 = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+    "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = (
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_BSD_3 = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+    "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that "
+    "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make "
+    "this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+    "relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS '
+    "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+
+def _titled(title: str, *bodies: str) -> tuple[str, ...]:
+    return (*bodies, *(f"{title}\n\n{b}" for b in bodies))
+
+
+def _bsd(*items: str) -> tuple[str, ...]:
+    """Items with numbers, and with bullets."""
+    numbered = [f"{i}. {t}" for i, t in enumerate(items, 1)]
+    return tuple("\n\n".join((_BSD, *own, _BSD_END)) for own in (numbered, [f"* {t}" for t in items]))
+
+
+#: Entire licences beside KNOWN; the long ones are files named by SPDX identifier.
+WHOLE = {
+    "ISC": _titled("ISC License", f"{_ISC}\n\n{_ISC_2}"),
+    "BSD-2-Clause": _titled("BSD 2-Clause License", *_bsd(_BSD_1, _BSD_2)),
+    "BSD-3-Clause": _titled("BSD 3-Clause License", *_bsd(_BSD_1, _BSD_2, _BSD_3)),
+    "Unlicense": (_UNLICENSE, f"{_UNLICENSE}\n\nFor more information, please refer to <https://unlicense.org>", f"{_UNLICENSE}\n\nFor more information, please refer to <http://unlicense.org/>"),
+} | {p.stem: (p.read_text(),) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: A mark with a sign, a year or a holder, or a short paragraph that begins with the word; up to what licenses the work, else to the end of the line.
+COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}\n(©]*+(?:copyright\b[\x20\t:]*+(?:\(c\)|©|(?=[\[<(]?(?:(?:19|20)[0-9]{2}|yyyy|year)|by\b))|\(c\)[\x20\t]*+(?=(?:19|20)[0-9]{2}|copyright\b)|©)"
+    r"[^\n]*?(?=$|(?<=[.,;])[\x20\t]+(?:this\b|licen[sc]ed\b|released\b|dedicated\b|permission\b|spdx-))"
+    r"|(?:(?<![\s\S])|(?<=\n\n))[^\p{L}\p{N}\n]*+copyright\b(?:[\x20\t]+[^\s]+){1,6}[\x20\t]*+(?=\n[\x20\t]*+(?:\n|\z)|\z)"
+)
 
 
 def canonical(text: Column) -> Column:
-    out = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), r"[^\p{L}\p{N}]++", " "))
+    out = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, ""), r"[^\p{L}\p{N}]++", " "))
     out = F.concat(F.lit(" "), out, F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old}" if old[-1] == " " else f" {old} "), F.lit(f" {new}" if old[-1] == " " else f" {new} "))
@@ -72,7 +131,7 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    rows = [(k, t) for k, texts in (known or KNOWN).items() for t in texts]
+    rows = [(k, t) for part in ([known] if known else [KNOWN, WHOLE]) for k, texts in part.items() for t in texts]
     frame = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in rows])).alias("x"))
     return frame.select(F.sha2(canonical(F.col("x.text")), 256).alias("digest"), "x.license").groupBy("digest").agg(F.min("license").alias("license"))
 

@@ -336,3 +336,18 @@ def test_links_behind_many_near_misses(spark):
         texts.append(" ".join(core + own))
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts), shingle=1, similarity=0.85).collect()}
     assert got == {i: i - i % 2 if i < 20 else i for i in range(60)}
+
+
+def test_entire_licenses(spark):
+    import textwrap
+
+    texts, want = [], []
+    for name, known in licenses.WHOLE.items():
+        for width in (60, 72, 79):
+            paragraphs = [textwrap.fill(p, width) for p in known[0].split("\n\n")] if len(known) > 1 else [known[0]]
+            texts.append("Copyright (c) 2020, Some Body. All rights reserved.\n\n" + "\n\n".join(paragraphs))
+            want.append(name)
+    lines = ["Copyright (c) 2020 X. Licensed under CC BY 4.0.", "copyright notice and this permission notice appear in all copies.", "(c) 2021 Y"]
+    got = {(r.doc_id, r.line): r.license for r in licenses.scan_licenses(docs(spark, [*texts, *lines])).collect()}
+    assert [got.get((i, 0)) for i in range(len(texts))] == want
+    assert [got.get((len(texts) + i, 1)) for i in range(3)] == ["CC-BY-4.0", None, None]
