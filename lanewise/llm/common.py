@@ -1,7 +1,6 @@
 """What several of the operators share."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -35,29 +34,36 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lanewise-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; one in the warehouse, which is shared too, where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lanewise-steps").rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: lineage ends there, and the loss of an executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/lanewise-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what written() made, once nothing reads it any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
-    """While it lasts, whole texts reach Python so many at a time, which bounds memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 4096, size: int = 8_000_000) -> Iterator[None]:
+    """While it lasts, whole texts reach Python so many rows or bytes at a time, which bounds memory on both sides."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    were = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        for name, value in were.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -14,15 +14,16 @@ an empty table gives an empty result.
 """
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +36,13 @@ BINS = 64
 SLOTS = 4
 #: Pieces of up to so many bins are kept for the gaps.
 SAND_BINS = 2
-CACHE = 400_000
-#: Letters with one lower-case form, then marks, which the vocabulary takes apart from letters. The apostrophe isn't among them.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Different words that a worker remembers, about 200 bytes each.
+CACHE = 1_000_000
+#: Which bytes part words: the six ASCII white-space characters.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Letters with one lower-case form, and marks, which the vocabulary takes apart from letters. The apostrophe isn't among them.
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD_END = "</w>"
 
 
@@ -48,10 +53,11 @@ def default_vocabulary() -> str:
 
 
 class WordIds:
-    """Token ids of words, as bytes of unsigned 32-bit integers.
+    """Token ids of many texts at once: distinct words are looked up once a portion, and numpy gathers their ids in order.
 
     A word of plain letters, perhaps with marks behind, has the ids of its lower-case letters and of the marks. New letters are
-    encoded many at a time: each is one run of ids, of which the last alone ends a word. Other words are encoded one by one.
+    encoded many at a time: each is one run of ids, of which the last alone ends a word. Other words are encoded whole.
+    Ids lie in one pool; an entry is a run of it.
     """
 
     def __init__(self, vocabulary: str):
@@ -61,58 +67,99 @@ class WordIds:
         tokens = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(tokens.values()) + 1, bool)
         self.ends[[i for t, i in tokens.items() if t.endswith(WORD_END)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, letters: list[str]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.letters: dict[bytes, int] = {}
+        self.marks: dict[bytes, int] = {b"": 0}
+        self.pool, self.starts, self.lengths, self.entries = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1
+
+    def keep(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """New entries of consecutive runs of ids; their numbers."""
+        first, at = self.entries, self.starts[self.entries - 1] + self.lengths[self.entries - 1]
+        self.entries += len(lengths)
+        while self.entries > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        while at + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[at : at + len(ids)] = ids
+        self.lengths[first : self.entries] = lengths
+        self.starts[first : self.entries] = at + np.cumsum(lengths) - lengths
+        return np.arange(first, self.entries)
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries one after another, and each one's length."""
+        lengths = self.lengths[entries]
+        shift = self.starts[entries] - np.cumsum(lengths) + lengths
+        return self.pool[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
+
+    def encoded(self, texts: list[str]) -> np.ndarray:
+        """Entries of texts that are encoded each for itself."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.keep(np.fromiter((i for ids in found for i in ids), "<u4"), np.array([len(ids) for ids in found], np.int64))
+
+    def learn(self, letters: list[bytes]) -> None:
         for lo in range(0, len(letters), 2000):
             part = letters[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) == len(part):
-                data, at = ids.tobytes(), 0
-                for word, stop in zip(part, stops.tolist(), strict=True):
-                    self.letters[word] = data[at:stop]
-                    at = stop
-            else:
-                self.letters.update((w, self.encode(w)) for w in part)
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        found = [t.split() for t in texts]
-        new = set().union(*found).difference(self.words)
-        if new:
-            if len(self.words) + len(new) > CACHE:
-                self.words.clear()
-                new = set().union(*found)
-            if len(self.letters) > CACHE:
-                self.letters.clear()
-            plain = [(w, m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w.decode()))]
-            self.learn(sorted({x for _, x, _ in plain}.difference(self.letters)))
-            if len(self.marks) > CACHE:
-                self.marks = {"": b""}
-            self.marks.update((m, self.encode(m)) for m in {m for _, _, m in plain}.difference(self.marks))
-            for w, letters, mark in plain:
-                self.words[w] = self.letters[letters] + self.marks[mark]
-            self.words.update((w, self.encode(w.decode())) for w in new.difference(w for w, _, _ in plain))
-        words = self.words
-        return [b"".join([words[w] for w in f]) for f in found]
-
-
-def portions(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """The texts of a column (null: empty), some megabytes at a time, each with the place of its first."""
-    first, held, size = 0, [], 0
-    for at, value in enumerate(column.cast(pa.binary())):
-        held.append(value.as_py() or b"")
-        size += len(held[-1])
-        if size >= most:
-            yield first, held
-            first, held, size = at + 1, [], 0
-    if held:
-        yield first, held
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            whole = len(stops) == len(part) and stops[-1] == len(ids)
+            made = self.keep(ids, np.diff(stops, prepend=0)) if whole else self.encoded([x.decode() for x in part])
+            self.letters.update(zip(part, made.tolist(), strict=True))
+
+    def learn_words(self, new: pa.Array) -> None:
+        bare = pc.utf8_rtrim(new, MARKS)
+        plain = pc.match_substring_regex(bare, PLAIN)
+        odd, new, bare = new.filter(pc.invert(plain)), new.filter(plain), bare.filter(plain)
+        words, bare_length = listed(new), pc.binary_length(bare).to_numpy()
+        lower = pc.utf8_lower(bare).dictionary_encode()
+        letters = listed(lower.dictionary)
+        self.learn([x for x in letters if x not in self.letters])
+        ends = [w[n:] for w, n in zip(words, bare_length.tolist(), strict=True)]
+        marks = sorted(set(ends).difference(self.marks))
+        self.marks.update(zip(marks, self.encoded([m.decode() for m in marks]).tolist(), strict=True))
+        left = np.fromiter(map(self.letters.__getitem__, letters), np.int64, len(letters))[lower.indices.to_numpy()]
+        both = np.stack([left, np.fromiter(map(self.marks.__getitem__, ends), np.int64, len(ends))], 1)
+        ids, lengths = self.gather(both.ravel())
+        self.words.update(zip(words, self.keep(ids, lengths.reshape(-1, 2).sum(1)).tolist(), strict=True))
+        self.words.update(zip(listed(odd), self.encoded(odd.to_pylist()).tolist(), strict=True))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin, the end of the last behind."""
+        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        inside = ~SPACE[data]
+        first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))  # where words begin
+        closed = np.cumsum([len(t) + 1 for t in texts])
+        before = np.concatenate([[0], np.searchsorted(first, closed)])  # words before each text
+        length = np.flatnonzero(~inside & np.concatenate([[False], inside[:-1]])) - first
+        places = np.concatenate([[0], np.cumsum(length)])
+        squeezed = data[inside]
+        split = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(places), pa.py_buffer(squeezed)]).dictionary_encode()
+        different = listed(split.dictionary)
+        if len(self.words) + len(different) > CACHE:
+            self.clear()
+        unknown = np.fromiter((w not in self.words for w in different), bool, len(different))
+        if unknown.any():
+            self.learn_words(split.dictionary.filter(pa.array(unknown)))
+        entries = np.fromiter(map(self.words.__getitem__, different), np.int64, len(different))
+        ids, lengths = self.gather(entries[split.indices.to_numpy()])
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[before]
+
+
+def listed(strings: pa.Array) -> list[bytes]:
+    """The bytes of each string; none is null."""
+    if not len(strings):
+        return []
+    edges = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data, edges = bytes(strings.buffers()[2]), edges.tolist()
+    return [data[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
+@lru_cache(maxsize=1)
+def word_ids(vocabulary: str) -> WordIds:
+    """One for each Python worker, kept from task to task."""
+    return WordIds(vocabulary)
 
 
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = SEQUENCE) -> DataFrame:
@@ -124,13 +171,13 @@ def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabula
     vocabulary = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, width, end = WordIds(vocabulary), 4 * limit, END_ID.to_bytes(4, "little")
+        ids, width, end = word_ids(vocabulary), 4 * limit, END_ID.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for first, texts in portions(batch.column(1)):
-                for at, data in enumerate(ids(texts), first):
-                    data += end
-                    rows += [(at, k, lo // 4, min(width, len(data) - lo) // 4, zlib.crc32(data[lo : lo + width])) for k, lo in enumerate(range(0, len(data), width))]
+            flat, edges = ids([v.as_py() or b"" for v in batch.column(1).cast(pa.binary())])
+            for at, (begin, stop) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                data = flat[begin:stop].tobytes() + end
+                rows += [(at, k, lo // 4, min(width, len(data) - lo) // 4, zlib.crc32(data[lo : lo + width])) for k, lo in enumerate(range(0, len(data), width))]
             if rows:
                 at, piece, start, length, crc = (np.array(c) for c in zip(*rows, strict=True))
                 columns = [batch.column(0).take(pa.array(at)), pa.array(piece.astype("i4")), pa.array(start.astype("i8")), pa.array(length.astype("i8")), pa.array(crc.astype("i8"))]
