@@ -56,7 +56,7 @@ def dropped(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 4096, size: int = 8_000_000) -> Iterator[None]:
+def small_batches(spark: SparkSession, rows: int = 4096, size: int = 4_000_000) -> Iterator[None]:
     """While it lasts, whole texts reach Python so many rows or bytes at a time, which bounds memory on both sides."""
     names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
     were = {name: spark.conf.get(name, None) for name in names}

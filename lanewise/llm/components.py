@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import written
+from lanewise.llm.common import dropped, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,11 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         others = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(others.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, written(others.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(before)
         was, seen = seen, now.agg(mark).first()[0]
         if was == seen:
             roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+            found = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+            dropped(now)
+            return found

@@ -1,21 +1,23 @@
 """Near-duplicates by MinHash: one permutation, optimal densification, banded buckets, star-shaped candidate edges.
 
-1. Each text becomes the set of hashes of its word shingles, in tasks. One hash serves all bins (its top bits choose the bin);
+1. Each text becomes the set of 64-bit hashes of its word shingles, in tasks. One hash serves all bins (its top bits choose the bin);
    an empty bin borrows from a bin that its own fixed random order names first. Rows of bins make band keys.
-2. Texts of equal sets are one class, so groups of exact copies shrink to one member by a partial minimum.
+2. Texts of equal sets (by a 128-bit digest) are one class, so groups of exact copies shrink to one member by a partial minimum.
 3. In each bucket the member with most company over all its buckets is the hub; candidate pairs are hub and member, a row a
    member. Pairs are confirmed on whole sets. Confirmed links give components.
-4. A bucket that holds several components may hide links between members that aren't its hub. Its members meet again in
-   blocks of bounded size: signatures are compared inside a task and each member puts forward its few most similar members of other
-   components. They are confirmed on whole sets too and components merge. A round without a new link makes the next put more forward;
-   the end is a round in which every member has put forward all members of other components whose estimate is high enough.
-
-No step gathers a bucket, and nothing but counts goes to the driver. Rows stay linear in the input but for pairs that are nearly
-links and in different components to the end: each of them is confirmed or refused once.
-Links of similarity at the threshold meet in no bucket with a chance of about (1 - 0.85**8)**32 = 4e-5.
-
-Defined cases: texts without words have an empty set and are linked with nothing; rows that share an id are one document as
-to links; rows with a null id are linked with nothing and kept; an empty table gives an empty result.
+4. A bucket that still holds several components may hide links between members that aren't its hub. Its members meet again in
+   blocks of bounded size, with their whole sets: a task counts the shingles that members of different components share, and gives
+   a forest of the links it finds, at most a row a member. So every pair of a bucket is linked already or decided on whole sets.
+
+No step gathers a bucket, and nothing but counts goes to the driver. In step 4 members of a bucket's largest component meet only the
+others, not each other: rows are linear in a bucket unless many of its members are near misses, in different components to the end. Those
+meet block by block, so their rows are their number times their blocks.
+Links of similarity at the threshold meet in no bucket with a chance of MISS at most (the rows of a band follow from it): 4e-5 at 0.85 with
+bands of 8 rows, 6e-5 at 0.8 with bands of 6.
+
+Defined cases: texts without words have an empty set and are linked with nothing; rows with a null id are linked with nothing, have a
+null component and are kept; rows that share an id are one document as to links, each with its own n_shingles; an empty table gives an empty
+result; columns beyond id and text don't matter, whatever their names.
 """
 from __future__ import annotations
 
@@ -26,19 +28,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lanewise.llm.common import LOWER_BYTES, small_batches, written
+from lanewise.llm.common import LOWER_BYTES, dropped, small_batches, written
 from lanewise.llm.components import connected
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 8
-BLOCK = 1024
-#: Members that each member of a block puts forward in the first round of step 4, and the factor by which it grows where that finds nothing.
-FORWARD, WIDER = 3, 4
-#: How far below the threshold estimates may be, in binomial deviations. Measured ones are up to 1.25 times as large, for short texts.
-DEVIATIONS = 6
+BANDS = 32
+#: The most that the chance may be that a link at the threshold meets in no bucket.
+MISS = 1e-4
+#: A block of step 4 holds members of so many shingles together, where each counts for LEAST more.
+BLOCK, LEAST = 1 << 19, 512
+#: Pairs that one task confirms with the same hub.
+SALTED = 1000
 SEED = 20_240_607
 CACHE = 300_000
 
@@ -72,22 +74,24 @@ class Shingler:
         return np.unique(out)
 
 
+def rows_of(similarity: float, bands: int = BANDS) -> int:
+    """The longest bands for which links at the threshold are missed with a chance of MISS at most."""
+    return max([r for r in range(1, 33) if (1 - similarity**r) ** bands <= MISS], default=1)
+
+
 class Signer:
-    """Densified one-permutation signatures of sets, their band keys and a byte of each bin."""
+    """Band keys of sets by densified one-permutation signatures."""
 
     def __init__(self, bands: int, rows: int):
         rng = np.random.default_rng(SEED)
         self.bins = bands * rows
-        if self.bins & (self.bins - 1):
-            raise ValueError("bands * rows must be a power of two")
-        self.shift = np.uint64(64 - self.bins.bit_length() + 1)
         self.order = np.argsort(rng.random((self.bins, self.bins)), axis=1)
         self.odd = rng.integers(0, 2**63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
         self.bands, self.rows = bands, rows
 
-    def __call__(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
         """shingles: sorted, at least one. The least of a bin is the first that falls into it."""
-        bins, first = np.unique(shingles >> self.shift, return_index=True)
+        bins, first = np.unique(((shingles >> np.uint64(32)) * np.uint64(self.bins)) >> np.uint64(32), return_index=True)
         filled, value = np.zeros(self.bins, bool), np.zeros(self.bins, np.uint64)
         filled[bins.astype(np.int64)], value[bins.astype(np.int64)] = True, shingles[first]
         empty = np.flatnonzero(~filled)
@@ -95,29 +99,22 @@ class Signer:
             order = self.order[empty]
             value[empty] = value[order[np.arange(len(empty)), filled[order].argmax(1)]]
         value = _mixed(value)
-        keys = _mixed((value.reshape(self.bands, self.rows) * self.odd).sum(1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64))
-        return keys.view(np.int64), value.astype(np.uint8)
+        return _mixed((value.reshape(self.bands, self.rows) * self.odd).sum(1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
 
-def signed(docs: DataFrame, key: str, text: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """key, n_shingles, digest (null for the empty set), buckets, bytes."""
+def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """key, n_shingles, digest (null for the empty set), buckets of docs (key, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(shingle), Signer(bands, rows)
         for batch in batches:
-            sizes, digests, buckets, marks = [], [], [], []
-            for value in batch.column(1).cast(pa.binary()):
-                s = shingler(value.as_py())
-                sizes.append(len(s))
-                keys, mark = signer(s) if len(s) else (None, None)
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                buckets.append(keys)
-                marks.append(mark.tobytes() if mark is not None else None)
-            columns = [batch.column(0), pa.array(sizes, "i8"), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n_shingles", "digest", "buckets", "bytes"])
+            sets = [shingler(v.as_py()) for v in batch.column(1).cast(pa.binary())]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            buckets = [signer(s) if len(s) else None for s in sets]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], "i8"), pa.array(digests, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_shingles", "digest", "buckets"])
 
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *T._parse_datatype_string("n_shingles long, digest binary, buckets array<long>, bytes binary").fields])
-    return docs.select(F.col(key), F.col(text)).mapInArrow(sign, schema)
+    return docs.select("key", "text").mapInArrow(sign, "key long, n_shingles long, digest binary, buckets array<long>")
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -136,70 +133,136 @@ def confirmed(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
                 keep.append(100 * both >= percent * (len(last[1]) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    right = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, pairs.schema)
+    # A hub with many pairs has its text dealt to several tasks; there are at most 1,000 such hubs, so they are broadcast.
+    many = max(SALTED, pairs.count() // 1000)
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / many).cast("int").alias("salts")).filter("salts > 1")
+    salted = lambda df: df.join(F.broadcast(salts), "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salted(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = salted(pairs).withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
+    right = right.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.drop("salts").join(left.drop("salts"), ["a", "salt"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
-def put_forward(members: DataFrame, least: float, percent: int, width: int) -> DataFrame:
-    """members: bucket, n (its size), node, component, size, bytes. Pairs a < b of different components of which one chose the other.
+def with_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, size, hashes (the sorted set as bytes) of texts (key, text)."""
 
-    A row of nulls is added if any member has more than width candidates in a block.
-    """
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(shingle)
+        for batch in batches:
+            sets = [shingler(v.as_py()) for v in batch.column(1).cast(pa.binary())]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], "i8"), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "hashes"])
 
-    def chosen(ids: np.ndarray, part: np.ndarray, sizes: np.ndarray, marks: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[list[np.ndarray], bool]:
-        out, over = [], False
-        for lo in range(0, len(rows), 64):
-            r = rows[lo : lo + 64]
-            same = (marks[r][:, None, :] == marks[cols][None]).mean(2, dtype=np.float32)
-            small, large = np.minimum(sizes[r][:, None], sizes[cols][None]), np.maximum(sizes[r][:, None], sizes[cols][None])
-            same[(part[r][:, None] == part[cols][None]) | (100 * small < percent * large) | (same < least)] = -1
-            best = np.argsort(-same, axis=1, kind="stable")
-            i, j = np.nonzero(np.take_along_axis(same, best[:, :width], 1) >= 0)
-            over = over or bool(((same >= 0).sum(1) > width).any())
-            out.append(np.sort(np.stack([ids[r[i]], ids[cols[best[i, j]]]], 1), axis=1))
-        return out, over
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    return texts.select("key", "text").mapInArrow(make, "node long, size long, hashes binary")
 
-        def close(group: pa.Table) -> tuple[list[np.ndarray], bool]:
-            ids, part, sizes, chunk = (group.column(c).to_numpy() for c in ("node", "component", "size", "chunk"))
-            marks = np.frombuffer(b"".join(group.column("bytes").to_pylist()), np.uint8).reshape(len(ids), -1)
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-            found, over = chosen(ids, part, sizes, marks, left, right)
-            back, more = chosen(ids, part, sizes, marks, right, left) if i != j else ([], False)
-            return found + back, over or more
 
-        def cut(table: pa.Table) -> list[pa.Table]:
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set on the left shares with each on the right.
+
+    Values that many sets hold are columns of matrices; each pair of sets with a rare value is counted for itself.
+    """
+    n, m = len(left), len(right)
+    values, ids = np.unique(np.concatenate(left + right), return_inverse=True)
+    rows = np.repeat(np.arange(n + m), [len(s) for s in left + right])
+    in_left = np.bincount(ids[rows < n], minlength=len(values))
+    in_right = np.bincount(ids[rows >= n], minlength=len(values))
+    pairs = in_left * in_right
+    out = np.zeros(n * m, np.float32)
+    dense = np.flatnonzero(pairs * 64 > n * m)
+    for lo in range(0, len(dense), 2048):
+        place = np.full(len(values), -1, np.int32)
+        place[dense[lo : lo + 2048]] = np.arange(len(dense[lo : lo + 2048]))
+        held = np.flatnonzero(place[ids] >= 0)
+        marks = np.zeros((n + m, 2048), np.float32)
+        marks[rows[held], place[ids[held]]] = 1
+        out += (marks[:n] @ marks[n:].T).ravel()
+    rare = (pairs > 0) & (pairs * 64 <= n * m)
+    held = np.flatnonzero(rare[ids])
+    held = held[np.lexsort((rows[held], ids[held]))]  # by value, left before right
+    own, side = ids[held], rows[held]
+    first = np.searchsorted(own, own[side < n])  # for each on the left, where its value begins
+    times = in_right[own[side < n]]
+    begin = first + in_left[own[side < n]]
+    other = side[np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())] - n
+    out += np.bincount(np.repeat(side[side < n], times) * m + other, minlength=n * m)
+    return out.reshape(n, m).astype(np.int64)
+
+
+def forest(links: np.ndarray, part: dict[int, int]) -> list[tuple[int, int]]:
+    """Of links (node, node), those that join components of part not yet joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in links.tolist():
+        x, y = find(part[a]), find(part[b])
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
+def hidden_links(members: DataFrame, percent: int) -> DataFrame:
+    """members: bucket, node, component, size, hashes, of buckets with several components. A forest of each block's links between components."""
+
+    def block_links(group: pa.Table) -> list[tuple[int, int]]:
+        nodes, parts, sizes, left, right = (group.column(c).to_numpy() for c in ("node", "component", "size", "left", "right"))
+        sets = [np.frombuffer(h.as_py(), np.uint64) for h in group.column("hashes")]
+        i, j = np.flatnonzero(left), np.flatnonzero(right)
+        if not len(i) or not len(j) or len(np.unique(parts)) < 2:
+            return []
+        both = common_counts([sets[k] for k in i], [sets[k] for k in j])
+        linked = (100 * both >= percent * (sizes[i][:, None] + sizes[j][None] - both)) & (parts[i][:, None] != parts[j][None])
+        x, y = np.nonzero(linked)
+        x, y = i[x], j[y]
+        _, once = np.unique(np.stack([parts[x], parts[y]], 1), axis=0, return_index=True)
+        return forest(np.stack([nodes[x[once]], nodes[y[once]]], 1), dict(zip(nodes.tolist(), parts.tolist(), strict=True)))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cut() -> list[pa.Table]:
+            table = pa.Table.from_batches(held)
             keys = np.stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
             edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             return [table.slice(lo, hi - lo) for lo, hi in zip([0, *edges], [*edges, len(keys)], strict=True)]
 
         def rows(groups: list[pa.Table]) -> pa.RecordBatch:
-            found, over = [np.zeros((0, 2), np.int64)], False
-            for g in groups:
-                if len(g) > 1:
-                    pairs, more = close(g)
-                    found, over = [np.unique(np.concatenate(found + pairs), axis=0)], over or more
-            rest = pa.nulls(int(over), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(np.ascontiguousarray(found[0][:, k])), rest]) for k in (0, 1)], ["a", "b"])
+            found = np.array([x for g in groups for x in block_links(g)], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            held.append(batch)
-            *done, rest = cut(pa.Table.from_batches(held))
-            if done:
-                yield rows(done)
-                held = rest.to_batches()
+            if batch.num_rows:
+                held.append(batch)
+                *done, rest = cut()
+                if done:
+                    yield rows(done)
+                    held = rest.to_batches()
         if held:
-            yield rows(cut(pa.Table.from_batches(held)))
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "component", "size", "bytes")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").mapInArrow(compare, "a long, b long").distinct()
+            yield rows(cut())
+
+    weight = F.col("size") + LEAST
+    tally = members.groupBy("bucket", "component").agg(F.sum(weight).alias("w"))
+    tally = tally.groupBy("bucket").agg(F.max(F.struct("w", "component")).alias("main"), F.sum("w").alias("w"))
+    blocks = lambda w: F.ceil(w / BLOCK).cast("int")
+    tally = tally.select("bucket", F.col("main.component").alias("main"), blocks(F.col("w") - F.col("main.w")).alias("rests"), blocks(F.col("main.w")).alias("mains"))
+    dealt = members.join(tally, "bucket").withColumn("rest", F.col("component") != F.col("main"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    # A block pair is (i, j): both of the rest with i <= j, or the rest's i and the largest component's -1 - j.
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    among = F.transform(numbers(F.col("rests")), lambda o: pair(F.least("own", o), F.greatest("own", o), F.col("own") <= o, F.col("own") >= o))
+    with_main = F.transform(numbers(F.col("mains")), lambda o: pair(F.col("own"), -1 - o, F.lit(True), F.lit(False)))
+    of_main = F.transform(numbers(F.col("rests")), lambda o: pair(o, -1 - F.col("own"), F.lit(False), F.lit(True)))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("rest"), F.concat(among, with_main)).otherwise(of_main)))
+    dealt = dealt.select("bucket", "at.i", "at.j", "at.left", "at.right", "node", "component", "size", "hashes")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(find, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -209,62 +272,54 @@ def near_duplicates(
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
     bands: int = BANDS,
-    rows: int = ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """key, n_shingles, component_id (the least id reachable) and kept (the id is the component's). Ids are integers."""
-    percent = round(100 * similarity)
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     with small_batches(docs.sparkSession):
-        return _near_duplicates(docs, key, shingle, percent, similarity, bands, rows)
-
-
-def _near_duplicates(docs: DataFrame, key: str, shingle: int, percent: int, similarity: float, bands: int, rows: int) -> DataFrame:
-    marks = written(signed(docs, "key", "text", shingle, bands, rows), "signed")
-    classes = marks.filter("digest is not null").groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("n"))
-    firsts = classes.select("node").filter("node is not null")
-    firsts = marks.filter("digest is not null").join(firsts.distinct(), marks.key == firsts.node, "left_semi")
-    entries = firsts.select(F.col("key").alias("node"), F.explode("buckets").alias("bucket"))
+        found = _near_duplicates(docs, shingle, round(100 * similarity), bands, rows or rows_of(similarity, bands))
+    kept = F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept")
+    return found.select(F.col("key").alias(key), "n_shingles", "component_id", kept)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    marks = written(signed(docs, shingle, bands, rows), "signed")
+    some = marks.filter("digest is not null and key is not null")
+    classes = written(some.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("n"), F.first("buckets").alias("buckets")), "classes")
+    # Rows that share an id join their classes.
+    twice = some.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("key")
+    twice = some.join(twice, "key").join(classes.select("digest", "node"), "digest").select(F.col("key").alias("a"), F.col("node").alias("b")).distinct()
+    entries = classes.select("node", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     entries = written(entries.join(shared.select("bucket", "n"), "bucket"), "entries")
 
     company = entries.groupBy("node").agg(F.sum("n").alias("company"))
     hubs = entries.join(company, "node").groupBy("bucket").agg(F.min(F.struct(-F.col("company"), F.col("node").alias("hub"))).hub.alias("hub"))
-    stars = entries.join(hubs, "bucket").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    tried = written(stars, "stars")
+    stars = written(entries.join(hubs, "bucket").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     # Both sides of a join with whole texts grow with the corpus, so it is a merge join at every size.
     texts = written(docs.join(entries.select("node").distinct().hint("merge"), F.col("key") == F.col("node"), "left_semi"), "texts")
-    links = written(confirmed(texts, tried, shingle, percent), "links")
-    parts = written(connected(links), "parts")
-
-    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    sizes = firsts.groupBy(F.col("key").alias("node")).agg(F.max("n_shingles").alias("size"), F.max("bytes").alias("bytes"))
-    width, least = FORWARD, similarity - DEVIATIONS * (similarity * (1 - similarity) / (bands * rows)) ** 0.5
-    while True:
-        labelled = entries.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        members = labelled.join(split.select("bucket"), "bucket").join(sizes, "node")
-        # Pairs once tried and refused keep their places among a member's best; a wider choice reaches those behind them.
-        found = written(put_forward(members, least, percent, width).join(tried, ["a", "b"], "left_anti"), "pairs")
-        pairs, over = found.filter("a is not null"), not found.filter("a is null").isEmpty()
-        more = written(confirmed(texts, pairs, shingle, percent), "links")
-        tried = tried.unionByName(pairs)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = written(connected(links), "parts")
-        elif over:
-            width *= WIDER
-        if not over:
-            break
+    links = written(confirmed(texts, stars, shingle, percent).unionByName(twice), "links")
+    parts = connected(links)
+
+    labelled = entries.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    members = written(labelled.join(split.select("bucket"), "bucket"), "members")
+    open_texts = texts.join(members.select("node").distinct().hint("merge"), texts.key == F.col("node"), "left_semi")
+    more = written(hidden_links(members.join(with_sets(open_texts, shingle), "node"), percent), "links")
+    if not more.isEmpty():
+        dropped(parts)
+        parts = connected(links.unionByName(more))
 
     # Classes with a 2,000th of all documents or more (so 2,000 at most) are broadcast; no task gets all copies of a large class.
     named = classes.join(parts, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
-    named = written(named, "classes")
+    named = written(named, "named")
+    dropped(classes, entries, stars, texts, links, parts, members, more)
     large = named.filter(F.col("n") >= max(2, marks.count() / 2000)).select("digest", F.col("component").alias("large"))
     out = marks.select("key", "n_shingles", "digest").join(F.broadcast(large), "digest", "left")
     own = F.coalesce(F.when(F.col("large").isNull(), F.col("digest")), F.col("key").cast("string").cast("binary"))
     out = out.withColumn("own", own).join(named.select(F.col("digest").alias("own"), "component"), "own", "left")
-    out = out.withColumn("component_id", F.coalesce("large", "component", "key"))
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("key").isNotNull(), F.coalesce("large", "component", "key"))
+    return out.select("key", "n_shingles", component.alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:

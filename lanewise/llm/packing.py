@@ -37,7 +37,7 @@ SLOTS = 4
 #: Pieces of up to so many bins are kept for the gaps.
 SAND_BINS = 2
 #: Different words that a worker remembers, about 200 bytes each.
-CACHE = 1_000_000
+CACHE = 500_000
 #: Which bytes part words: the six ASCII white-space characters.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Letters with one lower-case form, and marks, which the vocabulary takes apart from letters. The apostrophe isn't among them.
