@@ -74,17 +74,23 @@ def polygon_centre(ring: Column) -> tuple[Column, Column]:
 def inside(px: Column, py: Column, ring: Column) -> Column:
     """Even-odd rule. Points on the boundary, vertices included, are outside."""
 
-    def on_edge(e: Column) -> Column:
-        cross = (e.b.x - e.a.x) * (py - e.a.y) - (e.b.y - e.a.y) * (px - e.a.x)
-        in_box = px.between(F.least(e.a.x, e.b.x), F.greatest(e.a.x, e.b.x)) & py.between(F.least(e.a.y, e.b.y), F.greatest(e.a.y, e.b.y))
-        return (cross == 0) & in_box
-
     def crosses(e: Column) -> Column:
         spans = ((e.a.y < py) & (py <= e.b.y)) | ((e.b.y < py) & (py <= e.a.y))
         return spans & (e.a.x + (py - e.a.y) / F.nullif(e.b.y - e.a.y, F.lit(0.0)) * (e.b.x - e.a.x) < px)
 
     odd = F.aggregate(_edges(ring), F.lit(0), lambda acc, e: acc + F.when(crosses(e), 1).otherwise(0)) % 2 == 1
-    return odd & ~F.exists(_edges(ring), on_edge)
+    return odd & ~on_boundary(px, py, ring)
+
+
+def on_boundary(px: Column, py: Column, ring: Column) -> Column:
+    """On an edge or a vertex."""
+
+    def on_edge(e: Column) -> Column:
+        cross = (e.b.x - e.a.x) * (py - e.a.y) - (e.b.y - e.a.y) * (px - e.a.x)
+        in_box = px.between(F.least(e.a.x, e.b.x), F.greatest(e.a.x, e.b.x)) & py.between(F.least(e.a.y, e.b.y), F.greatest(e.a.y, e.b.y))
+        return (cross == 0) & in_box
+
+    return F.exists(_edges(ring), on_edge)
 
 
 def inside_ring(px: Column, py: Column, ring: list[tuple[float, float]]) -> Column:

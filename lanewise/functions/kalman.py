@@ -56,3 +56,65 @@ def to_box(state: np.ndarray) -> np.ndarray:
     w = np.sqrt(max(state[2] * state[3], 0.0))
     h = state[2] / w if w > 0 else 0.0
     return np.array([state[0] - w / 2, state[1] - h / 2, state[0] + w / 2, state[1] + h / 2])
+
+
+def to_turned_state(box: np.ndarray) -> np.ndarray:
+    """centre, w, h, theta to centre, area, ratio, theta, with w the longer side and theta in [-pi/2, pi/2)."""
+    x, y, w, h, theta = box
+    if w < h:
+        w, h, theta = h, w, theta + np.pi / 2
+    return np.array([x, y, w * h, w / h, (theta + np.pi / 2) % np.pi - np.pi / 2])
+
+
+def corners_of(boxes: np.ndarray) -> np.ndarray:
+    """[n, 4, 2] of boxes centre, w, h, theta."""
+    along = boxes[:, 2:3] / 2 * np.stack([np.cos(boxes[:, 4]), np.sin(boxes[:, 4])], 1)
+    across = boxes[:, 3:4] / 2 * np.stack([-np.sin(boxes[:, 4]), np.cos(boxes[:, 4])], 1)
+    return np.stack([boxes[:, :2] + a * along + b * across for a, b in ((1, 1), (1, -1), (-1, -1), (-1, 1))], 1)
+
+
+#: Fixed values of the published filter by height: shares of the height for places and speeds; for the aspect at prediction, at projection, of its speed.
+PLACE, PACE, ASPECT = 1 / 20, 1 / 160, (1e-2, 1e-1, 1e-5)
+
+
+def _height_noise(height: float, share: float, aspect: float) -> np.ndarray:
+    return np.array([share * height, share * height, aspect, share * height]) ** 2
+
+
+@dataclass
+class HeightFilter:
+    """State of one track: centre, aspect and height, each with a speed; all noise but the aspect's follows the height."""
+
+    value: np.ndarray
+    speed: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    p: np.ndarray | None = None
+    c: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    v: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.value = np.asarray(self.value, float).copy()
+        if self.p is None:
+            self.p = _height_noise(self.value[3], 2 * PLACE, ASPECT[0])
+            self.v = _height_noise(self.value[3], 10 * PACE, ASPECT[2])
+
+    def predict(self) -> np.ndarray:
+        q, q_speed = _height_noise(self.value[3], PLACE, ASPECT[0]), _height_noise(self.value[3], PACE, ASPECT[2])
+        self.value = self.value + self.speed
+        self.p, self.c, self.v = self.p + 2 * self.c + self.v + q, self.c + self.v, self.v + q_speed
+        return self.value
+
+    def projected(self) -> np.ndarray:
+        """Variance of the measurement that is expected."""
+        return self.p + _height_noise(self.value[3], PLACE, ASPECT[1])
+
+    def distance(self, z: np.ndarray, places_only: bool = False) -> np.ndarray:
+        """Squared Mahalanobis distance of each measurement, of its place alone if asked."""
+        n = 2 if places_only else 4
+        return ((z[:, :n] - self.value[:n]) ** 2 / self.projected()[:n]).sum(1)
+
+    def update(self, z: np.ndarray) -> None:
+        total = self.projected()
+        gap, gain, gain_speed = z - self.value, self.p / total, self.c / total
+        self.value, self.speed = self.value + gain * gap, self.speed + gain_speed * gap
+        self.v = self.v - gain_speed * self.c
+        self.c, self.p = self.c * (1 - gain), self.p * (1 - gain)

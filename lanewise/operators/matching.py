@@ -7,33 +7,40 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lanewise.functions import geometry as G
 from lanewise.functions.assignment import assign, box_iou, figure_iou, suppress
 
 FAR = 1e5
 
 
-def in_groups(df: DataFrame, key: str, columns: list[str], solve: Callable[[list[dict]], list[tuple]], out: str) -> DataFrame:
-    """key and the columns of `out` (DDL): solve(rows of a group, in the order of columns) gives the group's rows.
+def in_groups(df: DataFrame, key: str, columns: list[str], solve: Callable[[dict[str, np.ndarray]], list[np.ndarray]], out: str) -> DataFrame:
+    """key and the columns of `out` (DDL): solve(columns of a group, as arrays, rows in the order of columns) gives the group's result, an array a column.
 
-    A group becomes one row with an array, which an aggregate makes; tasks then walk over rows, without a data frame for each group.
+    A group becomes one row with an array, which an aggregate makes; tasks cut the children of whole batches by offsets, so values stay numpy arrays.
     """
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T._parse_datatype_string(out).fields])
     names, kinds = [f.name for f in schema.fields], [to_arrow_type(f.dataType) for f in schema.fields]
     held = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
+    lists = {c for c in columns if isinstance(df.schema[c].dataType, T.ArrayType)}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r[key], *x) for r in batch.to_pylist() for x in solve(r["_rows"])]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            rows = batch.column(1).flatten()
+            ends = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            values = {c: rows.field(c).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if c in lists else rows.field(c).to_numpy(zero_copy_only=False) for c in columns}
+            made = [solve({c: v[lo:hi] for c, v in values.items()}) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made])))
+            found = [np.concatenate([m[i] for m in made]) if made else np.zeros(0) for i in range(len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(c).cast(k) for c, k in zip(found, kinds[1:], strict=True)]], names)
 
-    return held.mapInArrow(walk, schema)
+    return held.select(key, "_rows").mapInArrow(walk, schema)
 
 
 def least_cost(pairs: DataFrame, block: str, gate: float | None = None) -> DataFrame:
@@ -43,13 +50,13 @@ def least_cost(pairs: DataFrame, block: str, gate: float | None = None) -> DataF
     """
     missing = FAR if gate is None else gate + 1e-5
 
-    def solve(rows: list[dict]) -> list[tuple]:
-        a, b = sorted({r["a"] for r in rows}), sorted({r["b"] for r in rows})
-        row, col = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
+    def solve(g: dict[str, np.ndarray]) -> list[np.ndarray]:
+        (a, row), (b, col) = (np.unique(g[c], return_inverse=True) for c in ("a", "b"))
         cost = np.full((len(a), len(b)), missing)
-        for r in rows:
-            cost[row[r["a"]], col[r["b"]]] = min(r["cost"], missing)
-        return [(a[i], b[j], float(cost[i, j])) for i, j in assign(cost) if cost[i, j] < missing]
+        np.minimum.at(cost, (row, col), g["cost"])
+        i, j = np.array(assign(cost), np.int64).reshape(-1, 2).T
+        good = cost[i, j] < missing
+        return [a[i[good]], b[j[good]], cost[i, j][good]]
 
     columns = [F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("cost").cast("double").alias("cost")]
     return in_groups(pairs.select(block, *columns), block, ["a", "b", "cost"], solve, "a long, b long, cost double")
@@ -79,22 +86,74 @@ def non_maximum(boxes: DataFrame, frame: str, score: str, most: float, plus: flo
     """
     columns = ["corners"] if rotated else ["l", "t", "r", "b"]
 
-    def keep(rows: list[dict]) -> list[tuple]:
-        order = np.array(sorted(range(len(rows)), key=lambda i: (-rows[i][score], rows[i]["det_id"])))
+    def keep(g: dict[str, np.ndarray]) -> list[np.ndarray]:
+        order = np.lexsort((g["det_id"], -g[score].astype(float)))
         if rotated:
-            figures = np.array([r["corners"] for r in rows]).reshape(-1, 4, 2)
+            figures = g["corners"].reshape(-1, 4, 2)
             hull = np.concatenate([figures.min(1), figures.max(1)], 1)
-            overlap = np.zeros((len(rows), len(rows)))
+            overlap = np.zeros((len(hull), len(hull)))
             for i, j in zip(*np.nonzero(np.triu(box_iou(hull, hull) > 0, 1)), strict=True):
                 overlap[i, j] = overlap[j, i] = figure_iou(figures[i], figures[j])
         else:
-            b = np.array([[r[c] for c in columns] for r in rows])
-            overlap = box_iou(b, b, plus)
-        return [(rows[i]["det_id"],) for i in np.flatnonzero(suppress(order, overlap, most))]
+            overlap = box_iou(*[np.stack([g[c] for c in columns], 1).astype(float)] * 2, plus)
+        return [g["det_id"][suppress(order, overlap, most)]]
 
     return in_groups(boxes, frame, ["det_id", score, *columns], keep, "det_id int")
 
 
+def turned_pairs(boxes: DataFrame, frame: str, order: str = "det_id") -> DataFrame:
+    """frame, a, b, iou of each two turned boxes of a frame (cx, cy, w, h, theta) whose bounds meet. The join is on the frame; only such pairs are cut."""
+    form = ("cx", "cy", "w", "h", "theta")
+    c = G.corners(*[F.col(n) for n in form])
+    side = lambda name: boxes.select(frame, F.col(order).alias(name), F.array(*c).alias(f"{name}_c"), *[v.alias(f"{name}_{n}") for n, v in zip("ltrb", G.bounds(c), strict=True)])
+    meet = (F.col("a") < F.col("b")) & (F.col("a_l") < F.col("b_r")) & (F.col("b_l") < F.col("a_r")) & (F.col("a_t") < F.col("b_b")) & (F.col("b_t") < F.col("a_b"))
+    return side("a").join(side("b"), frame).filter(meet).select(frame, "a", "b", turned_overlap("a_c", "b_c").alias("iou"))
+
+
+@F.pandas_udf(T.DoubleType())
+def turned_overlap(p: pd.Series, q: pd.Series) -> pd.Series:
+    """Overlap of figures of four corners, x1, y1 .. x4, y4."""
+    return pd.Series([figure_iou(np.reshape(a, (4, 2)), np.reshape(b, (4, 2))) for a, b in zip(p, q, strict=True)], dtype=float)
+
+
+def oriented_matches(tracks: DataFrame, detections: DataFrame, frame: str = "frame_index", least: float = 0.2, same: float = 0.9) -> DataFrame:
+    """frame, track_id, det_id, iou, corners: the turned detection of each upright track of a frame.
+
+    tracks: frame, track_id, l, t, r, b; detections: frame, det_id, corners. In a frame where overlaps over `least` pair each with at most one, those pairs count; else those of the assignment
+    of greatest total overlap, however small. Where a pair's overlap is over `same` the track's own rectangle is given, else the detection's corners.
+    """
+    ring = F.array("r", "t", "r", "b", "l", "b", "l", "t").cast("array<double>")
+    both = tracks.select(frame, "track_id", ring.alias("_t")).join(detections.select(frame, "det_id", F.col("corners").cast("array<double>").alias("_d")), frame)
+    both = both.withColumn("iou", turned_overlap("_t", "_d"))
+    strong = both.filter(F.col("iou") > least)
+    each = strong.withColumns({"_n": F.count("*").over(Window.partitionBy(frame, "track_id")), "_m": F.count("*").over(Window.partitionBy(frame, "det_id"))})
+    plain = each.groupBy(frame).agg(F.max(F.greatest("_n", "_m")).alias("_most")).filter("_most = 1").select(frame)
+    unique = strong.join(plain, frame, "left_semi").select(frame, "track_id", "det_id")
+    rest = both.join(plain, frame, "left_anti")
+    solved = least_cost(rest.select(frame, F.col("track_id").alias("a"), F.col("det_id").alias("b"), (-F.col("iou")).alias("cost")), frame)
+    pairs = unique.unionByName(solved.select(frame, F.col("a").alias("track_id"), F.col("b").alias("det_id")))
+    shown = F.when(F.col("iou") > same, F.col("_t")).otherwise(F.col("_d"))
+    return both.join(pairs, [frame, "track_id", "det_id"]).select(frame, "track_id", "det_id", "iou", shown.alias("corners"))
+
+
+def associated(detections: DataFrame, tracks: DataFrame, frame: str, least: float = 0.3) -> dict[str, DataFrame]:
+    """Upright detections and tracks of a frame (det_id or track_id; l, t, r, b) matched by overlap: `pairs` (frame, det_id, track_id, iou), `new` and `lost`.
+
+    Where overlaps over `least` pair each with at most one, those pairs count; else those of the best assignment; pairs under `least` are parted again.
+    """
+    names = ("l", "t", "r", "b")
+    d = detections.select(frame, "det_id", *[F.col(c).alias(f"d_{c}") for c in names])
+    t = tracks.select(frame, "track_id", *[F.col(c).alias(f"t_{c}") for c in names])
+    both = d.join(t, frame).select(frame, "det_id", "track_id", F.coalesce(G.iou([F.col(f"d_{c}") for c in names], [F.col(f"t_{c}") for c in names]), F.lit(0.0)).alias("iou"))
+    strong = both.filter(F.col("iou") > least)
+    each = strong.withColumns({"_n": F.count("*").over(Window.partitionBy(frame, "track_id")), "_m": F.count("*").over(Window.partitionBy(frame, "det_id"))})
+    plain = each.groupBy(frame).agg(F.max(F.greatest("_n", "_m")).alias("_most")).filter("_most = 1").select(frame)
+    solved = least_cost(both.join(plain, frame, "left_anti").select(frame, F.col("det_id").alias("a"), F.col("track_id").alias("b"), (-F.col("iou")).alias("cost")), frame)
+    solved = solved.select(frame, F.col("a").alias("det_id"), F.col("b").alias("track_id"), (-F.col("cost")).alias("iou"))
+    pairs = strong.join(plain, frame, "left_semi").unionByName(solved).filter(F.col("iou") >= least)
+    return {"pairs": pairs, "new": unassigned(detections, pairs, frame, "det_id"), "lost": unassigned(tracks, pairs, frame, "track_id")}
+
+
 def nearest_sample(queries: DataFrame, gallery: DataFrame, metric: str = "cosine") -> DataFrame:
     """query, target, dist: the least distance of each query vector to the stored samples of each target.
 

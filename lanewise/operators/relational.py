@@ -1,6 +1,8 @@
 """Joins and windows over detections, points and trajectories."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ def lane_of(points: DataFrame, lanes: list[tuple[int, list[tuple[float, float]]]
 
 
 def clamped_clock(frames: DataFrame, clock: DataFrame) -> DataFrame:
-    """frames with the clock's row of the same video and frame; frames past a clock's end get its last entry."""
+    """frames with the clock's row of the same video and frame; frames past a clock's end get its last entry, those of a video without a clock nulls."""
     last = clock.groupBy("video_id").agg(F.max("frame_index").alias("_last"))
-    both = frames.join(last, "video_id").withColumn("_at", F.least("frame_index", "_last"))
+    both = frames.join(last, "video_id", "left").withColumn("_at", F.least("frame_index", "_last"))
     return both.join(clock.withColumnRenamed("frame_index", "_at"), ["video_id", "_at"], "left").drop("_at", "_last")
 
 
@@ -118,3 +120,48 @@ def tile_starts(length: int, size: int, gap: int) -> list[int]:
         if at + size >= length:
             return sorted(set(out))
         at += size - gap
+
+
+def in_spans(value: Column, spans: list[tuple[int, int]]) -> Column:
+    """Whether value is in any of the closed spans; false for null."""
+    held = F.lit(False)
+    for lo, hi in spans:
+        held = held | value.between(lo, hi)
+    return F.coalesce(held, F.lit(False))
+
+
+def common_rate(p: Column, q: Column) -> tuple[Column, Column, Column]:
+    """The greatest common divisor of two frame rates, and every how many frames of each it keeps."""
+    both = F.filter(F.sequence(F.lit(1), F.least(p, q)), lambda d: (p % d == 0) & (q % d == 0))
+    g = F.array_max(both)
+    return g, (p / g).cast("int"), (q / g).cast("int")
+
+
+def cosine_rate(epoch: Column, epochs: int, least: float) -> Column:
+    """A factor that falls from 1 to `least` along half a cosine."""
+    return (1 + F.cos(epoch * math.pi / epochs)) / 2 * (1 - least) + least
+
+
+def every_nth(frame: Column, rate: float, wanted: float, start: Column | int = 0) -> Column:
+    """Whether a frame is kept to bring a rate to the wanted one: each gap-th since `start`; gap is rounded half to even."""
+    gap = F.bround(F.lit(float(rate)) / F.lit(float(wanted))).cast("long")
+    return (frame - start) % gap == 0
+
+
+def squared_distance(gaps: list[Column], variances: list[Column]) -> Column:
+    """Squared Mahalanobis distance for a diagonal covariance."""
+    return sum((g * g / v for g, v in zip(gaps[1:], variances[1:], strict=True)), gaps[0] * gaps[0] / variances[0])
+
+
+def top_over_classes(df: DataFrame, by: list[str], cls: str, score: str, k: int, ties: list[str]) -> DataFrame:
+    """The k best of each class first, then the k best of those over all classes, with rank: two grouped limits, each before its shuffle."""
+    return top_detections(top_detections(df, [*by, cls], score, k, ties).drop("rank"), by, score, k, ties)
+
+
+def overlapping_lists(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows whose two lists share a member."""
+    return df.filter(F.arrays_overlap(a, b))
+
+
+def in_order_of_start(trajectories: DataFrame, key: str, first: str = "first") -> DataFrame:
+    return trajectories.orderBy(first, key)

@@ -1,7 +1,9 @@
 """Annotated roads: lane lines, strips between them, axes, chained driving lines; and the text forms of detections and matches."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import geometry as G
@@ -26,23 +28,126 @@ def rebased(positions: DataFrame, by: list[str]) -> DataFrame:
     return positions.withColumn("position", F.col("sub") + F.max(F.col("main") - F.col("sub")).over(Window.partitionBy(*by)))
 
 
-def axis_ticks(scenes: DataFrame, step_px: Column, direction: tuple[float, float], width: Column, height: Column, most: int = 200) -> DataFrame:
-    """Places of each step along an axis from (ox, oy), truncated, as long as they are in the image."""
-    ticks = scenes.withColumn("tick", F.explode(F.sequence(F.lit(0), F.lit(most))))
+def axis_ticks(scenes: DataFrame, step_px: Column, direction: tuple[float, float], width: Column, height: Column) -> DataFrame:
+    """Places of each step along an axis from (ox, oy), truncated, as long as they are in the image. The last step follows from the image's sides."""
+    reach = [(F.abs("o" + c) + side + 1) / (step_px * abs(d)) for c, d, side in (("x", direction[0], width), ("y", direction[1], height)) if d]
+    last = F.ceil(F.least(*reach) if len(reach) > 1 else reach[0]).cast("int")
+    ticks = scenes.withColumn("tick", F.explode(F.sequence(F.lit(0), last)))
     x = (F.col("ox") + F.col("tick") * step_px * direction[0]).cast("int")
     y = (F.col("oy") + F.col("tick") * step_px * direction[1]).cast("int")
     return ticks.withColumns({"tick_x": x, "tick_y": y}).filter(F.col("tick_x").between(0, width - 1) & F.col("tick_y").between(0, height - 1))
 
 
-def chained(parts: DataFrame, limit: int = 1000) -> DataFrame:
-    """node, distance from its chain's base, by following `next`. parts: node, next, length, is_base. One recursive query; chains are short."""
-    parts.createOrReplaceTempView("_line_parts")
-    return parts.sparkSession.sql(f"""
-WITH RECURSIVE walk(node, next, distance, after, step) AS (
-  SELECT node, next, CAST(0 AS DOUBLE), CAST(length AS DOUBLE), 0 FROM _line_parts WHERE is_base
-  UNION ALL
-  SELECT p.node, p.next, w.after, w.after + p.length, w.step + 1 FROM walk w JOIN _line_parts p ON p.node = w.next WHERE w.step < {int(limit)})
-SELECT node, distance FROM walk""")
+def line_ticks(line: list[tuple[float, float]], every: float, spark: SparkSession) -> DataFrame:
+    """d, x, y: the point at each multiple of `every` along a known polyline."""
+    lengths = [math.dist(a, b) for a, b in zip(line, line[1:], strict=False)]
+    run = [sum(lengths[:i]) for i in range(len(lengths))]
+    names = ("at", "n", "x", "y", "dx", "dy")
+    segments = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, (r, n, a[0], a[1], b[0] - a[0], b[1] - a[1]), strict=True)]) for r, n, a, b in zip(run, lengths, line, line[1:], strict=False)]
+    ticks = spark.range(int(sum(lengths) / every) + 1).select((F.col("id") * every).cast("double").alias("d"), F.explode(F.array(*segments)).alias("s"))
+    k = (F.col("d") - F.col("s.at")) / F.col("s.n")
+    return ticks.filter((k >= 0) & (k < 1)).select("d", (F.col("s.x") + k * F.col("s.dx")).alias("x"), (F.col("s.y") + k * F.col("s.dy")).alias("y"))
+
+
+def driving_lines(shapes: DataFrame) -> DataFrame:
+    """line, position, points, region, base_x, base_y, base_distance and connects (from, to, x, y) of labels drivingline_{line}_{position}_{what}.
+
+    shapes: label, points. What is `line`, `region`, `point_{distance}` (the line's one base) or `connect_{from}_{to}`. The last shape of a kind counts.
+    """
+    part = lambda i: F.get(F.split("label", "_"), F.lit(i))
+    rows = shapes.filter(F.col("label").startswith("drivingline")).select(
+        part(1).alias("line"), part(2).alias("position"), part(3).alias("what"), part(4).alias("p"), part(5).alias("q"), "points", *(["shape_no"] if "shape_no" in shapes.columns else [F.lit(0).alias("shape_no")])
+    )
+    last = lambda what, value: F.max_by(F.when(F.col("what") == what, value), F.when(F.col("what") == what, F.col("shape_no")))
+    first = F.get("points", F.lit(0))
+    link = F.struct("shape_no", F.col("p").alias("from"), F.col("q").alias("to"), first.x.alias("x"), first.y.alias("y"))
+    out = rows.groupBy("line", "position").agg(
+        last("line", F.col("points")).alias("points"),
+        last("region", F.col("points")).alias("region"),
+        last("point", first.x).alias("base_x"),
+        last("point", first.y).alias("base_y"),
+        last("point", F.col("p").cast("double")).alias("base_distance"),
+        F.sort_array(F.collect_list(F.when(F.col("what") == "connect", link))).alias("connects"),
+        F.count_if(F.col("what") == "point").alias("bases"),
+    )
+    return out.withColumn("connects", F.transform("connects", lambda c: F.struct(c["from"].alias("from"), c.to.alias("to"), c.x.alias("x"), c.y.alias("y"))))
+
+
+def line_bases(lines: DataFrame, per_pixel: DataFrame) -> DataFrame:
+    """line, position, points, region, base_x, base_y, base_distance, per_pixel of every position that a line's base leads to.
+
+    lines: from driving_lines(); per_pixel: position, per_pixel. A position's way on is the link whose end is another position; its own place is the link
+    that ends at it. The distance between both, along its line, is added up from the base by doubling pointers.
+    """
+    from lanewise.operators.graphs import distances
+
+    here = lines.join(per_pixel, "position")
+    own = F.get(F.filter("connects", lambda c: c.to == F.col("position")), F.lit(0))
+    away = F.get(F.filter("connects", lambda c: c.to != F.col("position")), F.lit(0))
+    here = here.withColumns({"_at": own, "_next": away})
+    start_x, start_y = F.coalesce("base_x", F.col("_at.x")), F.coalesce("base_y", F.col("_at.y"))
+    here = here.withColumns({"_x": start_x, "_y": start_y})
+    along = lambda x, y: G.project_on_line(x, y, F.col("points")).pos
+    step = (along(F.col("_next.x"), F.col("_next.y")) - along(F.col("_x"), F.col("_y"))) * F.col("per_pixel")
+    node = lambda position: F.when(position.isNotNull(), F.struct(F.col("line").alias("line"), position.alias("position")))
+    parts = here.select(node(F.col("position")).alias("node"), node(F.col("_next.to")).alias("next"), F.coalesce(step, F.lit(0.0)).alias("length"), F.col("base_distance").isNotNull().alias("is_base"))
+    far = distances(parts).select("node.line", "node.position", "distance")
+    base = here.filter("base_distance is not null").select("line", F.col("base_distance").alias("_first"))
+    out = here.join(far, ["line", "position"]).join(base, "line")
+    return out.select("line", "position", "points", "region", F.col("_x").alias("base_x"), F.col("_y").alias("base_y"), (F.col("_first") + F.col("distance")).alias("base_distance"), "per_pixel")
+
+
+def on_driving_lines(points: DataFrame, bases: DataFrame) -> DataFrame:
+    """points (line, position, x, y) with line_pos and line_offset on the line of their position; null outside its region, if it has one."""
+    both = points.join(bases, ["line", "position"], "left")
+    inside = F.coalesce(G.inside(F.col("x"), F.col("y"), F.col("region")), F.lit(True))
+    on = G.project_on_line(F.col("x"), F.col("y"), F.col("points"))
+    both = both.withColumns({"_on": F.when(inside & F.col("points").isNotNull(), on), "_from": G.project_on_line(F.col("base_x"), F.col("base_y"), F.col("points")).pos})
+    pos = (F.col("_on.pos") - F.col("_from")) * F.col("per_pixel") + F.col("base_distance")
+    return both.withColumns({"line_pos": pos, "line_offset": F.col("_on.dist") * F.col("per_pixel")}).drop("_on", "_from", *[c for c in bases.columns if c not in ("line", "position")])
+
+
+def calibration_points(shapes: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """Points of the first shape of each key whose label begins with `prefix`. shapes: by, shape_no, label, points."""
+    return shapes.filter(F.col("label").startswith(prefix)).groupBy(*by).agg(F.min_by("points", "shape_no").alias("points"))
+
+
+def by_number(lines: DataFrame, label: str = "label") -> DataFrame:
+    """lines with number, the integer after the last underscore of the label, in its order."""
+    number = F.element_at(F.split(F.col(label), "_"), -1)
+    return lines.withColumn("number", number.try_cast("int")).orderBy("number", label)
+
+
+def road_settings(shapes: DataFrame, by: str = "path") -> DataFrame:
+    """A row a file of annotated shapes: what a road's settings are made of. shapes: by, shape_no, label, points.
+
+    fixed and road (polygons, truncated to integers, for stabilising and for detection), lanes (number, points), lane_lines, intersections and driving_lines (label, points),
+    per_pixel (mean metres by pixels over `length_*`), origin, x_axis (end), y_axis, and the axis as vectors: along x, and from the foot of y's point on x to it.
+    """
+    p = lambda i: F.get("points", F.lit(i))
+    tail = F.element_at(F.split("label", "_"), -1)
+    whole = F.transform("points", lambda q: G.point(q.x.cast("int"), q.y.cast("int")))
+    item = lambda what, value: F.sort_array(F.collect_list(F.when(what, F.struct("shape_no", value.alias("v")))))
+    values = lambda c: F.transform(c, lambda s: s.v)
+    named = F.struct("label", "points")
+    is_length = F.col("label").startswith("length")
+    metres = F.when(is_length, tail.try_cast("double") / F.hypot(p(0).x - p(1).x, p(0).y - p(1).y))
+    last = lambda label, value: F.max_by(F.when(F.col("label") == label, value), F.when(F.col("label") == label, F.col("shape_no")))
+    out = shapes.groupBy(by).agg(
+        values(item(F.col("label") == "fp", whole)).alias("fixed"),
+        values(item(F.col("label") == "road", whole)).alias("road"),
+        values(item(F.col("label").startswith("lane_"), F.struct(tail.try_cast("int").alias("number"), F.col("points").alias("points")))).alias("lanes"),
+        values(item(F.col("label").startswith("laneline_"), named)).alias("lane_lines"),
+        values(item(F.col("label").startswith("int"), named)).alias("intersections"),
+        values(item(F.col("label").startswith("drivingline"), named)).alias("driving_lines"),
+        F.avg(metres).alias("per_pixel"),
+        last("x", p(0)).alias("origin"),
+        last("x", p(1)).alias("x_axis"),
+        last("y", p(0)).alias("y_axis"),
+    )
+    o, e, y = F.col("origin"), F.col("x_axis"), F.col("y_axis")
+    fx, fy = G.foot_point(y.x, y.y, o.x, o.y, e.x, e.y)
+    return out.withColumns({"x_vector": G.point(e.x - o.x, e.y - o.y), "y_vector": G.point(y.x - fx, y.y - fy)})
 
 
 def detection_line(name: Column, score: Column, box: list[Column]) -> Column:
@@ -56,4 +161,4 @@ def held_out(items: DataFrame, cls: str, key: str, share: float = 0.2) -> DataFr
     place = F.row_number().over(own.orderBy(F.md5(F.col(key).cast("string"))))
     names = items.select(cls).distinct().withColumn("class_no", F.row_number().over(Window.orderBy(cls)) - 1)
     out = items.withColumn("part", F.when(place <= F.ceil(F.count("*").over(own) * share), "val").otherwise("train"))
-    return out.join(F.broadcast(names), cls)
+    return out.join(names, cls)

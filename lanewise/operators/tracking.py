@@ -1,21 +1,30 @@
 """Multi-object tracking by detection: a fold over the frames of each video, videos in parallel.
 
-Within a video the frames follow one another by definition. One row a frame goes to the fold (its boxes as arrays), so a
-long video is a stream of narrow rows and not a frame's worth of columns. The same step drives the batch fold and the stream.
+Within a video the frames follow one another by definition. An aggregate makes one row a frame, with its boxes as arrays; rows are dealt by
+video and sorted by frame, and a task walks over them with nothing held but the tracker of the video at hand. A long video is so a stream of
+narrow rows. The same step drives the batch fold and the stream. Trackers are chosen by name from TRACKERS, which callers may extend.
 """
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lanewise.functions.assignment import assign, box_iou
-from lanewise.functions.kalman import BoxFilter, to_box, to_state
+from lanewise.functions.assignment import assign, box_iou, figure_iou
+from lanewise.functions.kalman import BoxFilter, HeightFilter, corners_of, to_box, to_state, to_turned_state
 
 TRACKED = "frame_index long, track_id long, det_id int, l double, t double, r double, b double"
+TURNED = "frame_index long, track_id long, det_id int, cx double, cy double, w double, h double, theta double"
+#: 95 % points of the chi-square distribution for two and four degrees of freedom.
+GATE = {2: 5.9915, 4: 9.4877}
+NEVER = 1e5
 
 
 @dataclass
@@ -39,29 +48,42 @@ class Sort:
     next_id: int = 1
     tracks: list[Track] = field(default_factory=list)
 
-    def step(self, ids: np.ndarray, boxes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """(track id, detection id, box) of the tracks reported at this frame, newest first."""
+    #: The columns of a box, in order, and of the result.
+    columns = ("l", "t", "r", "b")
+    out = TRACKED
+
+    def step(self, ids: np.ndarray, boxes: np.ndarray, features: np.ndarray | None = None) -> list[tuple[int, int, np.ndarray]]:
+        """(track id, detection id, box) of the tracks reported at this frame, newest first. boxes: best score first."""
         self.frames += 1
         for t in self.tracks:
             if t.missed > 0:
                 t.streak = 0
             t.filter.predict()
             t.missed += 1
-        expected = np.array([to_box(t.filter.value) for t in self.tracks]).reshape(-1, 4)
+        expected = np.array([self.shown(t) for t in self.tracks]).reshape(-1, len(self.columns))
         fine = np.isfinite(expected).all(1)
         self.tracks, expected = [t for t, ok in zip(self.tracks, fine, strict=True) if ok], expected[fine]
         pairs = self.match(boxes, expected)
         for d, k in pairs:
             t = self.tracks[k]
-            t.filter.update(to_state(boxes[d]))
+            t.filter.update(self.state(boxes[d], t))
             t.missed, t.hits, t.streak, t.det_id = 0, t.hits + 1, t.streak + 1, int(ids[d])
         for d in sorted({*range(len(boxes))} - {d for d, _ in pairs}):
-            self.tracks.append(Track(self.next_id, BoxFilter(to_state(boxes[d])), det_id=int(ids[d])))
+            self.tracks.append(Track(self.next_id, BoxFilter(self.state(boxes[d])), det_id=int(ids[d])))
             self.next_id += 1
-        out = [(t.id, t.det_id, to_box(t.filter.value)) for t in reversed(self.tracks) if t.missed < 1 and (t.streak >= self.min_hits or self.frames <= self.min_hits)]
+        out = [(t.id, t.det_id, self.shown(t)) for t in reversed(self.tracks) if t.missed < 1 and (t.streak >= self.min_hits or self.frames <= self.min_hits)]
         self.tracks = [t for t in self.tracks if t.missed <= self.max_age]
         return out
 
+    def state(self, box: np.ndarray, track: Track | None = None) -> np.ndarray:
+        return to_state(box)
+
+    def shown(self, track: Track) -> np.ndarray:
+        return to_box(track.filter.value)
+
+    def overlap(self, boxes: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return box_iou(boxes, expected)
+
     def saved(self) -> str:
         """The tracker as text, for a state store."""
         rows = [[t.id, t.hits, t.streak, t.missed, t.det_id, *(x.tolist() for x in (t.filter.value, t.filter.speed, t.filter.p, t.filter.c, t.filter.v))] for t in self.tracks]
@@ -73,9 +95,10 @@ class Sort:
         return self
 
     def match(self, boxes: np.ndarray, expected: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs where each overlaps no other, without a solver; else those of the best assignment, if they overlap enough."""
         if not len(boxes) or not len(expected):
             return []
-        overlap = box_iou(boxes, expected)
+        overlap = self.overlap(boxes, expected)
         strong = overlap > self.least_iou
         if strong.any() and strong.sum(1).max() == 1 and strong.sum(0).max() == 1:
             pairs = list(zip(*(x.tolist() for x in np.nonzero(strong)), strict=True))
@@ -84,69 +107,257 @@ class Sort:
         return [(d, k) for d, k in pairs if overlap[d, k] >= self.least_iou]
 
 
-def fold(frames: pd.DataFrame, tracker: Sort) -> pd.DataFrame:
-    frames = frames.sort_values(["frame_index", "score", "det_id"], ascending=[True, False, True])
-    at, ids, boxes = frames["frame_index"].to_numpy(), frames["det_id"].to_numpy(), frames[["l", "t", "r", "b"]].to_numpy(float)
-    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-    rows = [(at[lo], track, det, *box) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo for track, det, box in tracker.step(ids[lo:hi], boxes[lo:hi])]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACKED.split(", ")])
+class SortTurned(Sort):
+    """Sort on boxes cx, cy, w, h, theta whose longer side is w; the angle is a fifth value of the filter and overlap is that of the turned figures."""
 
+    columns = ("cx", "cy", "w", "h", "theta")
+    out = TURNED
 
-def track(boxes: DataFrame, video: str = "video_id", max_age: int = 30, min_hits: int = 3, least_iou: float = 0.3) -> DataFrame:
-    """Tracked boxes of each video. boxes: video, frame_index, det_id, l, t, r, b, score. Ids count from 1 in each video."""
-    kind = boxes.schema[video].dataType.simpleString()
+    def state(self, box: np.ndarray, track: Track | None = None) -> np.ndarray:
+        """The angle nearest to the track's, of those that mean the same box."""
+        state = to_turned_state(box)
+        if track is not None:
+            state[4] -= np.pi * np.round((state[4] - track.filter.value[4]) / np.pi)
+        return state
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fold(pdf, Sort(max_age, min_hits, least_iou))
-        out.insert(0, video, pdf[video].iloc[0])
-        return out
+    def shown(self, track: Track) -> np.ndarray:
+        x, y, area, ratio, theta = track.filter.value
+        w = np.sqrt(area * ratio) if area * ratio >= 0 else np.nan
+        return np.array([x, y, w, area / w if w > 0 else 0.0, (theta + np.pi / 2) % np.pi - np.pi / 2])
+
+    def overlap(self, boxes: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return turned_iou(boxes, expected)
+
+
+def turned_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[len(a), len(b)] for boxes cx, cy, w, h, theta. Figures whose bounds don't meet aren't cut."""
+    p, q = corners_of(a), corners_of(b)
+    hull = lambda c: np.concatenate([c.min(1), c.max(1)], 1)
+    out = np.zeros((len(a), len(b)))
+    for i, j in zip(*np.nonzero(box_iou(hull(p), hull(q)) > 0), strict=True):
+        out[i, j] = figure_iou(p[i], q[j])
+    return out
+
+
+@dataclass
+class Seen:
+    """A track of DeepSort: tentative until it has enough hits."""
+
+    id: int
+    filter: HeightFilter
+    det_id: int
+    hits: int = 1
+    missed: int = 0
+    confirmed: bool = False
+    fresh: list[np.ndarray] = field(default_factory=list)  # features since the gallery was last filled
+    gallery: list[np.ndarray] = field(default_factory=list)
+
+
+@dataclass
+class DeepSort:
+    """Tracks of one video by motion and appearance.
+
+    Confirmed tracks are matched first, those seen most recently before others, by the least cosine distance to the features that their gallery
+    keeps, among boxes within the gate of their filter. What is left, with tentative tracks, is matched by overlap. A tentative
+    track goes at its first miss, a confirmed one after max_age of them; it is reported until it has been missed twice.
+    """
+
+    max_age: int = 70
+    min_hits: int = 3
+    most_distance: float = 0.2
+    most_iou_distance: float = 0.7
+    budget: int = 100
+    next_id: int = 1
+    tracks: list[Seen] = field(default_factory=list)
+
+    columns = ("l", "t", "r", "b")
+    out = TRACKED
+
+    def step(self, ids: np.ndarray, boxes: np.ndarray, features: np.ndarray | None = None) -> list[tuple[int, int, np.ndarray]]:
+        for t in self.tracks:
+            t.filter.predict()
+            t.missed += 1
+        forms = np.array([to_height_form(b) for b in boxes]).reshape(-1, 4)
+        pairs = self.matched(boxes, forms, features)
+        for d, t in pairs:
+            t.filter.update(forms[d])
+            t.hits, t.missed, t.det_id = t.hits + 1, 0, int(ids[d])
+            t.confirmed = t.confirmed or t.hits >= self.min_hits
+            if features is not None:
+                t.fresh.append(features[d])
+        self.tracks = [t for t in self.tracks if t.missed == 0 or (t.confirmed and t.missed <= self.max_age)]
+        for d in sorted({*range(len(boxes))} - {d for d, _ in pairs}):
+            fresh = [] if features is None else [features[d]]
+            self.tracks.append(Seen(self.next_id, HeightFilter(forms[d]), int(ids[d]), confirmed=self.min_hits <= 1, fresh=fresh))
+            self.next_id += 1
+        for t in self.tracks:
+            if t.confirmed:
+                t.gallery, t.fresh = [*t.gallery, *t.fresh][-self.budget :], []
+        return [(t.id, t.det_id, from_height_form(t.filter.value)) for t in self.tracks if t.confirmed and t.missed <= 1]
+
+    def matched(self, boxes: np.ndarray, forms: np.ndarray, features: np.ndarray | None) -> list[tuple[int, Seen]]:
+        out, open_boxes = [], list(range(len(boxes)))
+        known = [t for t in self.tracks if t.confirmed]
+        if features is not None:
+            for age in sorted({t.missed for t in known}):
+                level = [t for t in known if t.missed == age]
+                pairs = within(appearance(level, forms[open_boxes], features[open_boxes]), self.most_distance)
+                out += [(open_boxes[d], level[k]) for k, d in pairs]
+                open_boxes = [d for d in open_boxes if d not in {x for x, _ in out}]
+        done = {t.id for _, t in out}
+        rest = [t for t in self.tracks if t.id not in done and (not t.confirmed or t.missed == 1)]
+        expected = np.array([from_height_form(t.filter.value) for t in rest]).reshape(-1, 4)
+        pairs = within(1 - box_iou(expected, boxes[open_boxes]), self.most_iou_distance) if rest and open_boxes else []
+        return out + [(open_boxes[d], rest[k]) for k, d in pairs]
+
+    def saved(self) -> str:
+        state = lambda f: [x.tolist() for x in (f.value, f.speed, f.p, f.c, f.v)]
+        rows = [[t.id, t.det_id, t.hits, t.missed, t.confirmed, [f.tolist() for f in t.fresh], [f.tolist() for f in t.gallery], state(t.filter)] for t in self.tracks]
+        return json.dumps([self.next_id, rows])
+
+    def restored(self, text: str) -> DeepSort:
+        self.next_id, rows = json.loads(text)
+        arrays = lambda values: [np.array(v) for v in values]
+        self.tracks = [Seen(i, HeightFilter(*arrays(state)), det, hits, missed, confirmed, arrays(fresh), arrays(gallery)) for i, det, hits, missed, confirmed, fresh, gallery, state in rows]
+        return self
 
-    return boxes.select(video, "frame_index", "det_id", "l", "t", "r", "b", "score").groupBy(video).applyInPandas(run, f"{video} {kind}, {TRACKED}")
+
+def within(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Pairs of the least assignment whose costs are at most `most`; greater ones all count alike, a little more than it."""
+    pairs = assign(np.where(cost > most, most + 1e-5, cost))
+    return [(i, j) for i, j in pairs if cost[i, j] <= most]
+
+
+def appearance(tracks: list[Seen], forms: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """[tracks, boxes]: least cosine distance to a track's gallery; NEVER for boxes outside the gate of its filter."""
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    out = np.full((len(tracks), len(forms)), NEVER)
+    for k, t in enumerate(tracks):
+        if len(t.gallery) and len(forms):
+            near = (1 - unit(np.array(t.gallery)) @ unit(features).T).min(0)
+            out[k] = np.where(t.filter.distance(forms) > GATE[4], NEVER, near)
+    return out
+
+
+def to_height_form(box: np.ndarray) -> np.ndarray:
+    """left, top, right, bottom to centre, aspect, height."""
+    w, h = box[2] - box[0], box[3] - box[1]
+    return np.array([box[0] + w / 2, box[1] + h / 2, w / h, h])
+
+
+def from_height_form(form: np.ndarray) -> np.ndarray:
+    w, h = form[2] * form[3], form[3]
+    return np.array([form[0] - w / 2, form[1] - h / 2, form[0] + w / 2, form[1] + h / 2])
+
+
+#: Tracker by name. A tracker has columns, out and step(ids, boxes, features); its settings are its constructor's.
+TRACKERS: dict[str, Callable[..., Sort | SortTurned | DeepSort]] = {"sort": Sort, "sort_turned": SortTurned, "deep_sort": DeepSort}
+
+
+def by_frame(boxes: DataFrame, key: str, columns: tuple[str, ...], feature: str | None) -> DataFrame:
+    """One row a frame: its boxes in order of score (best first), then det_id."""
+    fields = [(-F.col("score").cast("double")).alias("s"), F.col("det_id").cast("int").alias("det_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("box")]
+    fields += [F.col(feature).cast("array<double>").alias("feature")] if feature else []
+    return boxes.groupBy(key, "frame_index").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("boxes"))
+
+
+def frame_values(column: pa.ListArray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """det_ids, boxes and features of each row of by_frame, cut from whole columns."""
+    rows = column.flatten()
+    ids, boxes = rows.field("det_id").to_numpy(), rows.field("box").flatten().to_numpy().reshape(-1, width)
+    named = [f.name for f in rows.type]
+    features = np.array(rows.field("feature").to_pylist()) if "feature" in named and len(rows) else None
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    for lo, hi in zip(np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else [], ends.tolist(), strict=True):
+        yield ids[lo:hi], boxes[lo:hi], None if features is None else features[lo:hi]
+
+
+def walked_schema(df: DataFrame, key: str, fields: list[tuple[str, str]]) -> T.StructType:
+    return T.StructType([T.StructField(key, df.schema[key].dataType), *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in fields)).fields])
+
+
+def walked(rows: DataFrame, key: str, order: str, schema: T.StructType, begin: Callable[[], object], step: Callable[[object, dict[str, object]], list[tuple]]) -> DataFrame:
+    """A fold of each key's rows in order: step(state, row) gives the rows (without the key) to put out. Only the state at hand is held."""
+    kinds, names = [to_arrow_type(f.dataType) for f in schema.fields], [f.name for f in schema.fields]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                if row[key] != at:
+                    at, state = row[key], begin()
+                found += [(at, *x) for x in step(state, row)]
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(walk, schema)
+
+
+def track(boxes: DataFrame, video: str = "video_id", method: str = "sort", feature: str | None = None, least_score: float | None = None, **settings) -> DataFrame:
+    """Tracked boxes of each video, by the tracker of that name. Ids count from 1 in each video.
+
+    boxes: video, frame_index, det_id, score and the tracker's columns; feature names an array column for trackers by appearance.
+    """
+    tracker = TRACKERS[method]
+    shown = tracker()
+    schema = T.StructType([T.StructField(video, boxes.schema[video].dataType), *T._parse_datatype_string(shown.out).fields])
+    kinds, names, width = [to_arrow_type(f.dataType) for f in schema.fields], [f.name for f in schema.fields], len(shown.columns)
+    boxes = boxes if least_score is None else boxes.filter(F.col("score") > least_score)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), None
+        for batch in batches:
+            found = []
+            videos, frames = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for v, f, (ids, values, features) in zip(videos, frames, frame_values(batch.column(2), width), strict=True):
+                if v != at:
+                    at, state = v, tracker(**settings)
+                found += [(v, f, t, d, *box) for t, d, box in state.step(ids, values, features)]
+            columns = list(zip(*found, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    frames = by_frame(boxes, video, shown.columns, feature).select(video, "frame_index", "boxes")
+    return frames.repartition(video).sortWithinPartitions(video, "frame_index").mapInArrow(walk, schema)
+
+
+def _filtered(points: DataFrame, key: str, order: str, values: list[str], make: Callable[[np.ndarray], BoxFilter | HeightFilter]) -> DataFrame:
+    schema = walked_schema(points, key, [(order, "long"), *[(f"f{i}", "double") for i in range(4)]])
+
+    def step(held: list, row: dict) -> list[tuple]:
+        z = np.array([row[v] for v in values], float)
+        if held:
+            held[0].predict()
+            held[0].update(z)
+        else:
+            held.append(make(z))
+        return [(row[order], *held[0].value.tolist())]
+
+    return walked(points.select(key, order, *values), key, order, schema, list, step)
 
 
 def filtered(points: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """Each key's measurements (centre x, centre y, area, ratio) smoothed by the box filter, one row a measurement."""
-    kind = points.schema[key].dataType.simpleString()
+    return _filtered(points, key, order, values, BoxFilter)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        z = pdf[values].to_numpy(float)
-        state, out = BoxFilter(z[0]), [z[0].copy()]
-        for row in z[1:]:
-            state.predict()
-            state.update(row)
-            out.append(state.value.copy())
-        out = np.array(out)
-        return pd.DataFrame({key: pdf[key].to_numpy(), order: pdf[order].to_numpy(), **{f"f{i}": out[:, i] for i in range(4)}})
+def filtered_by_height(points: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """Each key's measurements (centre x, centre y, aspect, height) by the filter whose noise follows the height."""
+    return _filtered(points, key, order, values, HeightFilter)
 
-    return points.select(key, order, *values).groupBy(key).applyInPandas(run, f"{key} {kind}, {order} long, f0 double, f1 double, f2 double, f3 double")
 
+def gated_by_height(points: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """key, order, d2: squared distance of each measurement but the first to what the filter by height expects, in the filter's own covariance."""
+    schema = walked_schema(points, key, [(order, "long"), ("d2", "double")])
 
-def filtered_by_height(points: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
-    """Each key's measurements (centre x, centre y, aspect, height) by the filter whose noise follows the height: four pairs (value, speed).
+    def step(held: list, row: dict) -> list[tuple]:
+        z = np.array([row[v] for v in values], float)
+        if not held:
+            held.append(HeightFilter(z))
+            return []
+        held[0].predict()
+        far = float(held[0].distance(z[None])[0])
+        held[0].update(z)
+        return [(row[order], far)]
 
-    Fixed values of the published filter: a twentieth of the height for places, a 160th for speeds; 0.01, 0.1 and 0.00001 for the aspect.
-    """
-    kind = points.schema[key].dataType.simpleString()
-    place, pace = 1 / 20, 1 / 160
-
-    def noise(height: float, own: float, aspect: float) -> np.ndarray:
-        return np.array([own * height, own * height, aspect, own * height]) ** 2
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        z = pdf[values].to_numpy(float)
-        x, s = z[0].copy(), np.zeros(4)
-        p, c, v = noise(x[3], 2 * place, 1e-2), np.zeros(4), noise(x[3], 10 * pace, 1e-5)
-        out = [x.copy()]
-        for row in z[1:]:
-            q, q_pace = noise(x[3], place, 1e-2), noise(x[3], pace, 1e-5)
-            x, p, c, v = x + s, p + 2 * c + v + q, c + v, v + q_pace
-            total = p + noise(x[3], place, 1e-1)
-            gap, gain, gain_pace = row - x, p / total, c / total
-            x, s, v, c, p = x + gain * gap, s + gain_pace * gap, v - gain_pace * c, c * (1 - gain), p * (1 - gain)
-            out.append(x.copy())
-        out = np.array(out)
-        return pd.DataFrame({key: pdf[key].to_numpy(), order: pdf[order].to_numpy(), **{f"f{i}": out[:, i] for i in range(4)}})
-
-    return points.select(key, order, *values).groupBy(key).applyInPandas(run, f"{key} {kind}, {order} long, f0 double, f1 double, f2 double, f3 double")
+    return walked(points.select(key, order, *values), key, order, schema, list, step)

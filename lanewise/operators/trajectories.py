@@ -21,18 +21,19 @@ def reindexed(frame: Column, start: Column, delta: Column, main_start: Column, m
     return F.bround((((frame - first) * delta + start - main_start) / main_delta + main_first).cast("double")).cast("long")
 
 
-def similarity(left: DataFrame, right: DataFrame, least_frames: int = 5, lane_weight: float = 100.0, lanes: int = 50) -> DataFrame:
-    """a, b, dist of each two trajectories that share frames (left: a, right: b; frame_index, x, y, lane_id).
+def similarity(left: DataFrame, right: DataFrame, least_frames: int = 5, lane_weight: float = 100.0, lanes: int = 50, by: list[str] | None = None) -> DataFrame:
+    """by, a, b, dist of each two trajectories that share frames (left: by, a, right: by, b; frame_index, x, y, lane_id). by: the pair of videos, or none.
 
     Half the sum of the root sums of squared differences in x and y over the shared frames, so a longer overlap weighs more. Pairs that share
     too few frames, or that move in opposite directions, get NO_MATCH. Where lanes are known their mean difference is added. The
-    join is on the frame, not on ranges of frames.
+    join is on by and the frame, not on ranges of frames.
     """
-    a = left.select("a", "frame_index", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("lane_id").alias("al"))
-    b = right.select("b", "frame_index", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("lane_id").alias("bl"))
+    by = by or []
+    a = left.select(*by, "a", "frame_index", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("lane_id").alias("al"))
+    b = right.select(*by, "b", "frame_index", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("lane_id").alias("bl"))
     ends = [f(c, "frame_index").alias(f"{c}_{n}") for c in ("ax", "ay", "bx", "by") for n, f in (("first", F.min_by), ("last", F.max_by))]
     square = lambda p, q: F.sqrt(F.sum((F.col(p) - F.col(q)) * (F.col(p) - F.col(q))))
-    per = a.join(b, "frame_index").groupBy("a", "b").agg(
+    per = a.join(b, [*by, "frame_index"]).groupBy(*by, "a", "b").agg(
         (F.max("frame_index") - F.min("frame_index")).alias("span"),
         ((square("ax", "bx") + square("ay", "by")) / 2).alias("gap"),
         F.avg(F.abs(F.col("al") - F.col("bl"))).alias("lane_gap"),
@@ -44,7 +45,7 @@ def similarity(left: DataFrame, right: DataFrame, least_frames: int = 5, lane_we
     turned = move("ax") * move("bx") + move("ay") * move("by") < 0
     known = F.col("al").between(1, lanes - 1) | F.col("bl").between(1, lanes - 1)
     dist = F.col("gap") + F.when(known, lane_weight * F.col("lane_gap")).otherwise(0.0)
-    return per.select("a", "b", F.when((F.col("span") < least_frames) | turned, NO_MATCH).otherwise(dist).alias("dist"))
+    return per.select(*by, "a", "b", F.when((F.col("span") < least_frames) | turned, NO_MATCH).otherwise(dist).alias("dist"))
 
 
 def lane_smoothed(points: DataFrame, by: list[str]) -> DataFrame:

@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.plans import motion, roads, scene, tracks
+from lanewise.plans import motion, roads, scene, tracks, videos
 
-GROUPS = (scene, motion, roads, tracks)
+GROUPS = (scene, motion, roads, tracks, videos)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

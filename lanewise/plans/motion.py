@@ -6,9 +6,10 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lanewise.functions import geometry as G
-from lanewise.operators import graphs, relational as R, trajectories as T
+from lanewise.functions import affine, geometry as G, heads
+from lanewise.operators import graphs, relational as R, roads, trajectories as T
 from lanewise.plans import views as V
+from lanewise.sources import annotations
 
 REGION = [(10.0, 5.0), (140.0, 5.0), (140.0, 70.0), (10.0, 70.0)]
 OFFSETS = T.search_order(4)
@@ -51,7 +52,7 @@ def reindex_frames(spark, sf_dir):
 
 def _sides(spark, sf_dir):
     p = V.points(spark, sf_dir)
-    return p.filter("veh_id % 4 = 0").withColumnRenamed("veh_id", "a"), p.filter("veh_id % 4 = 1").withColumnRenamed("veh_id", "b")
+    return p.filter("veh_id % 2 = 0").withColumnRenamed("veh_id", "a"), p.filter("veh_id % 2 = 1").withColumnRenamed("veh_id", "b")
 
 
 def similarity(spark, sf_dir):
@@ -113,17 +114,21 @@ def clock_clamp(spark, sf_dir):
 def fps_common(spark, sf_dir):
     """Frame rates of two videos, their greatest common divisor and the steps that bring both to it."""
     s = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 6 * 5 + 10).cast("int").alias("p"), (F.col("s_suppkey") % 4 * 10 + 20).cast("int").alias("q"))
-    both = F.filter(F.sequence(F.lit(1), F.least("p", "q")), lambda d: (F.col("p") % d == 0) & (F.col("q") % d == 0))
-    return s.withColumn("g", F.array_max(both)).select("id", "g", (F.col("p") / F.col("g")).cast("int").alias("step_p"), (F.col("q") / F.col("g")).cast("int").alias("step_q"))
+    g, step_p, step_q = R.common_rate(F.col("p"), F.col("q"))
+    return s.select("id", g.alias("g"), step_p.alias("step_p"), step_q.alias("step_q"))
 
 
 def graph_to_main(spark, sf_dir):
-    return graphs.paths_to_root(V.graph(spark, sf_dir).withColumn("shift", F.col("src") * 0.5), 0)
+    """Each video's way to the main one: depth, offset and the map composed along it."""
+    n = F.col("src")
+    edge = F.array(1 + n / 100, n / 200, n * 1.0, -n / 200, 1 - n / 100, n * -2.0)
+    out = graphs.paths_to_root(V.graph(spark, sf_dir).withColumns({"shift": n * 0.5, "map": edge}), 0)
+    return out.select("node", "depth", "shift", *[F.round(v, 6).alias(f"m{i}") for i, v in enumerate(affine.parts(F.col("map")))])
 
 
 def match_clusters(spark, sf_dir):
-    o = V.table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
-    return graphs.clusters(o.select((F.col("o_custkey") % 200).alias("a"), (F.col("o_orderkey") % 1000 + 1000).alias("b")).filter("b % 7 < 2"))
+    """Customers and their orders (from a thousand millions) as one graph."""
+    return graphs.clusters(V.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") + 1_000_000_000).cast("long").alias("b")))
 
 
 def unmatched(spark, sf_dir):
@@ -139,71 +144,60 @@ def gallery_last_k(spark, sf_dir):
 def subtitle_times(spark, sf_dir):
     """Clock strings `yyyy-MM-dd HH:mm:ss,mmm,uuu` to milliseconds since 1970, in UTC, whatever the session's zone."""
     e = V.table(spark, sf_dir, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(",622")).alias("s"))
-    part = F.split(F.regexp_replace("s", "[ ,:]", "-"), "-")
-    days = F.datediff(F.to_date(F.substring("s", 1, 10)), F.lit("1970-01-01").cast("date")).cast("long")
-    n = lambda i: F.get(part, F.lit(i)).cast("long")
-    return e.select("event_id", (((days * 24 + n(3)) * 60 + n(4)) * 60000 + n(5) * 1000 + n(6)).alias("unix_ms"))
+    return e.select("event_id", annotations.clock_ms(F.col("s")).alias("unix_ms"))
 
 
 def skip_intervals(spark, sf_dir):
     """Frames inside any of a list of closed intervals."""
-    spans = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in ((3, 9), (50, 50), (100, 180))])
-    skip = F.exists(spans, lambda s: F.col("frame_index").between(s.lo, s.hi))
-    return V.points(spark, sf_dir).groupBy("frame_index").agg(F.count("*").alias("n")).withColumn("skip", skip)
+    return V.points(spark, sf_dir).groupBy("frame_index").agg(F.count("*").alias("n")).withColumn("skip", R.in_spans(F.col("frame_index"), [(3, 9), (50, 50), (100, 180)]))
 
 
 def affine_parts(spark, sf_dir):
     """Shift and turn of frame transforms, and the matrix without its scale."""
     p = V.points(spark, sf_dir)
-    a, b = F.col("x") / 50 + 1, F.col("y") / 80
-    turn = F.atan2(b, a)
-    return p.select("veh_id", "frame_index", F.round(turn, 5).alias("turn"), F.round(F.cos(turn), 5).alias("a"), F.round(F.hypot(a, b), 5).alias("scale"))
+    a, c = F.col("x") / 50 + 1, F.col("y") / 80
+    m = p.withColumn("m", F.array(a, -c, F.col("x"), c, a, F.col("y")))
+    turned, free = affine.parts(affine.normal(F.col("m"))), affine.parts(affine.normal(F.col("m"), keep_scale=False, keep_shift=False))
+    names = {"turn": F.atan2(free[3], free[0]), "a": free[0], "c": turned[3], "scale": F.hypot(turned[0], turned[3]), "tx": turned[2], "free_tx": free[2]}
+    return m.select("veh_id", "frame_index", *[F.round(v, 5).alias(n) for n, v in names.items()])
 
 
 def head_decode(spark, sf_dir):
     """Boxes from grid outputs: centre is cell and offset times stride, sides are exponentials, score a product of logistic values."""
     h = V.heat(spark, sf_dir)
-    logistic = lambda c: 1 / (1 + F.exp(-c))
     v = F.col("v").cast("double")
-    names = {"cx": (F.col("x") + v / 100) * 32, "cy": (F.col("y") + v / 200) * 32, "w": F.exp(v / 25) * 32, "h": F.exp(v / 50) * 32, "score": logistic(v / 10 - 2) * logistic(3 - v / 20)}
+    names = heads.grid_head(F.col("x"), F.col("y"), F.lit(32), [v / 100, v / 200, v / 25, v / 50, v / 10 - 2, 3 - v / 20])
     return h.select("cell", *[F.round(c, 4).alias(n) for n, c in names.items()]).filter("score >= 0.2")
 
 
 def letterbox(spark, sf_dir):
     """Scale and padding that fit an image into 640 x 512."""
     s = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (300 + F.col("s_suppkey") % 13 * 97).alias("w"), (200 + F.col("s_suppkey") % 11 * 83).alias("h"))
-    scale = F.least(F.lit(640.0) / F.col("w"), F.lit(512.0) / F.col("h"))
-    nw, nh = (F.col("w") * scale).cast("int"), (F.col("h") * scale).cast("int")
-    return s.select("id", F.round(scale, 6).alias("scale"), F.floor((640 - nw) / 2).cast("int").alias("pad_x"), F.floor((512 - nh) / 2).cast("int").alias("pad_y"))
+    fit = heads.letterbox(F.col("w"), F.col("h"), 640, 512)
+    return s.select("id", F.round(fit["scale"], 6).alias("scale"), fit["pad_x"].alias("pad_x"), fit["pad_y"].alias("pad_y"))
 
 
 def labels(spark, sf_dir):
     b = V.boxes(spark, sf_dir)
-    text = F.concat_ws(" ", F.format_string("id:%d", "det_id"), F.format_string("cat:%d", "category"), F.concat(F.lit("w:"), F.col("w").cast("int").cast("string")))
+    text = heads.label({"id": ("%d", F.col("det_id")), "cat": ("%d", F.col("category")), "w": ("%d", F.col("w").cast("int"))})
     return b.select("frame_index", "det_id", text.alias("text"))
 
 
 def learning_rates(spark, sf_dir):
     """A cosine schedule over 40 epochs."""
-    return spark.range(40).select(F.col("id").alias("epoch"), F.round(((1 + F.cos(F.col("id") * math.pi / 40)) / 2) * 0.9 + 0.1, 6).alias("rate"))
+    return spark.range(40).select(F.col("id").alias("epoch"), F.round(R.cosine_rate(F.col("id"), 40, 0.1), 6).alias("rate"))
 
 
 def video_parts(spark, sf_dir):
     """Parts of a video: frames before each, changes of rate, and the total."""
     v = V.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("video_id"), F.col("s_suppkey").alias("part_no"), (F.col("s_suppkey") % 50 + 10).alias("frames"), (F.col("s_suppkey") % 3 * 5 + 20).alias("fps"))
-    w = Window.partitionBy("video_id").orderBy("part_no")
-    before = F.coalesce(F.sum("frames").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return v.select("video_id", "part_no", before.alias("before"), F.coalesce(F.lag("fps").over(w) != F.col("fps"), F.lit(False)).alias("changed"), F.sum("frames").over(Window.partitionBy("video_id")).alias("total"))
+    return annotations.part_spans(v).select("video_id", "part_no", "before", "changed", "total")
 
 
 def line_ticks(spark, sf_dir):
     """Points every 15 units along a polyline."""
-    lengths = [math.dist(a, b) for a, b in zip(V.LINE, V.LINE[1:], strict=False)]
-    run = [sum(lengths[:i]) for i in range(len(lengths))]
-    segments = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("at", "n", "x", "y", "dx", "dy"), (r, n, a[0], a[1], b[0] - a[0], b[1] - a[1]), strict=True)]) for r, n, a, b in zip(run, lengths, V.LINE, V.LINE[1:], strict=False)])
-    t = spark.range(int(sum(lengths) / 15) + 1).select((F.col("id") * 15).cast("double").alias("d"), F.explode(segments).alias("s"))
-    k = (F.col("d") - F.col("s.at")) / F.col("s.n")
-    return t.filter((k >= 0) & (k < 1)).select("d", F.round(F.col("s.x") + k * F.col("s.dx"), 4).alias("x"), F.round(F.col("s.y") + k * F.col("s.dy"), 4).alias("y"))
+    t = roads.line_ticks(V.LINE, 15.0, spark)
+    return t.select("d", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def offset_search(spark, sf_dir):
@@ -240,7 +234,7 @@ _run = """r0 AS (SELECT veh_id, frame_index, CASE WHEN abs(frame_index - lag(fra
 r1 AS (SELECT veh_id, frame_index, sum(s) OVER (PARTITION BY veh_id ORDER BY frame_index) AS run FROM r0),
 r2 AS (SELECT veh_id, run, min(frame_index) AS first, max(frame_index) AS last, count(*) AS n FROM r1 GROUP BY 1, 2),
 best AS (SELECT veh_id, first, last, n FROM (SELECT *, row_number() OVER (PARTITION BY veh_id ORDER BY n DESC, first) AS k FROM r2) WHERE k = 1)"""
-_sides_sql = "l AS (SELECT veh_id AS a, frame_index, x, y, lane_id FROM points WHERE veh_id % 4 = 0), r AS (SELECT veh_id AS b, frame_index, x, y, lane_id FROM points WHERE veh_id % 4 = 1)"
+_sides_sql = "l AS (SELECT veh_id AS a, frame_index, x, y, lane_id FROM points WHERE veh_id % 2 = 0), r AS (SELECT veh_id AS b, frame_index, x, y, lane_id FROM points WHERE veh_id % 2 = 1)"
 _clus = "c AS (SELECT DISTINCT veh_id, veh_id - veh_id % 5 AS cluster FROM points WHERE veh_id % 5 < 3)"
 _fused = "fused AS (SELECT cluster, frame_index, avg(x) AS x, avg(y) AS y, min(lane_id) AS lane_id FROM points JOIN c USING (veh_id) GROUP BY 1, 2)"
 
@@ -267,23 +261,27 @@ SELECT k, frame_index, round(CASE WHEN shared THEN ax * (1 - w) + bx * w ELSE co
     "entry_exit_filter": (entry_exit_filter, f"""{Q}, {_line_sql()}, n AS (SELECT veh_id, frame_index, round(pos, 6) AS pos FROM near), s AS (SELECT veh_id, min(frame_index) AS first, min_by(pos, frame_index) AS pos FROM n GROUP BY veh_id)
 SELECT veh_id FROM s WHERE veh_id % 7 = 0 OR first < 2 OR pos < (SELECT min(pos) FROM n) + 5 OR pos > (SELECT max(pos) FROM n) - 5"""),
     "asof_align": (asof_align, "WITH r AS (SELECT user_id, ts, min(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY 1, 2), l AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') SELECT event_id, click_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts <= r.ts"),
-    "clock_clamp": (clock_clamp, f"{Q}, c AS (SELECT veh_id, max(frame_index) AS last FROM points WHERE frame_index < 300 GROUP BY 1) SELECT veh_id AS video_id, frame_index, least(frame_index, last) * 3600000 AS unix_ms FROM points JOIN c USING (veh_id)"),
+    "clock_clamp": (clock_clamp, f"{Q}, c AS (SELECT veh_id, max(frame_index) AS last FROM points WHERE frame_index < 300 GROUP BY 1) SELECT veh_id AS video_id, frame_index, CASE WHEN last IS NOT NULL THEN least(frame_index, last) * 3600000 END AS unix_ms FROM points LEFT JOIN c USING (veh_id)"),
     "fps_common": (fps_common, "WITH s AS (SELECT s_suppkey AS id, (s_suppkey % 6 * 5 + 10)::INTEGER AS p, (s_suppkey % 4 * 10 + 20)::INTEGER AS q FROM supplier) SELECT id, gcd(p, q)::INTEGER AS g, (p // gcd(p, q))::INTEGER AS step_p, (q // gcd(p, q))::INTEGER AS step_q FROM s"),
-    "graph_to_main": (graph_to_main, f"WITH RECURSIVE {V.GRAPH}, walk AS (SELECT 0 AS node, 0 AS depth, 0::DOUBLE AS shift UNION ALL SELECT g.src, depth + 1, shift + g.src * 0.5::DOUBLE FROM walk JOIN graph g ON g.dst = walk.node) SELECT * FROM walk"),
-    "match_clusters": (match_clusters, """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 200 AS a, o_orderkey % 1000 + 1000 AS b FROM orders WHERE o_orderkey % 3 = 0 AND (o_orderkey % 1000 + 1000) % 7 < 2),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS c FROM u UNION SELECT u.b, w.c FROM w JOIN u ON u.a = w.node) SELECT node, min(c) AS cluster FROM w GROUP BY node"""),
+    "graph_to_main": (graph_to_main, f"""WITH RECURSIVE {V.GRAPH},
+e AS (SELECT src, dst, 1 + src / 100 AS a, src / 200 AS b, src::DOUBLE AS tx, -src / 200 AS c, 1 - src / 100 AS d, src * -2::DOUBLE AS ty FROM graph),
+walk AS (SELECT 0 AS node, 0 AS depth, 0::DOUBLE AS shift, 1::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS tx, 0::DOUBLE AS c, 1::DOUBLE AS d, 0::DOUBLE AS ty
+  UNION ALL SELECT e.src, depth + 1, shift + e.src * 0.5::DOUBLE, w.a * e.a + w.b * e.c, w.a * e.b + w.b * e.d, w.a * e.tx + w.b * e.ty + w.tx, w.c * e.a + w.d * e.c, w.c * e.b + w.d * e.d, w.c * e.tx + w.d * e.ty + w.ty
+  FROM walk w JOIN e ON e.dst = w.node)
+SELECT node, depth, shift, round(a, 6) AS m0, round(b, 6) AS m1, round(tx, 6) AS m2, round(c, 6) AS m3, round(d, 6) AS m4, round(ty, 6) AS m5 FROM walk"""),
+    "match_clusters": (match_clusters, "SELECT DISTINCT o_custkey::BIGINT AS node, o_custkey::BIGINT AS cluster FROM orders UNION ALL SELECT DISTINCT o_orderkey + 1000000000, o_custkey FROM orders"),
     "unmatched": (unmatched, f"{Q} SELECT veh_id, count(*) AS n FROM points WHERE veh_id % 5 >= 3 GROUP BY veh_id"),
     "gallery_last_k": (gallery_last_k, "SELECT target, seq FROM (SELECT label AS target, vec_id AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings) WHERE n <= 10"),
     "subtitle_times": (subtitle_times, "SELECT event_id, epoch_us(ts) // 1000 AS unix_ms FROM events"),
     "skip_intervals": (skip_intervals, f"{Q} SELECT frame_index, count(*) AS n, frame_index BETWEEN 3 AND 9 OR frame_index = 50 OR frame_index BETWEEN 100 AND 180 AS skip FROM points GROUP BY frame_index"),
-    "affine_parts": (affine_parts, f"{Q}, m AS (SELECT veh_id, frame_index, x / 50 + 1 AS a, y / 80 AS b FROM points) SELECT veh_id, frame_index, round(atan2(b, a), 5) AS turn, round(cos(atan2(b, a)), 5) AS a, round(sqrt(a * a + b * b), 5) AS scale FROM m"),
+    "affine_parts": (affine_parts, f"{Q}, m AS (SELECT *, x / 50 + 1 AS a, y / 80 AS c FROM points) SELECT veh_id, frame_index, round(atan2(c, a), 5) AS turn, round(cos(atan2(c, a)), 5) AS a, round(c, 5) AS c, round(sqrt(a * a + c * c), 5) AS scale, round(x, 5) AS tx, 0::DOUBLE AS free_tx FROM m"),
     "head_decode": (head_decode, f"WITH {V.HEAT}, d AS (SELECT cell, round((x + v / 100) * 32, 4) AS cx, round((y + v / 200) * 32, 4) AS cy, round(exp(v / 25) * 32, 4) AS w, round(exp(v / 50) * 32, 4) AS h, round(1 / (1 + exp(-(v / 10 - 2))) * (1 / (1 + exp(-(3 - v / 20)))), 4) AS score FROM (SELECT cell, x, y, v::DOUBLE AS v FROM heat)) SELECT * FROM d WHERE score >= 0.2"),
     "letterbox": (letterbox, "WITH s AS (SELECT s_suppkey AS id, 300 + s_suppkey % 13 * 97 AS w, 200 + s_suppkey % 11 * 83 AS h FROM supplier), k AS (SELECT *, least(640::DOUBLE / w, 512::DOUBLE / h) AS k FROM s) SELECT id, round(k, 6) AS scale, ((640 - trunc(w * k)::INTEGER) // 2)::INTEGER AS pad_x, ((512 - trunc(h * k)::INTEGER) // 2)::INTEGER AS pad_y FROM k"),
     "labels": (labels, f"WITH {V.BOXES} SELECT frame_index, det_id, 'id:' || det_id || ' cat:' || category || ' w:' || trunc(w)::INTEGER AS text FROM boxes"),
     "learning_rates": (learning_rates, "SELECT i AS epoch, round(((1 + cos(i * pi() / 40)) / 2) * 0.9::DOUBLE + 0.1::DOUBLE, 6) AS rate FROM range(40) AS r(i)"),
     "video_parts": (video_parts, "WITH v AS (SELECT s_nationkey AS video_id, s_suppkey AS part_no, s_suppkey % 50 + 10 AS frames, s_suppkey % 3 * 5 + 20 AS fps FROM supplier) SELECT video_id, part_no, coalesce(sum(frames) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, coalesce(lag(fps) OVER w <> fps, false) AS changed, (sum(frames) OVER (PARTITION BY video_id))::BIGINT AS total FROM v WINDOW w AS (PARTITION BY video_id ORDER BY part_no)"),
     "line_ticks": (line_ticks, f"""WITH {_segs_sql()}, k AS (SELECT n * 15::DOUBLE AS d, x1, y1, dx, dy, (n * 15 - run) / sqrt(dx * dx + dy * dy) AS k FROM segs, range(0, {_ticks}) AS r(n)) SELECT d, round(x1 + k * dx, 4) AS x, round(y1 + k * dy, 4) AS y FROM k WHERE k >= 0 AND k < 1"""),
-    "offset_search": (offset_search, f"""{Q}, o AS (SELECT * FROM (VALUES {", ".join(f"({i}, {o})" for i, o in enumerate(OFFSETS))}) AS o(k, off)), l AS (SELECT * FROM points WHERE veh_id % 4 = 0), r AS (SELECT veh_id - 1 AS a, frame_index, x, y FROM points WHERE veh_id % 4 = 1),
+    "offset_search": (offset_search, f"""{Q}, o AS (SELECT * FROM (VALUES {", ".join(f"({i}, {o})" for i, o in enumerate(OFFSETS))}) AS o(k, off)), l AS (SELECT * FROM points WHERE veh_id % 2 = 0), r AS (SELECT veh_id - 1 AS a, frame_index, x, y FROM points WHERE veh_id % 2 = 1),
 m AS (SELECT k, off, count(*) AS n, round(avg(sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2)), 4) AS mean FROM l JOIN r ON l.veh_id = r.a JOIN o ON l.frame_index = r.frame_index + off GROUP BY 1, 2)
 SELECT off::INTEGER AS "offset", n, mean, min(mean) OVER (ORDER BY k) AS best FROM m"""),
 }

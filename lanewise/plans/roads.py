@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import geometry as G
-from lanewise.operators import roads as O, tracking as K
+from lanewise.operators import graphs, raster, roads as O, tracking as K
 from lanewise.plans import views as V
 
 LINES = [(n, [(5.0, 12.5 * n), (150.0, 12.5 * n + 4.0)]) for n in range(1, 7)]
@@ -37,15 +37,15 @@ def line_chain(spark, sf_dir):
     n = F.col("n_nationkey")
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     parts = V.table(spark, sf_dir, "nation").select(n.alias("node"), F.lead("n_nationkey").over(w).alias("next"), (n * 1.5 + 1).alias("length"), (F.row_number().over(w) == 1).alias("is_base"))
-    return O.chained(parts)
+    return graphs.distances(parts)
 
 
 def overlap_region(spark, sf_dir):
     """Points inside the main region whose place before the map (x + 5, 2 y - 10) is inside the sub region."""
     main, sub = G.polygon([(10, 5), (140, 5), (140, 70), (10, 70)]), G.polygon([(0, 0), (90, 0), (90, 35), (0, 35)])
-    x, y = F.col("x"), F.col("y")
-    both = G.inside(x, y, main) & G.inside(x - 5, (y + 10) / 2, sub)
-    return V.points(spark, sf_dir).groupBy("veh_id").agg(F.count_if(both).alias("n"))
+    p, to_main = V.points(spark, sf_dir), F.array(*[F.lit(v) for v in (1.0, 0.0, 5.0, 0.0, 2.0, -10.0)])
+    n = raster.shared_region(p, main, sub, to_main).groupBy("veh_id").agg(F.count("*").alias("n"))
+    return p.select("veh_id").distinct().join(n, "veh_id", "left").select("veh_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def detection_lines(spark, sf_dir):
@@ -68,18 +68,20 @@ def kalman_height(spark, sf_dir):
     return out.select("veh_id", "frame_index", *[F.round(f"f{i}", 3).alias(f"f{i}") for i in range(4)])
 
 
-def _height_sql() -> str:
+def height_sql(gate: bool = False) -> str:
+    """The filter as a recursion; with gate, the squared distances that it sees."""
     names, place, pace = ["x", "y", "aspect", "height"], "(1 / 20::DOUBLE)", "(1 / 160::DOUBLE)"
     power = lambda i, h, own, aspect: f"({aspect}::DOUBLE * {aspect}::DOUBLE)" if i == 2 else f"(({own} * {h}) * ({own} * {h}))"
     start = ", ".join(f"{n}::DOUBLE AS f{i}, 0::DOUBLE AS s{i}, {power(i, 'height', f'2 * {place}', '1e-2')} AS p{i}, 0::DOUBLE AS c{i}, {power(i, 'height', f'10 * {pace}', '1e-5')} AS v{i}" for i, n in enumerate(names))
     step = ", ".join(f"k.f{i} + k.s{i} AS g{i}, k.s{i} AS u{i}, k.p{i} + 2 * k.c{i} + k.v{i} + {power(i, 'k.f3', place, '1e-2')} AS pp{i}, k.c{i} + k.v{i} AS cc{i}, k.v{i} + {power(i, 'k.f3', pace, '1e-5')} AS vv{i}, m.{n} AS z{i}" for i, n in enumerate(names))
     t = lambda i: f"(pp{i} + {power(i, 'g3', place, '1e-1')})"
     out = ", ".join(f"g{i} + pp{i} / {t(i)} * (z{i} - g{i}) AS f{i}, u{i} + cc{i} / {t(i)} * (z{i} - g{i}) AS s{i}, pp{i} * (1 - pp{i} / {t(i)}) AS p{i}, cc{i} * (1 - pp{i} / {t(i)}) AS c{i}, vv{i} - cc{i} / {t(i)} * cc{i} AS v{i}" for i in range(4))
+    far = ", " + " + ".join(f"(z{i} - g{i}) * (z{i} - g{i}) / {t(i)}" for i in range(4)) + " AS d2" if gate else ""
     return f"""WITH RECURSIVE {V.POINTS},
 m AS (SELECT veh_id, frame_index, x, y, y / 50 + 0.5::DOUBLE AS aspect, x / 4 + 20 AS height, row_number() OVER (PARTITION BY veh_id ORDER BY frame_index) AS n FROM points),
-k AS (SELECT veh_id, frame_index, n, {start} FROM m WHERE n = 1
-  UNION ALL SELECT veh_id, frame_index, n, {out} FROM (SELECT m.veh_id, m.frame_index, m.n, {step} FROM k JOIN m ON m.veh_id = k.veh_id AND m.n = k.n + 1))
-SELECT veh_id, frame_index, round(f0, 3) AS f0, round(f1, 3) AS f1, round(f2, 3) AS f2, round(f3, 3) AS f3 FROM k"""
+k AS (SELECT veh_id, frame_index, n, {start}{", NULL::DOUBLE AS d2" if gate else ""} FROM m WHERE n = 1
+  UNION ALL SELECT veh_id, frame_index, n, {out}{far} FROM (SELECT m.veh_id, m.frame_index, m.n, {step} FROM k JOIN m ON m.veh_id = k.veh_id AND m.n = k.n + 1))
+SELECT veh_id, frame_index, {"round(d2, 3) AS d2, round(d2, 3) <= 9.4877 AS passes FROM k WHERE n > 1" if gate else "round(f0, 3) AS f0, round(f1, 3) AS f1, round(f2, 3) AS f2, round(f3, 3) AS f3 FROM k"}"""
 
 
 _values = ", ".join(f"({n}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0] - a[0]}::DOUBLE, {b[1] - a[1]}::DOUBLE)" for n, (a, b) in LINES)
@@ -101,5 +103,5 @@ SELECT a.n AS number, round(100 * ((b.y1 - a.y1) + (b.y2 - a.y2)) / 2, 4) AS are
     "detection_lines": (detection_lines, f"WITH {V.BOXES} SELECT frame_index, det_id, concat_ws(' ', 'c' || category, printf('%.6f', score / 130000), trunc(l)::INTEGER, trunc(t)::INTEGER, trunc(r)::INTEGER, trunc(b)::INTEGER) AS line FROM boxes"),
     "match_lists": (match_lists, f"WITH {V.BOXES} SELECT frame_index, category, string_agg(det_id::VARCHAR, ';' ORDER BY det_id) AS ids FROM boxes GROUP BY 1, 2"),
     "train_split": (train_split, "SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand) - 1)::INTEGER AS class_no, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR)) <= ceil(count(*) OVER (PARTITION BY p_brand) * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS part FROM part"),
-    "kalman_height": (kalman_height, _height_sql()),
+    "kalman_height": (kalman_height, height_sql()),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import geometry as G
-from lanewise.operators import relational as R
+from lanewise.operators import raster, relational as R
 from lanewise.plans import views as V
 
 D = "{}::DOUBLE".format
@@ -43,8 +43,7 @@ def pixel_to_xy(spark, sf_dir):
 
 def frame_sample(spark, sf_dir):
     """Every gap-th frame, absolute; gap is 30 / 8 frames a second, rounded half to even."""
-    gap = F.bround(F.lit(30) / F.lit(8)).cast("long")
-    return V.points(spark, sf_dir).filter(F.col("frame_index") % gap == 0).select("veh_id", "frame_index")
+    return V.points(spark, sf_dir).filter(R.every_nth(F.col("frame_index"), 30, 8)).select("veh_id", "frame_index")
 
 
 def length_per_pixel(spark, sf_dir):
@@ -90,22 +89,16 @@ def polygon_measures(spark, sf_dir):
 def tile_detections(spark, sf_dir):
     """Boxes dealt to the tiles that hold them whole, by 3 pixels at least, in the tile's own pixels."""
     lefts, ups = R.tile_starts(190, 80, 20), R.tile_starts(120, 70, 20)
-    tiles = F.explode(F.array(*[F.struct(F.lit(i).alias("tile_id"), F.lit(float(x)).alias("left_px"), F.lit(float(y)).alias("up_px")) for i, (x, y) in enumerate((x, y) for x in lefts for y in ups)]))
-    t = V.boxes(spark, sf_dir).withColumn("tile", tiles).select("frame_index", "det_id", "tile.*", "l", "t", "r", "b", "cx", "cy")
-    kept = (F.col("l") - F.col("left_px") > 3) & (F.col("t") - F.col("up_px") > 3) & (F.col("r") - F.col("left_px") < 77) & (F.col("b") - F.col("up_px") < 67)
-    return t.filter(kept).select("frame_index", "det_id", "tile_id", (F.col("cx") - F.col("left_px")).alias("tile_x"), (F.col("cy") - F.col("up_px")).alias("tile_y"))
+    tiles = [F.struct(F.lit(i).alias("tile_id"), F.lit(float(x)).alias("left_px"), F.lit(float(y)).alias("up_px")) for i, (x, y) in enumerate((x, y) for x in lefts for y in ups)]
+    plan = spark.range(1).select(F.lit(0).alias("video"), F.explode(F.array(*tiles)).alias("t")).select("video", "t.*")
+    return raster.retiled(V.boxes(spark, sf_dir).withColumn("video", F.lit(0)), plan, ["video"], 80, 70, 3).select("frame_index", "det_id", "tile_id", "tile_x", "tile_y")
 
 
 def tile_plan(spark, sf_dir):
     """Tiles of each image size among suppliers: steps of size less gap, the last moved to the border."""
     sizes = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("video_id"), (640 + F.col("s_suppkey") % 7 * 211).cast("int").alias("width"), (512 + F.col("s_suppkey") % 5 * 97).cast("int").alias("height"))
 
-    def starts(length, size, gap):
-        n = F.greatest(F.lit(0), F.ceil((F.col(length) - size) / (size - gap))).cast("int")
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.greatest(F.lit(0), F.least(i * (size - gap), F.col(length) - size))))
-
-    lefts = sizes.withColumn("left_px", F.explode(starts("width", 640, 100)))
-    return lefts.withColumn("up_px", F.explode(starts("height", 512, 100))).select("video_id", "left_px", "up_px")
+    return raster.tile_plan(sizes, 640, 512, 100).select("video_id", "left_px", "up_px")
 
 
 def iou_pairs(spark, sf_dir):
@@ -148,7 +141,7 @@ def gate_distance(spark, sf_dir):
     """Squared Mahalanobis distance of successive places for a diagonal covariance; the gate is the 95 % point for two degrees."""
     w = Window.partitionBy("veh_id").orderBy("frame_index")
     p = V.points(spark, sf_dir).withColumns({"dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)}).filter("dx is not null")
-    d = F.round(F.col("dx") * F.col("dx") / 900 + F.col("dy") * F.col("dy") / 400, 6)
+    d = F.round(R.squared_distance([F.col("dx"), F.col("dy")], [F.lit(900), F.lit(400)]), 6)
     return p.select("veh_id", "frame_index", d.alias("d2"), (d <= 5.9915).alias("passes"))
 
 

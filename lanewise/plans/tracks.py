@@ -10,7 +10,7 @@ from lanewise.operators import matching as M, relational as R, tracking as K
 from lanewise.plans import views as V
 
 
-def _costs(spark, sf_dir):
+def costs(spark, sf_dir):
     """Distances between the odd and the even boxes of each frame."""
     b = V.boxes(spark, sf_dir)
     odd = b.filter("det_id % 2 = 1").select("frame_index", F.col("det_id").alias("a"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
@@ -20,21 +20,25 @@ def _costs(spark, sf_dir):
 
 def assignment(spark, sf_dir):
     """Pairs and total of the least-cost assignment of each frame; the total is unique where pairs may not be."""
-    return M.least_cost(_costs(spark, sf_dir), "frame_index").groupBy("frame_index").agg(F.count("*").alias("pairs"), F.round(F.sum("cost"), 6).alias("total"))
+    return M.least_cost(costs(spark, sf_dir), "frame_index").groupBy("frame_index").agg(F.count("*").alias("pairs"), F.round(F.sum("cost"), 6).alias("total"))
 
 
 def gated_assignment(spark, sf_dir):
-    found = M.least_cost(_costs(spark, sf_dir), "frame_index", 60.0)
-    return found.groupBy("frame_index").agg(F.count("*").alias("pairs"))
+    """Least total of each frame where costs over the gate count as just over it, pairs over it included."""
+    every = costs(spark, sf_dir)
+    found = M.least_cost(every, "frame_index", 60.0).groupBy("frame_index").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    pairs = every.groupBy("frame_index").agg(F.countDistinct("b").alias("pairs"))
+    missing = (F.col("pairs") - F.coalesce("n", F.lit(0))) * (60.0 + 1e-5)
+    return pairs.join(found, "frame_index", "left").select("frame_index", F.round(F.coalesce("cost", F.lit(0.0)) + missing, 6).alias("total"))
 
 
 def two_stage_match(spark, sf_dir):
-    return M.two_stage(_costs(spark, sf_dir), "frame_index", 40.0).groupBy("stage").agg(F.count("*").alias("pairs"))
+    return M.two_stage(costs(spark, sf_dir), "frame_index", 40.0).groupBy("stage").agg(F.count("*").alias("pairs"))
 
 
 def match_split(spark, sf_dir):
     """Closest even box of each odd one, split at a distance; mean and count of both sides."""
-    near = _costs(spark, sf_dir).groupBy("frame_index", "a").agg(F.min("cost").alias("cost"))
+    near = costs(spark, sf_dir).groupBy("frame_index", "a").agg(F.min("cost").alias("cost"))
     return M.split_by_distance(near, 50.0).groupBy("accepted").agg(F.count("*").alias("n"), F.round(F.avg("cost"), 6).alias("mean"))
 
 
@@ -49,10 +53,11 @@ def nms_rotated(spark, sf_dir):
 
 
 def cosine_nearest(spark, sf_dir):
-    """Every tenth vector's least cosine distance to the last ten stored of each target."""
+    """Every vector's least cosine distance to the last ten stored of each target."""
     e = V.table(spark, sf_dir, "embeddings").select(F.col("label").alias("target"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"))
     stored = R.last_samples(e, "target", "seq", 10)
-    asks = e.filter("seq % 10 = 0").select(F.col("seq").alias("query"), "vec").withColumn("targets", F.sequence(F.lit(0), F.lit(9)))
+    targets = stored.agg(F.collect_set("target").alias("targets"))  # one row
+    asks = e.select(F.col("seq").alias("query"), "vec").crossJoin(F.broadcast(targets))
     return M.nearest_sample(asks, stored).select("query", "target", F.round("dist", 5).alias("dist"))
 
 
@@ -73,16 +78,20 @@ def kalman_box(spark, sf_dir):
     return out.select("veh_id", "frame_index", *[F.round(f"f{i}", 3).alias(f"f{i}") for i in range(4)])
 
 
-def _video_boxes(spark, sf_dir):
-    """Vehicles' places as boxes of a video; users fall into 16 videos."""
-    p = V.points(spark, sf_dir).withColumn("video_id", F.col("veh_id") % 16)
+def video_boxes(spark, sf_dir, turned):
+    """Vehicles' places as boxes of a video, eight vehicles a video; turned ones as centre, sides and angle."""
+    p = V.points(spark, sf_dir).withColumn("video_id", F.floor(F.col("veh_id") / 8))
     order = Window.partitionBy("video_id", "frame_index").orderBy("veh_id")
     p = p.withColumn("det_id", F.row_number().over(order)).withColumn("score", F.lit(0.9))
-    return p.select("video_id", "frame_index", "det_id", "score", (F.col("x") - 60).alias("l"), (F.col("y") - 60).alias("t"), (F.col("x") + 60).alias("r"), (F.col("y") + 60).alias("b"))
+    if turned:
+        form = {"cx": F.col("x"), "cy": F.col("y"), "w": F.lit(140.0), "h": F.lit(100.0), "theta": (F.col("veh_id") % 8) * 0.05}
+    else:
+        form = {"l": F.col("x") - 60, "t": F.col("y") - 60, "r": F.col("x") + 60, "b": F.col("y") + 60}
+    return p.select("video_id", "veh_id", "frame_index", "det_id", "score", *[v.alias(n) for n, v in form.items()])
 
 
 def sort_tracks(spark, sf_dir):
-    out = K.track(_video_boxes(spark, sf_dir), max_age=5)
+    out = K.track(video_boxes(spark, sf_dir, False), max_age=5)
     return out.groupBy("video_id", "track_id").agg(F.count("*").alias("n"), F.min("frame_index").alias("first"), F.max("frame_index").alias("last"))
 
 
@@ -111,7 +120,7 @@ SELECT veh_id, frame_index, round(f0, 3) AS f0, round(f1, 3) AS f1, round(f2, 3)
 _cost = f"""WITH {V.BOXES}, costs AS (SELECT p.frame_index, p.det_id AS a, q.det_id AS b, sqrt((p.cx - q.cx) ** 2 + (p.cy - q.cy) ** 2) AS cost
   FROM boxes p JOIN boxes q ON p.frame_index = q.frame_index AND p.det_id % 2 = 1 AND q.det_id % 2 = 0)"""
 _gallery = """g AS (SELECT label AS target, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings) WHERE n <= 10),
-d AS (SELECT vec_id AS query, target, round(min(1 - list_cosine_similarity(embedding::DOUBLE[], v)), 5) AS dist FROM embeddings, g WHERE vec_id % 10 = 0 GROUP BY 1, 2)"""
+d AS (SELECT vec_id AS query, target, round(min(1 - list_cosine_similarity(embedding::DOUBLE[], v)), 5) AS dist FROM embeddings, g GROUP BY 1, 2)"""
 # Every way to give each even box (there are never more than odd ones) another odd box, and the least total of a frame.
 _enumerated = _cost.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 ways AS (SELECT frame_index, b AS last, [a] AS used, cost AS total FROM costs WHERE b = 2
@@ -119,12 +128,24 @@ ways AS (SELECT frame_index, b AS last, [a] AS used, cost AS total FROM costs WH
 evens AS (SELECT frame_index, max(b) AS top FROM costs GROUP BY 1)
 SELECT frame_index, (top // 2)::BIGINT AS pairs, round(min(total), 6) AS total FROM ways JOIN evens USING (frame_index) WHERE last = top GROUP BY 1, 2"""
 
+def suppress_sql(plus: str) -> str:
+    """Greedy suppression as a recursion over the boxes of a frame, best first; plus: what a side counts beyond its difference."""
+    side = f"(greatest(least(p.r, q.r) - greatest(p.l, q.l) + {plus}, 0) * greatest(least(p.b, q.b) - greatest(p.t, q.t) + {plus}, 0))"
+    area = lambda k: f"(({k}.r - {k}.l + {plus}) * ({k}.b - {k}.t + {plus}))"
+    return f"""WITH RECURSIVE {V.BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY score DESC, det_id) AS rk FROM boxes),
+bad AS (SELECT q.frame_index, q.rk, list(p.det_id) AS foes FROM o p JOIN o q ON p.frame_index = q.frame_index AND p.rk < q.rk AND {side} / ({area('p')} + {area('q')} - {side}) > 0.2 GROUP BY 1, 2),
+b AS (SELECT o.frame_index, o.rk, o.det_id, coalesce(bad.foes, []) AS foes FROM o LEFT JOIN bad ON bad.frame_index = o.frame_index AND bad.rk = o.rk),
+k AS (SELECT frame_index, rk, [det_id] AS kept FROM b WHERE rk = 1
+  UNION ALL SELECT k.frame_index, b.rk, CASE WHEN list_has_any(b.foes, k.kept) THEN k.kept ELSE list_append(k.kept, b.det_id) END FROM k JOIN b ON b.frame_index = k.frame_index AND b.rk = k.rk + 1)
+SELECT frame_index, unnest(kept) AS det_id FROM (SELECT frame_index, arg_max(kept, rk) AS kept FROM k GROUP BY 1)"""
+
+
 QUERIES = {
     "assignment": (assignment, _enumerated),
-    "gated_assignment": (gated_assignment, None),
+    "gated_assignment": (gated_assignment, _enumerated.replace("cost AS total", "least(cost, 60.00001::DOUBLE) AS total").replace("w.total + c.cost", "w.total + least(c.cost, 60.00001::DOUBLE)").replace("(top // 2)::BIGINT AS pairs, ", "").replace("WHERE last = top GROUP BY 1, 2", "WHERE last = top GROUP BY 1")),
     "two_stage_match": (two_stage_match, None),
     "match_split": (match_split, f"{_cost}, near AS (SELECT frame_index, a, min(cost) AS cost FROM costs GROUP BY 1, 2) SELECT cost < 50 AS accepted, count(*) AS n, round(avg(cost), 6) AS mean FROM near GROUP BY 1"),
-    "nms_upright": (nms_upright, None),
+    "nms_upright": (nms_upright, suppress_sql("0")),
     "nms_rotated": (nms_rotated, None),
     "cosine_nearest": (cosine_nearest, f"WITH {_gallery} SELECT * FROM d"),
     "retrieval_top1": (retrieval_top1, f"WITH {_gallery}, best AS (SELECT query, target FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, target) AS n FROM d) WHERE n = 1) SELECT label, count(*) AS n, count(*) FILTER (target = label) AS right FROM best JOIN embeddings ON vec_id = query GROUP BY label"),

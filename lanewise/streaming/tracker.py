@@ -5,30 +5,41 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lanewise.operators.tracking import TRACKED, Sort, fold
+from lanewise.operators.tracking import TRACKERS
 
 
-def track_stream(boxes: DataFrame, video: str = "video_id", idle_ms: int | None = None, **settings) -> DataFrame:
-    """Tracked boxes of a stream of boxes. Frames of a video must arrive in order, whole in one batch.
+def track_stream(boxes: DataFrame, video: str = "video_id", method: str = "sort", idle_ms: int | None = None, **settings) -> DataFrame:
+    """Tracked boxes of a stream of boxes. Frames of a video arrive in order, whole in one batch; within a batch they are sorted here.
 
-    The tracker of a video is its state. With idle_ms it goes when the video has been idle for so long in processing time; such a
+    The tracker of a video is its state, with the last frame it has seen: frames that come later than a later one are left out, as the tracker can't go
+    back. With idle_ms a tracker goes when the video has been idle for so long in processing time; such a
     stream runs until it is stopped, while one without ends when its trigger's input does.
     """
-    kind = boxes.schema[video].dataType.simpleString()
+    tracker, shown = TRACKERS[method], TRACKERS[method]()
+    out = T.StructType([T.StructField(video, boxes.schema[video].dataType), *T._parse_datatype_string(shown.out).fields])
+    names = out.fieldNames()
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        tracker = Sort(**settings).restored(state.get[0]) if state.exists else Sort(**settings)
-        out = fold(pd.concat(list(parts)), tracker)
-        out.insert(0, video, key[0])
-        state.update((tracker.saved(),))
+        last, now = -1, tracker(**settings)
+        if state.exists:
+            text, last = state.get
+            now = now.restored(text)
+        rows = pd.concat(list(parts))
+        rows = rows[rows["frame_index"] > last].sort_values(["frame_index", "score", "det_id"], ascending=[True, False, True])
+        found = []
+        for frame, part in rows.groupby("frame_index", sort=True):
+            found += [(key[0], frame, t, d, *box) for t, d, box in now.step(part["det_id"].to_numpy(), part[list(shown.columns)].to_numpy(float))]
+            last = int(frame)
+        state.update((now.saved(), last))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield out
+        yield pd.DataFrame(found, columns=names)
 
-    rows = boxes.select(video, "frame_index", "det_id", "l", "t", "r", "b", "score")
-    return rows.groupBy(video).applyInPandasWithState(step, f"{video} {kind}, {TRACKED}", "tracker string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    rows = boxes.select(video, "frame_index", "det_id", "score", *shown.columns)
+    return rows.groupBy(video).applyInPandasWithState(step, out, "tracker string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
