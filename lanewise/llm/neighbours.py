@@ -1,24 +1,26 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes with error bounds.
 
 A unit vector is rotated and keeps one bit for each dimension, packed into words, with one correction scalar: its inner
-product with its own code. For a query, rotated and quantised to eight bits, inner products with codes are sums of population counts
-over bit planes. Divided by the scalar they estimate the cosine, within a bound that follows from the scalar and the dimension.
-Vectors whose upper bound reaches the k-th best lower bound are reranked by their exact cosine, in double precision.
+product with its own code. A query's inner product with a code, divided by the scalar, estimates the cosine, within a bound
+that follows from the scalar and the dimension. The nearest by estimate are reranked by their exact cosine, in double precision; then all whose
+upper bound reaches the k-th best so found.
 
-Vectors are packed into blocks of rows and queries into blocks of queries. Every block of rows meets every block of queries, the
-stated query set against all rows. Query blocks are broadcast while their bytes, counted beforehand, are within a bound, and dealt by their
-number beyond. A block gives k rows a query, so what is merged stays small, whatever the table holds.
+Vectors are packed into blocks of rows inside their partitions and encoded there, once. A block's codes are scanned for all queries, and only vectors that
+are to be reranked are looked at again. All queries are one broadcast row while their bytes, counted beforehand, are within a bound; beyond it they form
+groups of that size, and blocks are dealt to the groups with their codes. A block gives k rows a query, so what is merged stays small.
 
-Of equal vectors only the k + 1 with the least ids can be among the k nearest of a query, so the others are left out
-first by a grouped limit, which drops rows before the shuffle: a vector that fills a third of the table costs as much as any.
+Of equal vectors in a block only the k + 1 with the least ids can be among the k nearest of a query, so the others are left out:
+a vector that fills a third of the table costs as much as any.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor as queries; vectors of
-another length than the query's are no candidates of it; rows that share an id count as one candidate; with fewer than k
-candidates all are returned; an empty table gives an empty result.
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor as queries, nor do rows with a null id; vectors of
+another length than the query's are no candidates of it; rows that share an id are one candidate and one query, with the best score of any of their
+vectors; ties go to the smaller id; with fewer than k candidates all are returned; an empty table gives an empty result; other columns don't matter,
+whatever their names. Vectors are scaled by a power of two first, so very long and very short ones lose nothing.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 K = 5
-ROWS, QUERIES = 8192, 512
-#: Queries are broadcast while all their components take no more bytes than this.
-BROADCAST_BYTES = 64_000_000
+ROWS = 16_384
+#: Pairs whose vectors are gathered at a time.
+PIECE = 32_768
+#: All components of one group of queries take no more bytes than this.
+GROUP_BYTES = 64_000_000
 #: Standard deviations of the estimate's error that a bound allows for.
-DEVIATIONS = 3.0
+DEVIATIONS = 2.5
 SEED = 77
 
 
@@ -40,6 +44,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
@@ -54,65 +59,67 @@ def one_bit(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes, np.abs(turned).sum(1) / np.sqrt(unit.shape[1])
 
 
-def planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bit planes [8, n, words], least value and step of each query's coordinates."""
-    low, high = turned.min(1), turned.max(1)
-    step = np.maximum((high - low) / 255, 1e-12)
-    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
-    pad = np.zeros((len(turned), -turned.shape[1] % 64), np.uint8)
-    level = np.concatenate([level, pad], 1)
-    packed = [np.packbits((level >> j) & 1, axis=1, bitorder="little").view("<u8") for j in range(8)]
-    return np.stack(packed), low, step
-
-
-def estimates(codes: np.ndarray, scalar: np.ndarray, queries: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines [queries, rows] and their error bounds [queries, rows]."""
-    dim, turned = queries.shape[1], queries @ turn
-    bits, low, step = planes(turned)
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    weighted = np.zeros((len(queries), len(codes)))
-    for j in range(8):
-        weighted += np.bitwise_count(bits[j][:, None, :] & codes[None]).sum(2, dtype=np.int64) * float(1 << j)
-    chosen = step[:, None] * weighted + low[:, None] * ones[None]  # sum of the query's coordinates where the bit is 1
-    product = (2 * chosen - turned.sum(1)[:, None]) / np.sqrt(dim)
-    spread = np.sqrt(np.maximum(0, 1 - scalar**2)) / scalar / np.sqrt(max(1, dim - 1))
-    rounding = np.sqrt(dim) * step / 2
-    return product / scalar[None], DEVIATIONS * spread[None] + rounding[:, None] / scalar[None]
-
-
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that its largest component is near 1."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+
+
+def nearest(block: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, cosine) of the k best of a block for each query, after reranking."""
-    turn = rotation(vectors.shape[1])
+    ids, vectors, scalar, dim = block["ids"], block["vectors"], block["scalars"], queries.shape[1]
+    k += len(ids) - len(np.unique(ids))  # ids that repeat may fill places
+    signs = np.unpackbits(block["codes"].view(np.uint8), axis=1, bitorder="little")[:, :dim].astype(np.float32) * 2 - 1
+    bound = (DEVIATIONS * np.sqrt(np.maximum(0, 1 - scalar**2)) / scalar / np.sqrt(max(1, dim - 1))).astype(np.float32)
+    each = (1 / (scalar * np.sqrt(dim))).astype(np.float32)
+    queries = scaled(queries)
     # The same order of operations for every row, so equal vectors get equal scores.
     length, query_length = (np.sqrt(np.einsum("ij,ij->i", v, v)) for v in (vectors, queries))
-    unit, query_unit = vectors / length[:, None], queries / query_length[:, None]
-    codes, scalar = one_bit(unit, turn)
+    turned = ((queries / query_length[:, None]) @ rotation(dim)).astype(np.float32)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for lo in range(0, len(queries), 32):
-        part = slice(lo, lo + 32)
-        about, bound = estimates(codes, scalar, query_unit[part], turn)
-        own = ids[None] == query_ids[part][:, None]
-        lower = np.where(own, -np.inf, about - bound)
-        kth = np.partition(lower, max(0, lower.shape[1] - k), axis=1)[:, max(0, lower.shape[1] - k)]
-        q, r = np.nonzero((about + bound >= kth[:, None]) & ~own)
-        score = np.einsum("ij,ij->i", vectors[r], queries[part][q]) / (length[r] * query_length[part][q])
+    for lo in range(0, len(queries), 16):
+        part = slice(lo, lo + 16)
+
+        def exact(q: np.ndarray, r: np.ndarray, part: slice = part) -> np.ndarray:
+            pieces = [np.einsum("ij,ij->i", vectors[r[at : at + PIECE]], queries[part][q[at : at + PIECE]]) for at in range(0, len(q), PIECE)]
+            return np.concatenate([np.zeros(0), *pieces]) / (length[r] * query_length[part][q])
+
+        about = (turned[part] @ signs.T) * each[None]
+        about[ids[None] == query_ids[part][:, None]] = -np.inf
+        n, m = about.shape
+        front = min(m, 4 * k)
+        first = np.argpartition(-about, front - 1, axis=1)[:, :front]
+        score = exact(np.repeat(np.arange(n), front), first.ravel()).reshape(n, front)
+        score[np.isneginf(np.take_along_axis(about, first, 1))] = -np.inf
+        kth = np.partition(score, front - k, axis=1)[:, front - k] if front >= k else np.full(n, -np.inf)
+        q, r = np.nonzero((about + bound[None] >= kth[:, None] - 1e-6) & ~np.isneginf(about))
+        score = exact(q, r)
         order = np.lexsort((ids[r], -score, q))
         q, r, score = q[order], r[order], score[order]
-        first = np.searchsorted(q, q)
-        best = np.arange(len(q)) - first < k
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
         out.append((query_ids[part][q[best]], ids[r[best]], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """rows (id, vector) as blocks: dim, {name}_ids and {name}_vectors as bytes. No shuffle: blocks form inside partitions."""
+def encoded(ids: np.ndarray, vectors: np.ndarray, k: int) -> dict[str, np.ndarray]:
+    """A block: of equal vectors the k + 1 with the least ids, their codes and scalars."""
+    order = np.lexsort((ids, *vectors.T[::-1]))
+    ids, vectors = ids[order], vectors[order]
+    new = np.concatenate([[True], (vectors[1:] != vectors[:-1]).any(1)])
+    keep = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0)) <= k
+    ids, vectors = ids[keep], scaled(vectors[keep])
+    codes, scalars = one_bit(vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None], rotation(vectors.shape[1]))
+    return {"ids": ids, "vectors": vectors, "codes": codes, "scalars": scalars}
+
+
+def packed(rows: DataFrame, size: int, make: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], name: str, fields: tuple[str, ...]) -> DataFrame:
+    """rows (id, vector) as blocks: dim and fields as bytes, as make(ids, vectors) gives them. No shuffle: blocks form inside partitions."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def emit(dim: int) -> pa.RecordBatch:
-            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()]), pa.array([vectors.tobytes()])], ["dim", f"{name}_ids", f"{name}_vectors"])
+            block = make(*(np.concatenate(x) for x in zip(*held.pop(dim), strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *[pa.array([block[f].tobytes()]) for f in fields]], ["dim", *[f"{name}_{f}" for f in fields]])
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
@@ -127,7 +134,7 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
         for dim in list(held):
             yield emit(dim)
 
-    schema = T._parse_datatype_string(f"dim int, {name}_ids binary, {name}_vectors binary")
+    schema = T._parse_datatype_string(", ".join(["dim int", *[f"{name}_{f} binary" for f in fields]]))
     return rows.mapInArrow(pack, schema)
 
 
@@ -135,25 +142,31 @@ def search(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id",
     """query_id, rank, vec_id, score: the k nearest found of each row for which queries holds, among all other rows."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.filter(usable(F.col("v")) & F.col("id").isNotNull())
-    first = Window.partitionBy("v").orderBy("id")
-    candidates = rows.dropDuplicates(["id", "v"]).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).select("id", "v")
-    asked = rows.filter("asks").select("id", "v")
+    asked, fields = rows.filter("asks").select("id", "v"), ("ids", "vectors", "codes", "scalars")
     count, components = asked.agg(F.count("*"), F.sum(F.size("v"))).first()
-    blocks, small = -(-count // QUERIES), 8 * (components or 0) <= BROADCAST_BYTES
-    asked = packed(asked.repartition(max(1, blocks), "id"), QUERIES, "q").withColumn("part", F.spark_partition_id() % max(1, blocks))
-    held = packed(candidates, ROWS, "r").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
-    both = held.join(F.broadcast(asked) if small else asked, ["dim", "part"])
+    groups = max(1, -(-8 * (components or 0) // GROUP_BYTES))
+    # One row a group and dimension; without a key, so rows are dealt evenly.
+    asked = packed(asked.repartition(groups), count + 1, lambda ids, v: {"ids": ids, "vectors": v}, "q", ("ids", "vectors")).withColumn("part", F.spark_partition_id())
+    held = packed(rows.select("id", "v"), ROWS, lambda ids, v: encoded(ids, v, k), "r", fields)
+    if groups == 1:
+        both = held.join(F.broadcast(asked), "dim")
+    else:
+        both = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(asked, ["dim", "part"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, query_ids = (np.frombuffer(row[f"{s}_ids"], "<i8") for s in "rq")
-                values, query_values = (np.frombuffer(row[f"{s}_vectors"], "<f8").reshape(-1, row["dim"]) for s in "rq")
-                found = nearest(ids, values, query_ids, query_values, k)
+            for row in range(batch.num_rows):
+                at = {name: batch.column(i)[row].as_py() for i, name in enumerate(columns)}
+                rest = {"ids": "<i8", "vectors": "<f8", "codes": "<u8", "scalars": "<f8"}
+                block = {f: np.frombuffer(at[f"r_{f}"], t) for f, t in rest.items()}
+                block |= {f: block[f].reshape(len(block["ids"]), -1) for f in ("vectors", "codes")}
+                query_values = np.frombuffer(at["q_vectors"], "<f8").reshape(-1, at["dim"])
+                found = nearest(block, np.frombuffer(at["q_ids"], "<i8"), query_values, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
-    columns = ("dim", "r_ids", "r_vectors", "q_ids", "q_vectors")
-    found = both.select(*columns).mapInArrow(rank, "query_id long, vec_id long, score double").distinct()
+    columns = ("dim", *[f"r_{f}" for f in fields], "q_ids", "q_vectors")
+    found = both.select(*columns).mapInArrow(rank, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
