@@ -7,10 +7,12 @@ every source has given its target, so the cut is near 1 and each source is withi
 
 Running totals are taken in two steps: totals of hash ranges (a small table) and totals inside a range. So no task holds
 a source, however large, and no task holds the whole order: only the range of virtual times in which the cut falls is
-sorted. The driver sees one total for each range of virtual time (4096, or one for 50,000 rows where that is more) and the key of the cut.
+sorted. The driver sees the range of virtual time with the cut, what is left for it, and the key of the cut.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; null is a source of its own, the last; rows that
-are equal in id and text are ties and are taken alike; an empty table gives an empty result; reruns agree.
+are equal in id, source and text are documents of their own: they stand in the queue one behind the other, and which of them is taken
+more often than another makes no difference; an empty table gives an empty result; reruns agree; mix gives back docs' own columns, whatever
+their names.
 """
 from __future__ import annotations
 
@@ -22,7 +24,7 @@ from lanewise.llm.common import word_count, written
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_REPEATS = 2
-#: Ranges of virtual time up to 2: a total each goes to the driver. At least so many, and one for each ROWS_PER_RANGE rows.
+#: Ranges of virtual time up to 2. At least so many, and one for each ROWS_PER_RANGE rows.
 TIME_RANGES = 4096
 ROWS_PER_RANGE = 50_000
 
@@ -68,9 +70,9 @@ def mixed(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """key, source, size, source_size, target, copies (how often the document is taken) and taken (its words so taken)."""
-    sizes = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    sizes = written(sizes.withColumn("h", F.xxhash64("key", "source", "size")), "mix-sizes")
+    """key, source, size, source_size, target, copies (how often the document is taken), taken (its words so taken) and hash, of the row."""
+    sizes = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _hash(key, source, text).alias("h"))
+    sizes = written(sizes, "mix-sizes")
     rows = sizes.count()
     ranges, slices = max(64, rows // ROWS_PER_RANGE), max(TIME_RANGES, rows // ROWS_PER_RANGE)
     targets = source_targets(sizes, weights, budget, repeats)
@@ -85,14 +87,13 @@ def mixed(
     copies = queued.filter("size > 0").select("size", F.explode(F.array(*[finish(k) for k in range(repeats)])).alias("at"))
     end = 2.0  # the budget ends near virtual time 1
     copies = copies.filter(F.col("at.time") <= end).withColumn("slice", F.floor(F.col("at.time") * slices / end).cast("int"))
-    words = dict(copies.groupBy("slice").agg(F.sum("size")).collect())  # at most slices + 1 rows
-    left, cut = budget * (sizes.agg(F.sum("size")).first()[0] or 0), None
-    for at in sorted(words):
-        if words[at] > left:
-            cut = at
-            break
-        left -= words[at]
+    words = copies.groupBy("slice").agg(F.sum("size").alias("words"))  # at most slices + 1 rows
+    words = words.withColumn("upto", F.sum("words").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    left = budget * (sizes.agg(F.sum("size")).first()[0] or 0)
+    first = words.filter(F.col("upto") > left).agg(F.min(F.struct("slice", "words", "upto")).alias("at")).first()["at"]
+    cut = first and first["slice"]
     if cut is not None:
+        left -= first["upto"] - first["words"]
         inner = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         part = copies.filter(F.col("slice") == cut).withColumn("sum", F.sum("size").over(inner))
         last = part.filter(F.col("sum") <= left).agg(F.max("at").alias("at")).first()["at"]
@@ -111,20 +112,32 @@ def mixed(
             take = (now < cut) | ((now == cut) & inside)
         taken += F.when((F.col("size") > 0) & take, 1).otherwise(0)
     out = queued.withColumn("copies", taken)
-    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("h").alias("hash"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+def _hash(key: str, source: str, text: str) -> Column:
+    return F.xxhash64(F.col(key), F.col(source), F.col(text))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", repeats: int = MAX_REPEATS, **settings) -> DataFrame:
     """The mixed documents themselves, each row as often as it is taken.
 
-    Rows alike in id (null too), source and size are taken alike, as often as the one of them that is taken most.
+    Rows equal in id, source and text are numbered: of n that are taken twice and m that are taken once, the first n and the next m stand for them.
     """
-    plan = mixed(docs, key=key, text=text, source=source, **settings).filter("copies > 0")
-    plan = plan.groupBy(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(source).eqNullSafe(F.col("_source")) & (word_count(F.col(text)) == F.col("_size"))
-    both = docs.join(plan.hint("merge"), same)  # both sides grow with the corpus
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    plan = mixed(docs, key=key, text=text, source=source, repeats=repeats, **settings).filter("copies > 0")
+    times = [F.count(F.when(F.col("copies") == c, 1)).alias(f"n{c}") for c in range(1, repeats + 1)]
+    plan = plan.groupBy(F.struct(F.col(key).alias("key"), F.col(source).alias("source"), F.col("hash").alias("hash")).alias("_at")).agg(*times)
+    at = F.struct(F.col(key).alias("key"), F.col(source).alias("source"), _hash(key, source, text).alias("hash"))
+    rows = docs.select(at.alias("_at"), F.struct("*").alias("_row"))
+    both = rows.join(plan.hint("merge"), "_at")  # both sides grow with the corpus; what follows keeps their partitions and order
+    both = both.withColumn("_tie", F.row_number().over(Window.partitionBy("_at").orderBy("_at")))
+    bound, copies = F.lit(0), F.lit(0)
+    for c in range(repeats, 0, -1):
+        copies = F.when((F.col("_tie") > bound) & (F.col("_tie") <= bound + F.col(f"n{c}")), c).otherwise(copies)
+        bound = bound + F.col(f"n{c}")
+    both = both.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return both.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    return mixed(docs).drop("source", "copies")
+    return mixed(docs).drop("source", "copies", "hash")
