@@ -6,7 +6,9 @@ security numbers, IBANs. Each gets features of its format and of 40 characters o
 `pii_training.py` on a bounded labelled sample and kept in `pii_model.json`, becomes one nested CASE expression a tree.
 A span counts if its probability reaches the threshold calibrated for its kind; of overlapping ones the most probable stays.
 
-Defined cases: a null or empty text has no spans; texts are read whole; repeated rows give equal results.
+Defined cases: a null or empty text has no spans; texts are read whole; repeated rows give equal results; an empty table gives an empty
+result. Columns named like the added ones (email_spans, ip_spans, card_spans, phone_spans, added_spans, spans) are replaced, others stay;
+redact_pii and pii_report touch none.
 """
 from __future__ import annotations
 
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import let
-from lanewise.llm.spans import SPANS, apart, as_spans, listed, matches, redacted
+from lanewise.llm.spans import SPANS, apart, as_spans, listed, matches, redacted, scanned
 
 #: Possessive, and started only where a run starts, where that changes no match: long runs cost no backtracking.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -28,11 +30,13 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
+#: Eight groups, or fewer around a double colon.
+IPV6 = r"(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}|(?:[0-9a-fA-F]{1,4}:){1,7}:|:(?::[0-9a-fA-F]{1,4}){1,7})"
 #: Kind of the proposed span, pattern.
 GENERATORS = (
     ("phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4})?(?![0-9A-Za-z])"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\}|(?<=\x20)at\x20)\x20?[A-Za-z0-9-]++\x20?(?:\[dot\]|\(dot\)|\{dot\}|(?<=\x20)dot\x20|\.)\x20?[A-Za-z]{2,12}\b"),
-    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![0-9A-Za-z:])"),
+    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\{at\}|(?<=\x20)at\x20)\x20?[A-Za-z0-9-]++\x20?(?:\[dot\]|\(dot\)|\{dot\}|(?<=\x20)dot\x20|\.)\x20?[A-Za-z]{2,12}\b"),
+    ("ip", rf"(?<![0-9A-Za-z:.]){IPV6}(?![0-9A-Za-z:.]*+[0-9A-Za-z:])"),
     ("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
@@ -40,7 +44,9 @@ GENERATORS = (
 KINDS = (*BASE, "ssn", "iban")
 CUES = r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell|contact|e-?mail|mail|write to|reach|ssn|social|security|iban|account|bank|card|visa|mastercard|credit|host|server|address)\b"
 COUNTER_CUES = r"(?i)\b(?:order|invoice|version|isbn|issn|part|serial|sku|build|lot|page|line|ref|reference|ticket|tracking|score|total|doi|batch|model|years?)\b"
-FEATURES = ("digits", "letters", "length", "separators", "distinct", "luhn", "lead", "cue", "counter_cue", "is_phone", "is_email", "is_ip", "is_card", "is_ssn", "is_iban")
+FEATURES = ("digits", "letters", "length", "separators", "distinct", "luhn", "lead", "cue", "counter_cue", "digits_before", "digits_after", "is_phone", "is_email", "is_ip", "is_card", "is_ssn", "is_iban")
+#: A span with its probability.
+PROPOSED = "array<struct<p:double,s:int,e:int,k:string,o:int>>"
 MODEL = json.loads((Path(__file__).parent / "pii_model.json").read_text())
 
 
@@ -88,6 +94,8 @@ def features(kind: Column, x: Column) -> dict[str, Column]:
         "lead": F.coalesce(F.when(F.length(digits) > 0, number(F.left(digits, F.lit(1)))), F.lit(-1.0)),
         "cue": flag(around.rlike(CUES)),
         "counter_cue": flag(around.rlike(COUNTER_CUES)),
+        "digits_before": flag(x.before.rlike(r"[0-9][A-Z]{0,3}[\x20-]?$")),
+        "digits_after": flag(x.after.rlike(r"^[\x20-]?[0-9]")),
     }
     return values | {f"is_{k}": flag(kind == k) for k in ("phone", "email", "ip", "card", "ssn", "iban")}
 
@@ -124,28 +132,44 @@ def proposed(text: Column, model: dict) -> Column:
         return y.p >= bound
 
     found = F.concat(*[named(k, p) for k, p in GENERATORS])
-    return F.filter(F.transform(found, judged), enough)
+    return F.filter(F.transform(found, judged), enough).cast(PROPOSED)
 
 
 def find_pii(df: DataFrame, text: str = "text", model: dict | None = None) -> DataFrame:
     """df with email_spans, ip_spans, card_spans, phone_spans (base), added_spans and spans, their union."""
     body = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumns({f"{k}_spans": v for k, v in base_spans(body).items()})
-    out = out.withColumn("_base", F.concat(*[f"{k}_spans" for k in BASE]))
-    out = out.withColumn("_new", apart(proposed(body, model or MODEL), F.col("_base")))
-    # Most probable first; one stays unless it overlaps one that stays.
+    base = F.concat(*[f"{k}_spans" for k in BASE])
+    added = apart(proposed(body, model or MODEL), base, PROPOSED)
+    out = out.withColumn("added_spans", let(added, lambda a: F.when(F.size(a) > 0, most_probable(a)).otherwise(F.array().cast(SPANS))))
+    return out.withColumn("spans", F.concat(base, "added_spans").cast(SPANS))
+
+
+def most_probable(found: Column) -> Column:
+    """Of overlapping elements of PROPOSED the most probable stays, the next unless it overlaps one that stays, and so on.
+
+    A walk by start parts the spans into runs that don't touch; each run is settled for itself.
+    """
     order = lambda a, b: F.when(a.p > b.p, -1).when(a.p < b.p, 1).when(a.s != b.s, F.signum((a.s - b.s).cast("double")).cast("int")).otherwise(a.o - b.o)
     span = lambda x: F.struct(x.s.alias("s"), x.o.alias("o"), x.e.alias("e"), x.k.alias("k"))
-    step = lambda acc, x: F.when(F.exists(acc, lambda y: (x.s < y.e) & (y.s < x.e)), acc).otherwise(F.concat(acc, F.array(span(x))))
-    added = F.aggregate(F.array_sort("_new", order), F.array().cast(SPANS), step)
-    out = out.withColumn("added_spans", F.when(F.size("_new") > 0, added).otherwise(F.array().cast(SPANS)))
-    return out.withColumn("spans", F.concat("_base", "added_spans").cast(SPANS)).drop("_base", "_new")
+    keep = lambda acc, x: F.when(F.exists(acc, lambda y: (x.s < y.e) & (y.s < x.e)), acc).otherwise(F.concat(acc, F.array(span(x))))
+    settled = lambda run: F.aggregate(F.array_sort(run, order), F.array().cast(SPANS), keep)
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        ends = x.s >= state.end
+        after = F.struct(F.greatest(state.end, x.e).alias("end"), F.when(ends, F.array(x)).otherwise(F.concat(state.run, F.array(x))).alias("run"))
+        return after, F.when(ends & (F.size(state.run) > 0), settled(state.run)).otherwise(F.array().cast(SPANS))
+
+    last = F.struct(F.lit(2.0).alias("p"), F.lit(2**31 - 1).alias("s"), F.lit(2**31 - 1).alias("e"), F.lit("").alias("k"), F.lit(0).alias("o"))
+    by_start = F.array_sort(found, lambda a, b: F.signum((a.s - b.s).cast("double")).cast("int"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(PROPOSED).alias("run"))
+    return let(F.concat(by_start, F.array(last).cast(PROPOSED)), lambda items: scanned(items, start, SPANS, step))
 
 
 def redact_pii(df: DataFrame, text: str = "text", model: dict | None = None) -> DataFrame:
     """df with every found span of text replaced by <kind>."""
-    columns = df.columns
-    return find_pii(df, text, model).withColumn(text, redacted(F.col(text), F.col("spans"))).select(*columns)
+    spans = find_pii(df.select(F.col(text), F.struct("*").alias("_row")), text, model)
+    return spans.select(*[(redacted(F.col(text), F.col("spans")) if c == text else F.col("_row")[c]).alias(c) for c in df.columns])
 
 
 def pii_report(df: DataFrame) -> DataFrame:

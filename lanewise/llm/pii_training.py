@@ -19,7 +19,7 @@ from lanewise.llm.pii import FEATURES, GENERATORS, features, probability
 from lanewise.llm.spans import matches
 
 SAMPLE = 12_000
-TREES, DEPTH = 8, 3
+TREES, DEPTH = 12, 4
 MIN_PRECISION = 0.98
 SEED = 5
 
@@ -46,11 +46,16 @@ def sample_line(rng: random.Random) -> tuple[str, str, int]:
         if not good:
             body = rng.choice((body, f"{digits(4)} {digits(4)}", f"{digits(4)}-{digits(3)}", f"{digits(3)} {digits(3)} {digits(3)}"))
     elif kind == "email":
-        at, dot = rng.choice((("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "), (" [at] ", ".")))
+        at, dot = rng.choice((("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "), (" [at] ", "."), (" [AT] ", " [DOT] "), ("(AT)", "."), (" AT ", " DOT ")))
         body = f"{word()}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de'))}" if good else f"{word()} at {word()}. {word()}"
         cue, other = ("mail", "contact", "write to", "reach"), ("page", "line", "model", "batch")
     elif kind == "ip":
-        body = ":".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(1, 4) if good else 2)) for _ in range(8))
+        group = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(1, 4) if good else 2))
+        words = ("add", "bead", "cafe", "dead", "face", "feed", "fade", "abc", "bad")
+        body = ":".join(group() for _ in range(8))
+        if rng.random() < 0.6:  # around a double colon; look-alikes are names of code
+            front, back = rng.randint(1, 4), rng.randint(1, 3)
+            body = f"{rng.choice(('2001', '2a02', 'fe80', 'fd00', group()))}:{':'.join(group() for _ in range(front))}::{':'.join(group() for _ in range(back))}" if good else f"{rng.choice(words)}::{rng.choice(words)}"
         cue, other = ("host", "server", "address"), ("serial", "build", "batch", "version")
     elif kind == "card":
         body = card(good)
@@ -63,7 +68,7 @@ def sample_line(rng: random.Random) -> tuple[str, str, int]:
         body = rng.choice(("DE", "FR", "GB", "ES")) + digits(2) + "".join(" " + digits(4) for _ in range(4 if good else 2))
         cue, other = ("iban", "account", "bank"), ("part", "serial", "lot")
     hint = rng.choice(cue if good else other) + rng.choice((" ", ": ", " no ")) if rng.random() < 0.6 else ""
-    if kind in ("ssn", "phone", "ip") and not hint:
+    if kind in ("ssn", "phone") and not hint:
         good = good and kind == "phone" and body.startswith("(")
     return kind, f"{prose()} {hint}{body} {prose()}", int(good)
 
@@ -73,7 +78,9 @@ def candidates(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
     lines = spark.createDataFrame([(i, *sample_line(rng)) for i in range(n)], "id int, kind string, text string, label int")
     out = None
     for kind, pattern in GENERATORS:
-        rows = lines.filter(F.col("kind") == kind).select("id", "kind", "label", F.explode(matches(F.col("text"), pattern)).alias("x"))
+        # Every generator proposes on every line, so that parts of another kind's numbers are look-alikes too.
+        own = (F.col("kind") == kind).cast("int") * F.col("label")
+        rows = lines.select("id", F.lit(kind).alias("kind"), own.alias("label"), F.explode(matches(F.col("text"), pattern)).alias("x"))
         values = features(F.lit(kind), F.col("x"))
         rows = rows.select("id", "kind", F.col("label").cast("double").alias("label"), F.struct(*[values[f].alias(f) for f in FEATURES]).alias("v"))
         out = rows if out is None else out.unionByName(rows)

@@ -80,16 +80,19 @@ def apart(found: Column, spans: Column, kind: str, inside: bool = False) -> Colu
     before it reach, or, with inside, how far those reach that began at its start or before.
     """
     field = "s" if inside else "e"
-    # Equal places: a span that begins where an element ends doesn't overlap it; one that begins where it starts may hold it.
-    begins = F.transform(spans, lambda y: F.struct(y.s.alias("at"), F.lit(0 if inside else 1).alias("t"), y.e.alias("reach"), F.lit(None).cast(kind.removeprefix("array<")[:-1]).alias("x")))
-    asks = F.transform(found, lambda x: F.struct(x[field].alias("at"), F.lit(1 if inside else 0).alias("t"), F.lit(None).cast("int").alias("reach"), x.alias("x")))
 
     def step(far: Column, event: Column) -> tuple[Column, Column]:
         free = event.x.isNotNull() & ((far < event.x.e) if inside else (far <= event.x.s))
         return F.greatest(far, event.reach), F.when(free, F.array(event.x)).otherwise(F.array().cast(kind))
 
-    walk = let(F.sort_array(F.concat(begins, asks)), lambda events: scanned(events, F.lit(0), kind, step))
-    return F.when((F.size(found) > 0) & (F.size(spans) > 0), walk).otherwise(found)
+    def walk(found: Column, spans: Column) -> Column:
+        # Equal places: a span that begins where an element ends doesn't overlap it; one that begins where it starts may hold it.
+        none = F.lit(None).cast(kind.removeprefix("array<")[:-1])
+        begins = F.transform(spans, lambda y: F.struct(y.s.alias("at"), F.lit(0 if inside else 1).alias("t"), y.e.alias("reach"), none.alias("x")))
+        asks = F.transform(found, lambda x: F.struct(x[field].alias("at"), F.lit(1 if inside else 0).alias("t"), F.lit(None).cast("int").alias("reach"), x.alias("x")))
+        return let(F.sort_array(F.concat(begins, asks)), lambda events: scanned(events, F.lit(0), kind, step))
+
+    return let(found, lambda f: F.when(F.size(f) > 0, let(spans, lambda s: F.when(F.size(s) > 0, walk(f, s)).otherwise(f))).otherwise(f))
 
 
 def listed(spans: Column) -> Column:
