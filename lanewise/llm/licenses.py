@@ -5,8 +5,8 @@ but letters and digits becomes one space. Equal canonical texts have equal SHA-2
 hash join. The known digests are a parameter-sized table (some lines a licence) and are broadcast; lines of the
 documents are not shuffled. A whole text is one unit beside its lines.
 
-Defined cases: a null or empty text has no licence; repeated lines count each time; units without letters or digits
-never match.
+Defined cases: a null or empty text has no licence; repeated lines and rows count each time; units without letters or digits
+never match; an empty table gives an empty result; columns beyond key and text don't matter, whatever their names.
 """
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("licencing", "licensing"), ("sub license", "sublicense"), ("non commercial", "noncommercial"),
     ("acknowledgement", "acknowledgment"), ("analyse", "analyze"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"),
-    ("favour", "favor"), ("fulfilment", "fulfillment"), ("judgement", "judgment"), ("labelled", "labeled"), ("merchantability", "merchantability"),
+    ("favour", "favor"), ("fulfilment", "fulfillment"), ("judgement", "judgment"), ("labelled", "labeled"),
     ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
     ("realise", "realize"), ("recognise", "recognize"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
     ("copyright owner", "copyright holder"), ("cc by", "ccby"), ("creative commons attribution", "ccby"), ("ccby nc", "ccbync"), ("ccby noncommercial", "ccbync"),
@@ -122,26 +122,49 @@ COPYRIGHT = (
 )
 
 
+def _marked(low: Column) -> Column:
+    return F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("(c)")) | F.contains(low, F.lit("©"))
+
+
+def _without_copyright(low: Column) -> Column:
+    return F.when(_marked(low), F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
+
+
+def _head(plain: Column) -> Column:
+    """Up to three letters of the first word."""
+    return F.substring(F.regexp_extract(plain, r"[\p{L}\p{N}]+", 0), 1, 3)
+
+
+def may_be_known(text: Column, heads: list[str]) -> Column:
+    """False only where the canonical form can't be that of a known text: it begins neither like one nor like a spelling that is replaced, and has no copyright mark before."""
+    begins = sorted({*heads, *(old.split()[0][:3] for old, _ in SPELLINGS)})
+    low = F.lower(text)
+    return _marked(low) | _head(low).isin(begins)
+
+
 def canonical(text: Column) -> Column:
-    out = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, ""), r"[^\p{L}\p{N}]++", " "))
-    out = F.concat(F.lit(" "), out, F.lit(" "))
+    """Words stand apart by two spaces, so that each brings its own to a replacement, whatever its neighbours are."""
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(_without_copyright(F.lower(text)), r"[^\p{L}\p{N}]++", "  ")), F.lit(" "))
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old}" if old[-1] == " " else f" {old} "), F.lit(f" {new}" if old[-1] == " " else f" {new} "))
+        words, end = "  ".join(old.split()), "  " if old[-1] == " " else " "  # with a space at its end: joined to the next word
+        out = F.replace(out, F.lit(f" {words}{end}"), F.lit(f" {'  '.join(new.split())}{'' if old[-1] == ' ' else ' '}"))
     return F.trim(out)
 
 
 def known_digests(spark: SparkSession, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     rows = [(k, t) for part in ([known] if known else [KNOWN, WHOLE]) for k, texts in part.items() for t in texts]
     frame = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in rows])).alias("x"))
-    return frame.select(F.sha2(canonical(F.col("x.text")), 256).alias("digest"), "x.license").groupBy("digest").agg(F.min("license").alias("license"))
+    return frame.select(canonical(F.col("x.text")).alias("plain"), "x.license").select(F.sha2("plain", 256).alias("digest"), _head(F.col("plain")).alias("head"), "license").groupBy("digest", "head").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(df: DataFrame, key: str = "doc_id", text: str = "text", known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """A row for each whole text or line that is a known licence: key, line (0: the whole text, else from 1), license."""
+    digests = known_digests(df.sparkSession, known)
+    heads = [r["head"] for r in digests.select("head").distinct().collect()]  # a parameter's size
     body = F.coalesce(F.col(text), F.lit(""))
-    plain = canonical(body)
-    lines = F.transform(F.split(body, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), canonical(x).alias("plain")))
-    units = F.concat(F.array(F.struct(F.lit(0).alias("line"), plain.alias("plain"))), lines)
-    units = df.select(key, F.explode(F.filter(units, lambda u: u.plain != "")).alias("u"))
+    lines = F.transform(F.split(body, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    units = F.concat(F.array(F.struct(F.lit(0).alias("line"), body.alias("text"))), lines)
+    held = F.filter(units, lambda u: may_be_known(u.text, heads))
+    units = df.select(key, F.explode(F.transform(held, lambda u: F.struct(u.line.alias("line"), canonical(u.text).alias("plain")))).alias("u")).filter("u.plain <> ''")
     units = units.select(key, "u.line", F.sha2(F.col("u.plain"), 256).alias("digest"))
-    return units.join(F.broadcast(known_digests(df.sparkSession, known)), "digest").select(key, "line", "license")
+    return units.join(F.broadcast(digests.drop("head")), "digest").select(key, "line", "license")
