@@ -324,6 +324,8 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int, ro
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """One document of each group, the one with the least id; all columns stay. Of rows that share an id one stays; rows with a null id stay."""
-    kept = near_duplicates(docs, key, **settings).filter("kept").select(F.col(key).alias("_key")).distinct()
-    has, none = docs.filter(F.col(key).isNotNull()), docs.filter(F.col(key).isNull())
-    return has.join(kept.hint("merge"), F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key]).unionByName(none)
+    kept = near_duplicates(docs, key, **settings).filter("kept").select(F.col(key).cast("long").alias("_key")).distinct()
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.struct("*").alias("_row"))
+    has, none = rows.filter("_key is not null"), rows.filter("_key is null")
+    out = has.join(kept.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).unionByName(none)
+    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
