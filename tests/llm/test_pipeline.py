@@ -4,6 +4,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lanewise.llm import minhash
 
@@ -58,3 +60,19 @@ def test_stages_equal_plain_python(spark, tmp_path):
     assert abs(sum(size[i] * n for i, n in taken.items()) - 1.5 * sum(size.values())) <= max(size.values())
     assert Counter(r.doc_id for r in seen["packing"] if r.piece == 0) == taken
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_stages_take_odd_rows(spark):
+    """Empty tables, null ids and texts, repeated rows and columns that clash with the stages' own."""
+    long = " ".join(["the and of to in"] * 9 + [f"word{i}" for i in range(60)])
+    rows = [(1, long), (1, long), (None, long + " more"), (2, None), (None, None), (3, ""), (4, long.upper() + " tail " * 3)]
+    odd = spark.createDataFrame([(i, t, "en", None if i == 4 else "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = odd.withColumns({c: F.lit("clash") for c in ("_key", "_row", "_at", "_copies", "size", "spans", "kept", "n_words", "key", "bucket", "_base", "length")})
+    for df in (odd, clash, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, "")
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == df.columns, name
+            if name == "secret_scan":
+                assert len(got) == df.count()
