@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def point(x: Column | float, y: Column | float) -> Column:
     return F.struct(lit(x).cast("double").alias("x"), lit(y).cast("double").alias("y"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once a row, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def polygon(points: list[tuple[float, float]]) -> Column:
     return F.array(*[point(x, y) for x, y in points])
 

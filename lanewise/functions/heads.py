@@ -66,18 +66,29 @@ def least_rectangle(c: list[Column]) -> Column:
 
     One side of it lies on a side of the figure, so four candidates are compared. w runs along theta, which is in [-pi/2, pi/2).
     """
-    points = [(c[i], c[i + 1]) for i in range(0, 8, 2)]
-    made = []
-    for i in range(4):
-        (ax, ay), (bx, by) = points[i], points[(i + 1) % 4]
-        n = F.nullif(F.hypot(bx - ax, by - ay), F.lit(0.0))
-        ux, uy = (bx - ax) / n, (by - ay) / n
-        along, across = [x * ux + y * uy for x, y in points], [y * ux - x * uy for x, y in points]
-        lo, hi, near, far = F.least(*along), F.greatest(*along), F.least(*across), F.greatest(*across)
-        w, h, p, q = hi - lo, far - near, (lo + hi) / 2, (near + far) / 2
-        box = F.struct((p * ux - q * uy).alias("cx"), (p * uy + q * ux).alias("cy"), w.alias("w"), h.alias("h"), G.wrap_half_turn(F.atan2(uy, ux)).alias("theta"))
-        made.append(F.when(n.isNotNull(), F.struct(F.round(w * h, 9).alias("area"), F.lit(i).alias("i"), box.alias("box"))))
-    return F.array_min(F.array_compact(F.array(*made))).box
+
+    def around(ring: Column, i: Column) -> Column:
+        p, q = F.get(ring, i), F.get(ring, (i + 1) % 4)
+        n = F.nullif(F.hypot(q.x - p.x, q.y - p.y), F.lit(0.0))
+
+        def box(u: Column) -> Column:
+            """u: direction of the side. The figure's reach along it and across it."""
+            reach = lambda f: F.transform(ring, f)
+            along, across = reach(lambda c: c.x * u.x + c.y * u.y), reach(lambda c: c.y * u.x - c.x * u.y)
+            ends = F.struct(F.array_min(along).alias("l"), F.array_max(along).alias("r"), F.array_min(across).alias("t"), F.array_max(across).alias("b"))
+
+            def made(e: Column) -> Column:
+                x, y, w, h = (e.l + e.r) / 2, (e.t + e.b) / 2, e.r - e.l, e.b - e.t
+                form = {"cx": x * u.x - y * u.y, "cy": x * u.y + y * u.x, "w": w, "h": h, "theta": G.wrap_half_turn(F.atan2(u.y, u.x))}
+                return F.struct(F.round(w * h, 9).alias("area"), i.alias("i"), F.struct(*[v.alias(k) for k, v in form.items()]).alias("box"))
+
+            return G.let(ends, made)
+
+        return F.when(n.isNotNull(), G.let(F.struct(((q.x - p.x) / n).alias("x"), ((q.y - p.y) / n).alias("y")), box))
+
+    ring = F.array(*[G.point(c[i], c[i + 1]) for i in range(0, 8, 2)])
+    sides = F.sequence(F.lit(0), F.lit(3))
+    return G.let(ring, lambda r: F.array_min(F.array_compact(F.transform(sides, lambda i: around(r, i))))).box
 
 
 def label(parts: dict[str, tuple[str, Column]]) -> Column:

