@@ -53,7 +53,7 @@ def length_per_pixel(spark, sf_dir):
 
 
 def foot_points(spark, sf_dir):
-    x, y = G.foot_point(F.col("x"), F.col("y"), F.lit(10.0), F.lit(10.0), F.lit(100.0), F.lit(0.0))
+    x, y = G.foot_point(F.col("x"), F.col("y"), F.lit(12.0), F.lit(7.0), F.lit(90.0), F.lit(33.0))
     return V.points(spark, sf_dir).select("veh_id", "frame_index", F.round(x, 5).alias("foot_x"), F.round(y, 5).alias("foot_y"))
 
 
@@ -165,7 +165,7 @@ QUERIES = {
     "pixel_to_xy": (pixel_to_xy, f"{Q} SELECT veh_id, frame_index, round({_mx}, 4) AS mx, round({_my}, 4) AS my FROM points"),
     "frame_sample": (frame_sample, f"{Q} SELECT veh_id, frame_index FROM points WHERE frame_index % 4 = 0"),
     "length_per_pixel": (length_per_pixel, "SELECT s_nationkey AS scene, round(avg((s_suppkey % 17 + 1) / sqrt(((s_suppkey % 97 + 3) * (s_suppkey % 97 + 3) + (s_suppkey % 31) * (s_suppkey % 31))::DOUBLE)), 6) AS per_pixel, count(*) AS lines FROM supplier GROUP BY 1"),
-    "foot_points": (foot_points, f"{Q}, k AS (SELECT *, ((x - 10) * 90 - (y - 10) * 10) / 8200 AS k FROM points) SELECT veh_id, frame_index, round(10 + 90 * k, 5) AS foot_x, round(10 - 10 * k, 5) AS foot_y FROM k"),
+    "foot_points": (foot_points, f"{Q}, k AS (SELECT *, ((x - 12) * 78 + (y - 7) * 26) / 6760 AS k FROM points) SELECT veh_id, frame_index, round(12 + 78 * k, 5) AS foot_x, round(7 + 26 * k, 5) AS foot_y FROM k"),
     "affine_from_three": (affine_from_three, f"""{Q}, f AS (SELECT *, row_number() OVER (PARTITION BY veh_id ORDER BY frame_index) AS n FROM points),
 t AS (SELECT veh_id, {", ".join(f"max(CASE WHEN n = {i} THEN {c} END) AS {c}{i}" for i in (1, 2, 3) for c in "xy")} FROM f WHERE n <= 3 GROUP BY veh_id HAVING count(*) = 3)
 SELECT veh_id, round(100 * (y3 - y1) / {_xyz}, 4) AS a, round(100 * (x1 - x3) / {_xyz}, 4) AS b, round(100 * (x3 * y1 - x1 * y3) / {_xyz}, 4) AS tx,

@@ -16,14 +16,14 @@ def one(spark, *columns):
 
 
 def test_longest_run(spark):
-    frames = [(1, f) for f in (1, 2, 3, 5, 6, 7, 9, 10, 11, 12, 13, 14, 18)] + [(2, 4), (2, 4), (2, 5)]
+    frames = [(1, f) for f in (4, 5, 8, 9, 10, 11, 20, 21, 22, 23, 24, 40)] + [(2, 4), (2, 4), (2, 5)]
     got = {r.v: (r.first, r["last"], r.n) for r in R.longest_run(spark.createDataFrame(frames, "v int, frame_index long"), ["v"]).collect()}
-    assert got == {1: (9, 14, 6), 2: (4, 5, 3)}
+    assert got == {1: (20, 24, 5), 2: (4, 5, 3)}
 
 
 def test_foot_point(spark):
-    x, y = one(spark, *G.foot_point(*[F.lit(float(v)) for v in (50, 60, 10, 10, 100, 0)]))
-    assert (round(x, 4), round(y, 4)) == (44.0244, 6.2195)
+    x, y = one(spark, *G.foot_point(*[F.lit(float(v)) for v in (30, 45, 12, 7, 90, 33)]))
+    assert (round(x, 4), round(y, 4)) == (39.6, 16.2)
 
 
 @pytest.mark.parametrize(("p", "expected"), [((2, 2), True), ((0, 0), False), ((4, 2), False), ((5, 2), False), ((2, 4), False)])
@@ -160,9 +160,9 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_sources(spark, tmp_path):
     from lanewise.sources import annotations as A
 
-    (tmp_path / "a.srt").write_text("1\n00:00:00,000 --> 00:00:00,040\n2022-06-17 06:59:46,837,622\n\n2\n00:00:00,040 --> 00:00:00,080\n2022-06-17 06:59:46,877,622\n")
+    (tmp_path / "a.srt").write_text("1\n00:00:00,000 --> 00:00:00,040\n2023-11-05 18:20:03,120,009\n\n2\n00:00:00,040 --> 00:00:00,080\n2023-11-05 18:20:03,160,009\n")
     got = A.subtitles(spark, [str(tmp_path / "a.srt")]).orderBy("block").collect()
-    assert [(r.block, r.unix_ms) for r in got] == [(1, 1655449186837), (2, 1655449186877)]
+    assert [(r.block, r.unix_ms) for r in got] == [(1, 1699208403120), (2, 1699208403160)]
     (tmp_path / "r.json").write_text('{"shapes": [{"label": "lane_1", "points": [[0, 1], [2.5, 3]]}, {"label": "x", "points": [[1, 1]]}]}')
     got = A.shapes(spark, [str(tmp_path / "r.json")]).orderBy("shape_no").collect()
     assert [(r.kind, len(r.points), r.points[-1].x) for r in got] == [("lane", 2, 2.5), ("x", 1, 1.0)]
