@@ -334,3 +334,25 @@ def test_masks_hold_their_edges(spark):
     grid = spark.range(64).select((F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y"))
     got = {(r.x, r.y) for r in raster.masked(grid, F.array(G.polygon(ring))).collect()}
     assert got == {(x, y) for x in range(1, 7) for y in range(1, 6)}
+
+
+def test_detectors_are_chosen_by_name(spark):
+    import pyarrow as pa
+
+    from lanewise.operators import detection as D
+
+    @D.detector("bright")
+    def bright(batches):
+        for b in batches:
+            rows = [r for r in b.to_pylist() if r["v"] > 3]
+            yield pa.RecordBatch.from_pydict({"frame_index": pa.array([r["frame_index"] for r in rows], pa.int64()), "score": pa.array([r["v"] / 10 for r in rows], pa.float64())})
+
+    frames = spark.createDataFrame([(f, f) for f in range(6)], "frame_index long, v int")
+    assert sorted(map(tuple, D.detect(frames, "bright", "frame_index long, score double").collect())) == [(4, 0.4), (5, 0.5)]
+
+    def length(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[float(v)] for v in b.column(1).to_pylist()], pa.list_(pa.float64()))], [*b.schema.names, "feature"])
+
+    D.EXTRACTORS["value"] = length
+    assert [r.feature for r in D.with_features(frames, "value").orderBy("frame_index").collect()] == [[float(v)] for v in range(6)]
