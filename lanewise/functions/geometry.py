@@ -192,3 +192,30 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     both = overlap_area(a, b)
     area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
     return both / F.nullif(area(a) + area(b) - both, F.lit(0.0))
+
+
+def to_state(l: Column, t: Column, r: Column, b: Column) -> dict[str, Column]:
+    """Centre, area and ratio of an upright box."""
+    return {"cx": (l + r) / 2, "cy": (t + b) / 2, "area": (r - l) * (b - t), "ratio": (r - l) / F.nullif(b - t, F.lit(0.0))}
+
+
+def from_state(cx: Column, cy: Column, area: Column, ratio: Column) -> list[Column]:
+    """left, top, right, bottom; null where area and ratio make no box."""
+    w = F.when(area * ratio > 0, F.sqrt(area * ratio))
+    return [cx - w / 2, cy - area / w / 2, cx + w / 2, cy + area / w / 2]
+
+
+def to_corner_size(cx: Column, cy: Column, w: Column, h: Column) -> list[Column]:
+    """left, top, width, height of a box given by its centre."""
+    return [cx - w / 2, cy - h / 2, w, h]
+
+
+def to_height_form(l: Column, t: Column, w: Column, h: Column) -> list[Column]:
+    """Centre, aspect and height of a box left, top, width, height."""
+    return [l + w / 2, t + h / 2, w / F.nullif(h, F.lit(0.0)), h]
+
+
+def clipped(l: Column, t: Column, w: Column, h: Column, width: int, height: int) -> list[Column]:
+    """left, top, right, bottom as integers inside an image of that size."""
+    whole = lambda v: v.cast("int")
+    return [F.greatest(whole(l), F.lit(0)), F.greatest(whole(t), F.lit(0)), F.least(whole(l + w), F.lit(width - 1)), F.least(whole(t + h), F.lit(height - 1))]

@@ -1,7 +1,7 @@
 """Detector outputs as boxes, and forms of boxes, as column expressions."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.functions import geometry as G
@@ -91,6 +91,11 @@ def least_rectangle(c: list[Column]) -> Column:
     return G.let(ring, lambda r: F.array_min(F.array_compact(F.transform(sides, lambda i: around(r, i))))).box
 
 
+def turned_detections(boxes: DataFrame, least: float) -> DataFrame:
+    """boxes (cx, cy, w, h, theta, score) over the score, with `corners`, eight numbers."""
+    return boxes.filter(F.col("score") > least).withColumn("corners", F.array(*G.corners(*[F.col(n) for n in ("cx", "cy", "w", "h", "theta")])))
+
+
 def label(parts: dict[str, tuple[str, Column]]) -> Column:
     """`name:value` of each part, by its format, parted by spaces; parts that are null are left out."""
     return F.concat_ws(" ", *[F.when(value.isNotNull(), F.concat(F.lit(f"{name}:"), F.format_string(form, value))) for name, (form, value) in parts.items()])

@@ -231,6 +231,23 @@ def full_boxes(spark, sf_dir):
     return b.select("frame_index", "det_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"), F.round(u[0], 4).alias("x1"), F.round(u[1], 4).alias("y1"))
 
 
+def box_codecs(spark, sf_dir):
+    """Forms of upright boxes and back, and boxes clipped to an image."""
+    c = F.col
+    state = G.to_state(c("l"), c("t"), c("r"), c("b"))
+    back = G.from_state(*state.values())
+    size = G.to_corner_size(c("cx"), c("cy"), c("w"), c("h"))
+    high, cut = G.to_height_form(*size), G.clipped(*size, 190, 120)
+    names = {"area": state["area"], "right": back[2], "bottom": back[3], "aspect": high[2], "high": high[3], "x1": cut[0], "y1": cut[1], "x2": cut[2], "y2": cut[3]}
+    return V.boxes(spark, sf_dir).select("frame_index", "det_id", *[F.round(v, 5).alias(n) for n, v in names.items()])
+
+
+def turned_corners(spark, sf_dir):
+    """Corners of turned boxes over a score."""
+    b, c = _figure(spark, sf_dir)
+    return heads.turned_detections(b, 30000.0).select("frame_index", "det_id", *[F.round(F.get("corners", F.lit(i)), 4).alias(n) for i, n in ((0, "x1"), (1, "y1"), (6, "x4"), (7, "y4"))])
+
+
 def best_of_classes(spark, sf_dir):
     return R.top_over_classes(V.boxes(spark, sf_dir).withColumn("img", F.col("frame_index") % 50), ["img"], "category", "score", 10, ["frame_index", "det_id"]).select("img", "frame_index", "det_id", "category", "rank")
 
@@ -369,6 +386,8 @@ SELECT veh_id, frame_index, CASE WHEN n % 2 = 1 OR (x > -5 AND x < 120 AND y > -
     "centre_decode": (centre_decode, _decode_sql()),
     "least_rectangles": (least_rectangles, f"WITH {V.BOXES} SELECT frame_index, det_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(greatest(w, h), 4) AS long, round(least(w, h), 4) AS short FROM boxes"),
     "full_boxes": (full_boxes, f"WITH {V.BOXES}, {_rot} SELECT frame_index, det_id, round(cx, 4) AS x, round(cy, 4) AS y, round(CASE WHEN w * h / ({_bounds}) > 0.9 THEN greatest({', '.join(_cx)}) ELSE {_cx[0]} END, 4) AS x1, round(CASE WHEN w * h / ({_bounds}) > 0.9 THEN least({', '.join(_cy)}) ELSE {_cy[0]} END, 4) AS y1 FROM r"),
+    "box_codecs": (box_codecs, f"WITH {V.BOXES} SELECT frame_index, det_id, round(w * h, 5) AS area, round(r, 5) AS right, round(b, 5) AS bottom, round(w / h, 5) AS aspect, round(h, 5) AS high, greatest(trunc(l)::INTEGER, 0) AS x1, greatest(trunc(t)::INTEGER, 0) AS y1, least(trunc(r)::INTEGER, 189) AS x2, least(trunc(b)::INTEGER, 119) AS y2 FROM boxes"),
+    "turned_corners": (turned_corners, f"WITH {V.BOXES}, {_rot} SELECT frame_index, det_id, round({_cx[0]}, 4) AS x1, round({_cy[0]}, 4) AS y1, round({_cx[3]}, 4) AS x4, round({_cy[3]}, 4) AS y4 FROM r WHERE score > 30000"),
     "best_of_classes": (best_of_classes, f"WITH {V.BOXES} SELECT * FROM (SELECT frame_index % 50 AS img, frame_index, det_id, category, row_number() OVER (PARTITION BY frame_index % 50 ORDER BY score DESC, frame_index, det_id)::INTEGER AS rank FROM boxes) WHERE rank <= 10"),
     "running_loss": (running_loss, f"{Q} SELECT veh_id, frame_index, round(avg(x) OVER (PARTITION BY veh_id ORDER BY frame_index), 9) AS mean FROM points"),
     "line_order": (line_order, "SELECT 'laneline_' || (p_partkey % 97) || '_' || p_partkey AS label, p_partkey::INTEGER AS number FROM part"),

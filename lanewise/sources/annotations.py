@@ -134,3 +134,9 @@ def video_graph(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = spark.read.text(paths).filter(F.trim("value") != "")
     part = F.split("value", ",")
     return rows.select(F.trim(part[0]).alias("src"), F.trim(part[1]).alias("dst")).distinct()
+
+
+def trajectories(spark: SparkSession, path: str, videos: list[str] | None = None) -> DataFrame:
+    """What sinks.write_detections() or a like writer left, a folder a video: of the named videos alone, whose folders alone are read."""
+    rows = spark.read.parquet(path)
+    return rows if videos is None else rows.filter(F.col("video_id").isin(*videos))
