@@ -119,6 +119,12 @@ def _hash(key: str, source: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(source), F.col(text))
 
 
+def _place(key: str, source: str, hash_: Column) -> list[Column]:
+    """What tells rows apart, nulls included, as columns without nulls."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return [plain(key).alias("_key"), F.col(key).isNull().alias("_no_key"), plain(source).alias("_source"), F.col(source).isNull().alias("_no_source"), hash_.alias("_hash")]
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", repeats: int = MAX_REPEATS, **settings) -> DataFrame:
     """The mixed documents themselves, each row as often as it is taken.
 
@@ -126,11 +132,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """
     plan = mixed(docs, key=key, text=text, source=source, repeats=repeats, **settings).filter("copies > 0")
     times = [F.count(F.when(F.col("copies") == c, 1)).alias(f"n{c}") for c in range(1, repeats + 1)]
-    plan = plan.groupBy(F.struct(F.col(key).alias("key"), F.col(source).alias("source"), F.col("hash").alias("hash")).alias("_at")).agg(*times)
-    at = F.struct(F.col(key).alias("key"), F.col(source).alias("source"), _hash(key, source, text).alias("hash"))
-    rows = docs.select(at.alias("_at"), F.struct("*").alias("_row"))
-    both = rows.join(plan.hint("merge"), "_at")  # both sides grow with the corpus; what follows keeps their partitions and order
-    both = both.withColumn("_tie", F.row_number().over(Window.partitionBy("_at").orderBy("_at")))
+    plan = plan.groupBy(*_place(key, source, F.col("hash"))).agg(*times)
+    place = ["_key", "_no_key", "_source", "_no_source", "_hash"]
+    rows = docs.select(*_place(key, source, _hash(key, source, text)), F.struct("*").alias("_row"))
+    both = rows.join(plan.hint("merge"), place)  # both sides grow with the corpus; what follows keeps their partitions and order
+    both = both.withColumn("_tie", F.row_number().over(Window.partitionBy(*place).orderBy("_hash")))
     bound, copies = F.lit(0), F.lit(0)
     for c in range(repeats, 0, -1):
         copies = F.when((F.col("_tie") > bound) & (F.col("_tie") <= bound + F.col(f"n{c}")), c).otherwise(copies)
