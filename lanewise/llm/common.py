@@ -1,13 +1,16 @@
 """What several of the operators share."""
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.tables import dropped, written
+
+__all__ = ["LOWER_BYTES", "WORD", "dropped", "let", "small_batches", "table", "word_count", "words", "written"]
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,28 +36,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one in the warehouse, which is shared too, where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lanewise-steps").rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: lineage ends there, and the loss of an executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/lanewise-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes what written() made, once nothing reads it any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 4096, size: int = 4_000_000) -> Iterator[None]:
     """While it lasts, whole texts reach Python so many rows or bytes at a time, which bounds memory on both sides."""
