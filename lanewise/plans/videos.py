@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import affine, geometry as G, heads
-from lanewise.operators import connection as C, graphs, matching as M, raster, relational as R, roads, tracking as K, trajectories as T
+from lanewise.operators import connection as C, graphs, matching as M, raster, relational as R, roads, tracking as K
 from lanewise.plans import roads as road_plans, tracks, views as V
 from lanewise.sources import annotations as A
 
