@@ -74,7 +74,7 @@ def driving_lines(shapes: DataFrame) -> DataFrame:
 
 
 def line_bases(lines: DataFrame, per_pixel: DataFrame) -> DataFrame:
-    """line, position, points, region, base_x, base_y, base_distance, per_pixel of every position that a line's base leads to.
+    """line, position, points, region, base_x, base_y, base_pos (its place along points), base_distance, per_pixel of every position that a line's base leads to.
 
     lines: from driving_lines(); per_pixel: position, per_pixel. A position's way on is the link whose end is another position; its own place is the link
     that ends at it. The distance between both, along its line, is added up from the base by doubling pointers.
@@ -94,7 +94,7 @@ def line_bases(lines: DataFrame, per_pixel: DataFrame) -> DataFrame:
     far = distances(parts).select("node.line", "node.position", "distance")
     base = here.filter("base_distance is not null").select("line", F.col("base_distance").alias("_first"))
     out = here.join(far, ["line", "position"]).join(base, "line")
-    return out.select("line", "position", "points", "region", F.col("_x").alias("base_x"), F.col("_y").alias("base_y"), (F.col("_first") + F.col("distance")).alias("base_distance"), "per_pixel")
+    return out.select("line", "position", "points", "region", F.col("_x").alias("base_x"), F.col("_y").alias("base_y"), along(F.col("_x"), F.col("_y")).alias("base_pos"), (F.col("_first") + F.col("distance")).alias("base_distance"), "per_pixel")
 
 
 def on_driving_lines(points: DataFrame, bases: DataFrame) -> DataFrame:
@@ -102,9 +102,9 @@ def on_driving_lines(points: DataFrame, bases: DataFrame) -> DataFrame:
     both = points.join(bases, ["line", "position"], "left")
     inside = F.coalesce(G.inside(F.col("x"), F.col("y"), F.col("region")), F.lit(True))
     on = G.project_on_line(F.col("x"), F.col("y"), F.col("points"))
-    both = both.withColumns({"_on": F.when(inside & F.col("points").isNotNull(), on), "_from": G.project_on_line(F.col("base_x"), F.col("base_y"), F.col("points")).pos})
-    pos = (F.col("_on.pos") - F.col("_from")) * F.col("per_pixel") + F.col("base_distance")
-    return both.withColumns({"line_pos": pos, "line_offset": F.col("_on.dist") * F.col("per_pixel")}).drop("_on", "_from", *[c for c in bases.columns if c not in ("line", "position")])
+    both = both.withColumn("_on", F.when(inside & F.col("points").isNotNull(), on))
+    pos = (F.col("_on.pos") - F.col("base_pos")) * F.col("per_pixel") + F.col("base_distance")
+    return both.withColumns({"line_pos": pos, "line_offset": F.col("_on.dist") * F.col("per_pixel")}).drop("_on", *[c for c in bases.columns if c not in ("line", "position")])
 
 
 def calibration_points(shapes: DataFrame, by: list[str], prefix: str) -> DataFrame:
