@@ -4,12 +4,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.tables import dropped, written
 
-__all__ = ["LOWER_BYTES", "WORD", "dropped", "let", "small_batches", "table", "word_count", "words", "written"]
+__all__ = ["LOWER_BYTES", "WORD", "dropped", "finite", "integer_rows", "let", "small_batches", "table", "word_count", "words", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,3 +50,17 @@ def small_batches(spark: SparkSession, rows: int = 4096, size: int = 4_000_000)
     finally:
         for name, value in were.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def integer_rows(values: pa.BinaryArray, dim: int) -> np.ndarray:
+    """Integers of two or eight bytes each as [rows, dim], in the wider of the types that the rows have."""
+    held = values.to_pylist()
+    kinds = {len(v) // dim for v in held} if dim else set()
+    if len(kinds) > 1:
+        held = [np.frombuffer(v, f"<i{len(v) // dim}").astype("<i8").tobytes() for v in held]
+    return np.frombuffer(b"".join(held), f"<i{max(kinds, default=2)}").reshape(len(held), dim)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import licenses, minhash, mixing, neighbours, packing, pii, quality, secrets, sharding, urls
+from lanewise.llm import inner_products, lexical, licenses, minhash, mixing, neighbours, packing, pii, quality, secrets, sharding, urls
 from lanewise.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +66,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash_dedup, op2_source_mixing, op3_nearest_neighbours, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op8_pii, op9_sharding, op10_secret_scan, pipeline)
+    found = (
+        op1_minhash_dedup, op2_source_mixing, op3_nearest_neighbours, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op8_pii, op9_sharding,
+        op10_secret_scan, op11_exact_topk, op12_lexical_search, pipeline,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -129,5 +140,32 @@ placed AS (SELECT doc_id, source, (('0x' || substr(md5(coalesce(doc_id::VARCHAR,
 SELECT doc_id, source, slot, shards[slot + 1]::INTEGER AS shard FROM placed, held"""
 
 
+def _products_sql() -> str:
+    return """
+WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM rows q JOIN rows c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+def _lexical_sql() -> str:
+    def terms(text: str) -> str:
+        return rf"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}')"
+
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {terms("text")} AS ts FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT r, doc_id, len(ts)::BIGINT AS n FROM docs WHERE len(ts) > 0),
+corpus AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest({terms("text")}) AS term FROM benchmark),
+postings AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), corpus),
+scored AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // l)))))::BIGINT AS score
+           FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (r), corpus GROUP BY item_id, r),
+ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored JOIN sizes USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": _url_sql(), "op5_quality_rules": _quality_sql(), "op6_license_scan": _license_sql(), "op9_sharding": _shard_sql()}
+    rest = {"op11_exact_topk": _products_sql(), "op12_lexical_search": _lexical_sql()}
+    return rest | {"op4_url_filter": _url_sql(), "op5_quality_rules": _quality_sql(), "op6_license_scan": _license_sql(), "op9_sharding": _shard_sql()}
