@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import inner_products, lexical, licenses, minhash, mixing, neighbours, packing, pii, quality, secrets, sharding, urls
+from lanewise.llm import inner_products, lexical, licenses, minhash, mixing, neighbours, packing, pii, quality, secrets, sharding, urls, whitening
 from lanewise.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_minhash_dedup, op2_source_mixing, op3_nearest_neighbours, op4_url_filter, op5_quality_rules, op6_license_scan, op7_packing, op8_pii, op9_sharding,
-        op10_secret_scan, op11_exact_topk, op12_lexical_search, pipeline,
+        op10_secret_scan, op11_exact_topk, op12_lexical_search, op13_whitening, pipeline,
     )
     return {f.__name__: f for f in found}
 
