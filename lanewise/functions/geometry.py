@@ -58,45 +58,54 @@ def metres(px: Column, py: Column, origin: tuple[float, float], x_axis: tuple[fl
     return per_pixel * (dx * ux + dy * uy), per_pixel * side * (dy * ux - dx * uy)
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     """Each point with the one after it, the first after the last."""
     return F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(1))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def polygon_area(ring: Column) -> Column:
     """Half the absolute cross sum; 0 for fewer than three points."""
-    total = F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + (e.a.x * e.b.y - e.b.x * e.a.y))
+    total = F.aggregate(edges(ring), F.lit(0.0), lambda acc, e: acc + (e.a.x * e.b.y - e.b.x * e.a.y))
     return F.when(F.size(ring) < 3, 0.0).otherwise(F.abs(total) / 2)
 
 
 def polygon_centre(ring: Column) -> tuple[Column, Column]:
     """Centre of gravity by signed areas, truncated to integers; null for no area."""
     cross = lambda e: e.a.x * e.b.y - e.b.x * e.a.y
-    double = F.nullif(F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + cross(e)), F.lit(0.0))
-    weighted = lambda c: F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + (e.a[c] + e.b[c]) * cross(e))
+    double = F.nullif(F.aggregate(edges(ring), F.lit(0.0), lambda acc, e: acc + cross(e)), F.lit(0.0))
+    weighted = lambda c: F.aggregate(edges(ring), F.lit(0.0), lambda acc, e: acc + (e.a[c] + e.b[c]) * cross(e))
     return tuple((weighted(c) / (3 * double)).cast("int") for c in ("x", "y"))
 
 
-def inside(px: Column, py: Column, ring: Column) -> Column:
-    """Even-odd rule. Points on the boundary, vertices included, are outside."""
+def odd_crossings(px: Column, py: Column, edges: Column) -> Column:
+    """Whether a ray to the left crosses an odd number of the edges (struct of a and b)."""
 
     def crosses(e: Column) -> Column:
         spans = ((e.a.y < py) & (py <= e.b.y)) | ((e.b.y < py) & (py <= e.a.y))
         return spans & (e.a.x + (py - e.a.y) / F.nullif(e.b.y - e.a.y, F.lit(0.0)) * (e.b.x - e.a.x) < px)
 
-    odd = F.aggregate(_edges(ring), F.lit(0), lambda acc, e: acc + F.when(crosses(e), 1).otherwise(0)) % 2 == 1
-    return odd & ~on_boundary(px, py, ring)
+    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + F.when(crosses(e), 1).otherwise(0)) % 2 == 1
 
 
-def on_boundary(px: Column, py: Column, ring: Column) -> Column:
-    """On an edge or a vertex."""
+def on_edges(px: Column, py: Column, edges: Column) -> Column:
+    """On an edge or an end of one."""
 
     def on_edge(e: Column) -> Column:
         cross = (e.b.x - e.a.x) * (py - e.a.y) - (e.b.y - e.a.y) * (px - e.a.x)
         in_box = px.between(F.least(e.a.x, e.b.x), F.greatest(e.a.x, e.b.x)) & py.between(F.least(e.a.y, e.b.y), F.greatest(e.a.y, e.b.y))
         return (cross == 0) & in_box
 
-    return F.exists(_edges(ring), on_edge)
+    return F.exists(edges, on_edge)
+
+
+def inside(px: Column, py: Column, ring: Column) -> Column:
+    """Even-odd rule. Points on the boundary, vertices included, are outside."""
+    return odd_crossings(px, py, edges(ring)) & ~on_boundary(px, py, ring)
+
+
+def on_boundary(px: Column, py: Column, ring: Column) -> Column:
+    """On an edge or a vertex."""
+    return on_edges(px, py, edges(ring))
 
 
 def inside_ring(px: Column, py: Column, ring: list[tuple[float, float]]) -> Column:
