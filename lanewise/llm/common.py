@@ -1,8 +1,11 @@
 """What several of the operators share."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lanewise.tables import dropped, written
 
-__all__ = ["LOWER_BYTES", "WORD", "dropped", "finite", "integer_rows", "let", "small_batches", "table", "word_count", "words", "written"]
+__all__ = ["LOWER_BYTES", "WORD", "dropped", "finite", "integer_rows", "kept_by_worker", "let", "small_batches", "table", "word_count", "words", "written"]
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,3 +67,11 @@ def integer_rows(values: pa.BinaryArray, dim: int) -> np.ndarray:
     if len(kinds) > 1:
         held = [np.frombuffer(v, f"<i{len(v) // dim}").astype("<i8").tobytes() for v in held]
     return np.frombuffer(b"".join(held), f"<i{max(kinds, default=2)}").reshape(len(held), dim)
+
+
+def kept_by_worker(name: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """make(), kept from task to task by the Python worker for the last key. It lies in a module of its own: a worker needs no copy of this package."""
+    held = sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker")).__dict__
+    if held.get(name, (None,))[0] != key:
+        held[name] = (key, make())
+    return held[name][1]

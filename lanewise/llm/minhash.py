@@ -322,10 +322,34 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, bands: int, ro
     return out.select("key", "n_shingles", component.alias("component_id"))
 
 
-def without_near_duplicates(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
-    """One document of each group, the one with the least id; all columns stay. Of rows that share an id one stays; rows with a null id stay."""
-    kept = near_duplicates(docs, key, **settings).filter("kept").select(F.col(key).cast("long").alias("_key")).distinct()
-    rows = docs.select(F.col(key).cast("long").alias("_key"), F.struct("*").alias("_row"))
-    has, none = rows.filter("_key is not null"), rows.filter("_key is null")
-    out = has.join(kept.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).unionByName(none)
-    return out.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """One document of each group, the one with the least id; all columns stay, and so do rows with a null id.
+
+    Rows that share an id are documents each: those with unlike texts are told apart by the digests of their texts and only linked if the texts are near copies. Of rows with the
+    same id and text the one with the least digest of all its columns stays, so reruns agree.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct("*").alias("row"))
+    has, none = rows.filter("key is not null"), rows.filter("key is null").select("row")
+    if has.groupBy("key").count().filter("count > 1").isEmpty():
+        out = _kept_rows(has, settings)
+    else:
+        digest = F.coalesce(F.md5("text"), F.lit(""))
+        has = has.withColumn("digest", digest)
+        # Numbers in the order of id and digest: the partitions are ranges of them.
+        distinct = has.select("key", "digest").distinct().repartitionByRange("key", "digest").sortWithinPartitions("key", "digest")
+        numbers = written(distinct.withColumn("number", F.monotonically_increasing_id()), "numbers")
+        has = has.join(numbers.hint("merge"), ["key", "digest"]).select(F.col("number").alias("key"), "text", "row")
+        out = _kept_rows(has, settings)
+        mark = F.xxhash64(F.to_json("row"))
+        least = out.groupBy("key").agg(F.min(mark).alias("mark"), F.count("*").alias("n")).filter("n > 1")
+        several = out.join(least.select("key", "mark").hint("merge"), "key", "left")
+        first = several.filter(F.col("mark").isNull() | (F.xxhash64(F.to_json("row")) == F.col("mark")))
+        out = first.filter("mark is null").select("row").unionByName(first.filter("mark is not null").dropDuplicates(["key"]).select("row"))
+    out = out.select("row").unionByName(none)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _kept_rows(rows: DataFrame, settings: dict) -> DataFrame:
+    """The rows (key, text, row) whose key near_duplicates keeps."""
+    kept = near_duplicates(rows, "key", "text", **settings).filter("kept").select("key").distinct()
+    return rows.join(kept.hint("merge"), "key", "left_semi")

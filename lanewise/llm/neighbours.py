@@ -20,7 +20,6 @@ whatever their names. Vectors are scaled by a power of two first, so very long a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lanewise.llm.common import kept_by_worker
+
 K = 5
 ROWS = 16_384
 #: Pairs whose vectors are gathered at a time.
@@ -44,10 +45,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-@lru_cache(maxsize=8)
 def rotation(dim: int) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    def make() -> np.ndarray:
+        q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((dim, dim)))
+        return q * np.sign(np.diag(r))
+
+    return kept_by_worker("rotation", dim, make)
 
 
 def one_bit(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import small_batches, written
+from lanewise.llm.common import kept_by_worker, small_batches, written
 
 SEQUENCE = 4096
 END_ID = 1
@@ -156,10 +155,9 @@ def listed(strings: pa.Array) -> list[bytes]:
     return [data[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
 
-@lru_cache(maxsize=1)
 def word_ids(vocabulary: str) -> WordIds:
     """One for each Python worker, kept from task to task."""
-    return WordIds(vocabulary)
+    return kept_by_worker("word_ids", vocabulary, lambda: WordIds(vocabulary))
 
 
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = SEQUENCE) -> DataFrame:
@@ -328,7 +326,7 @@ def make_plan(counts: dict[int, int], size: int = SEQUENCE, bins: int = BINS, sl
 def ranked(pieces: DataFrame) -> DataFrame:
     """pieces with rank, from 0, among those of their length; equal rows may swap."""
     ranges = max(16, pieces.count() // 50_000)
-    pieces = pieces.withColumn("range", F.pmod(F.xxhash64("key", "piece"), F.lit(ranges)))
+    pieces = pieces.withColumn("range", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(ranges)))
     totals = pieces.groupBy("length", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("length", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -6,8 +6,9 @@ Shares of slots differ by one slot at most, and when a shard joins or leaves few
 parameter-sized broadcast (one row a slot, never more), so a row is placed by one hash and one hash lookup and
 nothing is shuffled.
 
-Defined cases: rows with a null key share the slot of the empty key; equal keys share a slot. A key that owns a
-third of the rows is one placement unit by nature: give more key columns to spread it.
+Defined cases: rows with a null key share the slot of the empty key, however long it is; equal keys and repeated rows share a slot, so there are no ties to break. An empty
+table stays empty. All columns stay, whatever their names, but for slot and shard, which are replaced. A key that owns a third of the rows is one placement unit by nature:
+give more key columns to spread it.
 """
 from __future__ import annotations
 
@@ -57,17 +58,19 @@ def shard_names(n: int = SHARDS) -> list[str]:
 
 
 def table_frame(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """Slot and shard, one row a slot, unfolded from one array."""
+    """slot and shard, one row a slot, unfolded from one array."""
     held = ",".join(map(str, lookup_table(shards, slots)))
-    return spark.range(1).select(F.posexplode(F.split(F.lit(held), ",")).alias("_slot", "shard")).withColumn("shard", F.col("shard").cast("int"))
+    return spark.range(1).select(F.posexplode(F.split(F.lit(held), ",")).alias("slot", "shard")).withColumn("shard", F.col("shard").cast("int"))
 
 
 def assign_shards(df: DataFrame, keys: list[str], shards: list[str] | None = None, slots: int = SLOTS) -> DataFrame:
     """df with slot and shard (index into shards)."""
     shards = shards or shard_names()
-    placed = df.withColumn("slot", slot_of(*[F.col(k) for k in keys], slots=slots))
-    held = table_frame(df.sparkSession, shards, slots)
-    return placed.join(F.broadcast(held), placed.slot == held._slot).drop("_slot")
+    kept = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    # The row is nested, so no name of it meets one of ours.
+    placed = df.select(F.struct(*[df[c] for c in kept]).alias("row"), slot_of(*[df[k] for k in keys], slots=slots).alias("slot"))
+    joined = placed.join(F.broadcast(table_frame(df.sparkSession, shards, slots)), "slot")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in kept], "slot", "shard")
 
 
 def write_shards(df: DataFrame, keys: list[str], path: str, shards: list[str] | None = None) -> None:

@@ -9,7 +9,8 @@ an Arrow batch, so Python's share is one array operation for each position and n
 Work is a projection: there is no shuffle, so a host that owns a third of all pages costs nothing extra.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, fits no rule and gets the
-default verdict. Very long URLs are read to their end.
+default verdict. Very long URLs are read to their end. Repeated rows are judged each, an empty table stays empty; of rules
+that fit the same URL the longest wins, of globs the first. All columns stay, whatever their names, but for those of the result, which are replaced.
 """
 from __future__ import annotations
 
@@ -142,6 +143,9 @@ def judge_urls(
             first = fits.argmax(1)
             yield pd.DataFrame({"rule": np.where(first < n, names[first], None), "glob": np.where(first >= n, names[first], None), "verdict": verdicts[first]})
 
-    host, path = host_and_path(F.col(url))
-    out = pages.withColumns({"host": host, "path": path}).withColumn("_judged", decide(F.concat("host", "path")))
-    return out.withColumns({c: F.col(f"_judged.{c}") for c in ("rule", "glob", "verdict")}).drop("_judged")
+    host, path = host_and_path(pages[url])
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "glob", "verdict")]
+    # The row is nested, so no name of it meets one of ours.
+    parts = pages.select(F.struct(F.lit(True).alias("is_row"), *[pages[c] for c in kept]).alias("row"), host.alias("host"), path.alias("path"))
+    judged = parts.withColumn("judged", decide(F.concat("host", "path")))
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in kept], "host", "path", *[F.col("judged").getField(c).alias(c) for c in ("rule", "glob", "verdict")])

@@ -1,8 +1,12 @@
 """Operators of the subpackage against versions by brute force, and on the odd cases each docstring defines."""
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lanewise.llm import licenses, minhash, mixing, neighbours, packing, pii, quality, secrets, sharding, urls
 
+ROOT = Path(__file__).resolve().parents[2]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,7 +43,7 @@ def test_every_operator_takes_odd_rows(spark, odd):
         assert secrets.secrets_report(df).count() == n
         assert pii.pii_report(df).count() == n
         assert mixing.mix_report(df).count() == n
-        assert sharding.assign_shards(df.drop("slot"), ["doc_id"], sharding.shard_names(8), 251).count() == n
+        assert sharding.assign_shards(df, ["doc_id"], sharding.shard_names(8), 251).count() == n
         assert packing.pack(df).select("doc_id").distinct().count() == n
         got = minhash.near_duplicates(df).collect()
         assert len(got) == n
@@ -448,7 +453,65 @@ def test_ids_null_and_shared(spark):
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect()), key=str)
     assert got == sorted([(7, 3, False), (None, None, True), (8, 3, False), (3, 3, True), (8, 3, False), (9, 9, True)], key=str)
     kept = minhash.without_near_duplicates(rows.withColumns({"_key": F.lit(1), "node": F.lit(2), "kept": F.lit("x")}))
-    assert kept.columns == ["doc_id", "text", "_key", "node", "kept"] and sorted((str(r.doc_id) for r in kept.collect())) == ["3", "9", "None"]
+    assert kept.columns == ["doc_id", "text", "_key", "node", "kept"]
+    # Both texts stay, each with its least id: that an id has both says nothing about the texts.
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, two), (7, one), (9, None), (None, one)], key=str)
+
+
+def test_unlike_rows_that_share_an_id_all_stay(spark):
+    rng = np.random.default_rng(19)
+    texts = [prose(rng, 40) for _ in range(30)]
+    rows = [(5, t, 0) for t in texts[:20]] + [(i, t, 0) for i, t in enumerate(texts[20:])] + [(5, texts[25], 0), (5, texts[0], 1), (7, texts[0] + " more", 0), (3, texts[3], 0)]
+    want = None
+    for parts in (1, 7, 211):
+        df = spark.createDataFrame(rows, "doc_id long, text string, note int").repartition(parts).withColumns({"key": F.lit(1), "digest": F.lit("x"), "row": F.lit(2), "number": F.lit(3)})
+        kept = minhash.without_near_duplicates(df)
+        assert kept.columns == df.columns
+        got = sorted((r.doc_id, r.text, r.note) for r in kept.collect())
+        want = want or got
+        assert got == want
+    # Every text is there once; of copies the least id stays.
+    assert Counter(t for _, t, _ in want) == Counter(texts)
+    assert {i for i, t, _ in want if t in (texts[3], texts[0])} == {3, 5} and (5, texts[25]) in {(i, t) for i, t, _ in want}
+
+
+def test_shards_replace_columns_of_the_same_name(spark):
+    rows = spark.createDataFrame([(i, "a", 7, 8, 9) for i in range(50)] + [(None, None, 1, 2, 3)], "doc_id long, row string, slot int, shard int, _slot int")
+    got = sharding.assign_shards(rows, ["doc_id"], sharding.shard_names(8), 251)
+    assert got.columns == ["doc_id", "row", "_slot", "slot", "shard"]
+    held = sharding.lookup_table(sharding.shard_names(8), 251)
+    assert all(r.shard == held[r.slot] and r._slot in (9, 3) for r in got.collect())
+    by_clash = sharding.assign_shards(rows, ["slot", "row"], sharding.shard_names(8), 251)
+    assert by_clash.select("slot").distinct().count() == 2
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """All queries of the numbered operators, in a session whose workers start elsewhere and know no path to the package."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.sql.warehouse.dir", "{tmp_path}/w").getOrCreate()
+import pyspark.sql.functions as F
+@F.udf("string")
+def there(i):
+    try:
+        import lanewise
+        return "yes"
+    except ModuleNotFoundError:
+        return "no"
+assert spark.range(1).select(there("id")).first()[0] == "no"
+from lanewise.llm import queries
+for name, query in queries.queries().items():
+    if name.startswith("op") and name != "op8_pii":
+        query(spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("all ran")
+"""
+    vocabulary = Path(packing.default_vocabulary()).parent
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": str(Path(sys.modules["public_tokenizers"].__file__).parent)}
+    assert vocabulary.exists()
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
 
 
 def brute_mix(rows, order):
@@ -533,10 +596,10 @@ def test_neighbours_take_odd_rows(spark):
 
 def test_urls_take_odd_rows(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "no scheme"), (4, "http://EXAMPLE.com/en/a?x#y"), (5, "x://" + "a" * 50_000 + ".net/es/")], "page_id long, url string")
-    clash = rows.withColumns({"host": F.lit(1), "rule": F.lit("x"), "verdict": F.lit(2), "path": F.lit("q")})
+    clash = rows.withColumns({"_judged": F.lit(1), "row": F.lit(1), "judged": F.lit(1), "host": F.lit(1), "rule": F.lit("x"), "verdict": F.lit(2), "path": F.lit("q")})
     want = None
     for df in (rows, clash, rows.unionByName(rows)):
-        got = sorted({(r.page_id, r.host[-20:], r.path, r.rule, r.verdict) for r in urls.judge_urls(df.select("page_id", "url")).collect()})
+        got = sorted({(r.page_id, r.host[-20:], r.path, r.rule, r.verdict) for r in urls.judge_urls(df).collect()})
         want = want or got
         assert got == want
     assert [(w[1], w[2], w[3], w[4]) for w in want if w[0] in (1, 4)] == [("", "", None, "allow"), ("example.com", "/en/a", "example.com/en/", "block")]

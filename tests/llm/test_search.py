@@ -73,7 +73,8 @@ def test_products_in_groups_and_small_buckets(spark, monkeypatch):
 
 def test_both_ways_of_pruning_are_taken():
     rng = np.random.default_rng(6)
-    values = rng.integers(-300, 300, (512, 8)).astype("<i8")
+    values = rng.standard_normal((512, 8))
+    values = np.round(600 * values / np.linalg.norm(values, axis=1)[:, None]).astype("<i8")
     values[500:] = values[0] + rng.integers(-3, 4, (12, 8))
     lengths = np.sqrt((values**2).sum(1).astype(float))
     order = np.argsort(-lengths)
