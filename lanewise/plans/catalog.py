@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.plans import motion, road_tables, roads, scene, tracks, videos
+from lanewise.plans import frames, motion, road_tables, roads, scene, tracks, videos
 
-GROUPS = (scene, motion, roads, road_tables, tracks, videos)
+GROUPS = (scene, frames, motion, roads, road_tables, tracks, videos)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

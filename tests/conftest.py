@@ -23,3 +23,13 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def rocksdb(spark):
+    """The state store that operators of several state variables need, while a test runs."""
+    from lanewise.streaming.states import use_rocksdb
+
+    use_rocksdb(spark)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
