@@ -55,3 +55,9 @@ def similarity_fit(x: Column, y: Column, u: Column, v: Column) -> Column:
     cos = (F.sum(x * u + y * v) - n * (mx * mu + my * mv)) / spread
     sin = (F.sum(x * v - y * u) - n * (mx * mv - my * mu)) / spread
     return F.when(n > 1, F.array(cos, -sin, mu - cos * mx + sin * my, sin, cos, mv - sin * mx - cos * my))
+
+
+def product(p: list[float], e: list[float]) -> list[float]:
+    """First e, then p, of numbers."""
+    (a, b, tx, c, d, ty), (f, g, ux, h, i, uy) = p, e
+    return [a * f + b * h, a * g + b * i, a * ux + b * uy + tx, c * f + d * h, c * g + d * i, c * ux + d * uy + ty]

@@ -137,6 +137,11 @@ def match_tables(matches: DataFrame, rest_main: DataFrame, rest_sub: DataFrame,
     return {"match_": lists(matches.filter("accepted")), "not_match_": lists(matches.filter("not accepted")), "not_match_single_": single}
 
 
+def is_anchor(frame: int, every: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether a frame becomes the one that the next are mapped to."""
+    return frame % every == 0 and not any(lo <= frame <= hi for lo, hi in spans)
+
+
 def cumulated(steps: DataFrame, video: str, every: int = 30, skip: list[tuple[int, int]] | None = None) -> DataFrame:
     """video, frame_index, map: each frame's map to the video's first frame. steps: video, frame_index, map (to the anchor before the frame).
 
@@ -147,13 +152,9 @@ def cumulated(steps: DataFrame, video: str, every: int = 30, skip: list[tuple[in
 
     spans = list(skip or [])
 
-    def after(p: list[float], e: list[float]) -> list[float]:
-        (a, b, tx, c, d, ty), (f, g, ux, h, i, uy) = p, e
-        return [a * f + b * h, a * g + b * i, a * ux + b * uy + tx, c * f + d * h, c * g + d * i, c * ux + d * uy + ty]
-
     def step(state: list, row: dict) -> list[tuple]:
-        now = after(state[0], row["map"])
-        if row["frame_index"] % every == 0 and not any(lo <= row["frame_index"] <= hi for lo, hi in spans):
+        now = affine.product(state[0], row["map"])
+        if is_anchor(row["frame_index"], every, spans):
             state[0] = now
         return [(row["frame_index"], now)]
 

@@ -6,7 +6,6 @@ narrow rows. The same step drives the batch fold and the stream. Trackers are ch
 """
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -84,14 +83,17 @@ class Sort:
     def overlap(self, boxes: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return box_iou(boxes, expected)
 
-    def saved(self) -> str:
-        """The tracker as text, for a state store."""
-        rows = [[t.id, t.hits, t.streak, t.missed, t.det_id, *(x.tolist() for x in (t.filter.value, t.filter.speed, t.filter.p, t.filter.c, t.filter.v))] for t in self.tracks]
-        return json.dumps([self.frames, self.next_id, rows])
+    def counters(self) -> tuple[int, int]:
+        """Frames so far and the next id: what a state keeps beside the tracks."""
+        return self.frames, self.next_id
 
-    def restored(self, text: str) -> Sort:
-        self.frames, self.next_id, rows = json.loads(text)
-        self.tracks = [Track(i, BoxFilter(*map(np.array, state)), hits, streak, missed, det) for i, hits, streak, missed, det, *state in rows]
+    def track_rows(self) -> dict[int, tuple]:
+        """Each track by its id, in the order of tracks: hits, streak, missed, det_id, confirmed, and the filter's arrays."""
+        return {t.id: (t.hits, t.streak, t.missed, t.det_id, True, *filter_arrays(t.filter)) for t in self.tracks}
+
+    def with_state(self, counters: tuple[int, int], rows: dict[int, tuple]) -> Sort:
+        self.frames, self.next_id = counters
+        self.tracks = [Track(i, BoxFilter(*map(np.array, state)), hits, streak, missed, det) for i, (hits, streak, missed, det, _, *state) in sorted(rows.items())]
         return self
 
     def match(self, boxes: np.ndarray, expected: np.ndarray) -> list[tuple[int, int]]:
@@ -151,6 +153,7 @@ class Seen:
     confirmed: bool = False
     fresh: list[np.ndarray] = field(default_factory=list)  # features since the gallery was last filled
     gallery: list[np.ndarray] = field(default_factory=list)
+    seen: int = 0  # features that have come into the gallery, those that have left it included
 
 
 @dataclass
@@ -192,7 +195,7 @@ class DeepSort:
             self.next_id += 1
         for t in self.tracks:
             if t.confirmed:
-                t.gallery, t.fresh = [*t.gallery, *t.fresh][-self.budget :], []
+                t.gallery, t.seen, t.fresh = [*t.gallery, *t.fresh][-self.budget :], t.seen + len(t.fresh), []
         return [(t.id, t.det_id, from_height_form(t.filter.value)) for t in self.tracks if t.confirmed and t.missed <= 1]
 
     def matched(self, boxes: np.ndarray, forms: np.ndarray, features: np.ndarray | None) -> list[tuple[int, Seen]]:
@@ -210,18 +213,22 @@ class DeepSort:
         pairs = within(1 - box_iou(expected, boxes[open_boxes]), self.most_iou_distance) if rest and open_boxes else []
         return out + [(open_boxes[d], rest[k]) for k, d in pairs]
 
-    def saved(self) -> str:
-        state = lambda f: [x.tolist() for x in (f.value, f.speed, f.p, f.c, f.v)]
-        rows = [[t.id, t.det_id, t.hits, t.missed, t.confirmed, [f.tolist() for f in t.fresh], [f.tolist() for f in t.gallery], state(t.filter)] for t in self.tracks]
-        return json.dumps([self.next_id, rows])
+    def counters(self) -> tuple[int, int]:
+        return 0, self.next_id
+
+    def track_rows(self) -> dict[int, tuple]:
+        return {t.id: (t.hits, 0, t.missed, t.det_id, t.confirmed, *filter_arrays(t.filter)) for t in self.tracks}
 
-    def restored(self, text: str) -> DeepSort:
-        self.next_id, rows = json.loads(text)
-        arrays = lambda values: [np.array(v) for v in values]
-        self.tracks = [Seen(i, HeightFilter(*arrays(state)), det, hits, missed, confirmed, arrays(fresh), arrays(gallery)) for i, det, hits, missed, confirmed, fresh, gallery, state in rows]
+    def with_state(self, counters: tuple[int, int], rows: dict[int, tuple]) -> DeepSort:
+        self.next_id = counters[1]
+        self.tracks = [Seen(i, HeightFilter(*map(np.array, state)), det, hits, missed, confirmed) for i, (hits, _, missed, det, confirmed, *state) in sorted(rows.items())]
         return self
 
 
+def filter_arrays(f: BoxFilter | HeightFilter) -> list[list[float]]:
+    return [x.tolist() for x in (f.value, f.speed, f.p, f.c, f.v)]
+
+
 def within(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
     """Pairs of the least assignment whose costs are at most `most`; greater ones all count alike, a little more than it."""
     pairs = assign(np.where(cost > most, most + 1e-5, cost))

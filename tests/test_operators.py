@@ -144,19 +144,6 @@ def test_tracker_keeps_identities(spark):
     assert len({(r.frame_index, r.track_id) for r in got}) == len(got)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from lanewise.streaming.tracker import track_stream
-
-    rows = spark.createDataFrame(moving(), BOX)
-    for k, (lo, hi) in enumerate(((0, 5), (5, 9), (9, 99))):
-        rows.filter(F.col("frame_index").between(lo, hi - 1)).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    query = track_stream(source).writeStream.format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    order = ("frame_index", "track_id", "det_id")
-    assert {tuple(r[c] for c in order) for r in spark.table("tracked").collect()} == {tuple(r[c] for c in order) for r in K.track(rows).collect()}
-
-
 def test_sources(spark, tmp_path):
     from lanewise.sources import annotations as A
 
