@@ -228,3 +228,30 @@ def clipped(l: Column, t: Column, w: Column, h: Column, width: int, height: int)
     """left, top, right, bottom as integers inside an image of that size."""
     whole = lambda v: v.cast("int")
     return [F.greatest(whole(l), F.lit(0)), F.greatest(whole(t), F.lit(0)), F.least(whole(l + w), F.lit(width - 1)), F.least(whole(t + h), F.lit(height - 1))]
+
+
+def convex_hull(points: Column) -> Column:
+    """The corners of the convex figure around an array of points, from the leftmost, against the clock (y upwards); no three on a line, none twice.
+
+    Both halves grow in the order of x: a new point takes the place of the corners that it makes superfluous, which are the last ones of a half.
+    """
+
+    def half(ordered: Column) -> Column:
+        def grown(h: Column, p: Column) -> Column:
+            def turns_left(j: Column) -> Column:
+                a, b = F.get(h, j - 2), F.get(h, j - 1)
+                return (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) > 0
+
+            kept = F.when(F.size(h) < 2, F.size(h)).otherwise(F.coalesce(F.array_max(F.filter(F.sequence(F.lit(2), F.greatest(F.size(h), F.lit(2))), turns_left)), F.lit(1)))
+            return F.concat(F.slice(h, F.lit(1), kept), F.array(p))
+
+        none = F.slice(ordered, 1, 0)
+        return F.aggregate(ordered, none, grown)
+
+    def whole(ordered: Column) -> Column:
+        lower, upper = half(ordered), half(F.reverse(ordered))
+        inner = lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0)))
+        return F.when(F.size(ordered) < 3, ordered).otherwise(F.concat(inner(lower), inner(upper)))
+
+    plain = F.transform(points, lambda p: point(p.x, p.y))
+    return let(F.array_sort(F.array_distinct(plain)), whole)

@@ -62,13 +62,25 @@ def upright_if_full(c: list[Column], least: float = 0.9) -> list[Column]:
 
 
 def least_rectangle(c: list[Column]) -> Column:
-    """struct(cx, cy, w, h, theta) of the rectangle of least area around a convex figure of four corners.
+    """rectangle_around() a convex figure of four corners."""
+    return rectangle_around(F.array(*[G.point(c[i], c[i + 1]) for i in range(0, 8, 2)]))
 
-    One side of it lies on a side of the figure, so four candidates are compared. w runs along theta, which is in [-pi/2, pi/2).
+
+def least_rectangle_of(points: Column) -> Column:
+    """rectangle_around() any array of points: of one point, or one many times, it has no sides; null for none."""
+    alone = F.get(points, F.lit(0))
+    no_sides = F.struct(alone.x.cast("double").alias("cx"), alone.y.cast("double").alias("cy"), *[F.lit(0.0).alias(n) for n in ("w", "h", "theta")])
+    return F.coalesce(rectangle_around(G.convex_hull(points)), F.when(alone.isNotNull(), no_sides))
+
+
+def rectangle_around(ring: Column) -> Column:
+    """struct(cx, cy, w, h, theta) of the rectangle of least area around a convex figure.
+
+    One side of it lies on a side of the figure, so as many candidates are compared. w runs along theta, which is in [-pi/2, pi/2).
     """
 
     def around(ring: Column, i: Column) -> Column:
-        p, q = F.get(ring, i), F.get(ring, (i + 1) % 4)
+        p, q = F.get(ring, i), F.get(ring, (i + 1) % F.greatest(F.size(ring), F.lit(1)))
         n = F.nullif(F.hypot(q.x - p.x, q.y - p.y), F.lit(0.0))
 
         def box(u: Column) -> Column:
@@ -86,9 +98,8 @@ def least_rectangle(c: list[Column]) -> Column:
 
         return F.when(n.isNotNull(), G.let(F.struct(((q.x - p.x) / n).alias("x"), ((q.y - p.y) / n).alias("y")), box))
 
-    ring = F.array(*[G.point(c[i], c[i + 1]) for i in range(0, 8, 2)])
-    sides = F.sequence(F.lit(0), F.lit(3))
-    return G.let(ring, lambda r: F.array_min(F.array_compact(F.transform(sides, lambda i: around(r, i))))).box
+    sides = lambda r: F.sequence(F.lit(0), F.greatest(F.size(r) - 1, F.lit(0)))
+    return G.let(ring, lambda r: F.array_min(F.array_compact(F.transform(sides(r), lambda i: around(r, i))))).box
 
 
 def turned_detections(boxes: DataFrame, least: float) -> DataFrame:

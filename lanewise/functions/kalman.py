@@ -1,7 +1,11 @@
-"""Constant-velocity filters as scalar recurrences: with diagonal noise the state falls apart into pairs (value, speed)."""
+"""Filters of tracks. Values lie along the last axis, so one object is one track or, with a first axis, many at once.
+
+Constant-velocity filters are scalar recurrences: with diagonal noise the state falls apart into pairs (value, speed). The filter by turn rate keeps its whole covariance.
+"""
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -14,23 +18,23 @@ class BoxFilter:
     """State of one track: centre, area and ratio, speeds of the first three. The rotated form carries an angle as a fifth value."""
 
     value: np.ndarray
-    speed: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    speed: np.ndarray | None = None
     p: np.ndarray | None = None  # variance of the values
-    c: np.ndarray = field(default_factory=lambda: np.zeros(3))  # covariance of value and speed
-    v: np.ndarray = field(default_factory=lambda: np.full(3, NOISE["p_speed"]))  # variance of the speeds
+    c: np.ndarray | None = None  # covariance of value and speed
+    v: np.ndarray | None = None  # variance of the speeds
 
     def __post_init__(self):
-        self.value = np.asarray(self.value, float).copy()
+        self.value = np.array(self.value, float)
+        n, moving = self.value.shape[-1], (*self.value.shape[:-1], 3)
         if self.p is None:
-            self.p = np.full(len(self.value), NOISE["p"])
-        self.q = np.array([*NOISE["q"], 0.0][: len(self.value)])
-        self.r = np.array([*NOISE["r"], 10.0][: len(self.value)])
+            self.speed, self.p, self.c, self.v = np.zeros(moving), np.full(self.value.shape, NOISE["p"]), np.zeros(moving), np.full(moving, NOISE["p_speed"])
+        self.q = np.array([*NOISE["q"], 0.0][:n])
+        self.r = np.array([*NOISE["r"], 10.0][:n])
 
     def predict(self) -> np.ndarray:
-        if self.value[2] + self.speed[2] <= 0:
-            self.speed[2] = 0.0
-        self.value[:3] += self.speed
-        self.p[:3] += 2 * self.c + self.v
+        self.speed[..., 2] = np.where(self.value[..., 2] + self.speed[..., 2] <= 0, 0.0, self.speed[..., 2])
+        self.value[..., :3] += self.speed
+        self.p[..., :3] += 2 * self.c + self.v
         self.p += self.q
         self.c = self.c + self.v
         self.v = self.v + np.array(NOISE["q_speed"])
@@ -38,11 +42,11 @@ class BoxFilter:
 
     def update(self, z: np.ndarray) -> None:
         gap, total = z - self.value, self.p + self.r
-        gain, gain_speed = self.p / total, self.c / total[:3]
+        gain, gain_speed = self.p / total, self.c / total[..., :3]
         self.value += gain * gap
-        self.speed = self.speed + gain_speed * gap[:3]
+        self.speed = self.speed + gain_speed * gap[..., :3]
         self.v = self.v - gain_speed * self.c
-        self.c = self.c * (1 - gain[:3])
+        self.c = self.c * (1 - gain[..., :3])
         self.p = self.p * (1 - gain)
 
 
@@ -77,8 +81,8 @@ def corners_of(boxes: np.ndarray) -> np.ndarray:
 PLACE, PACE, ASPECT = 1 / 20, 1 / 160, (1e-2, 1e-1, 1e-5)
 
 
-def _height_noise(height: float, share: float, aspect: float) -> np.ndarray:
-    return np.array([share * height, share * height, aspect, share * height]) ** 2
+def _height_noise(height: np.ndarray, share: float, aspect: float) -> np.ndarray:
+    return np.stack([share * height, share * height, np.full_like(height, aspect), share * height], -1) ** 2
 
 
 @dataclass
@@ -86,31 +90,32 @@ class HeightFilter:
     """State of one track: centre, aspect and height, each with a speed; all noise but the aspect's follows the height."""
 
     value: np.ndarray
-    speed: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    speed: np.ndarray | None = None
     p: np.ndarray | None = None
-    c: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    c: np.ndarray | None = None
     v: np.ndarray | None = None
 
     def __post_init__(self):
-        self.value = np.asarray(self.value, float).copy()
+        self.value = np.array(self.value, float)
         if self.p is None:
-            self.p = _height_noise(self.value[3], 2 * PLACE, ASPECT[0])
-            self.v = _height_noise(self.value[3], 10 * PACE, ASPECT[2])
+            self.speed, self.c = np.zeros_like(self.value), np.zeros_like(self.value)
+            self.p = _height_noise(self.value[..., 3], 2 * PLACE, ASPECT[0])
+            self.v = _height_noise(self.value[..., 3], 10 * PACE, ASPECT[2])
 
     def predict(self) -> np.ndarray:
-        q, q_speed = _height_noise(self.value[3], PLACE, ASPECT[0]), _height_noise(self.value[3], PACE, ASPECT[2])
+        q, q_speed = _height_noise(self.value[..., 3], PLACE, ASPECT[0]), _height_noise(self.value[..., 3], PACE, ASPECT[2])
         self.value = self.value + self.speed
         self.p, self.c, self.v = self.p + 2 * self.c + self.v + q, self.c + self.v, self.v + q_speed
         return self.value
 
     def projected(self) -> np.ndarray:
         """Variance of the measurement that is expected."""
-        return self.p + _height_noise(self.value[3], PLACE, ASPECT[1])
+        return self.p + _height_noise(self.value[..., 3], PLACE, ASPECT[1])
 
     def distance(self, z: np.ndarray, places_only: bool = False) -> np.ndarray:
         """Squared Mahalanobis distance of each measurement, of its place alone if asked."""
         n = 2 if places_only else 4
-        return ((z[:, :n] - self.value[:n]) ** 2 / self.projected()[:n]).sum(1)
+        return ((z[..., :n] - self.value[..., :n]) ** 2 / self.projected()[..., :n]).sum(-1)
 
     def update(self, z: np.ndarray) -> None:
         total = self.projected()
@@ -118,3 +123,52 @@ class HeightFilter:
         self.value, self.speed = self.value + gain * gap, self.speed + gain_speed * gap
         self.v = self.v - gain_speed * self.c
         self.c, self.p = self.c * (1 - gain), self.p * (1 - gain)
+
+
+#: Fixed values of the published filter by turn rate: seconds a step; deviations of the start (places, yaw, speeds, turn rate, sides), of a measurement (place, yaw, side);
+#: top speed and turn rate, and deviation of a side a step.
+TURN_STEP = 0.1
+TURN_START = (100.0, 100.0, math.radians(30), 500.0, 500.0, math.radians(30) / TURN_STEP, 5.0, 5.0)
+TURN_MEASURED = (5.0, 5.0, math.radians(30), 10.0, 10.0)
+TURN_SPEED, TURN_RATE, TURN_SIDE = 5.0, 3.0, 1.0
+#: Where the measurement (x, y, yaw, w, h) stands in the state (x, y, yaw, their speeds, w, h).
+MEASURED = np.array([0, 1, 2, 6, 7])
+
+
+@dataclass
+class TurnFilter:
+    """Place and yaw with constant speeds, and sides, with the whole 8 x 8 covariance. Of the angles that mean the same yaw the one nearest to the state's is taken."""
+
+    value: np.ndarray
+    cov: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.value = np.array(self.value, float)
+        move = np.eye(8)
+        move[[0, 1, 2], [3, 4, 5]] = TURN_STEP
+        self.move = move
+        self.q = np.diag(np.array([TURN_STEP * TURN_SPEED] * 2 + [TURN_STEP * TURN_RATE] + [TURN_SPEED] * 2 + [TURN_RATE] + [TURN_SIDE] * 2) ** 2)
+        self.r = np.diag(np.array(TURN_MEASURED) ** 2)
+        if self.cov is None:
+            z, self.value = self.value, np.zeros((*self.value.shape[:-1], 8))
+            self.value[..., MEASURED] = z
+            self.cov = np.broadcast_to(np.diag(np.array(TURN_START) ** 2), (*self.value.shape, 8)).copy()
+
+    def predict(self) -> np.ndarray:
+        self.value = self.value @ self.move.T
+        self.cov = self.move @ self.cov @ self.move.T + self.q
+        return self.value
+
+    def update(self, z: np.ndarray) -> None:
+        across = self.cov[..., :, MEASURED]
+        total = across[..., MEASURED, :] + self.r
+        gain = np.swapaxes(np.linalg.solve(total, np.swapaxes(across, -1, -2)), -1, -2)
+        gap = z - self.value[..., MEASURED]
+        gap[..., 2] = np.pi - (np.pi - gap[..., 2]) % (2 * np.pi)
+        self.value = self.value + (gain @ gap[..., None])[..., 0]
+        self.cov = self.cov - gain @ self.cov[..., MEASURED, :]
+
+
+def first(f: BoxFilter | HeightFilter | TurnFilter, n: int) -> BoxFilter | HeightFilter | TurnFilter:
+    """The filter of the first n of its tracks."""
+    return type(f)(*(getattr(f, name)[:n] for name in f.__dataclass_fields__))

@@ -65,11 +65,32 @@ def warped(pixels: DataFrame, sizes: DataFrame, maps: DataFrame, by: list[str])
     return asked.join(pixels.select(*by, F.col("y").alias("_y"), F.col("x").alias("_x"), "v"), [*by, "_y", "_x"]).select(*by, "y", "x", "v")
 
 
+def warped_smoothly(pixels: DataFrame, sizes: DataFrame, maps: DataFrame, by: list[str], border: float = 0.0) -> DataFrame:
+    """by, y, x, v of each image through its map: each place of the result mixes the four pixels around its source by their nearness. Pixels that aren't there count as the border.
+
+    sizes and maps as for warped(). A cell is what lies between four pixels: each pixel is sent to the four cells that it is a corner of, each place to the one that holds its source, and they meet in one shuffle.
+    """
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    given = pixels.select(*by, "y", "x", F.col("v").cast("double").alias("v"), corners.alias("c"))
+    given = given.select(*by, (F.col("y") - F.col("c.i")).cast("long").alias("_y"), (F.col("x") - F.col("c.j")).cast("long").alias("_x"), (F.col("c.i") * 2 + F.col("c.j")).alias("_corner"), "v")
+    places = sizes.join(maps, by).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    sx, sy = affine.applied(affine.inverse(F.col("map")), F.col("x").cast("double"), F.col("y").cast("double"))
+    asked = places.select(*by, "y", "x", sx.alias("sx"), sy.alias("sy"))
+    asked = asked.select(*by, F.floor("sy").alias("_y"), F.floor("sx").alias("_x"), F.struct("y", "x", (F.col("sy") - F.floor("sy")).alias("fy"), (F.col("sx") - F.floor("sx")).alias("fx")).alias("_place"))
+    meet = given.unionByName(asked, allowMissingColumns=True).groupBy(*by, "_y", "_x")
+    cells = meet.agg(*[F.coalesce(F.max(F.when(F.col("_corner") == k, F.col("v"))), F.lit(border)).alias(f"_v{k}") for k in range(4)], F.collect_list("_place").alias("_places"))
+    out = cells.select(*by, *[f"_v{k}" for k in range(4)], F.explode("_places").alias("p"))
+    top = F.col("_v0") * (1 - F.col("p.fx")) + F.col("_v1") * F.col("p.fx")
+    low = F.col("_v2") * (1 - F.col("p.fx")) + F.col("_v3") * F.col("p.fx")
+    return out.select(*by, "p.y", "p.x", (top * (1 - F.col("p.fy")) + low * F.col("p.fy")).alias("v"))
+
+
 def panorama(pixels: DataFrame, by: list[str]) -> DataFrame:
     """by, y, x, v: the brightest of each place over a scene's images, cut to the extent of what isn't black, its top left kept."""
     merged = pixels.groupBy(*by, "y", "x").agg(F.max("v").alias("v"))
-    lit = lambda c: F.max(F.when(F.col("v") > 0, F.col(c))).over(Window.partitionBy(*by))
-    return merged.withColumns({"_y": lit("y"), "_x": lit("x")}).filter((F.col("y") <= F.col("_y")) & (F.col("x") <= F.col("_x"))).drop("_y", "_x")
+    lit = lambda c: F.max(F.when(F.col("v") > 0, F.col(c)))
+    extent = merged.groupBy(*by).agg(lit("y").alias("_y"), lit("x").alias("_x"))
+    return merged.join(extent, by).filter((F.col("y") <= F.col("_y")) & (F.col("x") <= F.col("_x"))).drop("_y", "_x")
 
 
 def background(pixels: DataFrame, frames: DataFrame, by: list[str], order: str, n: int = 50) -> DataFrame:

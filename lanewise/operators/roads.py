@@ -1,9 +1,7 @@
 """Annotated roads: lane lines, strips between them, axes, chained driving lines; and the text forms of detections and matches."""
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import geometry as G
@@ -25,7 +23,8 @@ def strips(lines: DataFrame, by: str) -> DataFrame:
 
 def rebased(positions: DataFrame, by: list[str]) -> DataFrame:
     """A sub line's positions on the main line's scale: the greatest difference at shared places is added. positions: by, main, sub."""
-    return positions.withColumn("position", F.col("sub") + F.max(F.col("main") - F.col("sub")).over(Window.partitionBy(*by)))
+    shift = positions.groupBy(*by).agg(F.max(F.col("main") - F.col("sub")).alias("_shift"))
+    return positions.join(shift, by).withColumn("position", F.col("sub") + F.col("_shift")).drop("_shift")
 
 
 def axis_ticks(scenes: DataFrame, step_px: Column, direction: tuple[float, float], width: Column, height: Column) -> DataFrame:
@@ -38,15 +37,22 @@ def axis_ticks(scenes: DataFrame, step_px: Column, direction: tuple[float, float
     return ticks.withColumns({"tick_x": x, "tick_y": y}).filter(F.col("tick_x").between(0, width - 1) & F.col("tick_y").between(0, height - 1))
 
 
-def line_ticks(line: list[tuple[float, float]], every: float, spark: SparkSession) -> DataFrame:
-    """d, x, y: the point at each multiple of `every` along a known polyline."""
-    lengths = [math.dist(a, b) for a, b in zip(line, line[1:], strict=False)]
-    run = [sum(lengths[:i]) for i in range(len(lengths))]
-    names = ("at", "n", "x", "y", "dx", "dy")
-    segments = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, (r, n, a[0], a[1], b[0] - a[0], b[1] - a[1]), strict=True)]) for r, n, a, b in zip(run, lengths, line, line[1:], strict=False)]
-    ticks = spark.range(int(sum(lengths) / every) + 1).select((F.col("id") * every).cast("double").alias("d"), F.explode(F.array(*segments)).alias("s"))
-    k = (F.col("d") - F.col("s.at")) / F.col("s.n")
-    return ticks.filter((k >= 0) & (k < 1)).select("d", (F.col("s.x") + k * F.col("s.dx")).alias("x"), (F.col("s.y") + k * F.col("s.dy")).alias("y"))
+def line_ticks(lines: DataFrame, by: list[str], every: float) -> DataFrame:
+    """by, d, x, y: the point at each multiple of `every` along each line, its end excluded. lines: by, points."""
+    ends = F.zip_with(F.slice("points", 1, F.size("points") - 1), F.slice("points", 2, F.size("points") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.hypot(b.x - a.x, b.y - a.y).alias("n")))
+    start = F.array(F.struct(F.lit(0.0).alias("at"), F.lit(None).cast("double").alias("n"), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "dx", "dy")]))
+
+    def grown(acc: Column, e: Column) -> Column:
+        last = F.element_at(acc, -1)
+        at = last.at + F.coalesce(last.n, F.lit(0.0))
+        return F.concat(acc, F.array(F.struct(at.alias("at"), e.n.alias("n"), e.a.x.alias("x"), e.a.y.alias("y"), (e.b.x - e.a.x).alias("dx"), (e.b.y - e.a.y).alias("dy"))))
+
+    segments = lines.filter(F.size("points") > 1).select(*by, F.explode(F.aggregate(ends, start, grown)).alias("s")).filter("s.n > 0")
+    lo, hi = F.ceil(F.col("s.at") / every), F.ceil((F.col("s.at") + F.col("s.n")) / every)
+    ticks = segments.filter(lo < hi).withColumn("k", F.explode(F.sequence(lo, hi - 1)))
+    d = F.col("k") * every
+    share = (d - F.col("s.at")) / F.col("s.n")
+    return ticks.select(*by, d.cast("double").alias("d"), (F.col("s.x") + share * F.col("s.dx")).alias("x"), (F.col("s.y") + share * F.col("s.dy")).alias("y"))
 
 
 def driving_lines(shapes: DataFrame) -> DataFrame:

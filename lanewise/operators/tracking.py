@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lanewise.functions.assignment import assign, box_iou, figure_iou
-from lanewise.functions.kalman import BoxFilter, HeightFilter, corners_of, to_box, to_state, to_turned_state
+from lanewise.functions.kalman import BoxFilter, HeightFilter, TurnFilter, corners_of, first, to_box, to_state, to_turned_state
 
+Filter = BoxFilter | HeightFilter | TurnFilter
 TRACKED = "frame_index long, track_id long, det_id int, l double, t double, r double, b double"
 TURNED = "frame_index long, track_id long, det_id int, cx double, cy double, w double, h double, theta double"
 #: 95 % points of the chi-square distribution for two and four degrees of freedom.
@@ -328,43 +329,95 @@ def track(boxes: DataFrame, video: str = "video_id", method: str = "sort", featu
     return frames.repartition(video).sortWithinPartitions(video, "frame_index").mapInArrow(walk, schema)
 
 
-def _filtered(points: DataFrame, key: str, order: str, values: list[str], make: Callable[[np.ndarray], BoxFilter | HeightFilter]) -> DataFrame:
-    schema = walked_schema(points, key, [(order, "long"), *[(f"f{i}", "double") for i in range(4)]])
+def stepped(values: np.ndarray, keys: np.ndarray, carried: tuple | None, make: Callable[[np.ndarray], Filter], step: Callable[[Filter, np.ndarray], np.ndarray], begin: Callable[[Filter], np.ndarray]) -> tuple[np.ndarray, tuple]:
+    """What a filter gives for each row of values [rows, measurement]; rows of a key stand together, in order. All keys go on together, a measurement at a time.
 
-    def step(held: list, row: dict) -> list[tuple]:
-        z = np.array([row[v] for v in values], float)
-        if held:
-            held[0].predict()
-            held[0].update(z)
-        else:
-            held.append(make(z))
-        return [(row[order], *held[0].value.tolist())]
+    carried: the key and filter that the batch before ended with; the like of this one is the second result. begin and step give a row of the result.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    lengths = np.diff(np.append(starts, len(keys)))
+    out: np.ndarray | None = None
+
+    def put(at: np.ndarray, found: np.ndarray) -> None:
+        nonlocal out
+        if out is None:
+            out = np.zeros((len(keys), found.shape[-1]))
+        out[at] = found
+
+    goes_on = carried is not None and carried[0] == keys[0]
+    now = None
+    if goes_on:
+        now = carried[1]
+        for i in range(lengths[0]):
+            put(np.array([i]), step(now, values[i : i + 1]))
+        starts, lengths = starts[1:], lengths[1:]
+    if len(starts):
+        order = np.argsort(-lengths, kind="stable")
+        at, left = starts[order], lengths[order]
+        state, ends_last = make(values[at]), int(np.flatnonzero(order == len(order) - 1)[0])
+        put(at, begin(state))
+        for i in range(1, left[0] + 1):
+            if left[ends_last] == i:  # the batch's last key stops here, and may go on in the next batch
+                now = type(state)(*(getattr(state, name)[ends_last : ends_last + 1].copy() for name in state.__dataclass_fields__))
+            n = int(np.searchsorted(-left, -i))
+            if n:
+                state = first(state, n)
+                put(at[:n] + i, step(state, values[at[:n] + i]))
+    return out, (keys[-1], now)
+
+
+def _filtered(points: DataFrame, key: str, order: str, values: list[str], schema: T.StructType, make: Callable[[np.ndarray], Filter], step: Callable[[Filter, np.ndarray], np.ndarray], begin: Callable[[Filter], np.ndarray]) -> DataFrame:
+    """A filter over each key's rows in order. schema: key, order and what step gives; rows whose first value is nan are left out."""
+    names = [f.name for f in schema.fields]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in batches:
+            if batch.num_rows:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                z = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(2, batch.num_columns)], 1)
+                found, carried = stepped(z, keys, carried, make, step, begin)
+                told = pa.array(~np.isnan(found[:, 0]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in found.T]], names).filter(told)
+
+    rows = points.select(key, F.col(order).cast("long").alias(order), *[F.col(v).cast("double") for v in values])
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(walk, schema)
 
-    return walked(points.select(key, order, *values), key, order, schema, list, step)
+
+def _smoothed(points: DataFrame, key: str, order: str, values: list[str], make: Callable[[np.ndarray], Filter], width: int) -> DataFrame:
+    schema = walked_schema(points, key, [(order, "long"), *[(f"f{i}", "double") for i in range(width)]])
+
+    def step(f: Filter, z: np.ndarray) -> np.ndarray:
+        f.predict()
+        f.update(z)
+        return f.value
+
+    return _filtered(points, key, order, values, schema, make, step, lambda f: f.value)
 
 
 def filtered(points: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """Each key's measurements (centre x, centre y, area, ratio) smoothed by the box filter, one row a measurement."""
-    return _filtered(points, key, order, values, BoxFilter)
+    return _smoothed(points, key, order, values, BoxFilter, 4)
 
 
 def filtered_by_height(points: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """Each key's measurements (centre x, centre y, aspect, height) by the filter whose noise follows the height."""
-    return _filtered(points, key, order, values, HeightFilter)
+    return _smoothed(points, key, order, values, HeightFilter, 4)
+
+
+def filtered_by_turn(points: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
+    """Each key's measurements (x, y, yaw, width, height) by the filter of constant speed and turn rate: f0 to f7 are x, y, yaw, their speeds, width and height."""
+    return _smoothed(points, key, order, values, TurnFilter, 8)
 
 
 def gated_by_height(points: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """key, order, d2: squared distance of each measurement but the first to what the filter by height expects, in the filter's own covariance."""
     schema = walked_schema(points, key, [(order, "long"), ("d2", "double")])
 
-    def step(held: list, row: dict) -> list[tuple]:
-        z = np.array([row[v] for v in values], float)
-        if not held:
-            held.append(HeightFilter(z))
-            return []
-        held[0].predict()
-        far = float(held[0].distance(z[None])[0])
-        held[0].update(z)
-        return [(row[order], far)]
+    def step(f: Filter, z: np.ndarray) -> np.ndarray:
+        f.predict()
+        far = f.distance(z)
+        f.update(z)
+        return far[:, None]
 
-    return walked(points.select(key, order, *values), key, order, schema, list, step)
+    return _filtered(points, key, order, values, schema, HeightFilter, step, lambda f: np.full((len(f.value), 1), np.nan))

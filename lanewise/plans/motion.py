@@ -127,8 +127,10 @@ def graph_to_main(spark, sf_dir):
 
 
 def match_clusters(spark, sf_dir):
-    """Customers and their orders (from a thousand millions) as one graph."""
-    return graphs.clusters(V.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") + 1_000_000_000).cast("long").alias("b")))
+    """Chains of orders, each paired with the next of its group: the first one names the chain."""
+    chain = Window.partitionBy(F.col("o_custkey") % 500).orderBy("o_orderkey")
+    pairs = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(chain).alias("b")).filter("b is not null")
+    return graphs.clusters(pairs)
 
 
 def unmatched(spark, sf_dir):
@@ -184,8 +186,9 @@ def labels(spark, sf_dir):
 
 
 def learning_rates(spark, sf_dir):
-    """A cosine schedule over 40 epochs."""
-    return spark.range(40).select(F.col("id").alias("epoch"), F.round(R.cosine_rate(F.col("id"), 40, 0.1), 6).alias("rate"))
+    """A cosine schedule over 40 epochs, at the epoch of each order."""
+    epoch = F.col("o_orderkey") % 40
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", epoch.alias("epoch"), F.round(R.cosine_rate(epoch, 40, 0.1), 6).alias("rate"))
 
 
 def video_parts(spark, sf_dir):
@@ -195,9 +198,11 @@ def video_parts(spark, sf_dir):
 
 
 def line_ticks(spark, sf_dir):
-    """Points every 15 units along a polyline."""
-    t = roads.line_ticks(V.LINE, 15.0, spark)
-    return t.select("d", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    """Points every 15 units along the driving line of each supplier's road."""
+    k = F.col("s_suppkey")
+    points = F.array(*[G.point(F.lit(x) + k % 7, F.lit(y) + k % 5 * (1 + i)) for i, (x, y) in enumerate(V.LINE)])
+    t = roads.line_ticks(V.table(spark, sf_dir, "supplier").select(k.alias("video_id"), points.alias("points")), ["video_id"], 15.0)
+    return t.select("video_id", "d", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def offset_search(spark, sf_dir):
@@ -227,7 +232,6 @@ near AS (SELECT veh_id, frame_index, pos, dist, side FROM (SELECT *, row_number(
 
 
 _base = math.dist(V.LINE[0], V.LINE[1])
-_ticks = int(sum(math.dist(a, b) for a, b in zip(V.LINE, V.LINE[1:], strict=False)) / 15) + 1
 Q = "WITH " + V.POINTS
 _mean = lambda c: f"(sum({c}) OVER (w ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) + greatest(0, 4 - row_number() OVER w) * first_value({c}) OVER f + greatest(0, row_number() OVER w + 3 - count(*) OVER f) * last_value({c}) OVER f) / 7"
 _run = """r0 AS (SELECT veh_id, frame_index, CASE WHEN abs(frame_index - lag(frame_index) OVER (PARTITION BY veh_id ORDER BY frame_index)) > 1 THEN 1 ELSE 0 END AS s FROM src),
@@ -269,7 +273,7 @@ walk AS (SELECT 0 AS node, 0 AS depth, 0::DOUBLE AS shift, 1::DOUBLE AS a, 0::DO
   UNION ALL SELECT e.src, depth + 1, shift + e.src * 0.5::DOUBLE, w.a * e.a + w.b * e.c, w.a * e.b + w.b * e.d, w.a * e.tx + w.b * e.ty + w.tx, w.c * e.a + w.d * e.c, w.c * e.b + w.d * e.d, w.c * e.tx + w.d * e.ty + w.ty
   FROM walk w JOIN e ON e.dst = w.node)
 SELECT node, depth, shift, round(a, 6) AS m0, round(b, 6) AS m1, round(tx, 6) AS m2, round(c, 6) AS m3, round(d, 6) AS m4, round(ty, 6) AS m5 FROM walk"""),
-    "match_clusters": (match_clusters, "SELECT DISTINCT o_custkey::BIGINT AS node, o_custkey::BIGINT AS cluster FROM orders UNION ALL SELECT DISTINCT o_orderkey + 1000000000, o_custkey FROM orders"),
+    "match_clusters": (match_clusters, "SELECT node, cluster FROM (SELECT o_orderkey AS node, min(o_orderkey) OVER w AS cluster, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey % 500)) WHERE n > 1"),
     "unmatched": (unmatched, f"{Q} SELECT veh_id, count(*) AS n FROM points WHERE veh_id % 5 >= 3 GROUP BY veh_id"),
     "gallery_last_k": (gallery_last_k, "SELECT target, seq FROM (SELECT label AS target, vec_id AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS n FROM embeddings) WHERE n <= 10"),
     "subtitle_times": (subtitle_times, "SELECT event_id, epoch_us(ts) // 1000 AS unix_ms FROM events"),
@@ -278,9 +282,14 @@ SELECT node, depth, shift, round(a, 6) AS m0, round(b, 6) AS m1, round(tx, 6) AS
     "head_decode": (head_decode, f"WITH {V.HEAT}, d AS (SELECT cell, round((x + v / 100) * 32, 4) AS cx, round((y + v / 200) * 32, 4) AS cy, round(exp(v / 25) * 32, 4) AS w, round(exp(v / 50) * 32, 4) AS h, round(1 / (1 + exp(-(v / 10 - 2))) * (1 / (1 + exp(-(3 - v / 20)))), 4) AS score FROM (SELECT cell, x, y, v::DOUBLE AS v FROM heat)) SELECT * FROM d WHERE score >= 0.2"),
     "letterbox": (letterbox, "WITH s AS (SELECT s_suppkey AS id, 300 + s_suppkey % 13 * 97 AS w, 200 + s_suppkey % 11 * 83 AS h FROM supplier), k AS (SELECT *, least(640::DOUBLE / w, 512::DOUBLE / h) AS k FROM s) SELECT id, round(k, 6) AS scale, ((640 - trunc(w * k)::INTEGER) // 2)::INTEGER AS pad_x, ((512 - trunc(h * k)::INTEGER) // 2)::INTEGER AS pad_y FROM k"),
     "labels": (labels, f"WITH {V.BOXES} SELECT frame_index, det_id, 'id:' || det_id || ' cat:' || category || ' w:' || trunc(w)::INTEGER AS text FROM boxes"),
-    "learning_rates": (learning_rates, "SELECT i AS epoch, round(((1 + cos(i * pi() / 40)) / 2) * 0.9::DOUBLE + 0.1::DOUBLE, 6) AS rate FROM range(40) AS r(i)"),
+    "learning_rates": (learning_rates, "SELECT o_orderkey, o_orderkey % 40 AS epoch, round(((1 + cos((o_orderkey % 40) * pi() / 40)) / 2) * 0.9::DOUBLE + 0.1::DOUBLE, 6) AS rate FROM orders"),
     "video_parts": (video_parts, "WITH v AS (SELECT s_nationkey AS video_id, s_suppkey AS part_no, s_suppkey % 50 + 10 AS frames, s_suppkey % 3 * 5 + 20 AS fps FROM supplier) SELECT video_id, part_no, coalesce(sum(frames) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, coalesce(lag(fps) OVER w <> fps, false) AS changed, (sum(frames) OVER (PARTITION BY video_id))::BIGINT AS total FROM v WINDOW w AS (PARTITION BY video_id ORDER BY part_no)"),
-    "line_ticks": (line_ticks, f"""WITH {_segs_sql()}, k AS (SELECT n * 15::DOUBLE AS d, x1, y1, dx, dy, (n * 15 - run) / sqrt(dx * dx + dy * dy) AS k FROM segs, range(0, {_ticks}) AS r(n)) SELECT d, round(x1 + k * dx, 4) AS x, round(y1 + k * dy, 4) AS y FROM k WHERE k >= 0 AND k < 1"""),
+    "line_ticks": (line_ticks, f"""WITH c AS (SELECT s_suppkey AS video_id, i, x + s_suppkey % 7 AS x, y + s_suppkey % 5 * (1 + i) AS y FROM supplier, (VALUES {", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(V.LINE))}) AS p(i, x, y)),
+e AS (SELECT video_id, i, x, y, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM c WINDOW w AS (PARTITION BY video_id ORDER BY i)),
+n AS (SELECT *, sqrt(dx * dx + dy * dy) AS n FROM e WHERE dx IS NOT NULL),
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY video_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM n),
+k AS (SELECT *, k * 15::DOUBLE AS d FROM r, range(0, 30) AS t(k) WHERE k * 15 >= run AND k * 15 < run + n)
+SELECT video_id, d, round(x + (d - run) / n * dx, 4) AS x, round(y + (d - run) / n * dy, 4) AS y FROM k"""),
     "offset_search": (offset_search, f"""{Q}, o AS (SELECT * FROM (VALUES {", ".join(f"({i}, {o})" for i, o in enumerate(OFFSETS))}) AS o(k, off)), l AS (SELECT * FROM points WHERE veh_id % 2 = 0), r AS (SELECT veh_id - 1 AS a, frame_index, x, y FROM points WHERE veh_id % 2 = 1),
 m AS (SELECT k, off, count(*) AS n, round(avg(sqrt((l.x - r.x) ** 2 + (l.y - r.y) ** 2)), 4) AS mean FROM l JOIN r ON l.veh_id = r.a JOIN o ON l.frame_index = r.frame_index + off GROUP BY 1, 2)
 SELECT off::INTEGER AS "offset", n, mean, min(mean) OVER (ORDER BY k) AS best FROM m"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lanewise.functions import geometry as G
+from lanewise.functions import geometry as G, kalman
 from lanewise.operators import graphs, raster, roads as O, tracking as K
 from lanewise.plans import views as V
 
@@ -68,6 +68,39 @@ def kalman_height(spark, sf_dir):
     return out.select("veh_id", "frame_index", *[F.round(f"f{i}", 3).alias(f"f{i}") for i in range(4)])
 
 
+def turn_filter(spark, sf_dir):
+    """Vehicles' places, yaw and sides by the filter of constant speed and turn rate."""
+    yaw = F.col("frame_index") % 13 * 0.5 + F.col("lane_id")
+    p = V.points(spark, sf_dir).select("veh_id", "frame_index", "x", "y", yaw.alias("yaw"), (F.col("x") / 4 + 20).alias("w"), (F.col("y") / 5 + 10).alias("h"))
+    out = K.filtered_by_turn(p, "veh_id", "frame_index", ["x", "y", "yaw", "w", "h"])
+    return out.select("veh_id", "frame_index", *[F.round(f"f{i}", 3).alias(n) for i, n in enumerate(("x", "y", "yaw", "vx", "vy", "turn", "w", "h"))])
+
+
+def turn_sql() -> str:
+    """The filter as a recursion: its matrices couple each value with its own speed alone."""
+    d = lambda v: f"{v!r}::DOUBLE"
+    dt, start, step, out = d(kalman.TURN_STEP), [], [], []
+    for i, n in enumerate(("x", "y", "yaw")):
+        q, q_speed = (kalman.TURN_STEP * (kalman.TURN_RATE if i == 2 else kalman.TURN_SPEED)) ** 2, (kalman.TURN_RATE if i == 2 else kalman.TURN_SPEED) ** 2
+        start.append(f"{n}::DOUBLE AS f{i}, 0::DOUBLE AS s{i}, {d(kalman.TURN_START[i] ** 2)} AS p{i}, 0::DOUBLE AS c{i}, {d(kalman.TURN_START[i + 3] ** 2)} AS v{i}")
+        gap = f"m.{n} - (k.f{i} + {dt} * k.s{i})"
+        gap = f"pi() - (pi() - ({gap}) - 2 * pi() * floor((pi() - ({gap})) / (2 * pi())))" if i == 2 else gap
+        step.append(f"k.f{i} + {dt} * k.s{i} AS g{i}, k.s{i} AS u{i}, k.p{i} + 2 * {dt} * k.c{i} + {dt} * {dt} * k.v{i} + {d(q)} AS pp{i}, k.c{i} + {dt} * k.v{i} AS cc{i}, k.v{i} + {d(q_speed)} AS vv{i}, {gap} AS z{i}")
+        t = f"(pp{i} + {d(kalman.TURN_MEASURED[i] ** 2)})"
+        out.append(f"g{i} + pp{i} / {t} * z{i} AS f{i}, u{i} + cc{i} / {t} * z{i} AS s{i}, pp{i} * (1 - pp{i} / {t}) AS p{i}, cc{i} * (1 - pp{i} / {t}) AS c{i}, vv{i} - cc{i} / {t} * cc{i} AS v{i}")
+    for i, n in ((3, "w"), (4, "h")):
+        start.append(f"{n}::DOUBLE AS f{i}, {d(kalman.TURN_START[i + 3] ** 2)} AS p{i}")
+        step.append(f"k.f{i} AS g{i}, k.p{i} + {d(kalman.TURN_SIDE**2)} AS pp{i}, m.{n} - k.f{i} AS z{i}")
+        t = f"(pp{i} + {d(kalman.TURN_MEASURED[i] ** 2)})"
+        out.append(f"g{i} + pp{i} / {t} * z{i} AS f{i}, pp{i} * (1 - pp{i} / {t}) AS p{i}")
+    shown = ", ".join(f"round({c}, 3) AS {n}" for c, n in (("f0", "x"), ("f1", "y"), ("f2", "yaw"), ("s0", "vx"), ("s1", "vy"), ("s2", "turn"), ("f3", "w"), ("f4", "h")))
+    return f"""WITH RECURSIVE {V.POINTS},
+m AS (SELECT veh_id, frame_index, x, y, frame_index % 13 * 0.5::DOUBLE + lane_id AS yaw, x / 4 + 20 AS w, y / 5 + 10 AS h, row_number() OVER (PARTITION BY veh_id ORDER BY frame_index) AS n FROM points),
+k AS (SELECT veh_id, frame_index, n, {", ".join(start)} FROM m WHERE n = 1
+  UNION ALL SELECT veh_id, frame_index, n, {", ".join(out)} FROM (SELECT m.veh_id, m.frame_index, m.n, {", ".join(step)} FROM k JOIN m ON m.veh_id = k.veh_id AND m.n = k.n + 1))
+SELECT veh_id, frame_index, {shown} FROM k"""
+
+
 def height_sql(gate: bool = False) -> str:
     """The filter as a recursion; with gate, the squared distances that it sees."""
     names, place, pace = ["x", "y", "aspect", "height"], "(1 / 20::DOUBLE)", "(1 / 160::DOUBLE)"
@@ -88,6 +121,7 @@ _values = ", ".join(f"({n}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0] - a[0]}::DOUBL
 Q = "WITH " + V.POINTS
 
 QUERIES = {
+    "turn_filter": (turn_filter, turn_sql()),
     "nearest_lane_line": (nearest_lane_line, f"""{Q}, segs AS (SELECT * FROM (VALUES {_values}) AS s(n, x1, y1, dx, dy)),
 t AS (SELECT *, greatest(0, least(1, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS t FROM points, segs),
 d AS (SELECT *, row_number() OVER (PARTITION BY veh_id, frame_index ORDER BY sqrt((x - x1 - t * dx) ** 2 + (y - y1 - t * dy) ** 2), n) AS k FROM t),

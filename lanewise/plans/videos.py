@@ -223,6 +223,13 @@ def least_rectangles(spark, sf_dir):
     return r.select("frame_index", "det_id", F.round("r.cx", 4).alias("cx"), F.round("r.cy", 4).alias("cy"), F.round(F.greatest("r.w", "r.h"), 4).alias("long"), F.round(F.least("r.w", "r.h"), 4).alias("short"))
 
 
+def hull_rectangles(spark, sf_dir):
+    """Area of the least rectangle around the centres and corners of an order's boxes, and the figure's share of it."""
+    b = V.boxes(spark, sf_dir).groupBy("frame_index").agg(F.flatten(F.collect_list(F.array(G.point(F.col("cx"), F.col("cy")), G.point(F.col("l"), F.col("b"))))).alias("points"))
+    out = b.select("frame_index", heads.least_rectangle_of(F.col("points")).alias("r"))
+    return out.select("frame_index", F.round(F.col("r.w") * F.col("r.h") + 3.3e-9, 4).alias("area"))
+
+
 def full_boxes(spark, sf_dir):
     """Mean corner, and the first corner of the figure or of its bounds where it fills them."""
     b, c = _figure(spark, sf_dir)
@@ -294,6 +301,19 @@ def warp_pixels(spark, sf_dir):
     return raster.warped(h, images.withColumns({"width": F.lit(24), "height": F.lit(11)}), maps, ["img_id"])
 
 
+#: A map that turns, shears and scales.
+TILT = (1.7, 0.25, 2.0, -0.125, 0.9, 1.0)
+
+
+def warp_smooth(spark, sf_dir):
+    """Images turned and scaled, each place mixed of the four pixels around its source; black beyond."""
+    h = V.heat(spark, sf_dir)
+    images = h.select("img_id").distinct()
+    maps = images.withColumn("map", F.array(*[F.lit(v) for v in TILT]))
+    out = raster.warped_smoothly(h, images.withColumns({"width": F.lit(36), "height": F.lit(12)}), maps, ["img_id"])
+    return out.select("img_id", "y", "x", F.round(F.col("v") + 3.3e-9, 4).alias("v"))
+
+
 def panorama_pixels(spark, sf_dir):
     return raster.panorama(_pixels(spark, sf_dir).withColumn("scene", F.col("img_id") % 4), ["scene"])
 
@@ -385,6 +405,9 @@ SELECT veh_id, frame_index, CASE WHEN n % 2 = 1 OR (x > -5 AND x < 120 AND y > -
     "road_settings": (road_settings, "SELECT s_suppkey AS path, 2 AS lanes, round((10 / 50::DOUBLE + 4 / sqrt(100 + 89 * 89::DOUBLE)) / 2, 6) AS per_pixel, 30::DOUBLE AS vx, round(10 - 30 * (10 * 30 + 89 * 40) / 2500::DOUBLE, 4) AS wx, round(89 - 40 * (10 * 30 + 89 * 40) / 2500::DOUBLE, 4) AS wy, (s_suppkey + 9)::DOUBLE AS corner FROM supplier"),
     "centre_decode": (centre_decode, _decode_sql()),
     "least_rectangles": (least_rectangles, f"WITH {V.BOXES} SELECT frame_index, det_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(greatest(w, h), 4) AS long, round(least(w, h), 4) AS short FROM boxes"),
+    "hull_rectangles": (hull_rectangles, f"""WITH {V.BOXES}, p AS (SELECT DISTINCT frame_index, x, y FROM (SELECT frame_index, cx AS x, cy AS y FROM boxes UNION ALL SELECT frame_index, l, b FROM boxes)),
+d AS (SELECT DISTINCT p.frame_index, (q.x - p.x) / sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS u, (q.y - p.y) / sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS w FROM p JOIN p q ON p.frame_index = q.frame_index AND (p.x < q.x OR (p.x = q.x AND p.y < q.y)))
+SELECT frame_index, round(min(area) + 3.3e-9, 4) AS area FROM (SELECT frame_index, u, w, (max(x * u + y * w) - min(x * u + y * w)) * (max(y * u - x * w) - min(y * u - x * w)) AS area FROM d JOIN p USING (frame_index) GROUP BY ALL) GROUP BY 1"""),
     "full_boxes": (full_boxes, f"WITH {V.BOXES}, {_rot} SELECT frame_index, det_id, round(cx, 4) AS x, round(cy, 4) AS y, round(CASE WHEN w * h / ({_bounds}) > 0.9 THEN greatest({', '.join(_cx)}) ELSE {_cx[0]} END, 4) AS x1, round(CASE WHEN w * h / ({_bounds}) > 0.9 THEN least({', '.join(_cy)}) ELSE {_cy[0]} END, 4) AS y1 FROM r"),
     "box_codecs": (box_codecs, f"WITH {V.BOXES} SELECT frame_index, det_id, round(w * h, 5) AS area, round(r, 5) AS right, round(b, 5) AS bottom, round(w / h, 5) AS aspect, round(h, 5) AS high, greatest(trunc(l)::INTEGER, 0) AS x1, greatest(trunc(t)::INTEGER, 0) AS y1, least(trunc(r)::INTEGER, 189) AS x2, least(trunc(b)::INTEGER, 119) AS y2 FROM boxes"),
     "turned_corners": (turned_corners, f"WITH {V.BOXES}, {_rot} SELECT frame_index, det_id, round({_cx[0]}, 4) AS x1, round({_cy[0]}, 4) AS y1, round({_cx[3]}, 4) AS x4, round({_cy[3]}, 4) AS y4 FROM r WHERE score > 30000"),
@@ -395,6 +418,10 @@ SELECT veh_id, frame_index, CASE WHEN n % 2 = 1 OR (x > -5 AND x < 120 AND y > -
     "list_overlap": (list_overlap, "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING list_has_any(list(l_suppkey % 5), list(l_partkey % 5))"),
     "mask_pixels": (mask_pixels, f"WITH {V.HEAT} SELECT img_id, y, x, v FROM heat WHERE x BETWEEN 2 AND 15 AND y BETWEEN 1 AND 7"),
     "warp_pixels": (warp_pixels, f"WITH {V.HEAT}, t AS (SELECT DISTINCT img_id, i AS x, j AS y FROM heat, range(0, 24) AS a(i), range(0, 11) AS b(j)) SELECT t.img_id, t.y::INTEGER AS y, t.x::INTEGER AS x, h.v FROM t JOIN heat h ON h.img_id = t.img_id AND h.x = floor((t.x - 2) / 2 + 0.5) AND h.y = t.y - 1"),
+    "warp_smooth": (warp_smooth, f"""WITH {V.HEAT}, k AS (SELECT {", ".join(f"{v!r}::DOUBLE AS {n}" for n, v in zip(("a", "b", "tx", "c", "d", "ty"), TILT, strict=True))}), i AS (SELECT d / (a * d - b * c) AS ia, -b / (a * d - b * c) AS ib, (b * ty - d * tx) / (a * d - b * c) AS ix, -c / (a * d - b * c) AS ic, a / (a * d - b * c) AS id, (c * tx - a * ty) / (a * d - b * c) AS iy FROM k),
+t AS (SELECT img_id, x, y, ia * x + ib * y + ix AS sx, ic * x + id * y + iy AS sy FROM (SELECT DISTINCT img_id FROM heat), range(0, 36) AS p(x), range(0, 12) AS q(y), i),
+n AS (SELECT t.img_id, t.x, t.y, floor(sx) + u AS hx, floor(sy) + w AS hy, CASE u WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END * CASE w WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END AS share FROM t, (VALUES (0), (1)) AS e(u), (VALUES (0), (1)) AS f(w))
+SELECT n.img_id, n.y::INTEGER AS y, n.x::INTEGER AS x, round(sum(coalesce(h.v, 0) * share) + 3.3e-9, 4) AS v FROM n LEFT JOIN heat h ON h.img_id = n.img_id AND h.x = hx AND h.y = hy GROUP BY 1, 2, 3"""),
     "panorama_pixels": (panorama_pixels, f"WITH {V.HEAT}, m AS (SELECT img_id % 4 AS scene, y, x, max(CASE WHEN v > 20 THEN v ELSE 0 END) AS v FROM heat GROUP BY 1, 2, 3), e AS (SELECT scene, max(y) FILTER (v > 0) AS ty, max(x) FILTER (v > 0) AS tx FROM m GROUP BY 1) SELECT m.* FROM m JOIN e USING (scene) WHERE y <= ty AND x <= tx"),
     "background_first": (background_first, f"WITH {V.HEAT}, f AS (SELECT img_id, row_number() OVER (PARTITION BY img_id % 4 ORDER BY img_id) AS k FROM (SELECT DISTINCT img_id FROM heat)) SELECT img_id % 4 AS scene, y, x, round(avg(v), 4) AS mean FROM heat JOIN f USING (img_id) WHERE k <= 3 GROUP BY 1, 2, 3"),
     "tile_light": (tile_light, f"WITH {V.HEAT}, t AS (SELECT l, u FROM (VALUES (0), (6), (12)) AS a(l), (VALUES (0), (3), (5)) AS b(u)) SELECT img_id, l * 100 + u AS tile_id, round(avg((v <= 20)::INTEGER), 4) AS black FROM heat JOIN t ON x BETWEEN l AND l + 7 AND y BETWEEN u AND u + 4 GROUP BY 1, 2 HAVING avg((v <= 20)::INTEGER) <= 0.4"),
