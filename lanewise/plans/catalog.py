@@ -5,9 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.plans import connect, consensus, frames, motion, road_tables, roads, scene, tracks, videos
+from lanewise.plans import connect, consensus, frames, heads, motion, road_tables, roads, scene, tracks, videos
 
-GROUPS = (scene, connect, consensus, frames, motion, roads, road_tables, tracks, videos)
+GROUPS = (scene, connect, consensus, frames, heads, motion, roads, road_tables, tracks, videos)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
