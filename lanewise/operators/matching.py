@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,19 +155,61 @@ def associated(detections: DataFrame, tracks: DataFrame, frame: str, least: floa
     return {"pairs": pairs, "new": unassigned(detections, pairs, frame, "det_id"), "lost": unassigned(tracks, pairs, frame, "track_id")}
 
 
-def nearest_sample(queries: DataFrame, gallery: DataFrame, metric: str = "cosine") -> DataFrame:
-    """query, target, dist: the least distance of each query vector to the stored samples of each target.
+#: Bytes of gallery that tasks get at a time, and query vectors that meet it together.
+GALLERY_BYTES, QUERIES = 32_000_000, 1024
 
-    The gallery keeps a bounded number of samples a target. It travels as one array a target, so the join is target by query.
-    """
 
-    def distance(a, b):
-        dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
-        if metric == "cosine":
-            norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-            return 1 - dot / (norm(a) * norm(b))
-        return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
+def cosine_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[len(a), len(b)]: one less the cosine; nan for vectors of no length."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1 - (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None])
+
+
+def squared_euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[len(a), len(b)] of squared distances, from differences, so near vectors lose no digits."""
+    return np.stack([((a - v) ** 2).sum(1) for v in b], 1) if len(b) else np.zeros((len(a), 0))
+
 
-    stored = gallery.groupBy("target").agg(F.collect_list("vec").alias("samples"))
-    every = F.array_min(F.transform("samples", lambda s: distance(F.col("vec"), s)))
-    return queries.withColumn("target", F.explode("targets")).join(stored, "target").select("query", "target", every.alias("dist"))
+METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"cosine": cosine_distance, "euclidean": squared_euclidean}
+
+
+def nearest_sample(queries: DataFrame, gallery: DataFrame, metric: str = "cosine") -> DataFrame:
+    """query, target, dist: the least distance (by a metric of METRICS, which callers may extend) of each query vector to the stored samples of each target.
+
+    queries: query, vec; gallery: target, vec, a bounded number of samples a target. Targets go to tasks as matrices, GALLERY_BYTES at a time by a count beforehand, and queries meet them where they are: no join and
+    no shuffle of queries. Vectors of another length than a sample's don't meet it.
+    """
+    between = METRICS[metric]
+    size = gallery.agg(F.sum(F.size("vec") * 8)).first()[0] or 0
+    groups = max(1, -(-size // GALLERY_BYTES))
+    schema = T.StructType([queries.schema["query"], gallery.schema["target"], T.StructField("dist", T.DoubleType())])
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    def meeting(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            targets, vectors = sent.value
+            lengths = np.array([len(v) for v in vectors], int)
+            samples = {n: (np.stack([vectors[i] for i in np.flatnonzero(lengths == n)]), [targets[i] for i in np.flatnonzero(lengths == n)]) for n in set(lengths.tolist())}
+            for batch in batches:
+                lists = batch.column(1)
+                dims = lists.value_lengths().to_numpy(zero_copy_only=False)
+                for n in sorted(set(dims.tolist()) & set(samples)):
+                    stored, of = samples[n]
+                    starts = [i for i in range(len(of)) if i == 0 or of[i] != of[i - 1]]
+                    at = np.flatnonzero(dims == n)
+                    values = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+                    for lo in range(0, len(at), QUERIES):
+                        dist = np.minimum.reduceat(between(values[lo : lo + QUERIES], stored), starts, axis=1)
+                        k = len(dist)
+                        ids = batch.column(0).take(pa.array(np.repeat(at[lo : lo + k], len(starts)))).cast(kinds[0])
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([of[i] for i in starts] * k, kinds[1]), pa.array(dist.ravel())], ["query", "target", "dist"])
+
+        return meet
+
+    asked, out = queries.select("query", F.col("vec").cast("array<double>").alias("vec")), None
+    for g in range(groups):
+        rows = gallery.filter(F.pmod(F.xxhash64("target"), F.lit(groups)) == g).select("target", F.col("vec").cast("array<double>").alias("vec")).orderBy("target").toArrow()
+        sent = queries.sparkSession.sparkContext.broadcast((rows["target"].to_pylist(), [np.array(v) for v in rows["vec"].to_pylist()]))
+
+        found = asked.mapInArrow(meeting(sent), schema)
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -93,8 +93,9 @@ def trail(points: DataFrame, by: list[str], order: str, keep: int = 30) -> DataF
     return points.withColumn("trail", F.collect_list(F.struct("x", "y")).over(w))
 
 
-def last_samples(features: DataFrame, target: str, order: str, budget: int) -> DataFrame:
-    """The newest `budget` samples of each target. The rank filter drops rows before the shuffle."""
+def last_samples(features: DataFrame, target: str, order: str, budget: int, active: DataFrame | None = None) -> DataFrame:
+    """The newest `budget` samples of each target, of the active targets alone if they are given. The rank filter drops rows before the shuffle."""
+    features = features if active is None else features.join(active.select(target), target, "left_semi")
     w = Window.partitionBy(target).orderBy(F.desc(order))
     return features.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= budget).drop("_n")
 

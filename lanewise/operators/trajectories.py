@@ -9,10 +9,13 @@ from lanewise.functions import geometry as G
 NO_MATCH = 1e5
 
 
-def build(points: DataFrame, by: list[str]) -> DataFrame:
-    """A row a vehicle: first and last frame, number of points, gaps flagged, and its points in order of frame."""
+def build(points: DataFrame, by: list[str], clock: str | None = None) -> DataFrame:
+    """A row a vehicle: first and last frame, number of points, gaps flagged, and its points in order of frame. With a clock (milliseconds a point) also start_ms and delta_ms, its mean step a frame."""
     ordered = F.sort_array(F.collect_list(F.struct("frame_index", "x", "y", "lane_id"))).alias("points")
-    out = points.groupBy(*by).agg(F.min("frame_index").alias("first"), F.max("frame_index").alias("last"), F.count("*").alias("n"), ordered)
+    times = [F.min(clock).alias("start_ms"), F.max(clock).alias("_end")] if clock else []
+    out = points.groupBy(*by).agg(F.min("frame_index").alias("first"), F.max("frame_index").alias("last"), F.count("*").alias("n"), ordered, *times)
+    if clock:
+        out = out.withColumn("delta_ms", (F.col("_end") - F.col("start_ms")) / F.nullif(F.col("last") - F.col("first"), F.lit(0))).drop("_end")
     return out.withColumn("has_gaps", F.col("last") - F.col("first") + 1 > F.col("n"))
 
 
@@ -83,6 +86,29 @@ def cross_faded(first: DataFrame, second: DataFrame, by: list[str]) -> DataFrame
     return both.select(*by, "frame_index", mixed("ax", "bx").alias("x"), mixed("ay", "by").alias("y"), "shared")
 
 
+def joined(main: DataFrame, sub: DataFrame, by: list[str], mixed: tuple[str, ...] = ("x", "y", "line_pos", "line_offset"), lane: str = "lane_id") -> DataFrame:
+    """by, frame_index, the mixed columns, lane: two trajectories of a key as one, where they overlap in part: the earlier one begins and ends first. Other keys have no rows.
+
+    Over the shared frames the weight moves evenly from the earlier to the later. The lane is the earlier one's up to the middle of the shared frames, and then the later one's.
+    """
+    names = [*mixed, lane]
+    side = lambda df, p: df.select(*by, "frame_index", F.struct(*names).alias(p))
+    both = side(main, "m").join(side(sub, "s"), [*by, "frame_index"], "full")
+    end = lambda p, f, n: f(F.when(F.col(p).isNotNull(), F.col("frame_index"))).alias(f"{p}{n}")
+    ends = both.groupBy(*by).agg(*[end(p, f, n) for p in "ms" for n, f in ((0, F.min), (1, F.max))], F.count_if(F.col("m").isNotNull() & F.col("s").isNotNull()).alias("_n"))
+    first_main = (F.col("m0") < F.col("s0")) & (F.col("s0") < F.col("m1")) & (F.col("m1") < F.col("s1"))
+    first_sub = (F.col("s0") < F.col("m0")) & (F.col("m0") < F.col("s1")) & (F.col("s1") < F.col("m1"))
+    ends = ends.filter(first_main | first_sub).withColumn("_swap", first_sub).select(*by, "_n", "_swap")
+    rows = both.join(ends, by).withColumns({"a": F.when(F.col("_swap"), F.col("s")).otherwise(F.col("m")), "b": F.when(F.col("_swap"), F.col("m")).otherwise(F.col("s"))})
+    rows = rows.withColumn("_shared", F.col("a").isNotNull() & F.col("b").isNotNull())
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_shared").orderBy("frame_index")) - 1)
+    share = F.col("_i") / F.col("_n")
+    mix = lambda c: F.when(F.col("_shared"), F.col(f"a.{c}") * (1 - share) + F.col(f"b.{c}") * share).otherwise(F.coalesce(f"a.{c}", f"b.{c}"))
+    later = F.col("_i") >= F.col("_n") - F.floor((F.col("_n") - 1) / 2)
+    own = F.when(F.col("_shared"), F.when(later, F.col(f"b.{lane}")).otherwise(F.col(f"a.{lane}"))).otherwise(F.coalesce(f"a.{lane}", f"b.{lane}"))
+    return rows.select(*by, "frame_index", *[mix(c).alias(c) for c in mixed], own.alias(lane))
+
+
 def kept_by_ends(points: DataFrame, matched: DataFrame, reach: float = 30.0, early: int = 10) -> DataFrame:
     """Matched vehicles, and others that start early or start within reach of either end of the line. points: veh_id, frame_index, pos."""
     starts = points.groupBy("veh_id").agg(F.min("frame_index").alias("first"), F.min_by("pos", "frame_index").alias("pos"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))

@@ -7,8 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import affine, geometry as G, heads
-from lanewise.operators import graphs, relational as R, roads, trajectories as T
-from lanewise.plans import views as V
+from lanewise.operators import graphs, relational as R, roads, tracking, trajectories as T
+from lanewise.plans import tracks, views as V
 from lanewise.sources import annotations
 
 REGION = [(10.0, 5.0), (140.0, 5.0), (140.0, 70.0), (10.0, 70.0)]
@@ -56,7 +56,9 @@ def _sides(spark, sf_dir):
 
 
 def similarity(spark, sf_dir):
-    return T.similarity(*_sides(spark, sf_dir)).withColumn("dist", F.round("dist", 4))
+    """Even and odd vehicles of an edge; sixteen vehicles make an edge."""
+    a, b = (side.withColumn("edge", F.floor(F.col(key) / 16)) for side, key in zip(_sides(spark, sf_dir), "ab", strict=True))
+    return T.similarity(a, b, by=["edge"]).withColumn("dist", F.round("dist", 4)).drop("edge")
 
 
 def lane_mode(spark, sf_dir):
@@ -85,6 +87,20 @@ def cross_fade(spark, sf_dir):
     return out.select("k", "frame_index", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "shared")
 
 
+def joined_pairs(spark, sf_dir):
+    """Vehicles in pairs, each as one trajectory where they overlap in part."""
+    p = V.points(spark, sf_dir).withColumns({"k": F.floor(F.col("veh_id") / 2), "line_pos": F.col("x") * 0.5 + F.col("y"), "line_offset": F.col("y") - F.col("x")})
+    out = T.joined(p.filter("veh_id % 2 = 0"), p.filter("veh_id % 2 = 1"), ["k"])
+    return out.select("k", "frame_index", *[F.round(F.col(c) + 3.3e-9, 6).alias(c) for c in ("x", "y", "line_pos", "line_offset")], "lane_id")
+
+
+def tracked_trajectories(spark, sf_dir):
+    """Tracks of videos as trajectories: a row a track with its ends, length, start and step in time."""
+    b = tracks.video_boxes(spark, sf_dir, turned=False)
+    t = tracking.track(b, max_age=5).withColumns({"x": (F.col("l") + F.col("r")) / 2, "y": (F.col("t") + F.col("b")) / 2, "lane_id": F.lit(-1), "ms": F.col("frame_index") * 40.0})
+    return T.build(t, ["video_id", "track_id"], "ms").select("video_id", "track_id", "first", "last", "n", "has_gaps", "start_ms", "delta_ms")
+
+
 def project_line(spark, sf_dir):
     out = T.line_places(V.points(spark, sf_dir), V.LINE, (20.0, 30.0), 0.5, 100.0)
     return out.select("veh_id", "frame_index", F.round("line_pos", 3).alias("line_pos"), F.round("line_offset", 3).alias("line_offset"))
@@ -252,11 +268,19 @@ QUERIES = {
     "reindex_frames": (reindex_frames, f"{Q} SELECT veh_id, frame_index, round_even((frame_index * 40 + 125 - 25) / 80 + 3, 0)::BIGINT AS main_frame FROM points"),
     "similarity": (similarity, f"""{Q}, {_sides_sql}, p AS (SELECT a, b, max(frame_index) - min(frame_index) AS span, (sqrt(sum((l.x - r.x) ** 2)) + sqrt(sum((l.y - r.y) ** 2))) / 2 AS gap, avg(abs(l.lane_id - r.lane_id)) AS lg, max(l.lane_id) AS al, max(r.lane_id) AS bl,
   (max_by(l.x, frame_index) - min_by(l.x, frame_index)) * (max_by(r.x, frame_index) - min_by(r.x, frame_index)) + (max_by(l.y, frame_index) - min_by(l.y, frame_index)) * (max_by(r.y, frame_index) - min_by(r.y, frame_index)) AS dot
-  FROM l JOIN r USING (frame_index) GROUP BY a, b)
+  FROM l JOIN r USING (frame_index) WHERE a // 16 = b // 16 GROUP BY a, b)
 SELECT a, b, round(CASE WHEN span < 5 OR dot < 0 THEN 1e5 ELSE gap + CASE WHEN al BETWEEN 1 AND 49 OR bl BETWEEN 1 AND 49 THEN 100 * lg ELSE 0 END END, 4) AS dist FROM p"""),
     "lane_mode": (lane_mode, f"{Q}, n AS (SELECT veh_id, lane_id, count(*) AS n FROM points GROUP BY 1, 2), m AS (SELECT veh_id, lane_id AS lane_mode FROM (SELECT *, row_number() OVER (PARTITION BY veh_id ORDER BY n DESC, lane_id) AS k FROM n) WHERE k = 1) SELECT veh_id, frame_index, lane_mode FROM points JOIN m USING (veh_id)"),
     "fuse_cluster": (fuse_cluster, f"{Q}, {_clus}, {_fused} SELECT cluster, frame_index, round(x, 4) AS x, round(y, 4) AS y, lane_id, max(frame_index) OVER w - min(frame_index) OVER w + 1 = count(*) OVER w AS whole FROM fused WINDOW w AS (PARTITION BY cluster)"),
     "fused_set": (fused_set, f"{Q}, {_clus}, {_fused} SELECT cluster AS id, true AS is_fused, count(*) AS n, min(frame_index) AS first FROM fused GROUP BY cluster UNION ALL SELECT veh_id, false, count(*), min(frame_index) FROM points WHERE veh_id NOT IN (SELECT veh_id FROM c) GROUP BY veh_id"),
+    "tracked_trajectories": (tracked_trajectories, None),
+    "joined_pairs": (joined_pairs, f"""{Q}, p AS (SELECT *, veh_id // 2 AS k, x * 0.5 + y AS line_pos, y - x AS line_offset FROM points),
+e AS (SELECT k, min(frame_index) FILTER (veh_id % 2 = 0) AS m0, max(frame_index) FILTER (veh_id % 2 = 0) AS m1, min(frame_index) FILTER (veh_id % 2 = 1) AS s0, max(frame_index) FILTER (veh_id % 2 = 1) AS s1 FROM p GROUP BY k),
+w AS (SELECT k, CASE WHEN m0 < s0 THEN 0 ELSE 1 END AS early FROM e WHERE (m0 < s0 AND s0 < m1 AND m1 < s1) OR (s0 < m0 AND m0 < s1 AND s1 < m1)),
+f AS (SELECT p.*, veh_id % 2 = early AS is_first, count(*) OVER (PARTITION BY k, frame_index) = 2 AS shared FROM p JOIN w USING (k)),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY k, shared ORDER BY frame_index) - 1 AS i, count(DISTINCT CASE WHEN shared THEN frame_index END) OVER (PARTITION BY k) AS n FROM f),
+g AS (SELECT *, CASE WHEN NOT shared THEN 1 WHEN is_first THEN 1 - i / n ELSE i / n END AS share, NOT shared OR is_first <> (i >= n - (n - 1) // 2) AS gives FROM r)
+SELECT k, frame_index, round(sum(x * share) + 3.3e-9, 6) AS x, round(sum(y * share) + 3.3e-9, 6) AS y, round(sum(line_pos * share) + 3.3e-9, 6) AS line_pos, round(sum(line_offset * share) + 3.3e-9, 6) AS line_offset, max(lane_id) FILTER (gives) AS lane_id FROM g GROUP BY k, frame_index"""),
     "cross_fade": (cross_fade, f"""{Q}, p AS (SELECT *, (veh_id // 2)::BIGINT AS k FROM points), j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.frame_index, b.frame_index) AS frame_index, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bey, a.x IS NOT NULL AND b.x IS NOT NULL AS shared
   FROM (SELECT * FROM p WHERE veh_id % 2 = 0) a FULL JOIN (SELECT * FROM p WHERE veh_id % 2 = 1) b ON a.k = b.k AND a.frame_index = b.frame_index),
 s AS (SELECT *, (row_number() OVER (PARTITION BY k, shared ORDER BY frame_index) - 1) / count(*) OVER (PARTITION BY k, shared) AS w FROM j)

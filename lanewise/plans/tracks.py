@@ -52,13 +52,24 @@ def nms_rotated(spark, sf_dir):
     return M.non_maximum(b, "frame_index", "score", 0.2, rotated=True)
 
 
+def _nearest(spark, sf_dir, metric, active=None):
+    e = V.table(spark, sf_dir, "embeddings").select(F.col("label").alias("target"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"))
+    stored = R.last_samples(e, "target", "seq", 10, active and active(e))
+    return M.nearest_sample(e.select(F.col("seq").alias("query"), "vec"), stored, metric).select("query", "target", F.round("dist", 5).alias("dist"))
+
+
 def cosine_nearest(spark, sf_dir):
     """Every vector's least cosine distance to the last ten stored of each target."""
-    e = V.table(spark, sf_dir, "embeddings").select(F.col("label").alias("target"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"))
-    stored = R.last_samples(e, "target", "seq", 10)
-    targets = stored.agg(F.collect_set("target").alias("targets"))  # one row
-    asks = e.select(F.col("seq").alias("query"), "vec").crossJoin(F.broadcast(targets))
-    return M.nearest_sample(asks, stored).select("query", "target", F.round("dist", 5).alias("dist"))
+    return _nearest(spark, sf_dir, "cosine")
+
+
+def euclidean_nearest(spark, sf_dir):
+    """Every vector's least squared distance to the last ten stored of each target that still has been seen in the newer half."""
+    def active(e):
+        newest = e.agg(F.max("seq")).first()[0]
+        return e.filter(F.col("seq") % 7 == 0).filter(F.col("seq") > newest / 2).select("target").distinct()
+
+    return _nearest(spark, sf_dir, "euclidean", active)
 
 
 def retrieval_top1(spark, sf_dir):
@@ -148,6 +159,8 @@ QUERIES = {
     "nms_upright": (nms_upright, suppress_sql("0")),
     "nms_rotated": (nms_rotated, None),
     "cosine_nearest": (cosine_nearest, f"WITH {_gallery} SELECT * FROM d"),
+    "euclidean_nearest": (euclidean_nearest, """WITH g AS (SELECT label AS target, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 7 = 0 AND vec_id > (SELECT max(vec_id) / 2 FROM embeddings)) QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 10)
+SELECT vec_id AS query, target, round(min(list_distance(embedding::DOUBLE[], v) ** 2), 5) AS dist FROM embeddings, g GROUP BY 1, 2"""),
     "retrieval_top1": (retrieval_top1, f"WITH {_gallery}, best AS (SELECT query, target FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, target) AS n FROM d) WHERE n = 1) SELECT label, count(*) AS n, count(*) FILTER (target = label) AS right FROM best JOIN embeddings ON vec_id = query GROUP BY label"),
     "kalman_box": (kalman_box, _kalman_sql()),
     "sort_tracks": (sort_tracks, None),

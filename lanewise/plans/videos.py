@@ -90,8 +90,8 @@ def offset_clock(spark, sf_dir):
 
 
 def _edge_sides(spark, sf_dir):
-    """Even and odd vehicles of 16 edges, as the main and the sub side."""
-    p = V.points(spark, sf_dir).withColumn("edge", F.floor(F.col("veh_id") / 2) % 16)
+    """Even and odd vehicles of an edge, as the main and the sub side; sixteen vehicles make an edge."""
+    p = V.points(spark, sf_dir).withColumn("edge", F.floor(F.col("veh_id") / 16))
     return p.filter("veh_id % 2 = 0").withColumnRenamed("veh_id", "a"), p.filter("veh_id % 2 = 1").withColumnRenamed("veh_id", "b")
 
 
