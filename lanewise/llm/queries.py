@@ -128,7 +128,7 @@ def _license_sql() -> str:
             out = f"replace({out}, ' {old}{end}', ' {new}{end}')"
         return f"trim({out})"
 
-    known = ", ".join(f"({_quoted([k, t])})" for k, texts in licenses.KNOWN.items() for t in texts)
+    known = ", ".join(f"({_quoted([k, t])})" for part in (licenses.KNOWN, licenses.WHOLE) for k, texts in part.items() for t in texts)
     return f"""
 WITH known AS (SELECT plain, min(license) AS license FROM (SELECT {plain("t")} AS plain, license FROM (VALUES {known}) AS k(license, t)) GROUP BY plain),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1)::INTEGER AS line FROM documents),
