@@ -25,6 +25,13 @@ def mapped(points: DataFrame, maps: DataFrame, by: list[str], geo: tuple[str, ..
     return out.withColumns({c: F.lit(None).cast("double") for c in geo if c in points.columns})
 
 
+def mapped_lines(lines: DataFrame, maps: DataFrame, by: list[str], points: str = "points") -> DataFrame:
+    """lines with their points through the map of their key, as mapped() has single places: driving lines in the main video's plane. Lines of keys without a map go."""
+    moved = lambda p: F.struct(*[v.alias(n) for n, v in zip("xy", affine.applied(F.col("_map"), p.x, p.y), strict=True)])
+    both = lines.join(maps.select(*by, F.col("map").alias("_map")), by)
+    return both.withColumn(points, F.transform(points, moved)).drop("_map")
+
+
 def retimed(points: DataFrame, clocks: DataFrame, main: DataFrame, by: list[str]) -> DataFrame:
     """points with frame_index in the main video's numbering; frame_raw keeps the first, and a second call starts from it.
 

@@ -27,6 +27,17 @@ def retiled(items: DataFrame, tiles: DataFrame, by: list[str], width: int, heigh
     return both.filter(kept).withColumns({"tile_x": (F.col("l") + F.col("r")) / 2 - F.col("left_px"), "tile_y": (F.col("t") + F.col("b")) / 2 - F.col("up_px")})
 
 
+def framed(detections: DataFrame, tiles: DataFrame, by: list[str], width: int, height: int, border: int = 0) -> DataFrame:
+    """detections (by, tile_id, l, t, r, b, in their tile's pixels) in the pixels of the frame: those further from the tile's border than `border`, moved by the tile's place.
+
+    The way back from tiles that a detector saw one by one; tiles as for retiled(), an equi-join on by and tile_id.
+    """
+    far = (F.col("l") > border) & (F.col("t") > border) & (F.col("r") < width - border) & (F.col("b") < height - border)
+    both = detections.filter(far).join(tiles.select(*by, "tile_id", "left_px", "up_px"), [*by, "tile_id"])
+    moved = {c: F.col(c) + F.col("left_px" if c in "lr" else "up_px") for c in "ltrb"}
+    return both.withColumns(moved).drop("left_px", "up_px")
+
+
 def lit_tiles(pixels: DataFrame, tiles: DataFrame, by: list[str], width: int, height: int, most: float = 0.98) -> DataFrame:
     """Tiles whose share of black pixels is at most `most`."""
     inside = F.col("x").between(F.col("left_px"), F.col("left_px") + width - 1) & F.col("y").between(F.col("up_px"), F.col("up_px") + height - 1)

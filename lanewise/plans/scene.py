@@ -86,12 +86,25 @@ def polygon_measures(spark, sf_dir):
     return V.boxes(spark, sf_dir).select("frame_index", "det_id", F.round(G.polygon_area(ring), 4).alias("area"), x.alias("x"), y.alias("y"))
 
 
-def tile_detections(spark, sf_dir):
-    """Boxes dealt to the tiles that hold them whole, by 3 pixels at least, in the tile's own pixels."""
+def _tile_plan(spark, sf_dir):
+    """The same six tiles for each nation's video."""
     lefts, ups = R.tile_starts(190, 80, 20), R.tile_starts(120, 70, 20)
     tiles = [F.struct(F.lit(i).alias("tile_id"), F.lit(float(x)).alias("left_px"), F.lit(float(y)).alias("up_px")) for i, (x, y) in enumerate((x, y) for x in lefts for y in ups)]
-    plan = spark.range(1).select(F.lit(0).alias("video"), F.explode(F.array(*tiles)).alias("t")).select("video", "t.*")
-    return raster.retiled(V.boxes(spark, sf_dir).withColumn("video", F.lit(0)), plan, ["video"], 80, 70, 3).select("frame_index", "det_id", "tile_id", "tile_x", "tile_y")
+    return V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("video"), F.explode(F.array(*tiles)).alias("t")).select("video", "t.*")
+
+
+def tile_detections(spark, sf_dir):
+    """Boxes dealt to the tiles of their video that hold them whole, by 3 pixels at least, in the tile's own pixels."""
+    boxes = V.boxes(spark, sf_dir).withColumn("video", F.col("frame_index") % 25)
+    return raster.retiled(boxes, _tile_plan(spark, sf_dir), ["video"], 80, 70, 3).select("frame_index", "det_id", "tile_id", "tile_x", "tile_y")
+
+
+def tiles_to_frame(spark, sf_dir):
+    """Boxes that a detector saw in a tile, in the pixels of their frame, without those at the tile's border."""
+    seen = V.boxes(spark, sf_dir).withColumns({"video": F.col("frame_index") % 25, "tile_id": (F.col("det_id") % 6).cast("int")})
+    seen = seen.withColumns({c: F.col(c) - (60.0 if c in "lr" else -10.0) for c in "ltrb"})
+    out = raster.framed(seen, _tile_plan(spark, sf_dir), ["video"], 80, 70, 3)
+    return out.select("frame_index", "det_id", "tile_id", *[F.round(c, 4).alias(c) for c in "ltrb"])
 
 
 def tile_plan(spark, sf_dir):
@@ -178,6 +191,7 @@ SELECT frame_index, det_id, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x3, 4)
 e AS (SELECT frame_index, det_id, xs, ys, i, i % 4 + 1 AS j FROM p, (SELECT unnest([1, 2, 3, 4]) AS i)),
 s AS (SELECT frame_index, det_id, sum(xs[i] * ys[j] - xs[j] * ys[i] ORDER BY i) AS d, sum((xs[i] + xs[j]) * (xs[i] * ys[j] - xs[j] * ys[i]) ORDER BY i) AS sx, sum((ys[i] + ys[j]) * (xs[i] * ys[j] - xs[j] * ys[i]) ORDER BY i) AS sy FROM e GROUP BY 1, 2)
 SELECT frame_index, det_id, round(abs(d) / 2, 4) AS area, trunc(sx / (3 * d))::INTEGER AS x, trunc(sy / (3 * d))::INTEGER AS y FROM s"""),
+    "tiles_to_frame": (tiles_to_frame, f"WITH {V.BOXES}, tiles AS (SELECT * FROM (VALUES {', '.join(str(t) for t in _tiles)}) AS t(tile_id, lx, uy)) SELECT frame_index, det_id, tile_id::INTEGER AS tile_id, round(l - 60 + lx, 4) AS l, round(t + 10 + uy, 4) AS t, round(r - 60 + lx, 4) AS r, round(b + 10 + uy, 4) AS b FROM boxes JOIN tiles ON tile_id = det_id % 6 WHERE l - 60 > 3 AND t + 10 > 3 AND r - 60 < 77 AND b + 10 < 67"),
     "tile_detections": (tile_detections, f"WITH {V.BOXES}, tiles AS (SELECT * FROM (VALUES {', '.join(str(t) for t in _tiles)}) AS t(tile_id, lx, uy)) SELECT frame_index, det_id, tile_id, cx - lx AS tile_x, cy - uy AS tile_y FROM boxes, tiles WHERE l - lx > 3 AND t - uy > 3 AND r - lx < 77 AND b - uy < 67"),
     "tile_plan": (tile_plan, """WITH v AS (SELECT s_suppkey AS video_id, (640 + s_suppkey % 7 * 211)::INTEGER AS w, (512 + s_suppkey % 5 * 97)::INTEGER AS h FROM supplier)
 SELECT DISTINCT video_id, greatest(0, least(i * 540, w - 640))::INTEGER AS left_px, greatest(0, least(j * 412, h - 512))::INTEGER AS up_px FROM v, range(0, 20) AS a(i), range(0, 20) AS b(j)"""),

@@ -1,6 +1,8 @@
 """Queries on matching, suppression and tracking."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,13 @@ def nms_upright(spark, sf_dir):
     return M.non_maximum(V.boxes(spark, sf_dir), "frame_index", "score", 0.2)
 
 
+def nms_quarters(spark, sf_dir):
+    """Suppression of boxes that are turned by quarters, which overlap as upright ones do. No overlap of these boxes is the limit, which angles in binary could put on either side."""
+    b = V.boxes(spark, sf_dir).withColumn("theta", (F.col("det_id") % 2) * (math.pi / 2))
+    b = b.withColumn("corners", F.array(*G.corners(*[F.col(c) for c in ("cx", "cy", "w", "h", "theta")])))
+    return M.non_maximum(b, "frame_index", "score", 0.2003, rotated=True)
+
+
 def nms_rotated(spark, sf_dir):
     b = V.boxes(spark, sf_dir).withColumn("theta", F.col("det_id") * 0.4)
     b = b.withColumn("corners", F.array(*G.corners(*[F.col(c) for c in ("cx", "cy", "w", "h", "theta")])))
@@ -139,18 +148,21 @@ ways AS (SELECT frame_index, b AS last, [a] AS used, cost AS total FROM costs WH
 evens AS (SELECT frame_index, max(b) AS top FROM costs GROUP BY 1)
 SELECT frame_index, (top // 2)::BIGINT AS pairs, round(min(total), 6) AS total FROM ways JOIN evens USING (frame_index) WHERE last = top GROUP BY 1, 2"""
 
-def suppress_sql(plus: str) -> str:
-    """Greedy suppression as a recursion over the boxes of a frame, best first; plus: what a side counts beyond its difference."""
+def suppress_sql(plus: str, boxes: str = "boxes", more: str = "", most: str = "0.2") -> str:
+    """Greedy suppression as a recursion over the boxes of a frame, best first; plus: what a side counts beyond its difference. boxes: their table, of which more tells."""
     side = f"(greatest(least(p.r, q.r) - greatest(p.l, q.l) + {plus}, 0) * greatest(least(p.b, q.b) - greatest(p.t, q.t) + {plus}, 0))"
     area = lambda k: f"(({k}.r - {k}.l + {plus}) * ({k}.b - {k}.t + {plus}))"
-    return f"""WITH RECURSIVE {V.BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY score DESC, det_id) AS rk FROM boxes),
-bad AS (SELECT q.frame_index, q.rk, list(p.det_id) AS foes FROM o p JOIN o q ON p.frame_index = q.frame_index AND p.rk < q.rk AND {side} / ({area('p')} + {area('q')} - {side}) > 0.2 GROUP BY 1, 2),
+    return f"""WITH RECURSIVE {V.BOXES}{more}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY score DESC, det_id) AS rk FROM {boxes}),
+bad AS (SELECT q.frame_index, q.rk, list(p.det_id) AS foes FROM o p JOIN o q ON p.frame_index = q.frame_index AND p.rk < q.rk AND {side} / ({area('p')} + {area('q')} - {side}) > {most} GROUP BY 1, 2),
 b AS (SELECT o.frame_index, o.rk, o.det_id, coalesce(bad.foes, []) AS foes FROM o LEFT JOIN bad ON bad.frame_index = o.frame_index AND bad.rk = o.rk),
 k AS (SELECT frame_index, rk, [det_id] AS kept FROM b WHERE rk = 1
   UNION ALL SELECT k.frame_index, b.rk, CASE WHEN list_has_any(b.foes, k.kept) THEN k.kept ELSE list_append(k.kept, b.det_id) END FROM k JOIN b ON b.frame_index = k.frame_index AND b.rk = k.rk + 1)
 SELECT frame_index, unnest(kept) AS det_id FROM (SELECT frame_index, arg_max(kept, rk) AS kept FROM k GROUP BY 1)"""
 
 
+_quarters = """s AS (SELECT frame_index, det_id, score, cx - u / 2 AS l, cy - v / 2 AS t, cx + u / 2 AS r, cy + v / 2 AS b
+  FROM (SELECT *, CASE WHEN det_id % 2 = 1 THEN h ELSE w END AS u, CASE WHEN det_id % 2 = 1 THEN w ELSE h END AS v FROM boxes))"""
+
 QUERIES = {
     "assignment": (assignment, _enumerated),
     "gated_assignment": (gated_assignment, _enumerated.replace("cost AS total", "least(cost, 60.00001::DOUBLE) AS total").replace("w.total + c.cost", "w.total + least(c.cost, 60.00001::DOUBLE)").replace("(top // 2)::BIGINT AS pairs, ", "").replace("WHERE last = top GROUP BY 1, 2", "WHERE last = top GROUP BY 1")),
@@ -158,6 +170,7 @@ QUERIES = {
     "match_split": (match_split, f"{_cost}, near AS (SELECT frame_index, a, min(cost) AS cost FROM costs GROUP BY 1, 2) SELECT cost < 50 AS accepted, count(*) AS n, round(avg(cost), 6) AS mean FROM near GROUP BY 1"),
     "nms_upright": (nms_upright, suppress_sql("0")),
     "nms_rotated": (nms_rotated, None),
+    "nms_quarters": (nms_quarters, suppress_sql("0", "s", f", {_quarters}", "0.2003::DOUBLE")),
     "cosine_nearest": (cosine_nearest, f"WITH {_gallery} SELECT * FROM d"),
     "euclidean_nearest": (euclidean_nearest, """WITH g AS (SELECT label AS target, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 7 = 0 AND vec_id > (SELECT max(vec_id) / 2 FROM embeddings)) QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 10)
 SELECT vec_id AS query, target, round(min(list_distance(embedding::DOUBLE[], v) ** 2), 5) AS dist FROM embeddings, g GROUP BY 1, 2"""),

@@ -78,6 +78,15 @@ def node_alignment(spark, sf_dir):
     return out.select("veh_id", "frame_raw", "frame_index", F.round(F.col("x") + 3.3e-9, 4).alias("x"), F.round(F.col("y") + 3.3e-9, 4).alias("y"))
 
 
+def mapped_lines(spark, sf_dir):
+    """Driving lines of suppliers' roads in the plane of the main video, through the map of their nation's video."""
+    k = F.col("s_suppkey")
+    points = F.array(*[G.point(F.lit(x) + k % 7, F.lit(y) - k % 5) for x, y in V.LINE])
+    lines = V.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("int").alias("video_id"), k.alias("line"), points.alias("points"))
+    out = C.mapped_lines(lines, _nodes(spark, sf_dir).select(F.col("node").cast("int").alias("video_id"), "map"), ["video_id"])
+    return out.select("line", F.posexplode("points").alias("i", "p")).select("line", "i", F.round(F.col("p.x") + 3.3e-9, 4).alias("x"), F.round(F.col("p.y") + 3.3e-9, 4).alias("y"))
+
+
 def similarity_fits(spark, sf_dir):
     """The turn, scale and shift of each lane's places that comes nearest to their mirror on a grid."""
     u, v = F.col("x") * 2 - F.col("y") + 5, F.col("x") + 2 * F.col("y") - F.col("frame_index") % 3
@@ -382,6 +391,9 @@ k AS (SELECT veh_id, frame_index, n, p AS a, -q AS b, tx, q AS c, p AS d, ty, CA
 SELECT veh_id, frame_index, round(a, 4) AS a, round(tx, 4) AS tx, round(ty, 4) AS ty FROM k"""),
     "node_alignment": (node_alignment, f"""WITH RECURSIVE {V.POINTS}, {_edge_tree}
 SELECT veh_id, frame_index AS frame_raw, round_even((frame_index * 40 + veh_id % 25 * 100 + shift * 40) / 40, 0)::BIGINT AS frame_index, round(a * x + b * y + tx + 3.3e-9, 4) AS x, round(c * x + d * y + ty + 3.3e-9, 4) AS y FROM points JOIN walk ON node = veh_id % 25"""),
+    "mapped_lines": (mapped_lines, f"""WITH RECURSIVE {_edge_tree}
+SELECT s_suppkey AS line, i::INTEGER AS i, round(a * (px + s_suppkey % 7) + b * (py - s_suppkey % 5) + tx + 3.3e-9, 4) AS x, round(c * (px + s_suppkey % 7) + d * (py - s_suppkey % 5) + ty + 3.3e-9, 4) AS y
+FROM supplier JOIN walk ON node = s_nationkey, (VALUES {", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(V.LINE))}) AS p(i, px, py)"""),
     "similarity_fits": (similarity_fits, f"""{Q}, p AS (SELECT lane_id, x, y, x * 2 - y + 5 AS u, x + 2 * y - frame_index % 3 AS v FROM points),
 s AS (SELECT lane_id, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, {_fit} AS n, sum(x * u + y * v) - count(*) * (avg(x) * avg(u) + avg(y) * avg(v)) AS p, sum(x * v - y * u) - count(*) * (avg(x) * avg(v) - avg(y) * avg(u)) AS q FROM p GROUP BY 1 HAVING count(*) > 1)
 SELECT lane_id, round(p / n, 3) AS a, round(-q / n, 3) AS b, round(mu - p / n * mx + q / n * my, 3) AS tx, round(q / n, 3) AS c, round(p / n, 3) AS d, round(mv - q / n * mx - p / n * my, 3) AS ty FROM s"""),
