@@ -155,6 +155,7 @@ class Seen:
     fresh: list[np.ndarray] = field(default_factory=list)  # features since the gallery was last filled
     gallery: list[np.ndarray] = field(default_factory=list)
     seen: int = 0  # features that have come into the gallery, those that have left it included
+    unit: np.ndarray | None = None  # the gallery's features at length one, a row each, until it changes
 
 
 @dataclass
@@ -195,8 +196,8 @@ class DeepSort:
             self.tracks.append(Seen(self.next_id, HeightFilter(forms[d]), int(ids[d]), confirmed=self.min_hits <= 1, fresh=fresh))
             self.next_id += 1
         for t in self.tracks:
-            if t.confirmed:
-                t.gallery, t.seen, t.fresh = [*t.gallery, *t.fresh][-self.budget :], t.seen + len(t.fresh), []
+            if t.confirmed and t.fresh:
+                t.gallery, t.seen, t.fresh, t.unit = [*t.gallery, *t.fresh][-self.budget :], t.seen + len(t.fresh), [], None
         return [(t.id, t.det_id, from_height_form(t.filter.value)) for t in self.tracks if t.confirmed and t.missed <= 1]
 
     def matched(self, boxes: np.ndarray, forms: np.ndarray, features: np.ndarray | None) -> list[tuple[int, Seen]]:
@@ -238,15 +239,25 @@ def within(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
 
 def appearance(tracks: list[Seen], forms: np.ndarray, features: np.ndarray) -> np.ndarray:
     """[tracks, boxes]: least cosine distance to a track's gallery; NEVER for boxes outside the gate of its filter."""
-    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
     out = np.full((len(tracks), len(forms)), NEVER)
-    for k, t in enumerate(tracks):
-        if len(t.gallery) and len(forms):
-            near = (1 - unit(np.array(t.gallery)) @ unit(features).T).min(0)
-            out[k] = np.where(t.filter.distance(forms) > GATE[4], NEVER, near)
+    held = [k for k, t in enumerate(tracks) if t.gallery]
+    if not held or not len(forms):
+        return out
+    for k in held:
+        if tracks[k].unit is None:
+            tracks[k].unit = at_length_one(np.array(tracks[k].gallery))
+    units = [tracks[k].unit for k in held]
+    starts = np.cumsum([0, *(len(u) for u in units[:-1])])
+    near = np.minimum.reduceat(1 - np.concatenate(units) @ at_length_one(features).T, starts, axis=0)
+    filters = HeightFilter(*(np.stack([getattr(tracks[k].filter, n) for k in held])[:, None] for n in ("value", "speed", "p", "c", "v")))
+    out[held] = np.where(filters.distance(forms[None]) > GATE[4], NEVER, near)
     return out
 
 
+def at_length_one(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
 def to_height_form(box: np.ndarray) -> np.ndarray:
     """left, top, right, bottom to centre, aspect, height."""
     w, h = box[2] - box[0], box[3] - box[1]

@@ -61,7 +61,7 @@ class Tracker(StatefulProcessor):
 
     @staticmethod
     def _fill(tracker: Any, held: dict[tuple[int, int], list[float]]) -> None:
-        for t in tracker.tracks:
+        for t in getattr(tracker, "tracks", []):
             own = sorted(n for i, n in held if i == t.id)
             if own:
                 t.gallery, t.fresh = ([np.array(held[t.id, n]) for n in own if (n >= 0) == kept] for kept in (True, False))
@@ -70,7 +70,7 @@ class Tracker(StatefulProcessor):
     @staticmethod
     def _numbered(tracker: Any) -> dict[tuple[int, int], np.ndarray]:
         out = {}
-        for t in tracker.tracks:
+        for t in getattr(tracker, "tracks", []):
             gallery, fresh = getattr(t, "gallery", []), getattr(t, "fresh", [])
             out |= {(t.id, t.seen - len(gallery) + k): f for k, f in enumerate(gallery)}
             out |= {(t.id, k - 1_000_000): f for k, f in enumerate(fresh)}

@@ -179,7 +179,7 @@ def test_deep_sort_matches_the_recent_first():
     seen = next(x.id for x in t.tracks if x.missed == 0)
     t.step(np.array([0]), far[None], look)
     assert {seen} == {x.id for x in t.tracks if x.missed == 0} and {a, b} == {x.id for x in t.tracks}
-    again = K.DeepSort(max_age=30).restored(t.saved())
+    again = K.DeepSort(max_age=30).with_state(t.counters(), t.track_rows())
     assert [(x.id, x.hits, x.missed) for x in again.tracks] == [(x.id, x.hits, x.missed) for x in t.tracks]
 
 
