@@ -47,30 +47,53 @@ def box_iou(a: np.ndarray, b: np.ndarray, plus: float = 0.0) -> np.ndarray:
     return np.where(total > 0, both / np.where(total > 0, total, 1), 0.0)
 
 
-def clip_area(p: np.ndarray, q: np.ndarray) -> float:
-    """Area shared by two convex figures, corners in order: p is cut by each side of q."""
-    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    signed = sum(q[i][0] * q[i - 1][1] - q[i - 1][0] * q[i][1] for i in range(len(q)))
-    q = q if signed < 0 else q[::-1]
-    out = [tuple(x) for x in p]
-    for i in range(len(q)):
-        a, b, now, out = q[i - 1], q[i], out, []
-        for j in range(len(now)):
-            s, e = now[j - 1], now[j]
-            ds, de = cross(a, b, s), cross(a, b, e)
-            if (ds < 0) != (de < 0):
-                t = ds / (ds - de)
-                out.append((s[0] + t * (e[0] - s[0]), s[1] + t * (e[1] - s[1])))
-            if de >= 0:
-                out.append(e)
-    return abs(sum(out[i - 1][0] * out[i][1] - out[i][0] * out[i - 1][1] for i in range(len(out)))) / 2
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+
+
+def areas(figures: np.ndarray) -> np.ndarray:
+    """Of figures [n, corners, 2], corners in order; below zero if they go with the clock."""
+    return _cross(figures, np.roll(figures, -1, 1)).sum(1) / 2
+
+
+def shared_areas(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """[n] areas that convex figures p [n, 4, 2] share with q, pair by pair.
+
+    The shared figure's corners are corners of either inside the other and crossings of sides; around their mean they are in the order of their angles.
+    """
+    p, q = (np.where(areas(f)[:, None, None] < 0, f[:, ::-1], f) for f in (p, q))
+    side_p, side_q = np.roll(p, -1, 1) - p, np.roll(q, -1, 1) - q
+    size = np.abs(side_p).sum((1, 2)) + np.abs(side_q).sum((1, 2))
+    inside = lambda corners, f, side: (_cross(side[:, None], corners[:, :, None] - f[:, None]) >= -1e-12 * (size * size)[:, None, None]).all(2)
+    turn = _cross(side_p[:, :, None], side_q[:, None])
+    gap = q[:, None] - p[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = _cross(gap, side_q[:, None]) / turn, _cross(gap, side_p[:, :, None]) / turn
+    met = (np.abs(turn) > 1e-14 * (size * size)[:, None, None]) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    crossings = p[:, :, None] + np.where(met, t, 0)[..., None] * side_p[:, :, None]
+    n = len(p)
+    corners = np.concatenate([p, q, crossings.reshape(n, 16, 2)], 1)
+    held = np.concatenate([inside(p, q, side_q), inside(q, p, side_p), met.reshape(n, 16)], 1)
+    count = held.sum(1)
+    centre = (corners * held[..., None]).sum(1) / np.maximum(count, 1)[:, None]
+    about = corners - centre[:, None]
+    order = np.argsort(np.where(held, np.arctan2(about[..., 1], about[..., 0]), np.inf), axis=1)
+    ring = np.take_along_axis(about, order[..., None], 1)
+    ring = np.where((np.arange(24) < count[:, None])[..., None], ring, ring[:, :1])
+    return np.where(count > 2, np.abs(areas(ring)), 0.0)
+
+
+def figures_iou(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """[n] overlaps of convex figures of four corners, pair by pair."""
+    if not len(p):
+        return np.zeros(0)
+    both = shared_areas(p, q)
+    total = np.abs(areas(p)) + np.abs(areas(q)) - both
+    return np.where(total > 0, both / np.where(total > 0, total, 1), 0.0)
 
 
 def figure_iou(p: np.ndarray, q: np.ndarray) -> float:
-    area = lambda r: abs(sum(r[i - 1][0] * r[i][1] - r[i][0] * r[i - 1][1] for i in range(len(r)))) / 2
-    both = clip_area(p, q)
-    total = area(p) + area(q) - both
-    return both / total if total > 0 else 0.0
+    return float(figures_iou(np.asarray(p, float)[None], np.asarray(q, float)[None])[0])
 
 
 def suppress(order: np.ndarray, overlap: np.ndarray, most: float) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lanewise.functions import geometry as G
-from lanewise.functions.assignment import assign, box_iou, figure_iou, suppress
+from lanewise.functions.assignment import assign, box_iou, figures_iou, suppress
 
 FAR = 1e5
 
@@ -93,8 +93,8 @@ def non_maximum(boxes: DataFrame, frame: str, score: str, most: float, plus: flo
             figures = g["corners"].reshape(-1, 4, 2)
             hull = np.concatenate([figures.min(1), figures.max(1)], 1)
             overlap = np.zeros((len(hull), len(hull)))
-            for i, j in zip(*np.nonzero(np.triu(box_iou(hull, hull) > 0, 1)), strict=True):
-                overlap[i, j] = overlap[j, i] = figure_iou(figures[i], figures[j])
+            i, j = np.nonzero(np.triu(box_iou(hull, hull) > 0, 1))
+            overlap[i, j] = overlap[j, i] = figures_iou(figures[i], figures[j])
         else:
             overlap = box_iou(*[np.stack([g[c] for c in columns], 1).astype(float)] * 2, plus)
         return [g["det_id"][suppress(order, overlap, most)]]
@@ -114,7 +114,7 @@ def turned_pairs(boxes: DataFrame, frame: str, order: str = "det_id") -> DataFra
 @F.pandas_udf(T.DoubleType())
 def turned_overlap(p: pd.Series, q: pd.Series) -> pd.Series:
     """Overlap of figures of four corners, x1, y1 .. x4, y4."""
-    return pd.Series([figure_iou(np.reshape(a, (4, 2)), np.reshape(b, (4, 2))) for a, b in zip(p, q, strict=True)], dtype=float)
+    return pd.Series(figures_iou(*(np.stack(c.to_list()).reshape(-1, 4, 2) if len(c) else np.zeros((0, 4, 2)) for c in (p, q))), dtype=float)
 
 
 def oriented_matches(tracks: DataFrame, detections: DataFrame, frame: str = "frame_index", least: float = 0.2, same: float = 0.9) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lanewise.functions.assignment import assign, box_iou, figure_iou
+from lanewise.functions.assignment import assign, box_iou, figures_iou
 from lanewise.functions.kalman import BoxFilter, HeightFilter, TurnFilter, corners_of, first, to_box, to_state, to_turned_state
 
 Filter = BoxFilter | HeightFilter | TurnFilter
@@ -137,8 +137,8 @@ def turned_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     p, q = corners_of(a), corners_of(b)
     hull = lambda c: np.concatenate([c.min(1), c.max(1)], 1)
     out = np.zeros((len(a), len(b)))
-    for i, j in zip(*np.nonzero(box_iou(hull(p), hull(q)) > 0), strict=True):
-        out[i, j] = figure_iou(p[i], q[j])
+    i, j = np.nonzero(box_iou(hull(p), hull(q)) > 0)
+    out[i, j] = figures_iou(p[i], q[j])
     return out
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.functions import geometry as G, heads, kalman
+from lanewise.functions import assignment, geometry as G, heads, kalman
 from lanewise.operators import raster, roads, tracking
 
 
@@ -120,3 +120,37 @@ def test_ticks_of_many_lines(spark):
     lines = spark.createDataFrame([(1, [(0.0, 0.0), (10.0, 0.0), (10.0, 0.0), (10.0, 5.0)]), (2, [(0.0, 0.0), (3.0, 4.0)]), (3, [(1.0, 1.0)])], "v int, points array<struct<x:double,y:double>>")
     got = sorted((r.v, r.d, r.x, r.y) for r in roads.line_ticks(lines, ["v"], 4.0).collect())
     assert got == [(1, 0, 0, 0), (1, 4, 4, 0), (1, 8, 8, 0), (1, 12, 10, 2), (2, 0, 0, 0), (2, 4, pytest.approx(2.4), pytest.approx(3.2))]
+
+
+def clipped_area(p, q):
+    """p cut by each side of q."""
+    area = lambda r: sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(r, r[1:] + r[:1], strict=True)) / 2 if r else 0.0
+    q = q if area(q) > 0 else q[::-1]
+    out = p
+    for a, b in zip(q, q[1:] + q[:1], strict=True):
+        side = [(b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]) for c in out]
+        now = []
+        for (c, s), (d, t) in zip(zip(out, side, strict=True), list(zip(out, side, strict=True))[1:] + list(zip(out, side, strict=True))[:1], strict=True):
+            if s >= 0:
+                now.append(c)
+            if (s < 0) != (t < 0):
+                now.append((c[0] + s / (s - t) * (d[0] - c[0]), c[1] + s / (s - t) * (d[1] - c[1])))
+        out = now
+    return abs(area(out))
+
+
+def test_shared_areas_equal_clipping():
+    rng = np.random.default_rng(45)
+    boxes = rng.uniform(0, 30, (600, 5)) * [1, 1, 1, 0.5, 0.2] + [0, 0, 1, 1, 0]
+    boxes[::3, 4] = (np.arange(200) % 4) * math.pi / 2  # quarter turns: sides in line
+    boxes[::5] = np.round(boxes[::5])
+    p = kalman.corners_of(boxes)
+    q = p[rng.permutation(600)]
+    q[:50] = p[:50]  # the same
+    q[50:100] = p[50:100, ::-1]  # the other way round
+    q[100:150] = p[100:150] + 100  # apart
+    got = assignment.shared_areas(p, q)
+    for a, b, v in zip(p.tolist(), q.tolist(), got, strict=True):
+        assert abs(v - clipped_area([tuple(c) for c in a], [tuple(c) for c in b])) < 1e-6
+    assert np.allclose(got[:100], np.abs(assignment.areas(p[:100]))) and not got[100:150].any()
+    assert assignment.figures_iou(p[:0], q[:0]).shape == (0,)
