@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from lanewise.functions import geometry as G
 
 
+#: Positions of a line whose chain is followed within one row.
+IN_A_ROW = 64
+
+
 def between_lines(points: DataFrame, lines: list[tuple[int, list[tuple[float, float]]]]) -> DataFrame:
     """points with lane: the smaller number of the two nearest lane lines if their numbers are neighbours, else -1."""
     every = [F.struct(G.project_on_known_line(F.col("x"), F.col("y"), line).dist.alias("dist"), F.lit(n).alias("n")) for n, line in lines]
@@ -83,10 +87,8 @@ def line_bases(lines: DataFrame, per_pixel: DataFrame) -> DataFrame:
     """line, position, points, region, base_x, base_y, base_pos (its place along points), base_distance, per_pixel of every position that a line's base leads to.
 
     lines: from driving_lines(); per_pixel: position, per_pixel. A position's way on is the link whose end is another position; its own place is the link
-    that ends at it. The distance between both, along its line, is added up from the base by doubling pointers.
+    that ends at it. The distance between both, along its line, is added up from the base: within a row where lines have few positions, by doubling pointers otherwise.
     """
-    from lanewise.operators.graphs import distances
-
     here = lines.join(per_pixel, "position")
     own = F.get(F.filter("connects", lambda c: c.to == F.col("position")), F.lit(0))
     away = F.get(F.filter("connects", lambda c: c.to != F.col("position")), F.lit(0))
@@ -95,14 +97,37 @@ def line_bases(lines: DataFrame, per_pixel: DataFrame) -> DataFrame:
     here = here.withColumns({"_x": start_x, "_y": start_y})
     along = lambda x, y: G.project_on_line(x, y, F.col("points")).pos
     step = (along(F.col("_next.x"), F.col("_next.y")) - along(F.col("_x"), F.col("_y"))) * F.col("per_pixel")
-    node = lambda position: F.when(position.isNotNull(), F.struct(F.col("line").alias("line"), position.alias("position")))
-    parts = here.select(node(F.col("position")).alias("node"), node(F.col("_next.to")).alias("next"), F.coalesce(step, F.lit(0.0)).alias("length"), F.col("base_distance").isNotNull().alias("is_base"))
-    far = distances(parts).select("node.line", "node.position", "distance")
+    parts = here.select("line", "position", F.col("_next.to").alias("next"), F.coalesce(step, F.lit(0.0)).alias("length"), F.col("base_distance").isNotNull().alias("is_base"))
+    longest = parts.groupBy("line").count().agg(F.max("count")).first()[0] or 0
+    far = _along_rows(parts) if longest <= IN_A_ROW else _along_tables(parts)
     base = here.filter("base_distance is not null").select("line", F.col("base_distance").alias("_first"))
     out = here.join(far, ["line", "position"]).join(base, "line")
     return out.select("line", "position", "points", "region", F.col("_x").alias("base_x"), F.col("_y").alias("base_y"), along(F.col("_x"), F.col("_y")).alias("base_pos"), (F.col("_first") + F.col("distance")).alias("base_distance"), "per_pixel")
 
 
+def _along_rows(parts: DataFrame) -> DataFrame:
+    """line, position, distance: each line's positions are one row, and its chain is followed there from the base."""
+    held = parts.groupBy("line").agg(F.collect_list(F.struct("position", "next", "length", "is_base")).alias("p"))
+
+    def onward(way: Column, _: Column) -> Column:
+        last = F.element_at(way, -1)
+        part = F.get(F.filter("p", lambda x: x.position == last.position), F.lit(0))
+        more = F.concat(way, F.array(F.struct(part.next.alias("position"), (last.distance + part.length).alias("distance"))))
+        return F.when(part.next.isNotNull() & ~F.exists(way, lambda w: w.position == part.next), more).otherwise(way)
+
+    way = lambda b: F.aggregate(F.sequence(F.lit(1), F.size("p")), F.array(F.struct(b.position.alias("position"), F.lit(0.0).alias("distance"))), onward)
+    ways = F.flatten(F.transform(F.filter("p", lambda x: x.is_base), way))
+    return held.select("line", F.explode(ways).alias("w")).select("line", "w.position", "w.distance")
+
+
+def _along_tables(parts: DataFrame) -> DataFrame:
+    """The same by joins, for lines of any length."""
+    from lanewise.operators.graphs import distances
+
+    node = lambda position: F.when(F.col(position).isNotNull(), F.struct(F.col("line").alias("line"), F.col(position).alias("position")))
+    return distances(parts.select(node("position").alias("node"), node("next").alias("next"), "length", "is_base")).select("node.line", "node.position", "distance")
+
+
 def on_driving_lines(points: DataFrame, bases: DataFrame) -> DataFrame:
     """points (line, position, x, y) with line_pos and line_offset on the line of their position; null outside its region, if it has one."""
     both = points.join(bases, ["line", "position"], "left")

@@ -55,6 +55,14 @@ def nms_quarters(spark, sf_dir):
     return M.non_maximum(b, "frame_index", "score", 0.2003, rotated=True)
 
 
+def oriented_totals(spark, sf_dir):
+    """Odd boxes of a frame as upright tracks, even ones turned by a quarter as detections: number and total overlap of the pairs."""
+    b = V.boxes(spark, sf_dir)
+    turned = F.array(*G.corners(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.lit(math.pi / 2)))
+    found = M.oriented_matches(b.filter("det_id % 2 = 1").select("frame_index", F.col("det_id").alias("track_id"), "l", "t", "r", "b"), b.filter("det_id % 2 = 0").select("frame_index", "det_id", turned.alias("corners")))
+    return found.groupBy("frame_index").agg(F.count("*").alias("pairs"), (F.round(F.sum("iou") + 1e-9, 5)).alias("total"))
+
+
 def nms_rotated(spark, sf_dir):
     b = V.boxes(spark, sf_dir).withColumn("theta", F.col("det_id") * 0.4)
     b = b.withColumn("corners", F.array(*G.corners(*[F.col(c) for c in ("cx", "cy", "w", "h", "theta")])))
@@ -163,6 +171,21 @@ SELECT frame_index, unnest(kept) AS det_id FROM (SELECT frame_index, arg_max(kep
 _quarters = """s AS (SELECT frame_index, det_id, score, cx - u / 2 AS l, cy - v / 2 AS t, cx + u / 2 AS r, cy + v / 2 AS b
   FROM (SELECT *, CASE WHEN det_id % 2 = 1 THEN h ELSE w END AS u, CASE WHEN det_id % 2 = 1 THEN w ELSE h END AS v FROM boxes))"""
 
+def _oriented_sql() -> str:
+    both = "(greatest(least(p.r, q.r) - greatest(p.l, q.l), 0) * greatest(least(p.b, q.b) - greatest(p.t, q.t), 0))"
+    return f"""WITH RECURSIVE {V.BOXES},
+q AS (SELECT frame_index, det_id, w, h, cx - h / 2 AS l, cy - w / 2 AS t, cx + h / 2 AS r, cy + w / 2 AS b FROM boxes WHERE det_id % 2 = 0),
+c AS (SELECT p.frame_index, p.det_id AS a, q.det_id AS b, {both} / (p.w * p.h + q.w * q.h - {both}) AS iou FROM boxes p JOIN q ON p.frame_index = q.frame_index AND p.det_id % 2 = 1),
+s AS (SELECT *, count(*) OVER (PARTITION BY frame_index, a) AS n, count(*) OVER (PARTITION BY frame_index, b) AS m FROM c WHERE iou > 0.2),
+plain AS (SELECT frame_index, count(*) AS pairs, sum(iou) AS total FROM s GROUP BY 1 HAVING max(greatest(n, m)) = 1),
+o AS (SELECT * FROM c WHERE frame_index NOT IN (SELECT frame_index FROM plain)),
+ways AS (SELECT frame_index, b AS last, [a] AS used, iou AS total FROM o WHERE b = 2
+  UNION ALL SELECT w.frame_index, o.b, list_append(w.used, o.a), w.total + o.iou FROM ways w JOIN o ON o.frame_index = w.frame_index AND o.b = w.last + 2 AND NOT list_contains(w.used, o.a)),
+evens AS (SELECT frame_index, max(b) AS top FROM o GROUP BY 1)
+SELECT frame_index, (top // 2)::BIGINT AS pairs, round(max(total) + 1e-9, 5) AS total FROM ways JOIN evens USING (frame_index) WHERE last = top GROUP BY 1, 2
+UNION ALL SELECT frame_index, pairs, round(total + 1e-9, 5) FROM plain"""
+
+
 QUERIES = {
     "assignment": (assignment, _enumerated),
     "gated_assignment": (gated_assignment, _enumerated.replace("cost AS total", "least(cost, 60.00001::DOUBLE) AS total").replace("w.total + c.cost", "w.total + least(c.cost, 60.00001::DOUBLE)").replace("(top // 2)::BIGINT AS pairs, ", "").replace("WHERE last = top GROUP BY 1, 2", "WHERE last = top GROUP BY 1")),
@@ -170,6 +193,7 @@ QUERIES = {
     "match_split": (match_split, f"{_cost}, near AS (SELECT frame_index, a, min(cost) AS cost FROM costs GROUP BY 1, 2) SELECT cost < 50 AS accepted, count(*) AS n, round(avg(cost), 6) AS mean FROM near GROUP BY 1"),
     "nms_upright": (nms_upright, suppress_sql("0")),
     "nms_rotated": (nms_rotated, None),
+    "oriented_totals": (oriented_totals, _oriented_sql()),
     "nms_quarters": (nms_quarters, suppress_sql("0", "s", f", {_quarters}", "0.2003::DOUBLE")),
     "cosine_nearest": (cosine_nearest, f"WITH {_gallery} SELECT * FROM d"),
     "euclidean_nearest": (euclidean_nearest, """WITH g AS (SELECT label AS target, embedding::DOUBLE[] AS v FROM embeddings WHERE label IN (SELECT label FROM embeddings WHERE vec_id % 7 = 0 AND vec_id > (SELECT max(vec_id) / 2 FROM embeddings)) QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) <= 10)

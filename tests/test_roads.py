@@ -125,3 +125,16 @@ def test_calibrated_maps(spark):
     assert got == {1: ([1, 0, 3, 0, 1, -4], 90.0), 2: ([2, 1, 0, 0, 3, 0], 20.0)}
     first = {r.scene: [round(v, 6) for v in r.map] for r in consensus.calibrated_maps(main, sub, ["scene"], "stitch_", first_three=True).collect()}
     assert first == {1: [1, 0, 3, 0, 1, -4], 2: [2, 1, 0, 0, 3, 0]}
+
+
+def test_chains_in_a_row_equal_chains_by_joins(spark):
+    from lanewise.operators import roads
+
+    rows = [("a", str(i), str(i + 1) if i < 5 else None, float(i + 1), i == 0) for i in range(6)]  # a chain from its base
+    rows += [("b", "x", "y", 2.0, True), ("b", "y", "x", 3.0, False)]  # back to its base
+    rows += [("c", "p", "q", 1.0, False), ("c", "q", None, 1.0, False)]  # no base
+    rows += [("d", "only", None, 0.0, True)]
+    parts = spark.createDataFrame(rows, "line string, position string, next string, length double, is_base boolean")
+    got, want = ({(r.line, r.position): r.distance for r in way(parts).collect()} for way in (roads._along_rows, roads._along_tables))
+    assert got == {("a", str(i)): i * (i + 1) / 2 for i in range(6)} | {("b", "x"): 0.0, ("b", "y"): 2.0, ("d", "only"): 0.0}
+    assert {k: v for k, v in want.items() if k != ("b", "x")} == {k: v for k, v in got.items() if k != ("b", "x")}
