@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lanewise.functions import geometry as G
 from lanewise.functions.assignment import assign, box_iou, figures_iou, suppress
+from lanewise.functions.distances import METRICS
 
 FAR = 1e5
 
@@ -159,20 +160,6 @@ def associated(detections: DataFrame, tracks: DataFrame, frame: str, least: floa
 GALLERY_BYTES, QUERIES = 32_000_000, 1024
 
 
-def cosine_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """[len(a), len(b)]: one less the cosine; nan for vectors of no length."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return 1 - (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None])
-
-
-def squared_euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """[len(a), len(b)] of squared distances, from differences, so near vectors lose no digits."""
-    return np.stack([((a - v) ** 2).sum(1) for v in b], 1) if len(b) else np.zeros((len(a), 0))
-
-
-METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"cosine": cosine_distance, "euclidean": squared_euclidean}
-
-
 def nearest_sample(queries: DataFrame, gallery: DataFrame, metric: str = "cosine") -> DataFrame:
     """query, target, dist: the least distance (by a metric of METRICS, which callers may extend) of each query vector to the stored samples of each target.
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lanewise.functions.assignment import assign, box_iou, figures_iou
+from lanewise.functions.distances import METRICS
 from lanewise.functions.kalman import BoxFilter, HeightFilter, TurnFilter, corners_of, first, to_box, to_state, to_turned_state
 
 Filter = BoxFilter | HeightFilter | TurnFilter
@@ -162,7 +163,7 @@ class Seen:
 class DeepSort:
     """Tracks of one video by motion and appearance.
 
-    Confirmed tracks are matched first, those seen most recently before others, by the least cosine distance to the features that their gallery
+    Confirmed tracks are matched first, those seen most recently before others, by the least distance (of that name in functions.distances.METRICS) to the features that their gallery
     keeps, among boxes within the gate of their filter. What is left, with tentative tracks, is matched by overlap. A tentative
     track goes at its first miss, a confirmed one after max_age of them; it is reported until it has been missed twice.
     """
@@ -172,6 +173,7 @@ class DeepSort:
     most_distance: float = 0.2
     most_iou_distance: float = 0.7
     budget: int = 100
+    metric: str = "cosine"
     next_id: int = 1
     tracks: list[Seen] = field(default_factory=list)
 
@@ -206,7 +208,7 @@ class DeepSort:
         if features is not None:
             for age in sorted({t.missed for t in known}):
                 level = [t for t in known if t.missed == age]
-                pairs = within(appearance(level, forms[open_boxes], features[open_boxes]), self.most_distance)
+                pairs = within(appearance(level, forms[open_boxes], features[open_boxes], self.metric), self.most_distance)
                 out += [(open_boxes[d], level[k]) for k, d in pairs]
                 open_boxes = [d for d in open_boxes if d not in {x for x, _ in out}]
         done = {t.id for _, t in out}
@@ -237,18 +239,21 @@ def within(cost: np.ndarray, most: float) -> list[tuple[int, int]]:
     return [(i, j) for i, j in pairs if cost[i, j] <= most]
 
 
-def appearance(tracks: list[Seen], forms: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """[tracks, boxes]: least cosine distance to a track's gallery; NEVER for boxes outside the gate of its filter."""
+def appearance(tracks: list[Seen], forms: np.ndarray, features: np.ndarray, metric: str = "cosine") -> np.ndarray:
+    """[tracks, boxes]: least distance to a track's gallery; NEVER for boxes outside the gate of its filter."""
     out = np.full((len(tracks), len(forms)), NEVER)
     held = [k for k, t in enumerate(tracks) if t.gallery]
     if not held or not len(forms):
         return out
-    for k in held:
-        if tracks[k].unit is None:
-            tracks[k].unit = at_length_one(np.array(tracks[k].gallery))
-    units = [tracks[k].unit for k in held]
-    starts = np.cumsum([0, *(len(u) for u in units[:-1])])
-    near = np.minimum.reduceat(1 - np.concatenate(units) @ at_length_one(features).T, starts, axis=0)
+    starts = np.cumsum([0, *(len(tracks[k].gallery) for k in held[:-1])])
+    if metric == "cosine":
+        for k in held:
+            if tracks[k].unit is None:
+                tracks[k].unit = at_length_one(np.array(tracks[k].gallery))
+        far = 1 - np.concatenate([tracks[k].unit for k in held]) @ at_length_one(features).T
+    else:
+        far = METRICS[metric](np.array([f for k in held for f in tracks[k].gallery]), features)
+    near = np.minimum.reduceat(far, starts, axis=0)
     filters = HeightFilter(*(np.stack([getattr(tracks[k].filter, n) for k in held])[:, None] for n in ("value", "speed", "p", "c", "v")))
     out[held] = np.where(filters.distance(forms[None]) > GATE[4], NEVER, near)
     return out

@@ -183,6 +183,17 @@ def test_deep_sort_matches_the_recent_first():
     assert [(x.id, x.hits, x.missed) for x in again.tracks] == [(x.id, x.hits, x.missed) for x in t.tracks]
 
 
+def test_deep_sort_by_another_metric():
+    """Two looks of one direction and unlike lengths: told apart by euclidean distance alone."""
+    looks, boxes = np.array([[1.0, 0.0], [3.0, 0.0]]), np.array([[0.0, 0, 40, 80], [4.0, 0, 44, 80]])
+    t = K.DeepSort(metric="euclidean", most_distance=0.5, most_iou_distance=0.0)
+    for _ in range(4):
+        t.step(np.array([0, 1]), boxes, looks)
+    ids = {x.det_id: x.id for x in t.tracks}
+    out = t.step(np.array([0, 1]), boxes, looks[::-1])
+    assert {d: i for i, d, _ in out if d in (0, 1)} == {0: ids[1], 1: ids[0]}
+
+
 def test_turned_tracker_keeps_angles(spark):
     rows = [("v", f, d, 0.9, 50.0 + s * f, 60.0 + 100 * d, 60.0, 20.0, 1.55 + 0.01 * f) for f in range(12) for d, s in ((0, 3), (1, -2))]
     out = K.track(spark.createDataFrame(rows, "video_id string, frame_index long, det_id int, score double, cx double, cy double, w double, h double, theta double"), method="sort_turned").collect()
