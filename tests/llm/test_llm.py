@@ -691,3 +691,32 @@ def test_licences_are_found_alike_without_the_first_look(spark, monkeypatch):
     quick = found()
     monkeypatch.setattr(licenses, "may_be_known", lambda text, heads: F.lit(True))
     assert found() == quick and len({i for i, line, _ in quick if i >= 1_000_000 and line == 0}) == 3 * len(known)
+
+
+def test_keys_of_common_formats_are_found(spark):
+    """Recall on random keys, of which README tells; made names of several words are mostly left alone."""
+    import string
+
+    rng = np.random.default_rng(23)
+    lower, digits = string.ascii_lowercase + string.digits, string.digits
+    both = string.ascii_letters + digits
+    pick = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+    formats = {
+        "letters and digits 24": (lambda: pick(both, 24), 0.88),
+        "letters and digits 32": (lambda: pick(both, 32), 0.95),
+        "base64 40": (lambda: pick(both + "+/", 40), 0.97),
+        "ghp_": (lambda: "ghp_" + pick(both, 36), 0.96),
+        "sk_live_": (lambda: "sk_live_" + pick(both, 24), 0.93),
+        "AIza": (lambda: "AIza" + pick(both + "_-", 35), 0.97),
+        "xoxb": (lambda: f"xoxb-{pick(digits, 12)}-{pick(digits, 12)}-{pick(both, 24)}", 0.95),
+        "signature of a web token": (lambda: pick(both + "_-", 43), 0.96),
+        "lower case 32": (lambda: pick(lower, 32), 0.93),
+        "upper hex 32": (lambda: pick("0123456789ABCDEF", 32), 0.97),
+    }
+    rows = [(k, f"some words {make()}, more") for k, (make, _) in formats.items() for _ in range(150)]
+    names = "get set element name value index buffer stream reader writer parse token list table join window count query plan node graph vector frame video lane track point polygon".split()
+    rows += [("names", f"some words {'_'.join(rng.choice(names, 5))}{rng.integers(0, 100)}X, more") for _ in range(150)]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "kind string, text string")).groupBy("kind").agg(F.avg((F.size("spans") > 0).cast("int")).alias("share"))
+    share = {r.kind: r.share for r in found.collect()}
+    assert all(share[k] >= least for k, (_, least) in formats.items()), share
+    assert share["names"] < 0.4
