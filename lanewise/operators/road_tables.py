@@ -54,9 +54,12 @@ def _by_ord(a: Column, b: Column) -> Column:
     return F.when(a.ord < b.ord, -1).when(a.ord > b.ord, 1).otherwise(0)
 
 
-def salted_join(points: DataFrame, cells: DataFrame, keys: list[str], many: int = MANY) -> DataFrame:
-    """points with what cells (one row a key) hold for their key, if anything. Keys with more than `many` points, and a thousandth of all, are split over as many tasks as that makes."""
-    counts = points.groupBy(*keys).count()
+def salted_join(points: DataFrame, cells: DataFrame, keys: list[str], many: int = MANY, counted: DataFrame | None = None) -> DataFrame:
+    """points with what cells (one row a key) hold for their key, if anything. Keys with more than `many` points, and a thousandth of all, are split over as many tasks as that makes.
+
+    counted: rows of the same keys that are cheaper to count than points.
+    """
+    counts = (points if counted is None else counted).groupBy(*keys).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     each = max(many, total // HEAVY)
     # At most HEAVY rows, as each has more than a thousandth of all points.
@@ -88,14 +91,14 @@ def lanes_from_table(points: DataFrame, polygons: DataFrame, by: str = "video_id
     return placed.withColumn("lane", F.coalesce("lane", F.lit(-1).cast(polygons.schema["lane"].dataType))).drop("place")
 
 
-def _of_video(points: DataFrame, lines: DataFrame, by: str, many: int, *columns: str) -> DataFrame:
+def _of_video(points: DataFrame, lines: DataFrame, by: str, many: int, counted: DataFrame, *columns: str) -> DataFrame:
     """points with lines, an array of the lines of their video: a road's lines are few, so its row is small; a busy video is split by salt."""
-    return salted_join(points, lines.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("lines")), [by], many)
+    return salted_join(points, lines.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("lines")), [by], many, counted)
 
 
 def between_lines_from_table(points: DataFrame, lines: DataFrame, by: str = "video_id", x: str = "x", y: str = "y", many: int = MANY) -> DataFrame:
     """points with lane: the smaller number of the two nearest lane lines of their video if their numbers are neighbours, else -1, also where there are fewer. lines: by, number, points."""
-    both = _of_video(points, lines, by, many, "number", "points")
+    both = _of_video(points, lines, by, many, points, "number", "points")
     near = F.sort_array(F.transform("lines", lambda line: F.struct(G.project_on_line(F.col(x), F.col(y), line.points).dist.alias("dist"), line.number.alias("number"))))
     a, b = F.get(near, F.lit(0)).number, F.get(near, F.lit(1)).number
     return both.withColumn("lane", F.when(F.abs(a - b) == 1, F.least(a, b)).otherwise(-1)).drop("lines")
@@ -107,7 +110,7 @@ def along_lines_from_table(points: DataFrame, regions: DataFrame, by: str = "vid
     regions: by, ord, lane, ring, points (the line), base (the place along points that counts as start), start, per_pixel.
     """
     placed = in_first_polygon(points, cell_cover(regions, by, size), by, size, x, y, many)
-    both = _of_video(placed, regions.withColumnRenamed("points", "line"), by, many, "ord", "line", "base", "start", "per_pixel")
+    both = _of_video(placed, regions.withColumnRenamed("points", "line"), by, many, points, "ord", "line", "base", "start", "per_pixel")
     own = F.get(F.filter("lines", lambda r: r.ord == F.col("place")), F.lit(0))
     both = both.withColumn("_own", own).drop("lines", "place")
     both = both.withColumn("_on", F.when(F.col("_own").isNotNull(), G.project_on_line(F.col(x), F.col(y), F.col("_own.line"))))
