@@ -45,3 +45,15 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_similarity_meets_every_pair(spark, tmp_path):
+    """Vehicles far apart in number meet as well: 40 vehicles in the same six hours are 20 x 20 pairs."""
+    con = duckdb.connect()
+    hours = "SELECT h * 40 + v AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (h) HOUR AS ts, v::BIGINT AS user_id, 'view' AS event_type, h + v * 1.5::DOUBLE AS value, '{\"k\": ' || (h + v) || '}' AS props FROM range(40) AS a(v), range(6) AS b(h)"
+    con.execute(f"COPY ({hours}) TO '{tmp_path}/events.parquet' (FORMAT PARQUET)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = catalog.queries()["similarity"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b) for r in got} == {(a, b) for a in range(0, 40, 2) for b in range(1, 40, 2)} and len(got) == 400
+    want = con.execute(catalog.oracle_sql()["similarity"]).fetchall()
+    assert sorted(tuple(plain(v) for v in (r.a, r.b, r.dist)) for r in got) == sorted(tuple(plain(v) for v in r) for r in want)

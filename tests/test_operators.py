@@ -61,6 +61,29 @@ def test_similarity(spark):
     assert short == T.NO_MATCH
 
 
+def test_similarity_in_blocks(spark, monkeypatch):
+    """All vehicles in blocks of many tasks give what the join on frames gives, with unknown places and lanes, lanes off the road and long gaps."""
+    for name, value in (("PART", 16), ("VEHICLES", 60), ("FEW", 500)):
+        monkeypatch.setattr(T, name, value)
+    known = lambda c, every: F.when(F.pmod(F.xxhash64("v", "frame_index", F.lit(every)), F.lit(every)) > 0, c)
+    points = spark.range(300 * 40).select((F.col("id") % 300).alias("v"), (F.floor(F.col("id") / 300) * F.when(F.col("id") % 7 == 0, 50).otherwise(1)).alias("frame_index"))
+    points = points.filter(F.pmod(F.xxhash64("v", "frame_index"), F.lit(3)) > 0).withColumns(
+        {
+            "x": known((F.col("frame_index") * 0.25 + F.pmod(F.hash("v", "frame_index"), F.lit(4000)) / 100), 19),
+            "y": F.when(F.col("v") != 5, known(F.col("v") * 0.5 - F.col("frame_index") * (F.col("v") % 3 - 1), 23)),
+            "lane_id": F.when(F.col("v") % 11 > 0, known(F.when(F.col("v") % 13 == 0, 60).otherwise(F.col("frame_index") % 4 - F.col("v") % 2), 3)).cast("int"),
+        }
+    )
+    a, b = (points.filter(F.col("v") % 2 == k).withColumnRenamed("v", n) for k, n in ((0, "a"), (1, "b")))
+    got = {(r.a, r.b): r.dist for r in T.similarity(a, b).collect()}
+    rows = T.similarity(a.withColumn("k", F.lit(1)), b.withColumn("k", F.lit(1)), by=["k"]).collect()
+    want = {(r.a, r.b): r.dist for r in rows}
+    assert len(rows) == len(want) and got.keys() == want.keys() and None in want.values() and len({v == T.NO_MATCH for v in want.values()}) == 2
+    for k, v in want.items():
+        assert got[k] == v if v is None else abs(got[k] - v) < 1e-6, (k, v, got[k])
+    assert T.similarity(a.filter("a < 0"), b).count() == 0
+
+
 def test_smoothing_keeps_constants(spark):
     df = spark.createDataFrame([(1, i, 7.0) for i in range(4)], "v int, f int, x double")
     assert {r[0] for r in df.select(R.centred_mean(df, "x", ["v"], "f", 3)).collect()} == {7.0}
