@@ -46,6 +46,41 @@ def test_lanes_equal_one_polygon_at_a_time(spark, roads, size):
     assert len(want) > 400
 
 
+@pytest.mark.parametrize("many", [R.MANY, 5])
+def test_roads_of_many_edges_go_by_cells(spark, roads, monkeypatch, many):
+    points, lanes = roads
+    want = one_by_one(points, lanes)
+    monkeypatch.setattr(R, "EDGES", 0)
+    got = R.lanes_from_table(points, lanes, size=16.0, many=many)
+    assert "cell_x" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.lane for r in got.collect() if r.lane != -1} == want
+
+
+def test_roads_are_never_broadcast(spark, roads, tmp_path):
+    """Their estimated size is that of the small file that they come from."""
+    points, lanes = roads
+    lanes.write.parquet(str(tmp_path / "lanes"))
+    lanes = spark.read.parquet(str(tmp_path / "lanes"))
+    regions = lanes.withColumns({"points": F.slice("ring", 1, 2), "base": F.lit(0.0), "start": F.lit(0.0), "per_pixel": F.lit(1.0)})
+    for out in (R.lanes_from_table(points, lanes), R.along_lines_from_table(points, regions)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("many", [R.MANY, 5])
+def test_places_along_lines_by_video_and_by_cells(spark, roads, monkeypatch, many):
+    points, lanes = roads
+    regions = lanes.withColumns({"points": F.slice("ring", 1, 3), "base": F.lit(2.0), "start": F.col("lane") * 100.0, "per_pixel": F.lit(0.5)})
+    found = []
+    for edges in (R.EDGES, 0):
+        monkeypatch.setattr(R, "EDGES", edges)
+        rows = R.along_lines_from_table(points, regions, many=many).select("id", "lane", "line_pos", "line_offset").collect()
+        found.append({r.id: tuple(r)[1:] for r in rows})
+        assert len(rows) == points.count()
+    assert found[0].keys() == found[1].keys() and sum(v[0] is not None for v in found[0].values()) > 400
+    for k, v in found[0].items():
+        assert v == found[1][k] if v[0] is None else v[0] == found[1][k][0] and np.allclose(v[1:], found[1][k][1:], rtol=0, atol=1e-9)
+
+
 def test_heavy_cells_are_split(spark, roads, monkeypatch):
     points, lanes = roads
     monkeypatch.setattr(R, "HEAVY", 10**9)
