@@ -161,7 +161,10 @@ def on_roads(points: DataFrame, polygons: DataFrame, by: str, x: str, y: str, ma
 
 def lanes_from_table(points: DataFrame, polygons: DataFrame, by: str = "video_id", size: float = 32.0, x: str = "x", y: str = "y", many: int = MANY) -> DataFrame:
     """points with lane: the first of their video's polygons (by, ord, lane, ring) that holds the point, else -1. size: of the cells of roads with many edges."""
-    placed = in_first_polygon(points, cell_cover(polygons, by, size), by, size, x, y, many).drop("place")
+    if few_edges(polygons, by):
+        placed = on_roads(points, polygons, by, x, y, many)
+    else:
+        placed = in_first_polygon(points, cell_cover(polygons, by, size), by, size, x, y, many).drop("place")
     return placed.withColumn("lane", F.coalesce("lane", F.lit(-1).cast(polygons.schema["lane"].dataType)))
 
 
