@@ -1,7 +1,8 @@
 """Frames of videos as a data source of its own, for batches and streams, and the sink that writes what it reads.
 
 A video is a folder, a part of it a file of Netpbm images (P5 or P6) one after another, all of one size. The size stands in the file's name, so a listing tells how many frames each part
-has, no part is opened to plan a scan, and any frame is found by its offset. Frames are numbered over the parts of their video. Scans are cut by frames, not by files.
+has, no part is opened to plan a scan, and any frame is found by its offset. Frames are numbered over the parts of their video. Scans are cut by frames, not by files: a task reads a piece of
+a large part, or many small parts.
 Conditions on video_id, part_no and frame_index reach the source (spark.sql.python.filterPushdown.enabled must be true): what they exclude is neither listed nor read.
 
 The path may be of any file system that Arrow knows (local or mounted folders, hdfs://, s3://, gs://).
@@ -16,7 +17,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 NAME = "lanewise_frames"
 SCHEMA = "video_id string, part_no int, frame_index long, frame int, width int, height int, channels int, pixels binary"
 ARROW = pa.schema([("video_id", pa.string()), ("part_no", pa.int32()), ("frame_index", pa.int64()), ("frame", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("pixels", pa.binary())])
-#: Bytes of one task's frames, and of one batch's.
-TASK_BYTES, BATCH_BYTES = 64_000_000, 8_000_000
+#: Bytes of one task's frames, and of one batch's; what opening a file counts among a task's.
+TASK_BYTES, BATCH_BYTES, OPEN_BYTES = 64_000_000, 8_000_000, 256_000
 PART = re.compile(r"^(\d+)_(\d+)x(\d+)x([13])\.pnm$")
 FOLDER = "video_id="
 END = 2**62
@@ -85,11 +86,25 @@ def listed(path: str, videos: set[str] | None = None) -> list[Part]:
     return out
 
 
-class Range(D.InputPartition):
+@dataclass(frozen=True)
+class Range:
     """Frames first to last - 1 of a part, every gap-th of the video's."""
 
-    def __init__(self, part: Part, first: int, last: int, gap: int) -> None:
-        self.part, self.first, self.last, self.gap = part, first, last, gap
+    part: Part
+    first: int
+    last: int
+    gap: int
+
+    @property
+    def bytes(self) -> int:
+        return -(-(self.last - self.first) // self.gap) * self.part.record
+
+
+class Pieces(D.InputPartition):
+    """What one task reads."""
+
+    def __init__(self, ranges: list[Range]) -> None:
+        self.ranges = ranges
 
 
 def cut(part: Part, first: int, last: int, gap: int, task_bytes: int) -> list[Range]:
@@ -99,36 +114,51 @@ def cut(part: Part, first: int, last: int, gap: int, task_bytes: int) -> list[Ra
     return [Range(part, at, min(hi, at + step), gap) for at in range(lo, hi, step)]
 
 
-def frames_in(path: str, piece: Range) -> Iterator[pa.RecordBatch]:
-    part, skip = piece.part, len(piece.part.header)
+def dealt(ranges: Iterable[Range], task_bytes: int) -> list[Pieces]:
+    """The ranges in their order, as many to a task as come to task_bytes, and one at least."""
+    out, held = [], 0
+    for r in ranges:
+        cost = r.bytes + OPEN_BYTES
+        if not out or held + cost > task_bytes:
+            out.append(Pieces([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += cost
+    return out
+
+
+def frames_in(path: str, ranges: list[Range]) -> Iterator[pa.RecordBatch]:
+    """The frames of all ranges, BATCH_BYTES at a time."""
     fs, _ = opened(path)
-    first = piece.first + -(part.before + piece.first) % piece.gap
-    numbers = range(first, piece.last, piece.gap)
-    each = max(1, BATCH_BYTES // part.record)
-    with fs.open_input_file(part.path) as f:
-        for lo in range(0, len(numbers), each):
-            some, pixels = numbers[lo : lo + each], []
-            for n in some:
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+    rows, held = [], 0
+    for piece in ranges:
+        part, head = piece.part, piece.part.header
+        with fs.open_input_file(part.path) as f:
+            for n in range(piece.first + -(part.before + piece.first) % piece.gap, piece.last, piece.gap):
                 record = f.read_at(part.record, n * part.record)
-                if record[:skip] != part.header:
+                if record[: len(head)] != head:
                     raise ValueError(f"no frame at {n} of {part.path}")
-                pixels.append(record[skip:])
-            same = [pa.array([v] * len(some), t) for v, t in ((part.width, pa.int32()), (part.height, pa.int32()), (part.channels, pa.int32()))]
-            columns = [pa.array([part.video] * len(some)), pa.array([part.number] * len(some), pa.int32()), pa.array([part.before + n for n in some], pa.int64()), pa.array(list(some), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, *same, pa.array(pixels, pa.binary())], schema=ARROW)
+                if rows and held + len(record) > BATCH_BYTES:
+                    yield batch(rows)
+                    rows, held = [], 0
+                rows.append((part.video, part.number, part.before + n, n, part.width, part.height, part.channels, record[len(head) :]))
+                held += len(record)
+    if rows:
+        yield batch(rows)
 
 
 class Frames:
-    """What batches and streams share: options, and a range as a task reads it."""
+    """What batches and streams share: options, and pieces as a task reads them."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.head, self.tail, self.gap = (int(options.get(name, default)) for name, default in (("head", 0), ("tail", 0), ("gap", 1)))
         self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Pieces | None) -> Iterator[pa.RecordBatch]:
         """Without partitions Spark asks for one that is None."""
-        return iter([]) if partition is None else frames_in(self.path, partition)
+        return iter([]) if partition is None else frames_in(self.path, partition.ranges)
 
 
 class FrameReader(Frames, D.DataSourceReader):
@@ -161,13 +191,13 @@ class FrameReader(Frames, D.DataSourceReader):
             return True
         return isinstance(f, D.IsNotNull) and column in ("video_id", "part_no", "frame_index")
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Pieces]:
         parts = listed(self.path, self.videos)
         total: dict[str, int] = {}
         for p in parts:
             total[p.video] = p.before + p.frames
         chosen = [p for p in parts if self.parts is None or p.number in self.parts]
-        return [r for p in chosen for r in cut(p, max(self.first, self.head), min(self.last, total[p.video] - self.tail), self.gap, self.task_bytes)]
+        return dealt((r for p in chosen for r in cut(p, max(self.first, self.head), min(self.last, total[p.video] - self.tail), self.gap, self.task_bytes)), self.task_bytes)
 
 
 class FrameStream(Frames, D.DataSourceStreamReader):
@@ -182,9 +212,9 @@ class FrameStream(Frames, D.DataSourceStreamReader):
             out[p.video] = p.before + p.frames
         return out
 
-    def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[Range]:
+    def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[Pieces]:
         grown = {v for v in end if end[v] > start.get(v, 0)}
-        return [r for p in listed(self.path, grown) for r in cut(p, max(self.head, start.get(p.video, 0)), end[p.video], self.gap, self.task_bytes)]
+        return dealt((r for p in listed(self.path, grown) for r in cut(p, max(self.head, start.get(p.video, 0)), end[p.video], self.gap, self.task_bytes)), self.task_bytes)
 
     def commit(self, end: dict[str, int]) -> None:
         """Offsets are numbers of frames in files that stay: nothing is kept for a batch."""
@@ -227,13 +257,18 @@ class FrameWriter(D.DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = opened(self.path)
+        there: dict[str, dict[str, list[str]]] = {}  # of each folder its files by number, listed once
         for held, folder, name in (f for m in messages if m for f in m.files):
-            fs.create_dir(folder, recursive=True)
-            number = name.split("_")[0]
-            for old in fs.get_file_info(pafs.FileSelector(folder)):
-                if old.base_name != name and old.base_name.split("_")[0] == number:
-                    fs.delete_file(old.path)
+            if folder not in there:
+                fs.create_dir(folder, recursive=True)
+                there[folder] = {}
+                for old in fs.get_file_info(pafs.FileSelector(folder)):
+                    there[folder].setdefault(old.base_name.split("_")[0], []).append(old.base_name)
+            for old in there[folder].get(name.split("_")[0], []):
+                if old != name:
+                    fs.delete_file(f"{folder}/{old}")
             fs.move(held, f"{folder}/{name}")
+            there[folder][name.split("_")[0]] = [name]
         self._clear(fs, root)
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -44,6 +44,30 @@ def test_conditions_prune_partitions(spark, folder):
     assert df.filter("video_id = 'none'").count() == 0
 
 
+def test_small_parts_share_a_task(spark, tmp_path):
+    """300 files of one frame: a few tasks read them, and in the folders each file's name is looked up once."""
+    S.write_frames(rows(spark, n=300, per_part=1), f"{tmp_path}/many")
+    assert len(list(tmp_path.glob("many/video_id=*/*.pnm"))) == 300
+    df = read(spark, f"{tmp_path}/many")
+    assert df.rdd.getNumPartitions() == 2
+    want = {(r.video_id, r.part_no, r.frame_index, bytes(r.pixels)) for r in rows(spark, n=300, per_part=1).collect()}
+    assert {(r.video_id, r.part_no, r.frame_index, bytes(r.pixels)) for r in df.collect()} == want
+    some = read(spark, f"{tmp_path}/many", head=1, tail=1, gap=7).filter("video_id <> '1'")
+    assert sorted((r.video_id, r.frame_index) for r in some.collect()) == [(v, i) for v in "02" for i in range(7, 99, 7)]
+
+
+def test_a_commit_lists_each_folder_once(tmp_path, monkeypatch):
+    """Listing a folder for each of its files grows with the square of the files."""
+    lists = []
+    writer = S.FrameWriter(str(tmp_path / "out"))
+    batch = S.pa.RecordBatch.from_pydict({"video_id": ["a"] * 40, "part_no": list(range(1, 41)), "width": [1] * 40, "height": [1] * 40, "channels": [1] * 40, "pixels": [b"x"] * 40})
+    message = writer.write(iter([batch]))
+    selector = S.pafs.FileSelector
+    monkeypatch.setattr(S.pafs, "FileSelector", lambda *a, **b: lists.append(a) or selector(*a, **b))
+    writer.commit([message])
+    assert len(lists) == 1 and len(list(tmp_path.glob("out/video_id=a/*.pnm"))) == 40
+
+
 def test_a_missing_part_ends_a_video(spark, folder, tmp_path):
     late = rows(spark).filter("video_id = '0' and part_no = 5").withColumn("part_no", F.lit(7))
     S.write_frames(late, folder)
