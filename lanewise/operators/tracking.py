@@ -2,12 +2,12 @@
 
 Within a video the frames follow one another by definition. An aggregate makes one row a frame, with its boxes as arrays; rows are dealt by
 video and sorted by frame, and a task walks over them with nothing held but the tracker of the video at hand. A long video is so a stream of
-narrow rows. The same step drives the batch fold and the stream. Trackers are chosen by name from TRACKERS, which callers may extend.
+narrow rows. Where a tracker can take many videos a frame further at a time, a task holds some HELD frames and walks over their videos side by side. The same step drives the batch fold and the stream. Trackers are chosen by name from TRACKERS, which callers may extend.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ TURNED = "frame_index long, track_id long, det_id int, cx double, cy double, w d
 #: 95 % points of the chi-square distribution for two and four degrees of freedom.
 GATE = {2: 5.9915, 4: 9.4877}
 NEVER = 1e5
+#: Frames whose videos go on side by side, and so many videos that each goes on alone, which is faster then.
+HELD, NARROW = 1 << 16, 2
 
 
 @dataclass
@@ -143,6 +145,178 @@ def turned_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def paired_turned_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """turned_iou() of corners a[i] with corners b[i], each [n, 4, 2]."""
+    (al, ar), (bl, br) = ((c.min(1), c.max(1)) for c in (a, b))
+    side = np.maximum(np.minimum(ar, br) - np.maximum(al, bl), 0)
+    at = np.flatnonzero(side[:, 0] * side[:, 1] > 0)
+    out = np.zeros(len(a))
+    out[at] = figures_iou(a[at], b[at])
+    return out
+
+
+class TurnedSideBySide:
+    """Many videos by SortTurned, each a frame further at a time: what step() gives for each of them alone.
+
+    All tracks of the videos at hand lie in arrays, those of a video together, in the order in which they began; a video is a number from 0 on.
+    """
+
+    def __init__(self, one: SortTurned) -> None:
+        self.one = one
+
+    def begin(self, videos: int) -> None:
+        """Tracks of no video yet; frames so far and next id of each."""
+        self.frames, self.next_id = np.zeros(videos, np.int64), np.ones(videos, np.int64)
+        self.tracks = self._tracks(np.zeros((0, 5)), *[np.zeros(0, np.int64)] * 3)
+
+    @staticmethod
+    def _tracks(states: np.ndarray, video: np.ndarray, ids: np.ndarray, det_ids: np.ndarray) -> dict[str, np.ndarray]:
+        f, none = BoxFilter(states), np.zeros(len(states), np.int64)
+        return {"value": f.value, "speed": f.speed, "p": f.p, "c": f.c, "v": f.v, "video": video, "id": ids, "det_id": det_ids, "streak": none, "missed": none.copy()}
+
+    def taken(self, which: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: a[which] for k, a in self.tracks.items()}
+
+    @staticmethod
+    def states(boxes: np.ndarray) -> np.ndarray:
+        """to_turned_state() of each box."""
+        x, y, w, h, theta = boxes.T
+        theta = np.where(w < h, theta + np.pi / 2, theta)
+        w, h = np.where(w < h, h, w), np.where(w < h, w, h)
+        return np.stack([x, y, w * h, w / h, (theta + np.pi / 2) % np.pi - np.pi / 2], 1)
+
+    @staticmethod
+    def shown(values: np.ndarray) -> np.ndarray:
+        """SortTurned.shown() of each track."""
+        x, y, area, ratio, theta = values.T
+        with np.errstate(invalid="ignore", divide="ignore"):
+            w = np.where(area * ratio >= 0, np.sqrt(area * ratio), np.nan)
+            h = np.where(w > 0, area / w, 0.0)
+        return np.stack([x, y, w, h, (theta + np.pi / 2) % np.pi - np.pi / 2], 1)
+
+    def step(self, ids: np.ndarray, boxes: np.ndarray, video: np.ndarray, videos: int) -> tuple[np.ndarray, ...]:
+        """video, track id, detection id and box of the tracks reported, of each video newest first. boxes: those of a frame of each of the first `videos` videos, in their order, best score first."""
+        self.frames[:videos] += 1
+        t = self.tracks
+        t["streak"] = np.where(t["missed"] > 0, 0, t["streak"])
+        t["missed"] = t["missed"] + 1
+        f = BoxFilter(*(t[k] for k in ("value", "speed", "p", "c", "v")))
+        f.predict()
+        t |= {k: getattr(f, k) for k in ("value", "speed", "p", "c", "v")}
+        expected = self.shown(t["value"])
+        fine = np.isfinite(expected).all(1)
+        if not fine.all():
+            t, expected = self.tracks, expected = self.taken(fine), expected[fine]
+        d, k = self.matched(boxes, video, expected, t["video"], videos)
+        if len(d):
+            f = BoxFilter(*(t[c][k] for c in ("value", "speed", "p", "c", "v")))
+            z = self.states(boxes[d])
+            z[:, 4] -= np.pi * np.round((z[:, 4] - f.value[:, 4]) / np.pi)
+            f.update(z)
+            for c in ("value", "speed", "p", "c", "v"):
+                t[c][k] = getattr(f, c)
+            t["missed"][k], t["det_id"][k] = 0, ids[d]
+            t["streak"][k] += 1
+        free = np.ones(len(boxes), bool)
+        free[d] = False
+        if free.any():
+            of = video[free]
+            n = np.bincount(of, minlength=len(self.next_id))
+            fresh = self._tracks(self.states(boxes[free]), of, self.next_id[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of], ids[free].astype(np.int64))
+            self.next_id += n
+            order = np.argsort(np.concatenate([t["video"], of]), kind="stable")
+            t = self.tracks = {c: np.concatenate([t[c], fresh[c]])[order] for c in t}
+        told = np.flatnonzero((t["missed"] < 1) & ((t["streak"] >= self.one.min_hits) | (self.frames[t["video"]] <= self.one.min_hits)))
+        told = told[np.lexsort((-told, t["video"][told]))]
+        out = t["video"][told], t["id"][told], t["det_id"][told], self.shown(t["value"][told])
+        stays = t["missed"] <= self.one.max_age
+        if not stays.all():
+            self.tracks = self.taken(stays)
+        return out
+
+    def matched(self, boxes: np.ndarray, video: np.ndarray, expected: np.ndarray, of: np.ndarray, videos: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of boxes and tracks that SortTurned.match() pairs in each video."""
+        least = self.one.least_iou
+        held = np.bincount(of, minlength=videos)
+        n = held[video]
+        i = np.repeat(np.arange(len(boxes)), n)
+        j = (np.cumsum(held) - held)[video][i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        overlap = paired_turned_iou(corners_of(boxes)[i], corners_of(expected)[j])
+        strong, whose = overlap > least, video[i]
+        clash, any_strong, close = (np.zeros(videos, bool) for _ in range(3))
+        any_strong[whose[strong]] = True
+        close[whose[overlap >= least]] = True
+        clash[video[np.bincount(i[strong], minlength=len(boxes)) > 1]] = True
+        clash[of[np.bincount(j[strong], minlength=len(of)) > 1]] = True
+        plain = any_strong & ~clash
+        at = [np.flatnonzero(strong & plain[whose])]
+        # Without a close pair no assignment would hold.
+        for v in np.flatnonzero(close & ~plain).tolist():
+            lo, hi = np.searchsorted(whose, (v, v + 1)).tolist()
+            table = overlap[lo:hi].reshape(-1, held[v])
+            pairs = assign(-table) if min(table.shape) > 1 else [divmod(int(table.argmax()), table.shape[1])]
+            at.append(lo + np.array([r * held[v] + c for r, c in pairs if table[r, c] >= least], np.int64))
+        at = np.concatenate(at)
+        return i[at], j[at]
+
+    def alone(self, video: int) -> SortTurned:
+        """A tracker of its own that goes on with the video."""
+        t = self.taken(self.tracks["video"] == video)
+        rows = {int(i): (0, int(t["streak"][k]), int(t["missed"][k]), int(t["det_id"][k]), True, *(t[c][k] for c in ("value", "speed", "p", "c", "v"))) for k, i in enumerate(t["id"])}
+        return replace(self.one, tracks=[]).with_state((int(self.frames[video]), int(self.next_id[video])), rows)
+
+    def go_on(self, video: int, one: SortTurned) -> None:
+        """Takes on what the tracker holds, as the video's; there are no other tracks yet."""
+        self.frames[video], self.next_id[video] = one.counters()
+        if one.tracks:
+            numbers = np.array([(t.id, t.det_id, t.streak, t.missed) for t in one.tracks], np.int64).T
+            filters = {c: np.stack([getattr(t.filter, c) for t in one.tracks]) for c in ("value", "speed", "p", "c", "v")}
+            self.tracks = filters | dict(zip(("id", "det_id", "streak", "missed"), numbers.copy(), strict=True)) | {"video": np.full(len(one.tracks), video)}
+
+    def walk(self, frames: Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """frames: the video of each frame (frames of a video together, in order), where each frame's boxes begin, with the end, their det_ids and boxes. Gives the frame's place beside what step() gives."""
+        key, kept = object(), None
+        for videos, offsets, ids, boxes in frames:
+            starts = np.array([r for r in range(len(videos)) if r == 0 or videos[r] != videos[r - 1]], np.int64)
+            lengths = np.diff(np.append(starts, len(videos)))
+            order = np.argsort(-lengths, kind="stable")
+            starts, lengths = starts[order], lengths[order]
+            self.begin(len(starts))
+            if videos[0] == key:  # the last video goes on
+                self.go_on(int(np.flatnonzero(order == 0)[0]), kept)
+            last, found = int(np.flatnonzero(order == len(order) - 1)[0]), []
+            active = len(starts)
+            for level in range(int(lengths[0])):
+                n = int(np.searchsorted(-lengths, -level))
+                if n < active:
+                    if n <= last < active:
+                        kept = self.alone(last)
+                    self.tracks, active = self.taken(self.tracks["video"] < n), n
+                if n <= NARROW:
+                    for video in range(n):
+                        one = self.alone(video)
+                        told = [(r, *x) for r in range(starts[video] + level, starts[video] + lengths[video]) for x in one.step(ids[offsets[r] : offsets[r + 1]], boxes[offsets[r] : offsets[r + 1]])]
+                        if told:
+                            found.append(tuple(np.array(c) for c in zip(*told, strict=True)))
+                        if video == last:
+                            kept = one
+                    active = 0
+                    break
+                rows = starts[:n] + level
+                counts = offsets[rows + 1] - offsets[rows]
+                at = np.repeat(offsets[rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                of, *told = self.step(ids[at], boxes[at], np.repeat(np.arange(n), counts), n)
+                found.append((rows[of], *told))
+            if last < active:
+                kept = self.alone(last)
+            key = videos[-1]
+            if not found:
+                continue
+            found = [np.concatenate(c) for c in zip(*found, strict=True)]
+            by_row = np.argsort(found[0], kind="stable")
+            yield tuple(c[by_row] for c in found)
+
+
 @dataclass
 class Seen:
     """A track of DeepSort: tentative until it has enough hits."""
@@ -276,6 +450,8 @@ def from_height_form(form: np.ndarray) -> np.ndarray:
 
 #: Tracker by name. A tracker has columns, out and step(ids, boxes, features); its settings are its constructor's.
 TRACKERS: dict[str, Callable[..., Sort | SortTurned | DeepSort]] = {"sort": Sort, "sort_turned": SortTurned, "deep_sort": DeepSort}
+#: Trackers that take many videos on at a time; those made from them go on alone.
+SIDE_BY_SIDE = {SortTurned: TurnedSideBySide}
 
 
 def by_frame(boxes: DataFrame, key: str, columns: tuple[str, ...], feature: str | None) -> DataFrame:
@@ -329,7 +505,36 @@ def track(boxes: DataFrame, video: str = "video_id", method: str = "sort", featu
     kinds, names, width = [to_arrow_type(f.dataType) for f in schema.fields], [f.name for f in schema.fields], len(shown.columns)
     boxes = boxes if least_score is None else boxes.filter(F.col("score") > least_score)
 
+    def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def frames() -> Iterator[tuple]:
+            rows: list[pa.RecordBatch] = []
+            for batch in batches:
+                rows += [batch] if batch.num_rows else []
+                if sum(b.num_rows for b in rows) >= HELD:
+                    yield whole(rows)
+                    rows = []
+            if rows:
+                yield whole(rows)
+
+        def whole(rows: list[pa.RecordBatch]) -> tuple:
+            held[:] = [pa.Table.from_batches(rows)]
+            lists = held[0].column(2).combine_chunks()
+            flat = lists.flatten()
+            offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            return held[0].column(0).to_pylist(), offsets, flat.field("det_id").to_numpy(), flat.field("box").flatten().to_numpy().reshape(-1, width)
+
+        for at, ids, det_ids, values in SIDE_BY_SIDE[tracker](tracker(**settings)).walk(frames()):
+            of = held[0].select([0, 1]).combine_chunks().take(pa.array(at))
+            columns = [of.column(0), of.column(1), pa.array(ids), pa.array(det_ids), *[pa.array(np.ascontiguousarray(c)) for c in values.T]]
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if tracker in SIDE_BY_SIDE:
+            yield from side_by_side(batches)
+            return
         at, state = object(), None
         for batch in batches:
             found = []

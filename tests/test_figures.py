@@ -154,3 +154,47 @@ def test_shared_areas_equal_clipping():
         assert abs(v - clipped_area([tuple(c) for c in a], [tuple(c) for c in b])) < 1e-6
     assert np.allclose(got[:100], np.abs(assignment.areas(p[:100]))) and not got[100:150].any()
     assert assignment.figures_iou(p[:0], q[:0]).shape == (0,)
+
+
+@pytest.mark.parametrize("held", [1 << 16, 300, 41])
+def test_turned_videos_side_by_side_equal_one_at_a_time(spark, monkeypatch, held):
+    """Videos of unlike length, with gaps, clutter and vehicles that cross, cut into batches anywhere."""
+    rng = np.random.default_rng(43)
+    rows = []
+    for v, n in enumerate((60, 5, 90, 33, 1, 60, 200)):
+        places, speeds = rng.uniform(0, 300, (5, 2)), rng.normal(0, 6, (5, 2))
+        for f in range(n):
+            seen = [k for k in range(5) if rng.random() < 0.7]
+            for d, k in enumerate(seen or [0]):
+                x, y = places[k] + f * speeds[k] % 200 + rng.normal(0, 2, 2)
+                w, h = (140.0, 60.0) if k % 2 else (50.0, 90.0)
+                rows.append((v, f * 2, d, float(-d), float(x), float(y), w, h, float(rng.normal(0.3 * k, 0.05))))
+    boxes = spark.createDataFrame(rows, "video_id int, frame_index long, det_id int, score double, cx double, cy double, w double, h double, theta double").repartition(3)
+
+    class Alone(tracking.SortTurned):
+        """Not known to go side by side."""
+
+    monkeypatch.setitem(tracking.TRACKERS, "alone", Alone)
+    monkeypatch.setattr(tracking, "HELD", held)
+    monkeypatch.setattr(tracking, "NARROW", 2 if held > 50 else 0)
+
+    def rows_of(method):
+        return sorted(tuple(r) for r in tracking.track(boxes, method=method, max_age=4).coalesce(1).collect())
+
+    want = rows_of("alone")
+    assert rows_of("sort_turned") == want and len(want) > 500
+
+
+def test_few_frames_are_walked_alone():
+    """Of nine videos those that outlast the others go on alone; all others' frames are taken together."""
+    alone = []
+
+    class Counted(tracking.SortTurned):
+        def step(self, *a):
+            alone.append(a)
+            return super().step(*a)
+
+    videos = [v for v in range(9) for _ in range(50 if v else 80)]
+    boxes = np.tile([100.0, 100.0, 140.0, 100.0, 0.1], (len(videos), 1))
+    (found,) = tracking.TurnedSideBySide(Counted()).walk(iter([(videos, np.arange(len(videos) + 1), np.ones(len(videos), np.int32), boxes)]))
+    assert len(found[0]) == len(videos) and set(found[1]) == {1} and len(alone) == 30
