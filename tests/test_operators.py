@@ -196,3 +196,9 @@ def test_known_figures_equal_general_ones(spark):
     rows = grid.select(G.inside(x, y, G.polygon(ring)).alias("i"), G.inside_ring(x, y, ring).alias("j"), a.alias("a"), b.alias("b")).collect()
     assert sum(r.i for r in rows) > 20 and all(r.i == r.j for r in rows)
     assert all(np.allclose([r.a.dist, r.a.pos, r.a.side], [r.b.dist, r.b.pos, r.b.side]) for r in rows)
+
+
+def test_trajectories_travel_once_while_a_task_holds_them(spark):
+    """Each side is copied for each block of the other: 5,000 vehicles of a point are one block."""
+    side = lambda name: spark.range(5000).select(F.col("id").alias(name), F.col("id").alias("frame_index"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(0).alias("lane_id"))
+    assert T._dealt(side("a"), side("b")).count() == 10000
